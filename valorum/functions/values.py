@@ -86,9 +86,25 @@ def epoch_millis(ts) -> Column:
     return F.unix_millis(_c(ts).cast("timestamp"))
 
 
+def round_half_up(x, places: int = 2) -> Column:
+    """D8 / F9 (quotes): multiply, round half up, divide - the browser-side rule for cents."""
+    m = float(10 ** places)
+    return F.floor(_c(x) * m + 0.5) / m
+
+
+def round_half_even(x, places: int = 2) -> Column:
+    """F9 (build figures): half-to-even on the scaled binary value, like Python's ``round``."""
+    m = float(10 ** places)
+    return F.bround(_c(x) * m, 0) / m
+
+
 def format_ptbr(x, places: int = 2, prefix: str = "") -> Column:
-    """Brazilian number text: '.' thousands, ',' decimals. Rounds half up first."""
-    body = F.translate(F.format_number(F.round(_c(x), places), places), ",.", ".,")
+    """Brazilian number text: '.' thousands, ',' decimals.
+
+    Rounds the exact binary value (so 4.015 shows 4,01 as in the browser); only
+    exact binary ties (x.125) go to even where the browser goes up.
+    """
+    body = F.translate(F.format_number(_c(x), places), ",.", ".,")
     return F.concat(F.lit(prefix), body) if prefix else body
 
 

@@ -25,7 +25,8 @@ def query(name: str):
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six-place display rounding, the same rule as the oracle's ``round(x, 6)``."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6) / 1e6
 
 
 @query("ddm_fair_value")
@@ -34,3 +35,191 @@ def ddm_fair_value(spark: SparkSession, d: str) -> DataFrame:
     v = val.ddm_value(s, eps="lpa", payout="payout", g1="g1", ke="ke", gp="gp")
     return v.select("ticker", *[r6(c).alias(c) for c in
                                 ("d0", "pv_sum", "d_next", "terminal", "terminal_pv", "fair")], "valid")
+
+
+# --- filings: W1, W2, A1, A2, V1, V2 ---------------------------------------------------------
+from valorum.operators import fundamentals as fund  # noqa: E402
+from valorum.operators import latest as lt  # noqa: E402
+from valorum.operators import quotes as qt  # noqa: E402
+from valorum.operators import assumptions as asm  # noqa: E402
+from valorum.functions import values as fv  # noqa: E402
+
+TIE = ("l_orderkey", "l_linenumber")
+
+
+def _eps(spark, d):
+    f = roles.filings(spark, d).where(F.col("scope") == "F")
+    return fund.latest_eps(f, "entity", "year", "value", "klass", preferred="R", classes=("R", "A"), tie_break=TIE)
+
+
+def _net_income(spark, d):
+    f = roles.filings(spark, d).where(F.col("scope") == "F")
+    return fund.latest_net_income(f, "entity", "year", "value", "klass", "scale", preferred="R",
+                                  accounts=("R", "N"), tie_break=TIE)
+
+
+def _div_by_year(spark, d):
+    f = roles.filings(spark, d).where((F.col("scope") == "F") & (F.col("klass") == "A"))
+    return fund.dividends_by_year(f, "entity", "year", "value")
+
+
+@query("latest_eps")
+def latest_eps(spark, d):
+    return _eps(spark, d)
+
+
+@query("latest_net_income")
+def latest_net_income(spark, d):
+    return _net_income(spark, d)
+
+
+@query("dividends_by_year")
+def dividends_by_year(spark, d):
+    return _div_by_year(spark, d)
+
+
+@query("latest_year_dividends")
+def latest_year_dividends(spark, d):
+    return fund.latest_year_dividends(_div_by_year(spark, d), "entity")
+
+
+@query("payout_ratio")
+def payout_ratio(spark, d):
+    div = fund.latest_year_dividends(_div_by_year(spark, d), "entity")
+    return fund.payout_ratio(_net_income(spark, d), div, "entity", dividend_scale=1.0)
+
+
+@query("eps_with_fallback")
+def eps_with_fallback(spark, d):
+    s = roles.table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), "s_acctbal")
+    j = s.join(_eps(spark, d), "entity", "left")
+    return j.select("entity", fund.eps_with_fallback(F.col("eps") / 1000.0, F.col("s_acctbal") / 100.0).alias("lpa"))
+
+
+# --- config and assumptions: A4, A8, W3, V5, J6 ----------------------------------------------
+def _config(spark, d):
+    w = roles.config_writes(spark, d).where(F.col("k").isNotNull())
+    return lt.latest_per_key(w, "k", ["written_at", "write_id"], columns=["v"])
+
+
+@query("dedupe_last_wins")
+def dedupe_last_wins(spark, d):
+    return _config(spark, d).select("k", r6("v").alias("v"))
+
+
+@query("config_wide")
+def config_wide(spark, d):
+    w = asm.config_wide(_config(spark, d))
+    return w.select(*[r6(c).alias(c) for c in ("ke", "roet", "payoutt", "fade", "ipca", "ntnb", "premio")],
+                    "ke_mode")
+
+
+@query("assumption_history_topk")
+def assumption_history_topk(spark, d):
+    h = roles.history_log(spark, d)
+    top = lt.top_k_per_key(h, "ticker", ["id"], 40)
+    return top.select("ticker", "id", F.col("rank").cast("long").alias("rank"), "value")
+
+
+def _current(spark, d):
+    return lt.latest_per_key(roles.assumption_events(spark, d), "ticker", ["event_time", "id"])
+
+
+def _effective(spark, d, keep_seed_rates=False):
+    return asm.effective_assumptions(roles.stocks(spark, d), _current(spark, d), asm.config_wide(_config(spark, d)),
+                                     watchlist=roles.watchlist(spark, d), keep_seed_rates=keep_seed_rates)
+
+
+@query("monitored_flag")
+def monitored_flag(spark, d):
+    return asm.monitored_flag(roles.stocks(spark, d), roles.watchlist(spark, d)).select("ticker", "monitored")
+
+
+EFFECTIVE_OUT = ("lpa", "roe_i", "payout_i", "ke", "roe_t", "payout_t", "fade")
+
+
+@query("effective_assumptions")
+def effective_assumptions(spark, d):
+    e = _effective(spark, d)
+    return e.select("ticker", "nome", "monitored", *[r6(c).alias(c) for c in EFFECTIVE_OUT], "growth_mode",
+                    *[r6(c).alias(c) for c in ("g_i", "g_t", "fut_pe", "mos")])
+
+
+# --- quotes: A9, P6, A10, T3, J8 ---------------------------------------------------------------
+@query("latest_quote")
+def latest_quote(spark, d):
+    return qt.latest_quote(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str=roles.QUOTE_LOOKBACK)
+
+
+@query("history_lookback")
+def history_lookback(spark, d):
+    return qt.history_lookback(roles.quotes(spark, d), "ts", roles.QUOTE_AS_OF, "1wk")
+
+
+@query("history_series")
+def history_series(spark, d):
+    return qt.history_series(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str="5y")
+
+
+@query("quote_freshness")
+def quote_freshness(spark, d):
+    last = qt.drop_missing(roles.quotes(spark, d), "close").groupBy("ticker").agg(F.max("ts").alias("last_ts"))
+    f = qt.quote_freshness(last, "last_ts", roles.QUOTE_AS_OF, qt.QUOTE_TTL_SECONDS, "stale_quote")
+    f = qt.quote_freshness(f, "last_ts", roles.QUOTE_AS_OF, qt.HISTORY_TTL_SECONDS, "stale_history")
+    return f.select("ticker", "last_ts", r6("age_s").alias("age_s"), "stale_quote", "stale_history")
+
+
+def _price_sources(spark, d):
+    snap = qt.latest_quote(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str=roles.QUOTE_LOOKBACK)
+    chart = roles.second_quotes(spark, d).select("ticker", fv.round_half_up("price", 2).alias("price"))
+    return [("snapshot", snap.select("ticker", "price")), ("chart", chart)]
+
+
+@query("price_fallback")
+def price_fallback(spark, d):
+    keys = roles.stocks(spark, d).select("ticker")
+    return qt.price_fallback(keys, _price_sources(spark, d)).select("ticker", r6("price").alias("price"),
+                                                                    "price_source")
+
+
+# --- screener and valuation views: V12, V9, V8, V10, V11 ---------------------------------------
+@query("screener")
+def screener(spark, d):
+    e = _effective(spark, d, keep_seed_rates=True)
+    p = qt.price_fallback(e, _price_sources(spark, d))
+    g1 = F.when((F.col("growth_mode") == "g") & F.col("g_i").isNotNull(), F.col("g_i")).otherwise(F.col("g1"))
+    v = val.ddm_value(p.withColumn("g1_used", g1), eps="lpa", payout="payout_i", g1="g1_used", ke="ke", gp="g_t")
+    v = v.withColumn("margin", val.margin_of_safety("fair", "price", "valid"))
+    return v.select("ticker", "nome", "monitored", *[r6(c).alias(c) for c in ("lpa", "payout_i", "ke", "g_t", "g1_used")],
+                    "growth_mode", r6("price").alias("price"), "price_source", r6("fair").alias("fair"), "valid",
+                    r6("margin").alias("margin"))
+
+
+@query("margin_of_safety")
+def margin_of_safety(spark, d):
+    v = val.ddm_value(roles.stocks(spark, d), eps="lpa", payout="payout", g1="g1", ke="ke", gp="gp")
+    q = roles.second_quotes(spark, d).select("ticker", fv.round_half_up("price", 2).alias("price"))
+    v = v.join(q, "ticker", "left").withColumn("margin", val.margin_of_safety("fair", "price", "valid"))
+    return v.select("ticker", r6("fair").alias("fair"), "valid", r6("price").alias("price"), r6("margin").alias("margin"),
+                    val.margin_label("margin").alias("margin_label"))
+
+
+@query("ddm_projection_ledger")
+def ddm_projection_ledger(spark, d):
+    led = val.ddm_ledger(roles.stocks(spark, d), "ticker", eps="lpa", payout="payout", g1="g1", ke="ke")
+    return led.select("ticker", F.col("n").cast("long").alias("n"),
+                      *[r6(c).alias(c) for c in ("dividend", "factor", "pv")])
+
+
+@query("ddm_step_ledger")
+def ddm_step_ledger(spark, d):
+    v = val.ddm_value(roles.stocks(spark, d), eps="lpa", payout="payout", g1="g1", ke="ke", gp="gp")
+    st = val.ddm_steps(v, "ticker")
+    return st.select("ticker", "step", "label", r6("value").alias("value"), "text")
+
+
+@query("ddm_scenario_grid")
+def ddm_scenario_grid(spark, d):
+    s = val.scenario_summary(roles.stocks(spark, d), "ticker", eps="lpa", payout="payout", g1="g1")
+    return s.select("ticker", "n_points", "n_valid",
+                    *[r6(c).alias(c) for c in ("share_valid", "min_fair", "median_fair", "max_fair")])

@@ -112,3 +112,217 @@ def register(name: str, sql: str) -> None:
 
 
 register("ddm_fair_value", _ddm_fair_value())
+
+ROLE_FILINGS = """
+filings AS (
+  SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus AS scope, l_returnflag AS klass,
+         l_extendedprice AS value, CASE WHEN l_quantity > 25 THEN 'MIL' ELSE 'UN' END AS scale,
+         l_orderkey, l_linenumber, l_partkey
+  FROM lineitem)"""
+
+SQL_LATEST_EPS = """
+eps AS (
+  SELECT entity, value AS eps, year, klass AS share_class FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year DESC, (klass = 'R') DESC, abs(value) DESC,
+                                 l_orderkey, l_linenumber) AS rn
+    FROM filings WHERE scope = 'F' AND value <> 0 AND klass IN ('R', 'A')) WHERE rn = 1)"""
+
+SQL_NET_INCOME = """
+ni AS (
+  SELECT entity, value AS net_income, scale, year,
+         CASE WHEN scale = 'MIL' THEN value * 1000.0 ELSE value END AS net_income_units FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year DESC, (klass = 'R') DESC,
+                                 l_orderkey, l_linenumber) AS rn
+    FROM filings WHERE scope = 'F' AND klass IN ('R', 'N')) WHERE rn = 1)"""
+
+SQL_DIV_BY_YEAR = """
+div_year AS (
+  SELECT entity, year, CAST(sum(CAST(abs(value) AS DECIMAL(28,2))) AS DOUBLE) AS dividends
+  FROM filings WHERE scope = 'F' AND klass = 'A' GROUP BY entity, year)"""
+
+SQL_DIV_LATEST = """
+div_latest AS (SELECT entity, arg_max(dividends, year) AS dividends FROM div_year
+               WHERE dividends IS NOT NULL GROUP BY entity)"""
+
+register("latest_eps", with_roles(ROLE_FILINGS, SQL_LATEST_EPS) + " SELECT * FROM eps")
+register("latest_net_income", with_roles(ROLE_FILINGS, SQL_NET_INCOME) + " SELECT * FROM ni")
+register("dividends_by_year", with_roles(ROLE_FILINGS, SQL_DIV_BY_YEAR) + " SELECT * FROM div_year")
+register("latest_year_dividends", with_roles(ROLE_FILINGS, SQL_DIV_BY_YEAR, SQL_DIV_LATEST)
+         + " SELECT * FROM div_latest")
+register("payout_ratio", with_roles(ROLE_FILINGS, SQL_NET_INCOME, SQL_DIV_BY_YEAR, SQL_DIV_LATEST) + """
+SELECT coalesce(ni.entity, d.entity) AS entity, d.dividends, ni.net_income_units,
+       CASE WHEN d.dividends <> 0 AND ni.net_income_units > 0
+            THEN round_even(least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units)) * 1000.0, 0) / 1000.0 END AS payout_raw,
+       coalesce(CASE WHEN d.dividends <> 0 AND ni.net_income_units > 0
+            THEN round_even(least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units)) * 1000.0, 0) / 1000.0 END, 0.45) AS payout
+FROM ni FULL OUTER JOIN div_latest d ON ni.entity = d.entity""")
+register("eps_with_fallback", with_roles(ROLE_FILINGS, SQL_LATEST_EPS) + """
+SELECT s.s_suppkey AS entity,
+       round_even(coalesce(CASE WHEN abs(e.eps / 1000.0) <= 100 AND e.eps <> 0 THEN e.eps / 1000.0 END,
+                      round_even(CASE WHEN abs(s.s_acctbal / 100.0) <= 100 AND s.s_acctbal <> 0
+                                 THEN s.s_acctbal / 100.0 END * 100.0, 0) / 100.0) * 100.0, 0) / 100.0 AS lpa
+FROM supplier s LEFT JOIN eps e ON e.entity = s.s_suppkey""")
+
+register("dedupe_last_wins", with_roles(ROLE_CONFIG) + " SELECT k, round(v, 6) AS v FROM config")
+register("config_wide", with_roles(ROLE_CONFIG) + """
+SELECT round(coalesce(max(v) FILTER (WHERE k = 'ke_global'), 0.14), 6) AS ke,
+       round(coalesce(max(v) FILTER (WHERE k = 'roet_global'), 0.12), 6) AS roet,
+       round(coalesce(max(v) FILTER (WHERE k = 'payoutt_global'), 0.60), 6) AS payoutt,
+       round(coalesce(max(v) FILTER (WHERE k = 'fade_global'), 10.0), 6) AS fade,
+       round(coalesce(max(v) FILTER (WHERE k = 'ipca_global'), 0.045), 6) AS ipca,
+       round(coalesce(max(v) FILTER (WHERE k = 'ntnb_global'), 0.072), 6) AS ntnb,
+       round(coalesce(max(v) FILTER (WHERE k = 'premio_global'), 0.0), 6) AS premio,
+       CASE WHEN coalesce(max(v) FILTER (WHERE k = 'ke_mode_global'), 0.0) <> 0 THEN 'real' ELSE 'nom' END
+         AS ke_mode
+FROM config""")
+register("assumption_history_topk", """
+SELECT ticker, id, rank, value FROM (
+  SELECT user_id AS ticker, event_id AS id, value,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rank
+  FROM events) WHERE rank <= 40""")
+
+QUOTE_WINDOW = "ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 5 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00'"
+SQL_LATEST_QUOTE = f"""
+last_quote AS (
+  SELECT ticker, floor(close * 100.0 + 0.5) / 100.0 AS price, last_ts FROM (
+    SELECT ticker, close, max(ts) OVER (PARTITION BY ticker) AS last_ts,
+           row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, close DESC) AS rn
+    FROM quotes WHERE {QUOTE_WINDOW} AND close IS NOT NULL AND NOT isnan(close)) WHERE rn = 1)"""
+register("latest_quote", with_roles(ROLE_QUOTES, SQL_LATEST_QUOTE) + " SELECT * FROM last_quote")
+register("history_lookback", with_roles(ROLE_QUOTES) + """
+SELECT ticker, ts, close FROM quotes
+WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00'""")
+register("history_series", with_roles(ROLE_QUOTES) + """
+SELECT ticker, epoch_us(ts) // 1000 AS ts_ms, floor(close * 100.0 + 0.5) / 100.0 AS close FROM quotes
+WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 5 YEAR AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+  AND close IS NOT NULL AND NOT isnan(close)""")
+register("quote_freshness", with_roles(ROLE_QUOTES) + """
+SELECT ticker, last_ts,
+       round((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts)) / 1e6, 6) AS age_s,
+       (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts)) / 1e6 > 900 AS stale_quote,
+       (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts)) / 1e6 > 1800 AS stale_history
+FROM (SELECT ticker, max(ts) AS last_ts FROM quotes WHERE close IS NOT NULL GROUP BY ticker)""")
+
+SQL_PRICES = """
+prices AS (
+  SELECT s.ticker, coalesce(q.price, (floor(sq.price * 100.0 + 0.5) / 100.0)) AS price,
+         CASE WHEN q.price IS NOT NULL THEN 'snapshot' WHEN sq.price IS NOT NULL THEN 'chart'
+              ELSE 'indisponível' END AS price_source
+  FROM stocks s LEFT JOIN last_quote q ON q.ticker = s.ticker LEFT JOIN second_quotes sq ON sq.ticker = s.ticker)"""
+register("price_fallback", with_roles(ROLE_STOCKS, ROLE_QUOTES, SQL_LATEST_QUOTE, ROLE_SECOND_QUOTES, SQL_PRICES)
+         + " SELECT ticker, round(price, 6) AS price, price_source FROM prices")
+
+SQL_MONITORED = """
+mon AS (
+  SELECT s.*, CASE WHEN (SELECT count(*) FROM watchlist) > 0
+                   THEN s.ticker IN (SELECT ticker FROM watchlist WHERE ticker IS NOT NULL)
+                   ELSE coalesce(s.monitored, false) END AS monitored_eff
+  FROM stocks s)"""
+register("monitored_flag", with_roles(ROLE_STOCKS, ROLE_WATCHLIST, SQL_MONITORED)
+         + " SELECT ticker, monitored_eff AS monitored FROM mon")
+
+SQL_CURRENT = """
+cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, id DESC) AS rn
+                       FROM events_log) WHERE rn = 1)"""
+SQL_CFG_WIDE = """
+cfg AS (SELECT coalesce(max(v) FILTER (WHERE k = 'ke_global'), 0.14) AS ke,
+               coalesce(max(v) FILTER (WHERE k = 'roet_global'), 0.12) AS roet,
+               coalesce(max(v) FILTER (WHERE k = 'payoutt_global'), 0.60) AS payoutt,
+               coalesce(max(v) FILTER (WHERE k = 'fade_global'), 10.0) AS fade FROM config)"""
+SQL_EFFECTIVE = """
+eff AS (
+  SELECT m.ticker, m.nome, m.monitored_eff AS monitored, m.g1, m.gp,
+         coalesce(c.lpa, m.lpa) AS lpa,
+         coalesce(c.roe_i, m.roe_i, 0.15) AS roe_i,
+         coalesce(c.payout_i, m.payout) AS payout_i,
+         CASE WHEN NOT coalesce(CAST(c.ke_default AS BOOLEAN), true) AND c.ke IS NOT NULL THEN c.ke ELSE g.ke END AS ke,
+         CASE WHEN NOT coalesce(CAST(c.roet_default AS BOOLEAN), true) AND c.roe_t IS NOT NULL THEN c.roe_t ELSE g.roet END
+           AS roe_t,
+         CASE WHEN NOT coalesce(CAST(c.payoutt_default AS BOOLEAN), true) AND c.payout_t IS NOT NULL THEN c.payout_t
+              ELSE g.payoutt END AS payout_t,
+         CASE WHEN NOT coalesce(CAST(c.fade_default AS BOOLEAN), true) AND c.fade IS NOT NULL THEN c.fade ELSE g.fade END
+           AS fade,
+         coalesce(nullif(c.growth_mode, ''), 'roe') AS growth_mode,
+         c.g_i,
+         CASE WHEN NOT coalesce(CAST(c.roet_default AS BOOLEAN), true) AND c.g_t IS NOT NULL THEN c.g_t
+              ELSE g.roet * (1.0 - g.payoutt) END AS g_t,
+         c.fut_pe, c.mos
+  FROM mon m LEFT JOIN cur c ON c.ticker = m.ticker CROSS JOIN cfg g)"""
+EFFECTIVE_ROLES = (ROLE_STOCKS, ROLE_EVENTS, ROLE_CONFIG, ROLE_WATCHLIST, SQL_MONITORED, SQL_CURRENT, SQL_CFG_WIDE,
+                   SQL_EFFECTIVE)
+register("effective_assumptions", with_roles(*EFFECTIVE_ROLES) + """
+SELECT ticker, nome, monitored, round(lpa, 6) AS lpa, round(roe_i, 6) AS roe_i, round(payout_i, 6) AS payout_i,
+       round(ke, 6) AS ke, round(roe_t, 6) AS roe_t, round(payout_t, 6) AS payout_t, round(fade, 6) AS fade,
+       growth_mode, round(g_i, 6) AS g_i, round(g_t, 6) AS g_t, round(fut_pe, 6) AS fut_pe, round(mos, 6) AS mos
+FROM eff""")
+
+
+def _screener() -> str:
+    g1 = "CASE WHEN growth_mode = 'g' AND g_i IS NOT NULL THEN g_i ELSE g1 END"
+    s = ddm_sql("lpa", "payout_i", f"({g1})", "ke", "g_t")
+    return with_roles(*EFFECTIVE_ROLES, ROLE_QUOTES, SQL_LATEST_QUOTE, ROLE_SECOND_QUOTES, """
+prices AS (
+  SELECT e.ticker, coalesce(q.price, (floor(sq.price * 100.0 + 0.5) / 100.0)) AS price,
+         CASE WHEN q.price IS NOT NULL THEN 'snapshot' WHEN sq.price IS NOT NULL THEN 'chart'
+              ELSE 'indisponível' END AS price_source
+  FROM eff e LEFT JOIN last_quote q ON q.ticker = e.ticker LEFT JOIN second_quotes sq ON sq.ticker = e.ticker)""",
+                      f"""
+val AS (SELECT e.*, p.price, p.price_source, {g1} AS g1_used, {s['fair']} AS fair, {s['valid']} AS valid
+        FROM eff e JOIN prices p ON p.ticker = e.ticker)""") + """
+SELECT ticker, nome, monitored, round(lpa, 6) AS lpa, round(payout_i, 6) AS payout_i, round(ke, 6) AS ke,
+       round(g_t, 6) AS g_t, round(g1_used, 6) AS g1_used, growth_mode, round(price, 6) AS price, price_source,
+       round(fair, 6) AS fair, valid,
+       round(CASE WHEN price > 0 AND valid THEN (fair - price) / price * 100.0 END, 6) AS margin
+FROM val"""
+
+
+register("screener", _screener())
+
+
+def _mos() -> str:
+    s = ddm_sql("lpa", "payout", "g1", "ke", "gp")
+    return with_roles(ROLE_STOCKS, ROLE_SECOND_QUOTES) + f"""
+SELECT ticker, round(fair, 6) AS fair, valid, round(price, 6) AS price, round(mos, 6) AS margin,
+       CASE WHEN mos >= 0 THEN 'good' WHEN mos < 0 THEN 'bad' END AS margin_label
+FROM (SELECT s.ticker, {s['fair']} AS fair, {s['valid']} AS valid, (floor(q.price * 100.0 + 0.5) / 100.0) AS price,
+             CASE WHEN (floor(q.price * 100.0 + 0.5) / 100.0) > 0 AND {s['valid']}
+                  THEN ({s['fair']} - (floor(q.price * 100.0 + 0.5) / 100.0)) / (floor(q.price * 100.0 + 0.5) / 100.0) * 100.0 END AS mos
+      FROM stocks s LEFT JOIN second_quotes q ON q.ticker = s.ticker)"""
+
+
+register("margin_of_safety", _mos())
+register("ddm_projection_ledger", with_roles(ROLE_STOCKS) + """
+SELECT ticker, n, round(dividend, 6) AS dividend, round(factor, 6) AS factor, round(dividend / factor, 6) AS pv
+FROM (SELECT ticker, n, lpa * payout * pow(1.0 + g1, CAST(n AS DOUBLE)) AS dividend,
+             CASE WHEN n > 0 THEN pow(1.0 + ke, CAST(n AS DOUBLE)) END AS factor
+      FROM stocks, range(0, 6) t(n))""")
+
+
+def _steps() -> str:
+    s = ddm_sql("lpa", "payout", "g1", "ke", "gp")
+    txt = ("CASE WHEN value IS NULL THEN '—' ELSE 'R$ ' || translate(format('{:,.2f}', value), ',.', '.,') END")
+    return with_roles(ROLE_STOCKS) + f"""
+, v AS (SELECT ticker, {s['d0']} AS d0, {s['pv_sum']} AS pv_sum, {s['terminal']} AS terminal,
+               {s['terminal_pv']} AS terminal_pv, CASE WHEN {s['valid']} THEN {s['fair']} END AS fair FROM stocks)
+, l AS (SELECT ticker, 1 AS step, 'base dividend' AS label, d0 AS value FROM v
+        UNION ALL SELECT ticker, 2, 'present value sum', pv_sum FROM v
+        UNION ALL SELECT ticker, 3, 'terminal value', terminal FROM v
+        UNION ALL SELECT ticker, 3, 'discounted terminal', terminal_pv FROM v
+        UNION ALL SELECT ticker, 4, 'fair value', fair FROM v)
+SELECT ticker, step, label, round(value, 6) AS value, {txt} AS text FROM l"""
+
+
+register("ddm_step_ledger", _steps())
+
+
+def _grid() -> str:
+    s = ddm_sql("lpa", "payout", "g1", "k", "g")
+    return with_roles(ROLE_STOCKS) + f"""
+, grid AS (SELECT (6.0 + i * 0.5) / 100.0 AS k, (j * 0.5) / 100.0 AS g FROM range(0, 39) a(i), range(0, 21) b(j))
+, pts AS (SELECT ticker, CASE WHEN {s['valid']} THEN {s['fair']} END AS fair FROM stocks, grid)
+SELECT ticker, CAST(819 AS BIGINT) AS n_points, count(fair) AS n_valid, round(count(fair) / 819.0, 6) AS share_valid,
+       round(min(fair), 6) AS min_fair, round(median(fair), 6) AS median_fair, round(max(fair), 6) AS max_fair
+FROM pts GROUP BY ticker"""
+
+
+register("ddm_scenario_grid", _grid())

@@ -121,3 +121,24 @@ def second_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_partkey").alias("ticker")).agg(
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filing facts: one per line item; entity = supplier, year of shipping, scope = line status,
+    class / account = return flag, value = extended price, scale by quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_suppkey").alias("entity"),
+        F.year("l_shipdate").alias("year"),
+        F.col("l_linestatus").alias("scope"),
+        F.col("l_returnflag").alias("klass"),
+        F.col("l_extendedprice").alias("value"),
+        F.when(F.col("l_quantity") > 25, F.lit("MIL")).otherwise(F.lit("UN")).alias("scale"),
+        "l_orderkey", "l_linenumber", "l_partkey",
+    )
+
+
+def history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History list: events per user, newest id first."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("ticker"), F.col("event_id").alias("id"), "ts", "value")

@@ -223,3 +223,47 @@ def ddm_scenario_grid(spark, d):
     s = val.scenario_summary(roles.stocks(spark, d), "ticker", eps="lpa", payout="payout", g1="g1")
     return s.select("ticker", "n_points", "n_valid",
                     *[r6(c).alias(c) for c in ("share_valid", "min_fair", "median_fair", "max_fair")])
+
+
+# --- names: F1-F3, J1-J3 -----------------------------------------------------------------------
+from valorum.functions import text as tx  # noqa: E402
+from valorum.operators import resolve as rs  # noqa: E402
+
+
+@query("fold_accents")
+def fold_accents(spark, d):
+    return roles.table(spark, d, "documents").select("doc_id", tx.fold_accents("text").alias("folded"))
+
+
+@query("normalize_name")
+def normalize_name(spark, d):
+    return roles.table(spark, d, "documents").select("doc_id", tx.normalize_name("text").alias("norm"))
+
+
+@query("name_tokens")
+def name_tokens(spark, d):
+    return roles.table(spark, d, "documents").select("doc_id", F.array_sort(tx.name_tokens("text")).alias("tokens"))
+
+
+def _names(spark, d):
+    return roles.listed_names(spark, d), roles.registry_names(spark, d)
+
+
+@query("name_exact_match")
+def name_exact_match(spark, d):
+    left, right = _names(spark, d)
+    return rs.exact_match(left, "ticker_id", "empresa", right, "cd", "nome", "ultimo_ano")
+
+
+@query("name_token_match")
+def name_token_match(spark, d):
+    left, right = _names(spark, d)
+    m = rs.token_match(left, "ticker_id", "empresa", right, "cd", "nome", "ultimo_ano")
+    return m.select("ticker_id", "match_id", r6("jaccard").alias("jaccard"))
+
+
+@query("entity_resolution")
+def entity_resolution(spark, d):
+    left, right = _names(spark, d)
+    m = rs.resolve_entities(left, "ticker_id", "empresa", right, "cd", "nome", "ultimo_ano")
+    return m.select("ticker_id", "match_id", "how", r6("jaccard").alias("jaccard"))

@@ -326,3 +326,62 @@ FROM pts GROUP BY ticker"""
 
 
 register("ddm_scenario_grid", _grid())
+
+# --- names: F1-F3, J1-J3 ---------------------------------------------------------------------
+STOP_SQL = "['SA', 'S', 'A', 'DO', 'DA', 'DE', 'E', 'DOS', 'DAS', 'CIA', 'COMPANHIA']"
+
+
+def fold_sql(x: str) -> str:
+    return f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
+
+
+def norm_sql(x: str) -> str:
+    s = f"upper({fold_sql(x)})"
+    s = f"regexp_replace({s}, 'EM RECUPERACAO JUDICIAL', ' ', 'g')"
+    s = f"regexp_replace({s}, '[^A-Z0-9 ]', ' ', 'g')"
+    s = f"regexp_replace({s}, ' +', ' ', 'g')"
+    return f"trim({s})"
+
+
+def tokens_sql(norm: str) -> str:
+    return (f"list_sort(list_distinct(list_filter(string_split({norm}, ' '), "
+            f"lambda w: length(w) > 1 AND NOT list_contains({STOP_SQL}, w))))")
+
+
+ROLE_NAMES = f"""
+listed AS (SELECT doc_id AS ticker_id, text AS empresa, {norm_sql('text')} AS norm FROM documents WHERE doc_id % 2 = 0),
+registry AS (SELECT doc_id AS cd, text AS nome, CAST(2000 + n_chars % 25 AS INTEGER) AS ultimo_ano,
+                    {norm_sql('text')} AS norm FROM documents WHERE doc_id % 2 = 1),
+best_norm AS (SELECT norm, arg_max(cd, ultimo_ano * 1e12 - cd) AS cd FROM registry GROUP BY norm),
+exact AS (SELECT l.ticker_id, b.cd AS match_id FROM listed l LEFT JOIN best_norm b ON b.norm = l.norm),
+ltok AS (SELECT ticker_id, {tokens_sql('norm')} AS toks FROM listed),
+rtok AS (SELECT cd, ultimo_ano, {tokens_sql('norm')} AS toks FROM registry)"""
+
+
+def token_best_sql(left_filter: str = "TRUE") -> str:
+    return """
+scored AS (
+  SELECT l.ticker_id, r.cd, r.ultimo_ano,
+         len(list_intersect(l.toks, r.toks)) / (len(l.toks) + len(r.toks) - len(list_intersect(l.toks, r.toks)))
+           AS j
+  FROM ltok l, rtok r WHERE len(l.toks) > 0 AND len(r.toks) > 0 AND """ + left_filter + """),
+tbest AS (SELECT ticker_id, cd AS match_id, j AS jaccard FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker_id ORDER BY j DESC, ultimo_ano DESC, cd ASC) AS rn
+  FROM scored WHERE j >= 0.72) WHERE rn = 1)"""
+
+
+register("fold_accents", f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents")
+register("normalize_name", f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
+register("name_tokens", f"SELECT doc_id, {tokens_sql(norm_sql('text'))} AS tokens FROM documents")
+register("name_exact_match", with_roles(ROLE_NAMES) + " SELECT ticker_id, match_id FROM exact")
+register("name_token_match", with_roles(ROLE_NAMES) + "," + token_best_sql()
+         + " SELECT ticker_id, match_id, round(jaccard, 6) AS jaccard FROM tbest")
+register("entity_resolution", with_roles(ROLE_NAMES) + "," + token_best_sql(
+    "l.ticker_id IN (SELECT ticker_id FROM exact WHERE match_id IS NULL)") + """
+SELECT e.ticker_id,
+       coalesce(e.match_id, t.match_id) AS match_id,
+       CASE WHEN e.match_id IS NOT NULL THEN 'exato'
+            WHEN t.match_id IS NOT NULL THEN 'token ' || format('{:.2f}', t.jaccard)
+            ELSE 'SEM MATCH' END AS how,
+       round(CASE WHEN e.match_id IS NULL THEN t.jaccard END, 6) AS jaccard
+FROM exact e LEFT JOIN tbest t ON t.ticker_id = e.ticker_id""")

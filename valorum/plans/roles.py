@@ -142,3 +142,17 @@ def history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History list: events per user, newest id first."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("ticker"), F.col("event_id").alias("id"), "ts", "value")
+
+
+def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed names: documents with an even id (the other half is the registry; every document is used once)."""
+    d = table(spark, sf_dir, "documents")
+    return d.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("ticker_id"), F.col("text").alias("empresa"))
+
+
+def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry of companies: documents with an odd id; last filing year from the text length."""
+    d = table(spark, sf_dir, "documents")
+    return d.where(F.col("doc_id") % 2 == 1).select(
+        F.col("doc_id").alias("cd"), F.col("text").alias("nome"),
+        (F.lit(2000) + (F.col("n_chars") % 25)).cast("int").alias("ultimo_ano"))

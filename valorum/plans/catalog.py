@@ -267,3 +267,84 @@ def entity_resolution(spark, d):
     left, right = _names(spark, d)
     m = rs.resolve_entities(left, "ticker_id", "empresa", right, "cd", "nome", "ultimo_ano")
     return m.select("ticker_id", "match_id", "how", r6("jaccard").alias("jaccard"))
+
+
+# --- classification: C1-C5, F4, F5 -------------------------------------------------------------
+from valorum.functions import classify as cl  # noqa: E402
+
+
+@query("classify_governance")
+def classify_governance(spark, d):
+    return roles.indicators(spark, d).select("ticker", cl.classify_governance("listing").alias("gov"))
+
+
+@query("classify_control")
+def classify_control(spark, d):
+    return roles.indicators(spark, d).select("ticker", cl.classify_control("controle").alias("ctrl"))
+
+
+@query("classify_size")
+def classify_size(spark, d):
+    return roles.indicators(spark, d).select("ticker", cl.classify_size("valormercado").alias("tamanho"))
+
+
+@query("derive_tags")
+def derive_tags(spark, d):
+    i = roles.indicators(spark, d)
+    return i.select("ticker", cl.derive_tags("dy", "p_l", "p_vp", "roe", "dividaliquidaebit", "lpa",
+                                             "valormercado").alias("tags"))
+
+
+@query("derive_profile")
+def derive_profile(spark, d):
+    i = roles.indicators(spark, d)
+    return i.select("ticker", cl.derive_profile(tx.clean_label("sectorname"), "dy", "p_l", "p_vp", "receitas_cagr5",
+                                                "roe").alias("perfil"))
+
+
+@query("clean_label")
+def clean_label(spark, d):
+    i = roles.indicators(spark, d)
+    return i.select("ticker", tx.clean_label("sectorname").alias("setor"), tx.clean_label("subsectorname").alias("subsetor"))
+
+
+@query("clean_registry_sector")
+def clean_registry_sector(spark, d):
+    from valorum.sources import files as src
+    r = src.registry_rows(roles.registry_extract(spark, d))
+    return r.select("cd_cvm", "setor", "ctrl")
+
+
+# --- universe: V3, V4, A7 ------------------------------------------------------------------------
+from valorum.operators import universe as uv  # noqa: E402
+
+
+def _universe(spark, d):
+    pf = roles.part_filings(spark, d).where(F.col("scope") == "F")
+    eps = fund.latest_eps(pf.withColumn("eps_v", F.col("value") / 1000.0), "cd", "year", "eps_v", "klass",
+                          preferred="R", classes=("R", "A"), tie_break=TIE).withColumnRenamed("cd", "cd_cvm")
+    ni = fund.latest_net_income(pf, "cd", "year", "value", "klass", "scale", preferred="R", accounts=("R", "N"),
+                                tie_break=TIE).withColumnRenamed("cd", "cd_cvm")
+    by_year = lt.sum_abs_by_year(pf.where(F.col("klass") == "A"), "cd", "year", "paid", exact_scale=4,
+                                 out="dividends")
+    div = fund.latest_year_dividends(by_year, "cd").withColumnRenamed("cd", "cd_cvm")
+    reg = roles.company_registry(spark, d)
+    facts = uv.company_facts(eps, ni, div, reg.select("cd_cvm", cl.classify_control("controle").alias("ctrl")),
+                             reg.select("cd_cvm", "payload"))
+    tickers = roles.listed_names(spark, d).withColumnRenamed("ticker_id", "ticker")
+    companies = roles.registry_names(spark, d).select(F.col("cd").alias("cd_cvm"), F.col("nome").alias("empresa"),
+                                                      "ultimo_ano")
+    ind = roles.indicators(spark, d).where(F.col("segmentname") != "MACHINERY")
+    return uv.build_universe(tickers, companies, facts, ind, roles.snapshot(spark, d))
+
+
+@query("universe_build")
+def universe_build(spark, d):
+    u = _universe(spark, d)
+    return u.select(*[c for c in uv.UNIVERSE_COLUMNS if c != "nome"], "how")
+
+
+@query("build_quality_report")
+def build_quality_report(spark, d):
+    return uv.build_quality_report(_universe(spark, d).withColumn("ticker", F.col("ticker").cast("string")),
+                                   spot_check=("0", "2", "4", "6", "8", "10", "12", "14"))

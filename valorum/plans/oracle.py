@@ -385,3 +385,215 @@ SELECT e.ticker_id,
             ELSE 'SEM MATCH' END AS how,
        round(CASE WHEN e.match_id IS NULL THEN t.jaccard END, 6) AS jaccard
 FROM exact e LEFT JOIN tbest t ON t.ticker_id = e.ticker_id""")
+
+# --- classification: C1-C5, F4, F5 -----------------------------------------------------------
+
+
+def pick_sql(options, idx: str) -> str:
+    arr = "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in options) + "]"
+    return f"{arr}[CAST({idx} % {len(options)} AS INTEGER) + 1]"
+
+
+def _ind_sql() -> str:
+    from valorum.plans import roles as R
+    return f"""
+ind AS (
+  SELECT c_custkey AS ticker,
+         {pick_sql(R.RAW_SECTORS, 'c_nationkey')} AS sectorname,
+         {pick_sql(R.RAW_SUBSECTORS, 'c_nationkey')} AS subsectorname,
+         c_mktsegment AS segmentname,
+         c_acctbal / 700.0 AS dy,
+         o.sum_total / o.n_orders / 6000.0 - 5.0 AS p_l,
+         o.n_orders / 3.0 AS p_vp,
+         CAST((c_custkey % 40) - 5 AS DOUBLE) AS roe,
+         CAST(c_nationkey - 5 AS DOUBLE) AS receitas_cagr5,
+         o.n_orders / 4.0 AS dividaliquidaebit,
+         c_acctbal / 1000.0 AS lpa,
+         c_acctbal * 1e7 AS valormercado,
+         o.sum_total AS liquidezmediadiaria,
+         {pick_sql(R.LISTING_SEGMENTS, 'c_custkey')} AS listing,
+         {pick_sql(R.CONTROL_TEXTS, 'c_nationkey')} AS controle
+  FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS sum_total
+                             FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey)"""
+
+
+def gov_sql(x: str) -> str:
+    u = f"upper(coalesce({x}, ''))"
+    return (f"CASE WHEN contains({u}, 'NOVO MERCADO') THEN 'Novo Mercado' "
+            f"WHEN contains({u}, 'MAIS N') THEN 'Bovespa Mais N2' "
+            f"WHEN contains({u}, 'NIVEL 2') OR contains({u}, 'NÍVEL 2') THEN 'Nível 2' "
+            f"WHEN contains({u}, 'NIVEL 1') OR contains({u}, 'NÍVEL 1') THEN 'Nível 1' "
+            f"WHEN contains({u}, 'MAIS') THEN 'Bovespa Mais' "
+            f"WHEN {u} = '' THEN '' ELSE 'Tradicional' END")
+
+
+def ctrl_sql(x: str) -> str:
+    u = f"upper(coalesce({x}, ''))"
+    return (f"CASE WHEN contains({u}, 'ESTATAL') THEN 'Estatal' WHEN contains({u}, 'ESTRANGEIRO') THEN 'Estrangeiro' "
+            f"WHEN contains({u}, 'PRIVADO') THEN 'Privada nacional' ELSE '' END")
+
+
+def size_sql(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR {x} = 0 THEN '' WHEN {x} >= 10e9 THEN 'Large cap' "
+            f"WHEN {x} >= 2e9 THEN 'Mid cap' ELSE 'Small cap' END")
+
+
+def ge_sql(x: str, k: float) -> str:
+    return f"coalesce({x} >= {k}, false)"
+
+
+def between_sql(x: str, hi: float) -> str:
+    return f"coalesce({x} > 0 AND {x} <= {hi}, false)"
+
+
+def tags_sql(dy, pl, pvp, roe, lev, eps, mc) -> str:
+    loss = f"coalesce({eps} < 0, false)"
+    cheap = f"({between_sql(pl, 8.0)} AND {between_sql(pvp, 1.0)})"
+    exp = f"({ge_sql(pl, 25.0)} OR {ge_sql(pvp, 4.0)})"
+    qual = f"({ge_sql(roe, 15.0)} AND ({lev} IS NULL OR coalesce({lev} <= 2.0, false)))"
+    items = [f"CASE WHEN {loss} THEN 'Prejuízo' END",
+             f"CASE WHEN {ge_sql(dy, 8.0)} THEN 'Alta DY' END",
+             f"CASE WHEN {cheap} THEN 'Barata' WHEN {exp} THEN 'Cara' END",
+             f"CASE WHEN {qual} THEN 'Qualidade' END",
+             f"CASE WHEN {ge_sql(lev, 3.5)} THEN 'Alavancada' END",
+             f"CASE WHEN {ge_sql(mc, 5e10)} AND NOT {loss} THEN 'Blue chip' END"]
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)[1:3]"
+
+
+def profile_sql(sector, dy, pl, pvp, cagr, roe) -> str:
+    return (f"CASE WHEN {sector} IN ('Materiais Básicos', 'Petróleo, Gás e Biocombustíveis') THEN 'Cíclica' "
+            f"WHEN {ge_sql(dy, 6.0)} THEN 'Dividendos' "
+            f"WHEN {ge_sql(cagr, 12.0)} AND {ge_sql(roe, 12.0)} THEN 'Crescimento' "
+            f"WHEN {between_sql(pl, 9.0)} AND {between_sql(pvp, 1.2)} THEN 'Valor' "
+            f"WHEN {sector} IN ('Utilidade Pública', 'Consumo não Cíclico', 'Saúde') THEN 'Defensiva' "
+            f"WHEN {ge_sql(cagr, 8.0)} THEN 'Crescimento' ELSE 'Valor' END")
+
+
+WS = "[\\s]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def clean_label_sql(x: str) -> str:
+    s = strip_sql(x)
+    s = f"replace({s}, 'Financeiro e Outros', 'Financeiro')"
+    s = f"replace(replace(replace({s}, '..', ', '), ' . ', ', '), '. ', ', ')"
+    s = strip_sql(f"regexp_replace({s}, '{WS}+', ' ', 'g')")
+    s = strip_sql(f"regexp_replace({s}, '^,+|,+$', '', 'g')")
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE {s} END"
+
+
+def clean_registry_sql(x: str) -> str:
+    s = f"regexp_replace({strip_sql(f'coalesce({x}, {chr(39)}{chr(39)})')}, '^Emp\\. Adm\\. Part\\. - ', '')"
+    return f"CASE WHEN {s} = 'Sem Setor Principal' THEN '' ELSE {s} END"
+
+
+IND = _ind_sql()
+register("classify_governance", with_roles(IND) + f" SELECT ticker, {gov_sql('listing')} AS gov FROM ind")
+register("classify_control", with_roles(IND) + f" SELECT ticker, {ctrl_sql('controle')} AS ctrl FROM ind")
+register("classify_size", with_roles(IND) + f" SELECT ticker, {size_sql('valormercado')} AS tamanho FROM ind")
+register("derive_tags", with_roles(IND) + " SELECT ticker, "
+         + tags_sql("dy", "p_l", "p_vp", "roe", "dividaliquidaebit", "lpa", "valormercado") + " AS tags FROM ind")
+register("derive_profile", with_roles(IND) + " SELECT ticker, "
+         + profile_sql(clean_label_sql("sectorname"), "dy", "p_l", "p_vp", "receitas_cagr5", "roe")
+         + " AS perfil FROM ind")
+register("clean_label", with_roles(IND) + f" SELECT ticker, {clean_label_sql('sectorname')} AS setor, "
+         f"{clean_label_sql('subsectorname')} AS subsetor FROM ind")
+
+
+def _registry_sql() -> str:
+    from valorum.plans import roles as R
+    return f"""
+reg AS (SELECT CAST(s_suppkey AS VARCHAR) AS CD_CVM,
+               {pick_sql(R.REGISTRY_SECTORS, 's_nationkey')} AS SETOR_ATIV,
+               {pick_sql(R.CONTROL_TEXTS, 's_nationkey')} AS CONTROLE_ACIONARIO FROM supplier)"""
+
+
+REG = _registry_sql()
+register("clean_registry_sector", with_roles(REG) + f"""
+SELECT CASE WHEN length(CD_CVM) < 6 THEN lpad(CD_CVM, 6, '0') ELSE CD_CVM END AS cd_cvm,
+       {clean_registry_sql('SETOR_ATIV')} AS setor, {ctrl_sql('CONTROLE_ACIONARIO')} AS ctrl FROM reg""")
+
+# --- universe: V4, A7 --------------------------------------------------------------------------
+
+
+def _universe_sql() -> str:
+    from valorum.plans import roles as R
+    seg = pick_sql(R.LISTING_SEGMENTS, "p_partkey")
+    obj = f"""'{{"market": "' || {seg} || '"}}'"""
+    return with_roles(ROLE_NAMES) + "," + token_best_sql(
+        "l.ticker_id IN (SELECT ticker_id FROM exact WHERE match_id IS NULL)") + f""",
+res AS (SELECT e.ticker_id AS ticker, coalesce(e.match_id, t.match_id) AS cd_cvm,
+               CASE WHEN e.match_id IS NOT NULL THEN 'exato'
+                    WHEN t.match_id IS NOT NULL THEN 'token ' || format('{{:.2f}}', t.jaccard)
+                    ELSE 'SEM MATCH' END AS how
+        FROM exact e LEFT JOIN tbest t ON t.ticker_id = e.ticker_id),
+pf AS (SELECT l_partkey AS cd, CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS klass,
+              l_extendedprice AS value, l_extendedprice * l_discount AS paid,
+              CASE WHEN l_quantity > 25 THEN 'MIL' ELSE 'UN' END AS scale, l_orderkey, l_linenumber
+       FROM lineitem WHERE l_linestatus = 'F'),
+eps AS (SELECT cd, value / 1000.0 AS eps FROM (
+          SELECT *, row_number() OVER (PARTITION BY cd ORDER BY year DESC, (klass = 'R') DESC,
+                                       abs(value / 1000.0) DESC, l_orderkey, l_linenumber) AS rn
+          FROM pf WHERE value / 1000.0 <> 0 AND klass IN ('R', 'A')) WHERE rn = 1),
+ni AS (SELECT cd, CASE WHEN scale = 'MIL' THEN value * 1000.0 ELSE value END AS ni FROM (
+          SELECT *, row_number() OVER (PARTITION BY cd ORDER BY year DESC, (klass = 'R') DESC, l_orderkey,
+                                       l_linenumber) AS rn
+          FROM pf WHERE klass IN ('R', 'N')) WHERE rn = 1),
+dy AS (SELECT cd, year, CAST(sum(CAST(abs(paid) AS DECIMAL(28,4))) AS DOUBLE) AS d FROM pf WHERE klass = 'A'
+       GROUP BY cd, year),
+dl AS (SELECT cd, arg_max(d, year) AS d FROM dy WHERE d IS NOT NULL GROUP BY cd),
+reg AS (SELECT p_partkey AS cd, {pick_sql(R.CONTROL_TEXTS, 'p_size')} AS controle,
+               CASE WHEN p_size % 2 = 0 THEN to_json({obj}) ELSE {obj} END AS payload FROM part),
+facts AS (
+  SELECT coalesce(eps.cd, ni.cd, dl.cd, reg.cd) AS cd, eps.eps,
+         CASE WHEN dl.d <> 0 AND ni.ni > 0
+              THEN round_even(least(1.5, greatest(0.0, dl.d * 1000.0 / ni.ni)) * 1000.0, 0) / 1000.0 END AS payout_calc,
+         {ctrl_sql('reg.controle')} AS ctrl,
+         {gov_sql("json_extract_string(CASE WHEN ltrim(reg.payload) LIKE '\"%' THEN json_extract_string(reg.payload, '$') ELSE reg.payload END, '$.market')")} AS gov
+  FROM eps FULL JOIN ni ON ni.cd = eps.cd FULL JOIN dl ON dl.cd = coalesce(eps.cd, ni.cd)
+       FULL JOIN reg ON reg.cd = coalesce(eps.cd, ni.cd, dl.cd)),
+ind AS (SELECT * FROM ({_ind_sql().split('AS (', 1)[1].rsplit(')', 1)[0]}) WHERE segmentname <> 'MACHINERY'),
+snap AS (SELECT c_custkey AS ticker, c_acctbal * 2e6 AS market_cap FROM customer),
+u AS (
+  SELECT r.ticker, r.cd_cvm, r.how, f.eps, f.payout_calc, f.ctrl, f.gov, i.*, i.ticker IS NOT NULL AS has_ind,
+         i.lpa AS ind_lpa, s.market_cap
+  FROM res r LEFT JOIN facts f ON f.cd = r.cd_cvm LEFT JOIN ind i ON i.ticker = r.ticker
+       LEFT JOIN snap s ON s.ticker = r.ticker)"""
+
+
+def _universe_select() -> str:
+    setor = clean_label_sql("sectorname")
+    fallback = ("round_even(CASE WHEN abs(ind_lpa) <= 100 AND ind_lpa <> 0 THEN ind_lpa END * 100.0, 0) / 100.0")
+    prim = "CASE WHEN cd_cvm IS NOT NULL AND abs(eps) <= 100 AND eps <> 0 THEN eps END"
+    mcap = "coalesce(nullif(valormercado, 0), market_cap)"
+    return f"""
+SELECT ticker, cd_cvm,
+       CASE WHEN has_ind THEN {setor} ELSE '' END AS setor,
+       CASE WHEN has_ind THEN {clean_label_sql('subsectorname')} ELSE '' END AS subsetor,
+       CASE WHEN has_ind THEN {clean_label_sql('segmentname')} ELSE '' END AS segmento,
+       CASE WHEN has_ind THEN {profile_sql(setor, 'dy', 'p_l', 'p_vp', 'receitas_cagr5', 'roe')} ELSE '' END AS perfil,
+       {size_sql(mcap)} AS tamanho,
+       coalesce(gov, '') AS gov, coalesce(ctrl, '') AS ctrl, 'DDM · 2 est.' AS modelo,
+       CASE WHEN has_ind THEN {tags_sql('dy', 'p_l', 'p_vp', 'roe', 'dividaliquidaebit', 'ind_lpa', 'valormercado')}
+            ELSE CAST([] AS VARCHAR[]) END AS tags,
+       false AS monitored,
+       round_even(coalesce({prim}, {fallback}) * 100.0, 0) / 100.0 AS lpa,
+       coalesce(payout_calc, 0.45) AS payout,
+       CASE WHEN has_ind AND roe > 0 THEN round_even(roe / 100.0 * 10000.0, 0) / 10000.0 ELSE 0.15 END AS roe_i,
+       CASE WHEN liquidezmediadiaria <> 0 THEN round_even(liquidezmediadiaria, 0) END AS liquidez,
+       0.06 AS g1, 0.14 AS ke, 0.04 AS gp, how
+FROM u"""
+
+
+register("universe_build", _universe_sql() + _universe_select())
+register("build_quality_report", _universe_sql() + ", uni AS (" + _universe_select() + """)
+SELECT count(*) AS total, count(*) FILTER (WHERE cd_cvm IS NOT NULL) AS matched,
+       count(*) FILTER (WHERE lpa IS NOT NULL) AS with_lpa, count(*) FILTER (WHERE cd_cvm IS NULL) AS no_match,
+       count(*) FILTER (WHERE gov <> '') AS gov_filled,
+       (SELECT list_sort(list(t)) FROM (SELECT CAST(ticker AS VARCHAR) AS t FROM uni WHERE cd_cvm IS NULL
+                                        ORDER BY t LIMIT 8)) AS unmatched_sample,
+       (SELECT count(*) FROM uni WHERE CAST(ticker AS VARCHAR) IN ('0','2','4','6','8','10','12','14')) AS spot_found
+FROM uni""")

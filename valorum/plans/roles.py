@@ -156,3 +156,85 @@ def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("doc_id") % 2 == 1).select(
         F.col("doc_id").alias("cd"), F.col("text").alias("nome"),
         (F.lit(2000) + (F.col("n_chars") % 25)).cast("int").alias("ultimo_ano"))
+
+
+# Stand-in text tables (fixed values of the demo mapping, not of the reference).
+RAW_SECTORS = ("Petróleo. Gás e Biocombustíveis", "Financeiro e Outros", " Utilidade Pública ",
+               "Consumo não Cíclico", "Saúde", "Materiais Básicos", "Bens Industriais..Máquinas",
+               "Consumo Cíclico . Varejo", "Tecnologia da Informação", "Comunicações")
+RAW_SUBSECTORS = ("Energia Elétrica", "Intermediários Financeiros", "Mineração. Siderurgia", "Bancos")
+LISTING_SEGMENTS = ("NOVO MERCADO", "BOVESPA MAIS NÍVEL 2", "NÍVEL 2", "Nivel 1", "BOVESPA MAIS",
+                    "MERCADO BASICO", "")
+CONTROL_TEXTS = ("ESTATAL", "Estrangeiro", "PRIVADO NACIONAL", "Holding", "")
+REGISTRY_SECTORS = ("Emp. Adm. Part. - Energia Elétrica", "Sem Setor Principal", " Bancos ",
+                    "Emp. Adm. Part. - Sem Setor Principal", "Telecomunicações")
+
+
+def pick(options, idx) -> F.Column:
+    """Element of a fixed stand-in list chosen by a non-negative integer column."""
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (idx % len(options)).cast("int") + 1)
+
+
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market indicators per listed security: one per customer, with its order totals."""
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("sum_total"))
+    j = c.join(o, c.c_custkey == o.o_custkey, "left")
+    return j.select(
+        F.col("c_custkey").alias("ticker"),
+        pick(RAW_SECTORS, F.col("c_nationkey")).alias("sectorname"),
+        pick(RAW_SUBSECTORS, F.col("c_nationkey")).alias("subsectorname"),
+        F.col("c_mktsegment").alias("segmentname"),
+        (F.col("c_acctbal") / 700.0).alias("dy"),
+        (F.col("sum_total") / F.col("n_orders") / 6000.0 - 5.0).alias("p_l"),
+        (F.col("n_orders") / 3.0).alias("p_vp"),
+        ((F.col("c_custkey") % 40) - 5).cast("double").alias("roe"),
+        (F.col("c_nationkey") - 5).cast("double").alias("receitas_cagr5"),
+        (F.col("n_orders") / 4.0).alias("dividaliquidaebit"),
+        (F.col("c_acctbal") / 1000.0).alias("lpa"),
+        (F.col("c_acctbal") * 1e7).alias("valormercado"),
+        F.col("sum_total").alias("liquidezmediadiaria"),
+        pick(LISTING_SEGMENTS, F.col("c_custkey")).alias("listing"),
+        pick(CONTROL_TEXTS, F.col("c_nationkey")).alias("controle"),
+    )
+
+
+def registry_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regulator registry rows: one per supplier, code padded later, raw sector and control text."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").cast("string").alias("CD_CVM"),
+                    pick(REGISTRY_SECTORS, F.col("s_nationkey")).alias("SETOR_ATIV"),
+                    pick(CONTROL_TEXTS, F.col("s_nationkey")).alias("CONTROLE_ACIONARIO"))
+
+
+def part_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filing facts keyed by part (company code of the universe demo)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_partkey").alias("cd"),
+        F.year("l_shipdate").alias("year"),
+        F.col("l_linestatus").alias("scope"),
+        F.col("l_returnflag").alias("klass"),
+        F.col("l_extendedprice").alias("value"),
+        (F.col("l_extendedprice") * F.col("l_discount")).alias("paid"),
+        F.when(F.col("l_quantity") > 25, F.lit("MIL")).otherwise(F.lit("UN")).alias("scale"),
+        "l_orderkey", "l_linenumber",
+    )
+
+
+def company_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry control and governance payload per company code (one per part)."""
+    p = table(spark, sf_dir, "part")
+    seg = pick(LISTING_SEGMENTS, F.col("p_partkey"))
+    obj = F.concat(F.lit('{"market": "'), seg, F.lit('"}'))
+    payload = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('"'), F.replace(obj, F.lit('"'), F.lit('\\"')), F.lit('"'))
+                     ).otherwise(obj)
+    return p.select(F.col("p_partkey").alias("cd_cvm"), pick(CONTROL_TEXTS, F.col("p_size")).alias("controle"),
+                    payload.alias("payload"))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market-cap snapshot per listed security (from customers)."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("ticker"), (F.col("c_acctbal") * 2e6).alias("market_cap"))

@@ -45,8 +45,11 @@ def config_wide(config: DataFrame, key: str = "k", value: str = "v") -> DataFram
     return config.agg(*cols)
 
 
-def config_long(changes: DataFrame) -> DataFrame:
-    """A wide change (API names) to (k, v) rows; absent (NULL) settings are skipped."""
+def config_long(changes: DataFrame, carry=()) -> DataFrame:
+    """A wide change (API names) to (k, v) rows; absent (NULL) settings are skipped.
+
+    ``carry`` columns (e.g. the write time) are kept beside every (k, v) row.
+    """
     present = [api for api, _, _ in CONFIG_KEYS if api in changes.columns]
     exprs = [F.struct(F.lit(dbk).alias("k"), F.col(api).cast("double").alias("v"))
              for api, dbk, _ in CONFIG_KEYS if api in present]
@@ -54,7 +57,7 @@ def config_long(changes: DataFrame) -> DataFrame:
         api, dbk, _ = CONFIG_MODE_KEY
         exprs.append(F.struct(F.lit(dbk).alias("k"),
                               F.when(F.col(api).isNotNull(), text_to_mode(F.col(api))).alias("v")))
-    return changes.select(F.inline(F.array(*exprs))).where(F.col("v").isNotNull())
+    return changes.select(*carry, F.inline(F.array(*exprs))).where(F.col("v").isNotNull())
 
 
 def monitored_flag(stocks: DataFrame, watchlist: DataFrame, key: str = "ticker",

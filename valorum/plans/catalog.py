@@ -183,13 +183,18 @@ def price_fallback(spark, d):
 
 
 # --- screener and valuation views: V12, V9, V8, V10, V11 ---------------------------------------
-@query("screener")
-def screener(spark, d):
+def _screener_frame(spark, d):
+    """Effective assumptions + ranked price sources + valuation + margin, unrounded."""
     e = _effective(spark, d, keep_seed_rates=True)
     p = qt.price_fallback(e, _price_sources(spark, d))
     g1 = F.when((F.col("growth_mode") == "g") & F.col("g_i").isNotNull(), F.col("g_i")).otherwise(F.col("g1"))
     v = val.ddm_value(p.withColumn("g1_used", g1), eps="lpa", payout="payout_i", g1="g1_used", ke="ke", gp="g_t")
-    v = v.withColumn("margin", val.margin_of_safety("fair", "price", "valid"))
+    return v.withColumn("margin", val.margin_of_safety("fair", "price", "valid"))
+
+
+@query("screener")
+def screener(spark, d):
+    v = _screener_frame(spark, d)
     return v.select("ticker", "nome", "monitored", *[r6(c).alias(c) for c in ("lpa", "payout_i", "ke", "g_t", "g1_used")],
                     "growth_mode", r6("price").alias("price"), "price_source", r6("fair").alias("fair"), "valid",
                     r6("margin").alias("margin"))
@@ -348,3 +353,212 @@ def universe_build(spark, d):
 def build_quality_report(spark, d):
     return uv.build_quality_report(_universe(spark, d).withColumn("ticker", F.col("ticker").cast("string")),
                                    spot_check=("0", "2", "4", "6", "8", "10", "12", "14"))
+
+
+# --- state: M1-M12, J7, J10 ----------------------------------------------------------------------
+from valorum.operators import state as stt  # noqa: E402
+from valorum.operators import quality as qa  # noqa: E402
+
+STATE_FLOATS = ("lpa", "payout", "liquidez", "roe_i", "g1", "ke", "gp")
+
+
+def _r6_floats(df, floats):
+    return df.select(*[r6(c).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
+@query("merge_seed")
+def merge_seed(spark, d):
+    m = stt.merge_seed(roles.state_stocks(spark, d), roles.seed_rows(spark, d), roles.removed(spark, d))
+    return _r6_floats(m, STATE_FLOATS)
+
+
+@query("seed_minus_removed")
+def seed_minus_removed(spark, d):
+    return stt.seed_minus_removed(roles.seed_rows(spark, d), roles.removed(spark, d)).select("ticker", "nome")
+
+
+def _current_split(spark, d, cut="1998-01-01"):
+    ev = roles.assumption_events(spark, d)
+    before = ev.where(F.col("event_time") < F.lit(cut).cast("timestamp_ntz"))
+    after = ev.where(F.col("event_time") >= F.lit(cut).cast("timestamp_ntz"))
+    cur = lt.latest_per_key(before, "ticker", ["event_time", "id"])
+    return cur, after
+
+
+ASSUMPTION_FLOATS = ("lpa", "roe_i", "payout_i", "roe_t", "payout_t", "fade", "ke", "g_i", "g_t", "fut_pe", "mos")
+
+
+@query("upsert_latest")
+def upsert_latest(spark, d):
+    cur, after = _current_split(spark, d)
+    nxt = stt.upsert_latest(cur, after, "ticker", ["event_time", "id"])
+    return _r6_floats(nxt, ASSUMPTION_FLOATS)
+
+
+def _watch_adds(spark, d):
+    li = roles.table(spark, d, "lineitem")
+    return li.where((F.col("l_quantity") == 49) & (F.col("l_discount") == 0.09)).select(
+        F.col("l_partkey").alias("ticker"))
+
+
+@query("insert_ignore")
+def insert_ignore(spark, d):
+    cur = roles.watchlist(spark, d).distinct()
+    return stt.insert_ignore(cur, _watch_adds(spark, d).distinct(), "ticker")
+
+
+@query("append_log")
+def append_log(spark, d):
+    from valorum.session import shared_path
+    from valorum.sources import files as src
+    ev = roles.assumption_events(spark, d)
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    base = shared_path(spark, "demo", "assumption_log")
+    path = src.write_version(ev.where(F.col("event_time") < cut), base)
+    ev.where(F.col("event_time") >= cut).write.mode("append").parquet(path)
+    return _r6_floats(spark.read.parquet(path), ASSUMPTION_FLOATS)
+
+
+def _patch_changes(spark, d):
+    li = roles.table(spark, d, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") < 4))
+    fields = F.when(F.col("l_quantity") < 2, F.create_map(F.lit("bogus"), F.lit("x"))).otherwise(
+        F.create_map(F.lit("setor"), F.concat(F.lit("S"), F.col("l_returnflag")),
+                     F.lit("nome"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("N"), F.col("l_linestatus")))))
+    return li.select(F.col("l_partkey").alias("ticker"), fields.alias("fields"),
+                     F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("id"))
+
+
+@query("patch_columns")
+def patch_columns(spark, d):
+    nxt, _ = stt.patch_columns(roles.state_stocks(spark, d), _patch_changes(spark, d), "ticker",
+                               order_by=["ts", "id"])
+    return nxt.select("ticker", "nome", "setor", "segmento")
+
+
+@query("patch_status")
+def patch_status(spark, d):
+    _, st = stt.patch_columns(roles.state_stocks(spark, d), _patch_changes(spark, d), "ticker",
+                              order_by=["ts", "id"])
+    return st
+
+
+@query("cascade_delete")
+def cascade_delete(spark, d):
+    keys = roles.removed(spark, d)
+    tables = {"stocks": roles.state_stocks(spark, d), "watchlist": roles.watchlist(spark, d),
+              "premissa_atual": _current(spark, d), "premissa_hist": roles.assumption_events(spark, d)}
+    out = stt.cascade_delete(tables, keys, _watch_adds(spark, d).distinct())
+    return qa.table_health(out)
+
+
+@query("clear_tombstone")
+def clear_tombstone(spark, d):
+    p = roles.table(spark, d, "part")
+    added = p.where((F.col("p_type") == "PROMO") & (F.col("p_size") == 3)).select(F.col("p_partkey").alias("ticker"))
+    return stt.clear_tombstones(roles.removed(spark, d), added)
+
+
+def _requests(spark, d):
+    s = roles.table(spark, d, "supplier").select(
+        (F.lit(-1) - F.col("s_suppkey")).alias("ticker"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("nome"),
+        (F.col("s_acctbal") / 1000.0).alias("lpa"))
+    c = roles.table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING").select(
+        F.col("c_custkey").alias("ticker"), F.col("c_name").alias("nome"), F.lit(None).cast("double").alias("lpa"))
+    return s.unionByName(c)
+
+
+ADD_DEFAULTS = {"setor": "", "subsetor": "", "segmento": "", "perfil": "", "tamanho": "", "gov": "", "ctrl": "",
+                "modelo": roles.MODEL_DEFAULT, "tags": "[]", "monitored": 0, "roe_i": 0.15, "user": 1}
+
+
+@query("insert_status")
+def insert_status(spark, d):
+    return stt.insert_status(roles.state_stocks(spark, d), _requests(spark, d)).select("ticker", "status", "error")
+
+
+@query("add_entities")
+def add_entities(spark, d):
+    nxt, _ = stt.add_entities(roles.state_stocks(spark, d), _requests(spark, d), ADD_DEFAULTS)
+    return _r6_floats(nxt, STATE_FLOATS)
+
+
+ASSUMPTION_SCHEMA_DDL = ("ticker BIGINT, event_time TIMESTAMP_NTZ, id BIGINT, lpa DOUBLE, roe_i DOUBLE, "
+                         "payout_i DOUBLE, roe_t DOUBLE, payout_t DOUBLE, fade DOUBLE, ke DOUBLE, growth_mode STRING, "
+                         "g_i DOUBLE, g_t DOUBLE, fut_pe DOUBLE, mos DOUBLE, ke_default INT, roet_default INT, "
+                         "payoutt_default INT, fade_default INT")
+
+
+@query("evolve_schema")
+def evolve_schema(spark, d):
+    from pyspark.sql.types import _parse_datatype_string
+    old = roles.assumption_events(spark, d).select("ticker", "event_time", "id", "lpa", "ke", "ke_default")
+    schema = _parse_datatype_string(ASSUMPTION_SCHEMA_DDL)
+    out = stt.evolve_schema(old, schema, {"ke_default": 1, "roet_default": 1, "payoutt_default": 1,
+                                          "fade_default": 1, "growth_mode": "roe"})
+    return _r6_floats(out, ASSUMPTION_FLOATS)
+
+
+@query("config_unpivot")
+def config_unpivot(spark, d):
+    o = roles.table(spark, d, "orders")
+    v = F.col("o_totalprice") / 2e6
+    wide = o.select(
+        F.col("o_orderdate").alias("written_at"), F.col("o_orderkey").alias("write_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", v).alias("ke"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", v).alias("roet"),
+        F.when(F.col("o_orderstatus") == "P", v * 10).alias("ipca"),
+        F.when(F.col("o_orderpriority") == "5-LOW",
+               F.when(F.col("o_orderstatus") == "F", F.lit("real")).otherwise(F.lit("nom"))).alias("ke_mode"))
+    rows = asm.config_long(wide, carry=("written_at", "write_id"))
+    nxt = stt.upsert_latest(_config(spark, d), rows, "k", ["written_at", "write_id"])
+    return nxt.select("k", r6("v").alias("v"))
+
+
+# --- validation, portfolio, health: P8, J11, A5, A6, L1, P1, P7 ------------------------------------
+@query("validate_positions")
+def validate_positions(spark, d):
+    acc, rej = qa.validate(roles.positions(spark, d), qa.position_rules())
+    out = acc.withColumn("errors", F.array().cast("array<string>")).unionByName(rej)
+    return out.select("ticker", r6("quantidade").alias("quantidade"), r6("preco_medio").alias("preco_medio"),
+                      (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"))
+
+
+@query("portfolio_valuation")
+def portfolio_valuation(spark, d):
+    acc, _ = qa.validate(roles.positions(spark, d), qa.position_rules())
+    pv = qa.portfolio_value(acc, _screener_frame(spark, d))
+    return _r6_floats(pv, ("quantidade", "preco_medio", "price", "fair", "value", "cost", "gain", "gain_pct",
+                           "upside_pct"))
+
+
+@query("table_health")
+def table_health(spark, d):
+    return qa.table_health({"stocks": roles.stocks(spark, d), "premissa_hist": roles.assumption_events(spark, d),
+                            "watchlist": roles.watchlist(spark, d), "quotes": roles.quotes(spark, d)})
+
+
+@query("distinct_keys")
+def distinct_keys(spark, d):
+    return lt.distinct_keys(roles.assumption_events(spark, d), "ticker").orderBy("ticker")
+
+
+@query("watchlist_sorted")
+def watchlist_sorted(spark, d):
+    return roles.watchlist(spark, d).distinct().orderBy("ticker")
+
+
+@query("screener_shape")
+def screener_shape(spark, d):
+    e = _effective(spark, d, keep_seed_rates=True)
+    p = qt.price_fallback(e, _price_sources(spark, d))
+    shaped = qa.screener_shape(p.drop("seed_ke", "setor", "segmento"))
+    return _r6_floats(shaped, ("lpa", "roe_i", "payout_i", "ke", "roe_t", "payout_t", "fade", "g_i", "g_t", "fut_pe",
+                               "mos", "price"))
+
+
+@query("lookup_by_keys")
+def lookup_by_keys(spark, d):
+    cur = _current(spark, d)
+    hit = qa.lookup_by_keys(cur, roles.watchlist(spark, d))
+    return _r6_floats(hit.select("ticker", "event_time", "ke", "roe_t", "ke_default"), ("ke", "roe_t"))

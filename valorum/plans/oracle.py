@@ -597,3 +597,217 @@ SELECT count(*) AS total, count(*) FILTER (WHERE cd_cvm IS NOT NULL) AS matched,
                                         ORDER BY t LIMIT 8)) AS unmatched_sample,
        (SELECT count(*) FROM uni WHERE CAST(ticker AS VARCHAR) IN ('0','2','4','6','8','10','12','14')) AS spot_found
 FROM uni""")
+
+# --- state: M1-M12, J7, J10, M9, M10 ---------------------------------------------------------
+ROLE_STATE_STOCKS = """
+cur_stocks AS (
+  SELECT p_partkey AS ticker, p_name AS nome, CAST(p_partkey AS VARCHAR) AS cd_cvm, 'edited ' || p_type AS setor,
+         '' AS subsetor, p_brand AS segmento, '' AS perfil, '' AS tamanho, '' AS gov, '' AS ctrl,
+         CASE WHEN p_size % 3 = 0 THEN 'custom' ELSE 'DDM · 2 est.' END AS modelo, '[]' AS tags,
+         CAST(p_size > 20 AS INTEGER) AS monitored, p_retailprice / 100.0 AS lpa,
+         CAST(p_size AS DOUBLE) / 50.0 AS payout, CAST(NULL AS DOUBLE) AS liquidez, CAST(0.15 AS DOUBLE) AS roe_i,
+         CAST(0.06 AS DOUBLE) AS g1, CAST(0.14 AS DOUBLE) AS ke, CAST(0.04 AS DOUBLE) AS gp,
+         CAST(p_size > 40 AS INTEGER) AS "user"
+  FROM part WHERE p_size <= 45
+  UNION ALL
+  SELECT -1 - s_suppkey, s_name, CAST(NULL AS VARCHAR), 'user', '', '', '', '', '', '', 'DDM · 2 est.', '[]', 0,
+         s_acctbal / 1000.0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0.15 AS DOUBLE), CAST(0.06 AS DOUBLE),
+         CAST(0.14 AS DOUBLE), CAST(0.04 AS DOUBLE), 1
+  FROM supplier)"""
+
+ROLE_SEED = """
+seed AS (
+  SELECT p_partkey AS ticker, upper(p_name) AS nome, CAST(p_partkey AS VARCHAR) AS cd_cvm, p_type AS setor,
+         '' AS subsetor, p_brand AS segmento, 'Valor' AS perfil, 'Small cap' AS tamanho, '' AS gov, '' AS ctrl,
+         'DDM · 2 est.' AS modelo, '[]' AS tags, CAST(p_size > 30 AS INTEGER) AS monitored,
+         p_retailprice / 90.0 AS lpa, CAST(p_size AS DOUBLE) / 40.0 AS payout, p_retailprice * 1000.0 AS liquidez,
+         CAST(p_size AS DOUBLE) / 100.0 AS roe_i, CAST(0.06 AS DOUBLE) AS g1, CAST(0.14 AS DOUBLE) AS ke,
+         CAST(0.04 AS DOUBLE) AS gp
+  FROM part)"""
+
+KEEP = ("nome", "setor", "subsetor", "segmento", "perfil", "tamanho", "gov", "ctrl", "modelo", "tags")
+REFRESH = ("cd_cvm", "monitored", "lpa", "payout", "liquidez", "roe_i", "g1", "ke", "gp")
+FLOATS = ("lpa", "payout", "liquidez", "roe_i", "g1", "ke", "gp")
+
+
+def _merge_seed() -> str:
+    cols = []
+    for c in ("nome", "cd_cvm", "setor", "subsetor", "segmento", "perfil", "tamanho", "gov", "ctrl", "modelo", "tags",
+              "monitored", "lpa", "payout", "liquidez", "roe_i", "g1", "ke", "gp"):
+        if c in REFRESH:
+            e = f"CASE WHEN s.ticker IS NOT NULL THEN s.{c} ELSE c.{c} END"
+        else:
+            e = f"CASE WHEN c.ticker IS NOT NULL THEN c.{c} ELSE s.{c} END"
+        if c in FLOATS:
+            e = f"round({e}, 6)"
+        cols.append(f"{e} AS {c}")
+    return with_roles(ROLE_STATE_STOCKS, ROLE_SEED, ROLE_REMOVED) + f"""
+, s2 AS (SELECT * FROM seed WHERE ticker NOT IN (SELECT ticker FROM removed))
+SELECT coalesce(c.ticker, s.ticker) AS ticker, {', '.join(cols)},
+       CASE WHEN c.ticker IS NOT NULL THEN c."user" ELSE 0 END AS "user"
+FROM cur_stocks c FULL JOIN s2 s ON c.ticker = s.ticker"""
+
+
+register("merge_seed", _merge_seed())
+register("seed_minus_removed", with_roles(ROLE_SEED, ROLE_REMOVED)
+         + " SELECT ticker, nome FROM seed WHERE ticker NOT IN (SELECT ticker FROM removed)")
+
+A_FLOATS = ("lpa", "roe_i", "payout_i", "roe_t", "payout_t", "fade", "ke", "g_i", "g_t", "fut_pe", "mos")
+A_COLS = ("id", "event_time", "lpa", "roe_i", "payout_i", "roe_t", "payout_t", "fade", "ke", "growth_mode", "g_i",
+          "g_t", "fut_pe", "mos", "ke_default", "roet_default", "payoutt_default", "fade_default")
+
+
+def _acols(prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{c}, 6) AS {c}" if c in A_FLOATS else f"{prefix}{c} AS {c}" for c in A_COLS)
+
+
+register("upsert_latest", with_roles(ROLE_EVENTS) + f"""
+, before AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, id DESC) rn
+                           FROM events_log WHERE event_time < TIMESTAMP '1998-01-01') WHERE rn = 1)
+, after AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, id DESC) rn
+                          FROM events_log WHERE event_time >= TIMESTAMP '1998-01-01') WHERE rn = 1)
+SELECT ticker, {_acols()} FROM before WHERE ticker NOT IN (SELECT ticker FROM after)
+UNION ALL SELECT ticker, {_acols()} FROM after""")
+
+WATCH_ADDS = "SELECT l_partkey AS ticker FROM lineitem WHERE l_quantity = 49 AND l_discount = 0.09"
+register("insert_ignore", with_roles(ROLE_WATCHLIST) + f"""
+SELECT DISTINCT ticker FROM watchlist
+UNION ALL SELECT DISTINCT ticker FROM ({WATCH_ADDS}) WHERE ticker NOT IN (SELECT ticker FROM watchlist)""")
+register("append_log", with_roles(ROLE_EVENTS) + f" SELECT ticker, {_acols()} FROM events_log")
+
+PATCH_CHANGES = """
+chg AS (SELECT ticker, fields FROM (
+  SELECT l_partkey AS ticker,
+         CASE WHEN l_quantity < 2 THEN MAP {'bogus': 'x'}
+              ELSE MAP {'setor': 'S' || l_returnflag,
+                        'nome': CASE WHEN l_tax > 0.04 THEN 'N' || l_linestatus END} END AS fields,
+         row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS rn
+  FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 4) WHERE rn = 1)"""
+register("patch_columns", with_roles(ROLE_STATE_STOCKS, PATCH_CHANGES) + """
+SELECT s.ticker,
+       CASE WHEN list_contains(map_keys(c.fields), 'nome') THEN coalesce(c.fields['nome'], '') ELSE s.nome END AS nome,
+       CASE WHEN list_contains(map_keys(c.fields), 'setor') THEN coalesce(c.fields['setor'], '') ELSE s.setor END
+         AS setor,
+       s.segmento
+FROM cur_stocks s LEFT JOIN chg c ON c.ticker = s.ticker""")
+register("patch_status", with_roles(ROLE_STATE_STOCKS, PATCH_CHANGES) + """
+SELECT c.ticker,
+       CASE WHEN len(list_filter(map_keys(c.fields), lambda k: k IN ('nome', 'setor', 'subsetor', 'segmento', 'perfil',
+                 'tamanho', 'gov', 'ctrl', 'modelo', 'tags'))) = 0 THEN 'nada para atualizar'
+            WHEN c.ticker NOT IN (SELECT ticker FROM cur_stocks) THEN 'ticker não encontrado' ELSE 'ok' END AS status
+FROM chg c""")
+register("cascade_delete", with_roles(ROLE_STATE_STOCKS, ROLE_EVENTS, ROLE_WATCHLIST, ROLE_REMOVED, SQL_CURRENT) + f"""
+, adds AS (SELECT DISTINCT ticker FROM ({WATCH_ADDS}))
+SELECT 'stocks' AS "table", count(*) AS rows FROM cur_stocks WHERE ticker NOT IN (SELECT ticker FROM removed)
+UNION ALL SELECT 'watchlist', count(*) FROM watchlist WHERE ticker NOT IN (SELECT ticker FROM removed)
+UNION ALL SELECT 'premissa_atual', count(*) FROM cur WHERE ticker NOT IN (SELECT ticker FROM removed)
+UNION ALL SELECT 'premissa_hist', count(*) FROM events_log WHERE ticker NOT IN (SELECT ticker FROM removed)
+UNION ALL SELECT 'removed', (SELECT count(*) FROM adds)
+                            + (SELECT count(DISTINCT ticker) FROM removed WHERE ticker NOT IN (SELECT ticker FROM adds))""")
+register("clear_tombstone", with_roles(ROLE_REMOVED) + """
+SELECT ticker FROM removed WHERE ticker NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO' AND p_size = 3)""")
+
+REQUESTS = """
+req AS (SELECT -1 - s_suppkey AS ticker, CASE WHEN s_acctbal >= 0 THEN s_name END AS nome, s_acctbal / 1000.0 AS lpa
+        FROM supplier
+        UNION ALL SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) FROM customer WHERE c_mktsegment = 'BUILDING'),
+st AS (SELECT r.*, CASE WHEN r.ticker IS NULL OR r.nome IS NULL OR r.nome = '' THEN 'invalid'
+                        WHEN r.ticker IN (SELECT ticker FROM cur_stocks) THEN 'duplicate' ELSE 'inserted' END AS status
+       FROM req r)"""
+register("insert_status", with_roles(ROLE_STATE_STOCKS, REQUESTS) + """
+SELECT ticker, status, CASE status WHEN 'invalid' THEN 'ticker e nome obrigatórios'
+                                   WHEN 'duplicate' THEN 'ticker já cadastrado' END AS error FROM st""")
+register("add_entities", with_roles(ROLE_STATE_STOCKS, REQUESTS) + """
+SELECT ticker, nome, cd_cvm, setor, subsetor, segmento, perfil, tamanho, gov, ctrl, modelo, tags, monitored,
+       round(lpa, 6) AS lpa, round(payout, 6) AS payout, round(liquidez, 6) AS liquidez, round(roe_i, 6) AS roe_i,
+       round(g1, 6) AS g1, round(ke, 6) AS ke, round(gp, 6) AS gp, "user" FROM cur_stocks
+UNION ALL
+SELECT ticker, nome, CAST(NULL AS VARCHAR), '', '', '', '', '', '', '', 'DDM · 2 est.', '[]', 0, round(lpa, 6),
+       CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0.15 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+       CAST(NULL AS DOUBLE), 1
+FROM st WHERE status = 'inserted'""")
+register("evolve_schema", with_roles(ROLE_EVENTS) + """
+SELECT ticker, event_time, id, round(lpa, 6) AS lpa, CAST(NULL AS DOUBLE) AS roe_i, CAST(NULL AS DOUBLE) AS payout_i,
+       CAST(NULL AS DOUBLE) AS roe_t, CAST(NULL AS DOUBLE) AS payout_t, CAST(NULL AS DOUBLE) AS fade,
+       round(ke, 6) AS ke, 'roe' AS growth_mode, CAST(NULL AS DOUBLE) AS g_i, CAST(NULL AS DOUBLE) AS g_t,
+       CAST(NULL AS DOUBLE) AS fut_pe, CAST(NULL AS DOUBLE) AS mos, coalesce(ke_default, 1) AS ke_default,
+       1 AS roet_default, 1 AS payoutt_default, 1 AS fade_default
+FROM events_log""")
+register("config_unpivot", with_roles(ROLE_CONFIG) + """
+, wide AS (SELECT o_orderdate AS written_at, o_orderkey AS write_id,
+                  CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice / 2e6 END AS ke,
+                  CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice / 2e6 END AS roet,
+                  CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 2e6 * 10 END AS ipca,
+                  CASE WHEN o_orderpriority = '5-LOW' THEN CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END END
+                    AS mode FROM orders)
+, rows AS (SELECT 'ke_global' AS k, ke AS v, written_at, write_id FROM wide WHERE ke IS NOT NULL
+           UNION ALL SELECT 'roet_global', roet, written_at, write_id FROM wide WHERE roet IS NOT NULL
+           UNION ALL SELECT 'ipca_global', ipca, written_at, write_id FROM wide WHERE ipca IS NOT NULL
+           UNION ALL SELECT 'ke_mode_global', mode, written_at, write_id FROM wide WHERE mode IS NOT NULL)
+, newest AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY written_at DESC, write_id DESC) rn
+                               FROM rows) WHERE rn = 1)
+SELECT k, round(v, 6) AS v FROM config WHERE k NOT IN (SELECT k FROM newest)
+UNION ALL SELECT k, round(v, 6) FROM newest""")
+
+# --- validation, portfolio, health -------------------------------------------------------------
+ROLE_POSITIONS = """
+positions AS (
+  SELECT ticker, quantidade, CASE WHEN min_flag = 'R' THEN -1.0 ELSE avg_price END AS preco_medio FROM (
+    SELECT l_partkey AS ticker, sum(l_quantity) - 700.0 AS quantidade, sum(l_extendedprice) / sum(l_quantity) AS avg_price,
+           min(l_returnflag) AS min_flag FROM lineitem GROUP BY l_partkey)),
+checked AS (
+  SELECT *, list_filter([CASE WHEN NOT coalesce(quantidade IS NOT NULL AND NOT isnan(quantidade) AND NOT isinf(quantidade), false) THEN 'quantity_finite' END,
+                         CASE WHEN NOT coalesce(preco_medio IS NOT NULL AND NOT isnan(preco_medio) AND NOT isinf(preco_medio), false) THEN 'price_finite' END,
+                         CASE WHEN NOT coalesce(quantidade > 0, false) THEN 'quantity_positive' END,
+                         CASE WHEN NOT coalesce(preco_medio >= 0, false) THEN 'price_non_negative' END],
+                        lambda x: x IS NOT NULL) AS errs
+  FROM positions)"""
+register("validate_positions", with_roles(ROLE_POSITIONS) + """
+SELECT ticker, round(quantidade, 6) AS quantidade, round(preco_medio, 6) AS preco_medio, len(errs) = 0 AS valid,
+       array_to_string(errs, ',') AS errors FROM checked""")
+
+
+def _portfolio() -> str:
+    scr = ORACLE_SQL["screener"]
+    body = scr.split("SELECT ticker, nome, monitored, round(lpa, 6)")[0]
+    g1 = "CASE WHEN growth_mode = 'g' AND g_i IS NOT NULL THEN g_i ELSE g1 END"
+    del g1
+    return body + ", " + ROLE_POSITIONS.strip() + """
+, pv AS (SELECT c.ticker, c.quantidade, c.preco_medio, v.price, CASE WHEN v.valid THEN v.fair ELSE v.fair END AS fair,
+                v.valid FROM checked c LEFT JOIN val v ON v.ticker = c.ticker WHERE len(c.errs) = 0)
+SELECT ticker, round(quantidade, 6) AS quantidade, round(preco_medio, 6) AS preco_medio, round(price, 6) AS price,
+       round(fair, 6) AS fair, round(quantidade * price, 6) AS value, round(quantidade * preco_medio, 6) AS cost,
+       round(quantidade * price - quantidade * preco_medio, 6) AS gain,
+       round(CASE WHEN quantidade * preco_medio <> 0
+                  THEN (quantidade * price - quantidade * preco_medio) / (quantidade * preco_medio) END * 100.0, 6)
+         AS gain_pct,
+       round(CASE WHEN valid AND price <> 0 THEN (fair - price) / price END * 100.0, 6) AS upside_pct
+FROM pv"""
+
+
+register("portfolio_valuation", _portfolio())
+register("table_health", with_roles(ROLE_STOCKS, ROLE_EVENTS, ROLE_WATCHLIST, ROLE_QUOTES) + """
+SELECT 'stocks' AS "table", count(*) AS rows FROM stocks
+UNION ALL SELECT 'premissa_hist', count(*) FROM events_log
+UNION ALL SELECT 'watchlist', count(*) FROM watchlist
+UNION ALL SELECT 'quotes', count(*) FROM quotes""")
+register("distinct_keys", "SELECT DISTINCT l_partkey AS ticker FROM lineitem WHERE l_partkey IS NOT NULL")
+register("watchlist_sorted", with_roles(ROLE_WATCHLIST) + " SELECT DISTINCT ticker FROM watchlist")
+register("lookup_by_keys", with_roles(ROLE_EVENTS, ROLE_WATCHLIST, SQL_CURRENT) + """
+SELECT ticker, event_time, round(ke, 6) AS ke, round(roe_t, 6) AS roe_t, ke_default FROM cur
+WHERE upper(CAST(ticker AS VARCHAR)) IN (SELECT upper(CAST(ticker AS VARCHAR)) FROM watchlist)""")
+
+
+def _screener_shape() -> str:
+    scr = ORACLE_SQL["screener"]
+    body = scr.split("SELECT ticker, nome, monitored, round(lpa, 6)")[0]
+    return body + """
+SELECT e.ticker, e.nome, e.monitored, round(e.lpa, 6) AS lpa, round(e.roe_i, 6) AS roe_i,
+       round(e.payout_i, 6) AS payout_i, round(e.ke, 6) AS ke, round(e.roe_t, 6) AS roe_t,
+       round(e.payout_t, 6) AS payout_t, round(e.fade, 6) AS fade, e.growth_mode, round(e.g_i, 6) AS g_i,
+       round(e.g_t, 6) AS g_t, round(e.fut_pe, 6) AS fut_pe, round(e.mos, 6) AS mos, round(p.price, 6) AS price,
+       p.price_source AS fonte_preco
+FROM eff e JOIN prices p ON p.ticker = e.ticker"""
+
+
+register("screener_shape", _screener_shape())

@@ -238,3 +238,57 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market-cap snapshot per listed security (from customers)."""
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("ticker"), (F.col("c_acctbal") * 2e6).alias("market_cap"))
+
+
+MODEL_DEFAULT = "DDM · 2 est."
+
+
+def state_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current stocks table: parts up to size 45 (sizes 41-45 user-created) plus user rows from suppliers."""
+    p = table(spark, sf_dir, "part").where(F.col("p_size") <= 45)
+    size = F.col("p_size").cast("double")
+    parts = p.select(
+        F.col("p_partkey").alias("ticker"), F.col("p_name").alias("nome"),
+        F.col("p_partkey").cast("string").alias("cd_cvm"), F.concat(F.lit("edited "), F.col("p_type")).alias("setor"),
+        F.lit("").alias("subsetor"), F.col("p_brand").alias("segmento"), F.lit("").alias("perfil"),
+        F.lit("").alias("tamanho"), F.lit("").alias("gov"), F.lit("").alias("ctrl"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("custom")).otherwise(F.lit(MODEL_DEFAULT)).alias("modelo"),
+        F.lit("[]").alias("tags"), (F.col("p_size") > 20).cast("int").alias("monitored"),
+        (F.col("p_retailprice") / 100.0).alias("lpa"), (size / 50.0).alias("payout"),
+        F.lit(None).cast("double").alias("liquidez"), F.lit(0.15).alias("roe_i"), F.lit(0.06).alias("g1"),
+        F.lit(0.14).alias("ke"), F.lit(0.04).alias("gp"), (F.col("p_size") > 40).cast("int").alias("user"))
+    s = table(spark, sf_dir, "supplier")
+    users = s.select(
+        (F.lit(-1) - F.col("s_suppkey")).alias("ticker"), F.col("s_name").alias("nome"),
+        F.lit(None).cast("string").alias("cd_cvm"), F.lit("user").alias("setor"), F.lit("").alias("subsetor"),
+        F.lit("").alias("segmento"), F.lit("").alias("perfil"), F.lit("").alias("tamanho"), F.lit("").alias("gov"),
+        F.lit("").alias("ctrl"), F.lit(MODEL_DEFAULT).alias("modelo"), F.lit("[]").alias("tags"),
+        F.lit(0).alias("monitored"), (F.col("s_acctbal") / 1000.0).alias("lpa"), F.lit(None).cast("double").alias("payout"),
+        F.lit(None).cast("double").alias("liquidez"), F.lit(0.15).alias("roe_i"), F.lit(0.06).alias("g1"),
+        F.lit(0.14).alias("ke"), F.lit(0.04).alias("gp"), F.lit(1).alias("user"))
+    return parts.unionByName(users)
+
+
+def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh universe seed: one row per part with refreshed fundamentals."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("double")
+    return p.select(
+        F.col("p_partkey").alias("ticker"), F.upper("p_name").alias("nome"),
+        F.col("p_partkey").cast("string").alias("cd_cvm"), F.col("p_type").alias("setor"), F.lit("").alias("subsetor"),
+        F.col("p_brand").alias("segmento"), F.lit("Valor").alias("perfil"), F.lit("Small cap").alias("tamanho"),
+        F.lit("").alias("gov"), F.lit("").alias("ctrl"), F.lit(MODEL_DEFAULT).alias("modelo"), F.lit("[]").alias("tags"),
+        (F.col("p_size") > 30).cast("int").alias("monitored"), (F.col("p_retailprice") / 90.0).alias("lpa"),
+        (size / 40.0).alias("payout"), (F.col("p_retailprice") * 1000.0).alias("liquidez"),
+        (size / 100.0).alias("roe_i"), F.lit(0.06).alias("g1"), F.lit(0.14).alias("ke"), F.lit(0.04).alias("gp"))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portfolio positions per part: quantity net of 700 units, average unit price (-1 for returned-only parts)."""
+    li = table(spark, sf_dir, "lineitem")
+    agg = li.groupBy(F.col("l_partkey").alias("ticker")).agg(
+        (F.sum("l_quantity") - 700.0).alias("quantidade"),
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_price"),
+        F.min("l_returnflag").alias("min_flag"))
+    return agg.select("ticker", "quantidade",
+                      F.when(F.col("min_flag") == "R", F.lit(-1.0)).otherwise(F.col("avg_price")).alias("preco_medio"))

@@ -73,6 +73,11 @@ def fold_accents(col: Column | str) -> Column:
     return F.regexp_replace(c, r"[^\x00-\x7F]", "")
 
 
+def fold_literal(text: str) -> str:
+    """F1 on a Python string (patterns, constants): the same NFKD-to-ASCII rule."""
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+
+
 def normalize_name(col: Column | str, drop_phrases=NAME_DROP_PHRASES) -> Column:
     """fold, upper, drop phrases, non-alphanumerics to spaces, collapse, trim."""
     c = F.upper(fold_accents(col))

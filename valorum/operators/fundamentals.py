@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valorum.functions.text import fold_accents
+from valorum.functions.text import fold_accents, fold_literal
 from valorum.functions.values import (DIVIDEND_SCALE, PAYOUT_CAP, PAYOUT_DEFAULT, clamp, first_plausible,
                                       round_half_even, scale_units)
 from valorum.operators.latest import latest_per_key, sum_abs_by_year, value_at_latest
@@ -48,7 +48,7 @@ def contains_any_folded(col, patterns: Sequence[str]) -> Column:
     folded = F.lower(fold_accents(col))
     cond = None
     for p in patterns:
-        c = folded.contains(p.lower())
+        c = folded.contains(fold_literal(p).lower())
         cond = c if cond is None else (cond | c)
     return cond
 

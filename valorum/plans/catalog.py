@@ -562,3 +562,189 @@ def lookup_by_keys(spark, d):
     cur = _current(spark, d)
     hit = qa.lookup_by_keys(cur, roles.watchlist(spark, d))
     return _r6_floats(hit.select("ticker", "event_time", "ke", "roe_t", "ke_default"), ("ke", "roe_t"))
+
+
+# --- scalar function demos: F6, F11, F13, F15, F17, S6, P2, P3 --------------------------------------
+from valorum.sources import files as src  # noqa: E402
+
+
+@query("ticker_symbol")
+def ticker_symbol(spark, d):
+    p = roles.table(spark, d, "part")
+    code = F.concat(F.lower(F.substring("p_type", 1, 4)), F.col("p_size").cast("string"))
+    sym = tx.add_suffix(code)
+    return p.select("p_partkey", sym.alias("symbol"), tx.strip_suffix(sym).alias("ticker"))
+
+
+@query("numeric_guard")
+def numeric_guard(spark, d):
+    e = roles.table(spark, d, "events")
+    return e.select("event_id", fv.numeric_guard(F.get_json_object("props", "$.k")).alias("k_num"),
+                    fv.numeric_guard("event_type").alias("junk"))
+
+
+@query("json_double_decode")
+def json_double_decode(spark, d):
+    e = roles.table(spark, d, "events")
+    raw = F.when(F.col("event_type").isin("view", "click"), F.col("props")).otherwise(
+        F.concat(F.lit('"'), F.replace(F.col("props"), F.lit('"'), F.lit('\\"')), F.lit('"')))
+    return e.select("event_id", src.double_decode(raw, "k").alias("k"))
+
+
+@query("falsy_coalesce")
+def falsy_coalesce(spark, d):
+    i = roles.indicators(spark, d)
+    return i.select("ticker", r6(fv.falsy_coalesce(F.floor("dy").cast("double"), "p_vp")).alias("num"),
+                    fv.falsy_coalesce("listing", "controle", kind="text").alias("txt"))
+
+
+@query("tags_json")
+def tags_json(spark, d):
+    i = roles.indicators(spark, d)
+    txt = fv.tags_to_json(cl.derive_tags("dy", "p_l", "p_vp", "roe", "dividaliquidaebit", "lpa", "valormercado"))
+    return i.select("ticker", txt.alias("tags_text"), F.size(fv.tags_from_json(txt)).alias("n_tags"))
+
+
+@query("format_ptbr")
+def format_ptbr(spark, d):
+    v = val.ddm_value(roles.stocks(spark, d), eps="lpa", payout="payout", g1="g1", ke="ke", gp="gp")
+    return v.select("ticker", fv.format_brl("fair").alias("fair_text"),
+                    F.concat(fv.format_ptbr(F.col("payout") * 100.0, 0), F.lit("%")).alias("payout_pct"),
+                    fv.format_ptbr(F.col("ke") * 100.0, 1).alias("ke_dec"))
+
+
+@query("filing_filter")
+def filing_filter(spark, d):
+    p = roles.table(spark, d, "part")
+    f = fund.filing_filter(p, equals={"p_type": "PROMO"}, isin={"p_size": list(range(1, 11))},
+                           prefix={"p_brand": "Brand#1"})
+    return f.select("p_partkey", "p_brand", "p_size")
+
+
+ACCENT_PATTERNS = ("éeau", "ÇOUE")
+
+
+@query("accent_insensitive_filter")
+def accent_insensitive_filter(spark, d):
+    docs = roles.table(spark, d, "documents")
+    return docs.where(fund.contains_any_folded("text", ACCENT_PATTERNS)).select("doc_id")
+
+
+# --- sources and sinks: S1, S2, S4, S5, S7, S8, K1 ---------------------------------------------------
+from valorum.session import shared_path  # noqa: E402
+
+
+def _scratch(spark, name):
+    return shared_path(spark, "demo", name)
+
+
+@query("src_csv_roundtrip")
+def src_csv_roundtrip(spark, d):
+    p = roles.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("ticker"),
+                                             F.col("p_name").alias("empresa"))
+    path = src.write_version(p, _scratch(spark, "tickers_csv"), fmt="csv", header=True, quote='"', escape='"')
+    return src.read_ticker_list(spark, path)
+
+
+@query("src_registry_csv")
+def src_registry_csv(spark, d):
+    path = src.write_version(roles.registry_extract(spark, d), _scratch(spark, "registry_csv"), fmt="csv",
+                             header=True, sep=";", encoding=src.REGISTRY_ENCODING)
+    return src.registry_rows(src.read_registry(spark, path))
+
+
+def _batches(df, key, size=60):
+    """Documents of at most ``size`` records each, like the provider's batched replies."""
+    return df.groupBy(F.floor(F.col(key) / size).alias("_batch"))
+
+
+@query("src_quote_snapshot")
+def src_quote_snapshot(spark, d):
+    c = roles.table(spark, d, "customer")
+    recs = c.select(F.col("c_custkey"), F.struct(F.col("c_custkey").cast("string").alias("stock"),
+                                                 (F.col("c_acctbal") / 100.0).alias("close"),
+                                                 (F.col("c_acctbal") * 2e6).alias("market_cap")).alias("r"))
+    docs = _batches(recs, "c_custkey").agg(F.collect_list("r").alias("stocks")).select("stocks")
+    path = src.write_version(docs, _scratch(spark, "snapshot_json"), fmt="json")
+    snap = src.read_quote_snapshot(spark, path)
+    return snap.select("stock", r6("close").alias("close"), r6("market_cap").alias("market_cap"))
+
+
+@query("src_indicator_json")
+def src_indicator_json(spark, d):
+    i = roles.indicators(spark, d)
+    fields = ["sectorname", "subsectorname", "segmentname", *src.INDICATOR_FIELDS]
+    recs = i.select("ticker", F.struct(F.col("ticker").cast("string").alias("ticker"),
+                                       *[F.col(c) for c in fields]).alias("r"))
+    docs = _batches(recs, "ticker").agg(F.collect_list("r").alias("list")).select("list")
+    path = src.write_version(docs, _scratch(spark, "indicators_json"), fmt="json")
+    rows = src.read_indicator_list(spark, path)
+    return rows.select("ticker", "sectorname", r6("dy").alias("dy"), r6("p_l").alias("p_l"),
+                       r6("valormercado").alias("valormercado"))
+
+
+@query("chart_arrays_to_rows")
+def chart_arrays_to_rows(spark, d):
+    q = roles.quotes(spark, d)
+    pts = q.select(F.col("ticker").cast("string").alias("ticker"), F.to_date("ts").alias("day"),
+                   F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("close").alias("c")).alias("p"))
+    per_day = pts.groupBy("ticker", "day").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    payload = per_day.select("ticker", F.struct(F.transform("ps", lambda p: p["t"]).alias("timestamp"),
+                                                 F.transform("ps", lambda p: p["c"]).alias("close")).alias("result"))
+    return qt.chart_rows(payload, "ticker", "result")
+
+
+WIDE_TYPES = ("view", "click", "purchase", "signup", "error")
+
+
+@query("wide_quotes_unpivot")
+def wide_quotes_unpivot(spark, d):
+    e = roles.table(spark, d, "events").select(
+        F.to_date("ts").alias("day"), "ts", "event_type",
+        F.when(F.col("event_type") != "error", F.col("value")).alias("close"))
+    wide = e.groupBy("day").pivot("event_type", list(WIDE_TYPES)).agg(F.max_by("close", "ts"))
+    long = qt.unpivot_quotes(wide, ts="day")
+    return qt.latest_quote(long, key="ticker", ts="day", close="close").select("ticker", "price")
+
+
+@query("universe_write_read")
+def universe_write_read(spark, d):
+    seed = roles.seed_rows(spark, d).withColumn("tags", F.array(F.col("setor"), F.col("segmento")))
+    path = src.write_version(seed, _scratch(spark, "universe"))
+    back = spark.read.parquet(path)
+    return _r6_floats(back.select("ticker", "nome", "tags", "lpa", "payout", "monitored"), ("lpa", "payout"))
+
+
+# --- streams: T1, T2, T3 ------------------------------------------------------------------------------
+from valorum.streaming import streams as sm  # noqa: E402
+
+
+def _stream_source(spark, d, name):
+    schema = roles.table(spark, d, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(d))
+
+
+@query("stream_latest_quote")
+def stream_latest_quote(spark, d):
+    import uuid
+    base = _scratch(spark, f"stream_quote/{uuid.uuid4().hex}")
+    ev = _stream_source(spark, d, "events")
+    quotes = ev.select(F.col("user_id").alias("ticker"), "ts",
+                       F.when(F.col("event_type") != "error", F.col("value")).alias("close"))
+    q = sm.stream_latest_quote(quotes, base + "/state", base + "/checkpoint")
+    q.awaitTermination()
+    st = sm.read_state(spark, base + "/state")
+    return st.select("ticker", fv.round_half_up("price", 2).alias("price"),
+                     F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+@query("stream_assumption_state")
+def stream_assumption_state(spark, d):
+    import uuid
+    base = _scratch(spark, f"stream_assumptions/{uuid.uuid4().hex}")
+    li = _stream_source(spark, d, "lineitem")
+    events = roles.assumption_events_from(li)
+    q = sm.stream_assumptions(events, base + "/state", base + "/log", base + "/checkpoint")
+    q.awaitTermination()
+    return _r6_floats(sm.read_state(spark, base + "/state"), ASSUMPTION_FLOATS)

@@ -811,3 +811,62 @@ FROM eff e JOIN prices p ON p.ticker = e.ticker"""
 
 
 register("screener_shape", _screener_shape())
+
+# --- scalar function demos, sources, streams ------------------------------------------------------
+register("ticker_symbol", """
+SELECT p_partkey, upper(lower(substr(p_type, 1, 4)) || CAST(p_size AS VARCHAR)) || '.SA' AS symbol,
+       regexp_replace(upper(lower(substr(p_type, 1, 4)) || CAST(p_size AS VARCHAR)) || '.SA', '\\.SA$', '') AS ticker
+FROM part""")
+register("numeric_guard", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_num,
+       TRY_CAST(event_type AS DOUBLE) AS junk FROM events""")
+register("json_double_decode", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+register("falsy_coalesce", with_roles(IND) + """
+SELECT ticker, round(coalesce(nullif(CAST(floor(dy) AS DOUBLE), 0), nullif(p_vp, 0)), 6) AS num,
+       coalesce(nullif(listing, ''), nullif(controle, '')) AS txt FROM ind""")
+register("tags_json", with_roles(IND) + f"""
+SELECT ticker, CAST(to_json({tags_sql('dy', 'p_l', 'p_vp', 'roe', 'dividaliquidaebit', 'lpa', 'valormercado')}) AS VARCHAR)
+         AS tags_text,
+       len({tags_sql('dy', 'p_l', 'p_vp', 'roe', 'dividaliquidaebit', 'lpa', 'valormercado')}) AS n_tags FROM ind""")
+
+
+def _fmt() -> str:
+    s = ddm_sql("lpa", "payout", "g1", "ke", "gp")
+    return with_roles(ROLE_STOCKS) + f"""
+SELECT ticker, 'R$ ' || translate(format('{{:,.2f}}', {s['fair']}), ',.', '.,') AS fair_text,
+       translate(format('{{:,.0f}}', payout * 100.0), ',.', '.,') || '%' AS payout_pct,
+       translate(format('{{:,.1f}}', ke * 100.0), ',.', '.,') AS ke_dec
+FROM stocks"""
+
+
+register("format_ptbr", _fmt())
+register("filing_filter", """
+SELECT p_partkey, p_brand, p_size FROM part
+WHERE p_type = 'PROMO' AND p_size IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) AND starts_with(p_brand, 'Brand#1')""")
+register("accent_insensitive_filter", f"""
+SELECT doc_id FROM documents
+WHERE contains(lower({fold_sql('text')}), 'eeau') OR contains(lower({fold_sql('text')}), 'coue')""")
+register("src_csv_roundtrip", "SELECT CAST(p_partkey AS VARCHAR) AS ticker, p_name AS empresa FROM part")
+register("src_registry_csv", ORACLE_SQL["clean_registry_sector"])
+register("src_quote_snapshot", """
+SELECT CAST(c_custkey AS VARCHAR) AS stock, round(c_acctbal / 100.0, 6) AS close,
+       round(c_acctbal * 2e6, 6) AS market_cap FROM customer""")
+register("src_indicator_json", with_roles(IND) + """
+SELECT CAST(ticker AS VARCHAR) AS ticker, sectorname, round(dy, 6) AS dy, round(p_l, 6) AS p_l,
+       round(valormercado, 6) AS valormercado FROM ind""")
+register("chart_arrays_to_rows", with_roles(ROLE_QUOTES) + """
+SELECT CAST(ticker AS VARCHAR) AS ticker, (epoch_us(ts) // 1000000) * 1000 AS ts_ms,
+       floor(close * 100.0 + 0.5) / 100.0 AS close FROM quotes WHERE close IS NOT NULL""")
+register("wide_quotes_unpivot", """
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, arg_max(CASE WHEN event_type <> 'error' THEN value END, ts) AS c
+           FROM events GROUP BY 1, 2)
+SELECT event_type AS ticker, floor(arg_max(c, day) * 100.0 + 0.5) / 100.0 AS price
+FROM d WHERE c IS NOT NULL GROUP BY event_type""")
+register("universe_write_read", """
+SELECT p_partkey AS ticker, upper(p_name) AS nome, [p_type, p_brand] AS tags, round(p_retailprice / 90.0, 6) AS lpa,
+       round(CAST(p_size AS DOUBLE) / 40.0, 6) AS payout, CAST(p_size > 30 AS INTEGER) AS monitored FROM part""")
+register("stream_latest_quote", with_roles(ROLE_QUOTES) + """
+SELECT ticker, floor(arg_max(close, ts) * 100.0 + 0.5) / 100.0 AS price, max(ts) AS last_ts
+FROM quotes WHERE close IS NOT NULL AND NOT isnan(close) GROUP BY ticker""")
+register("stream_assumption_state", with_roles(ROLE_EVENTS, SQL_CURRENT) + f"""
+SELECT ticker, {_acols()} FROM cur""")

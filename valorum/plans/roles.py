@@ -41,7 +41,11 @@ def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assumption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assumption log: one event per line item, keyed by part, timed by ship date."""
-    li = table(spark, sf_dir, "lineitem")
+    return assumption_events_from(table(spark, sf_dir, "lineitem"))
+
+
+def assumption_events_from(li: DataFrame) -> DataFrame:
+    """The assumption-log mapping over line-item rows (batch or stream)."""
     q = F.col("l_quantity")
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),

@@ -38,20 +38,41 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def best_per_name(right: DataFrame, right_id: str, right_name: str, right_year: str) -> DataFrame:
+def name_profile(df: DataFrame, id_col: str, name_col: str, year_col: str | None = None,
+                 materialize: bool = True) -> DataFrame:
+    """(_id, [_year], _norm, _toks): normalised name and sorted token set, computed once.
+
+    With ``materialize`` the profile is written as a work table, so the text
+    pipeline runs once however many branches read it.
+    """
+    cols = [F.col(id_col).alias("_id")]
+    if year_col is not None:
+        cols.append(F.col(year_col).alias("_year"))
+    prof = df.select(*cols, normalize_name(F.col(name_col)).alias("_norm"))
+    prof = prof.withColumn("_toks", F.array_sort(name_tokens(F.col("_norm"), normalized=True)))
+    if materialize:
+        from valorum.session import work_table
+        prof = work_table(prof, "name-profile")
+    return prof
+
+
+def best_per_name(rprof: DataFrame) -> DataFrame:
     """A3: per normalised name, the entity with the newest year (then the smallest id)."""
-    r = right.select(F.col(right_id).alias("_rid"), F.col(right_year).alias("_ryear"),
-                     normalize_name(F.col(right_name)).alias("_norm"))
-    return latest_per_key(r, "_norm", ["_ryear", ("_rid", "asc")], columns=["_rid", "_ryear"])
+    return latest_per_key(rprof.select("_norm", "_id", "_year"), "_norm", ["_year", ("_id", "asc")],
+                          columns=["_id", "_year"])
+
+
+def _exact(lprof: DataFrame, rprof: DataFrame) -> DataFrame:
+    best = best_per_name(rprof).select("_norm", F.col("_id").alias("_match"))
+    return lprof.join(best, "_norm", "left")
 
 
 def exact_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
                 right_name: str, right_year: str) -> DataFrame:
     """(left_id, match_id) by equal normalised name; match_id is null without a match."""
-    best = best_per_name(right, right_id, right_name, right_year)
-    lft = left.select(F.col(left_id).alias("_lid"), normalize_name(F.col(left_name)).alias("_norm"))
-    return (lft.join(best, "_norm", "left")
-            .select(F.col("_lid").alias(left_id), F.col("_rid").alias("match_id")))
+    lprof = name_profile(left, left_id, left_name, materialize=False)
+    rprof = name_profile(right, right_id, right_name, right_year, materialize=False)
+    return _exact(lprof, rprof).select(F.col("_id").alias(left_id), F.col("_match").alias("match_id"))
 
 
 def set_id(toks: str) -> Column:
@@ -62,14 +83,6 @@ def set_id(toks: str) -> Column:
     return F.struct(F.xxhash64(toks).alias("h1"), F.hash(toks).alias("h2"), F.size(toks).alias("n"))
 
 
-def _sets(df: DataFrame, id_col: str, name_col: str, year_col: str | None) -> DataFrame:
-    toks = F.array_sort(name_tokens(F.col(name_col)))
-    cols = [F.col(id_col).alias("_id"), toks.alias("_toks")]
-    if year_col is not None:
-        cols.append(F.col(year_col).alias("_year"))
-    return df.select(*cols).where(F.size("_toks") > 0)
-
-
 def _prefix_tokens(sets: DataFrame, rank: DataFrame, threshold: float) -> DataFrame:
     """(set_id, token) for the prefix of rarest tokens of each distinct set."""
     exploded = sets.select("_sid", F.explode("_toks").alias("tok"))
@@ -82,15 +95,10 @@ def _prefix_tokens(sets: DataFrame, rank: DataFrame, threshold: float) -> DataFr
         "_sid", "_n", F.col("_p.tok").alias("tok"))
 
 
-def token_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
-                right_name: str, right_year: str, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-    """Best right entity per left row with Jaccard >= threshold.
-
-    Best = highest Jaccard, then the newest year, then the smallest id. Empty token
-    sets never match. Returns (left_id, match_id, jaccard) for matched rows only.
-    """
-    lrows = _sets(left, left_id, left_name, None)
-    rrows = _sets(right, right_id, right_name, right_year)
+def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFrame:
+    """(_id, _rid, _j): best right entity per left profile row with Jaccard >= threshold."""
+    lrows = lprof.select("_id", "_toks").where(F.size("_toks") > 0)
+    rrows = rprof.select("_id", "_year", "_toks").where(F.size("_toks") > 0)
     # Merge identical sets; the right keeps its best entity per set.
     lset = lrows.select("_toks").distinct().withColumn("_sid", set_id("_toks"))
     rset = (latest_per_key(rrows, "_toks", ["_year", ("_id", "asc")], columns=["_id", "_year"])
@@ -113,8 +121,20 @@ def token_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame,
     union = F.size("_ltoks") + F.size("_rtoks") - inter
     scored = pairs.withColumn("_j", inter / union).where(F.col("_j") >= threshold)
     best = latest_per_key(scored, "_ltoks", ["_j", "_ryear", ("_rid", "asc")], columns=["_rid", "_j"])
-    out = lrows.join(best.withColumnRenamed("_ltoks", "_toks"), "_toks")
-    return out.select(F.col("_id").alias(left_id), F.col("_rid").alias("match_id"), F.col("_j").alias("jaccard"))
+    return lrows.join(best.withColumnRenamed("_ltoks", "_toks"), "_toks").select("_id", "_rid", "_j")
+
+
+def token_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
+                right_name: str, right_year: str, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """Best right entity per left row with Jaccard >= threshold.
+
+    Best = highest Jaccard, then the newest year, then the smallest id. Empty token
+    sets never match. Returns (left_id, match_id, jaccard) for matched rows only.
+    """
+    lprof = name_profile(left, left_id, left_name)
+    rprof = name_profile(right, right_id, right_name, right_year)
+    best = _token_best(lprof, rprof, threshold)
+    return best.select(F.col("_id").alias(left_id), F.col("_rid").alias("match_id"), F.col("_j").alias("jaccard"))
 
 
 def token_label(j) -> Column:
@@ -127,16 +147,18 @@ def resolve_entities(left: DataFrame, left_id: str, left_name: str, right: DataF
     """Exact match first; token similarity only for the rows exact matching missed.
 
     Returns every left row as (left_id, match_id, how, jaccard); ``how`` is
-    'exato', 'token 0.xx' or 'SEM MATCH'.
+    'exato', 'token 0.xx' or 'SEM MATCH'. Each side's names are normalised and
+    tokenised once (work tables); the exact result is a work table too, as both
+    the token branch and the final labelling read it.
     """
-    ex = exact_match(left, left_id, left_name, right, right_id, right_name, right_year)
-    hit = ex.where(F.col("match_id").isNotNull()).select(
-        left_id, "match_id", F.lit(LABEL_EXACT).alias("how"), F.lit(None).cast("double").alias("jaccard"))
-    missed_ids = ex.where(F.col("match_id").isNull()).select(left_id)
-    missed = left.join(missed_ids, left_id, "left_semi")
-    tok = token_match(missed, left_id, left_name, right, right_id, right_name, right_year, threshold)
-    tok = tok.select(left_id, "match_id", token_label("jaccard").alias("how"), "jaccard")
-    none = missed_ids.join(tok.select(left_id), left_id, "left_anti").select(
-        left_id, F.lit(None).cast(right.schema[right_id].dataType).alias("match_id"),
-        F.lit(LABEL_NO_MATCH).alias("how"), F.lit(None).cast("double").alias("jaccard"))
-    return hit.unionByName(tok).unionByName(none)
+    from valorum.session import work_table
+
+    lprof = name_profile(left, left_id, left_name)
+    rprof = name_profile(right, right_id, right_name, right_year)
+    ex = work_table(_exact(lprof, rprof).select("_id", "_toks", "_match"), "exact-match")
+    tok = _token_best(ex.where(F.col("_match").isNull()).select("_id", "_toks"), rprof, threshold)
+    j = ex.select("_id", "_match").join(tok, "_id", "left")
+    how = (F.when(F.col("_match").isNotNull(), F.lit(LABEL_EXACT))
+           .when(F.col("_rid").isNotNull(), token_label("_j")).otherwise(F.lit(LABEL_NO_MATCH)))
+    return j.select(F.col("_id").alias(left_id), F.coalesce("_match", "_rid").alias("match_id"), how.alias("how"),
+                    F.when(F.col("_match").isNull(), F.col("_j")).alias("jaccard"))

@@ -125,21 +125,54 @@ def grid_values(lo: float, hi: float, step: float) -> list[float]:
     return [round(lo + i * step, 10) / 100.0 for i in range(count)]
 
 
+def _grid_fair(eps, payout, g1, rates, perpetuals, years: int) -> tuple[Column, dict[str, Column]]:
+    """Array of fair values (NULL where invalid) over the (rate, perpetual) grid, rate-major.
+
+    The projected dividends d_1..d_N do not depend on the grid, so they are row
+    columns; the inner lambdas only redo what depends on the rate (present values,
+    discount factor) and on the perpetual growth (terminal value), with the same
+    float operations, in the same order, as :func:`ddm_columns`.
+    """
+    eps, payout, g1 = map(_c, (eps, payout, g1))
+    d = eps * payout
+    divs = {}
+    for n in range(1, years + 1):
+        d = d * (1.0 + g1)
+        divs[f"_d{n}"] = d
+    ke_arr = F.array(*[F.lit(float(k)) for k in rates])
+    gp_arr = F.array(*[F.lit(float(g)) for g in perpetuals])
+
+    def per_rate(k):
+        pv_sum = None
+        for n in range(1, years + 1):
+            pv = F.col(f"_d{n}") / F.power(1.0 + k, F.lit(float(n)))
+            pv_sum = pv if pv_sum is None else pv_sum + pv
+        return F.struct(k.alias("ke"), pv_sum.alias("pv"), F.power(1.0 + k, F.lit(float(years))).alias("f"))
+
+    def per_point(r, g):
+        terminal = F.col(f"_d{years}") * (1.0 + g) / (r["ke"] - g)
+        return F.struct(r["ke"].alias("ke"), g.alias("gp"),
+                        F.when(r["ke"] > g, r["pv"] + terminal / r["f"]).alias("fair"))
+
+    grid = F.flatten(F.transform(F.transform(ke_arr, per_rate),
+                                 lambda r: F.transform(gp_arr, lambda g: per_point(r, g))))
+    return grid, divs
+
+
 def ddm_scenarios(df: DataFrame, key, eps="eps", payout="payout", g1="g1",
                   rates=None, perpetuals=None, years: int = DEFAULT_YEARS) -> DataFrame:
     """V11 long form: one row per stock and (rate, perpetual growth) grid point.
 
-    The grid is generated next to each stock row; it is a fixed parameter-sized
-    list (39 x 21 = 819 points by default), not a join.
+    The grid is generated next to each stock row from a fixed, parameter-sized
+    list (39 x 21 = 819 points by default); no join.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rates = rates if rates is not None else grid_values(*RATE_RANGE)
     perpetuals = perpetuals if perpetuals is not None else grid_values(*PERPETUAL_RANGE)
-    grid = F.array(*[F.struct(F.lit(k).alias("ke"), F.lit(g).alias("gp")) for k in rates for g in perpetuals])
-    long = df.select(*keys, _c(eps).alias("_eps"), _c(payout).alias("_payout"), _c(g1).alias("_g1"),
-                     F.inline(grid))
-    cols = ddm_columns("_eps", "_payout", "_g1", "ke", "gp", years)
-    return long.select(*keys, "ke", "gp", cols["fair"].alias("fair"), cols["valid"].alias("valid"))
+    grid, divs = _grid_fair(eps, payout, g1, rates, perpetuals, years)
+    base = df.select(*keys, *[v.alias(k) for k, v in divs.items()])
+    return base.select(*keys, F.inline(grid)).select(*keys, "ke", "gp", "fair",
+                                                     F.col("fair").isNotNull().alias("valid"))
 
 
 def scenario_summary(df: DataFrame, key, eps="eps", payout="payout", g1="g1",
@@ -152,14 +185,9 @@ def scenario_summary(df: DataFrame, key, eps="eps", payout="payout", g1="g1",
     keys = [key] if isinstance(key, str) else list(key)
     rates = rates if rates is not None else grid_values(*RATE_RANGE)
     perpetuals = perpetuals if perpetuals is not None else grid_values(*PERPETUAL_RANGE)
-    grid = F.array(*[F.struct(F.lit(k).alias("ke"), F.lit(g).alias("gp")) for k in rates for g in perpetuals])
-    base = df.select(*keys, _c(eps).alias("_eps"), _c(payout).alias("_payout"), _c(g1).alias("_g1"))
-
-    def fair_of(p):
-        cols = ddm_columns(F.col("_eps"), F.col("_payout"), F.col("_g1"), p["ke"], p["gp"], years)
-        return F.when(cols["valid"], cols["fair"])
-
-    vals = F.array_sort(F.filter(F.transform(grid, fair_of), lambda x: x.isNotNull()))
+    grid, divs = _grid_fair(eps, payout, g1, rates, perpetuals, years)
+    base = df.select(*keys, *[v.alias(k) for k, v in divs.items()])
+    vals = F.array_sort(F.filter(F.transform(grid, lambda p: p["fair"]), lambda x: x.isNotNull()))
     n_points = len(rates) * len(perpetuals)
     out = base.select(*keys, vals.alias("_v"))
     n = F.size("_v")

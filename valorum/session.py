@@ -37,6 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     conf = dict(SCALE_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -70,3 +71,17 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables and stream state)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def work_table(df, label: str):
+    """Write ``df`` as a Parquet work table in the shared folder and read it back.
+
+    Cuts the lineage of an expensive intermediate that several branches of a plan
+    read (it is computed once, survives executor loss, and gives AQE exact sizes).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = shared_path(spark, "work", f"{label}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from valorum.functions.sqltext import expr, ident, lit
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (labels, patterns, thresholds).
 # ---------------------------------------------------------------------------
@@ -68,16 +70,23 @@ def classify_by_contains(col, rules, default: str | None = None, blank: str = ""
     ``default`` is the label for non-blank text no rule matched (``None``: blank).
     Blank or null text gives ``blank``.
     """
+    if isinstance(col, str):
+        up_s = f"upper(coalesce({ident(col)}, ''))"
+        whens = " ".join(
+            "WHEN " + " OR ".join(f"contains({up_s}, {lit(p)})" for p in pats) + f" THEN {lit(label)}"
+            for pats, label in rules)
+        other = lit(default if default is not None else blank)
+        return expr(f"CASE {whens} WHEN {up_s} = '' THEN {lit(blank)} ELSE {other} END")
     up = F.upper(F.coalesce(_c(col), F.lit("")))
-    expr = None
+    expr_ = None
     for patterns, label in rules:
         cond = None
         for p in patterns:
             c = up.contains(p)
             cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+        expr_ = F.when(cond, F.lit(label)) if expr_ is None else expr_.when(cond, F.lit(label))
     fallback = F.when(up == "", F.lit(blank)).otherwise(F.lit(default if default is not None else blank))
-    return expr.otherwise(fallback)
+    return expr_.otherwise(fallback)
 
 
 def classify_governance(col) -> Column:
@@ -93,10 +102,10 @@ def classify_control(col) -> Column:
 def classify_size(mcap, cuts=SIZE_CUTS, other: str = SIZE_OTHER) -> Column:
     """Null or zero -> blank; else the first cut reached; negative counts as small (Q6)."""
     m = _c(mcap)
-    expr = F.when(m.isNull() | (m == 0), F.lit(""))
+    out = F.when(m.isNull() | (m == 0), F.lit(""))
     for lo, label in cuts:
-        expr = expr.when(m >= lo, F.lit(label))
-    return expr.otherwise(F.lit(other))
+        out = out.when(m >= lo, F.lit(label))
+    return out.otherwise(F.lit(other))
 
 
 def _truthy_ge(x: Column, k: float) -> Column:
@@ -112,6 +121,8 @@ def derive_tags(dy, pl, pvp, roe, leverage, eps, mcap, th: dict | None = None,
                 limit: int = TAG_LIMIT) -> Column:
     """C4: situation tags by rule order, at most ``limit`` (Q15)."""
     t = dict(TAG_THRESHOLDS, **(th or {}))
+    if all(isinstance(c, str) for c in (dy, pl, pvp, roe, leverage, eps, mcap)):
+        return expr(tags_sql(*map(ident, (dy, pl, pvp, roe, leverage, eps, mcap)), t, limit))
     dy, pl, pvp, roe, lev, eps, mcap = map(_c, (dy, pl, pvp, roe, leverage, eps, mcap))
     loss = F.coalesce(eps < 0, F.lit(False))
     cheap = _between_open(pl, t["pl_cheap"]) & _between_open(pvp, t["pvp_cheap"])
@@ -131,6 +142,11 @@ def derive_tags(dy, pl, pvp, roe, leverage, eps, mcap, th: dict | None = None,
 def derive_profile(sector, dy, pl, pvp, cagr, roe, th: dict | None = None) -> Column:
     """Investment profile by ordered rules; default 'Valor'."""
     t = dict(PROFILE_THRESHOLDS, **(th or {}))
+    if all(isinstance(c, str) for c in (dy, pl, pvp, cagr, roe)) and isinstance(sector, (str, SqlText)):
+        sec = sector.text if isinstance(sector, SqlText) else ident(sector)
+        return expr(profile_sql(sec, *map(ident, (dy, pl, pvp, cagr, roe)), t))
+    if isinstance(sector, SqlText):
+        sector = expr(sector.text)
     sector, dy, pl, pvp, cagr, roe = map(_c, (sector, dy, pl, pvp, cagr, roe))
     return (
         F.when(sector.isin(*CYCLICAL_SECTORS), F.lit(PROFILE_CYCLICAL))
@@ -141,3 +157,47 @@ def derive_profile(sector, dy, pl, pvp, cagr, roe, th: dict | None = None) -> Co
         .when(_truthy_ge(cagr, t["cagr_growth_late"]), F.lit(PROFILE_GROWTH))
         .otherwise(F.lit(PROFILE_VALUE))
     )
+
+
+class SqlText:
+    """A SQL expression text passed where a column is expected (kept as text for the fast path)."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _ge(x: str, k: float) -> str:
+    return f"coalesce({x} >= {k!r}D, false)"
+
+
+def _between(x: str, hi: float) -> str:
+    return f"coalesce({x} > 0 AND {x} <= {hi!r}D, false)"
+
+
+def tags_sql(dy: str, pl: str, pvp: str, roe: str, lev: str, eps: str, mcap: str, t: dict,
+             limit: int = TAG_LIMIT) -> str:
+    """C4 as SQL text (same rules as :func:`derive_tags`)."""
+    loss = f"coalesce({eps} < 0, false)"
+    cheap = f"({_between(pl, t['pl_cheap'])} AND {_between(pvp, t['pvp_cheap'])})"
+    expensive = f"({_ge(pl, t['pl_expensive'])} OR {_ge(pvp, t['pvp_expensive'])})"
+    quality = f"({_ge(roe, t['roe_quality'])} AND ({lev} IS NULL OR coalesce({lev} <= {t['leverage_quality']!r}D, false)))"
+    items = [f"CASE WHEN {loss} THEN {lit(TAG_LOSS)} END",
+             f"CASE WHEN {_ge(dy, t['dy_high'])} THEN {lit(TAG_HIGH_DY)} END",
+             f"CASE WHEN {cheap} THEN {lit(TAG_CHEAP)} WHEN {expensive} THEN {lit(TAG_EXPENSIVE)} END",
+             f"CASE WHEN {quality} THEN {lit(TAG_QUALITY)} END",
+             f"CASE WHEN {_ge(lev, t['leverage_high'])} THEN {lit(TAG_LEVERAGED)} END",
+             f"CASE WHEN {_ge(mcap, t['mcap_blue_chip'])} AND NOT {loss} THEN {lit(TAG_BLUE_CHIP)} END"]
+    return f"slice(filter(array({', '.join(items)}), x -> x IS NOT NULL), 1, {limit})"
+
+
+def profile_sql(sector: str, dy: str, pl: str, pvp: str, cagr: str, roe: str, t: dict) -> str:
+    """C5 as SQL text (same rules as :func:`derive_profile`)."""
+    cyc = ", ".join(lit(x) for x in CYCLICAL_SECTORS)
+    dfn = ", ".join(lit(x) for x in DEFENSIVE_SECTORS)
+    return (f"CASE WHEN {sector} IN ({cyc}) THEN {lit(PROFILE_CYCLICAL)} "
+            f"WHEN {_ge(dy, t['dy_dividends'])} THEN {lit(PROFILE_DIVIDENDS)} "
+            f"WHEN {_ge(cagr, t['cagr_growth'])} AND {_ge(roe, t['roe_growth'])} THEN {lit(PROFILE_GROWTH)} "
+            f"WHEN {_between(pl, t['pl_value'])} AND {_between(pvp, t['pvp_value'])} THEN {lit(PROFILE_VALUE)} "
+            f"WHEN {sector} IN ({dfn}) THEN {lit(PROFILE_DEFENSIVE)} "
+            f"WHEN {_ge(cagr, t['cagr_growth_late'])} THEN {lit(PROFILE_GROWTH)} "
+            f"ELSE {lit(PROFILE_VALUE)} END")

@@ -12,6 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from valorum.functions.sqltext import expr, ident, lit
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
 # ---------------------------------------------------------------------------
@@ -59,9 +61,39 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one_src) + "".join(gone), "".join(one_dst), tuple(multi)
 
 
+def fold_sql(x: str) -> str:
+    """F1 as SQL text over the SQL expression ``x``."""
+    match, replace, multi = fold_tables()
+    multi_class = "[" + "".join(ch for ch, _ in multi) + "]"
+    expanded = x
+    for ch, folded in multi:
+        expanded = f"replace({expanded}, {lit(ch)}, {lit(folded)})"
+    c = f"CASE WHEN {x} RLIKE {lit(multi_class)} THEN {expanded} ELSE {x} END"
+    c = f"translate({c}, {lit(match)}, {lit(replace)})"
+    return f"regexp_replace({c}, {lit(r'[^\x00-\x7F]')}, '')"
+
+
+def normalize_sql(x: str, drop_phrases=NAME_DROP_PHRASES) -> str:
+    """F2 as SQL text."""
+    c = f"upper({fold_sql(x)})"
+    for phrase in drop_phrases:
+        c = f"regexp_replace({c}, {lit(phrase)}, ' ')"
+    c = f"regexp_replace({c}, '[^A-Z0-9 ]', ' ')"
+    c = f"regexp_replace({c}, ' +', ' ')"
+    return f"trim({c})"
+
+
+def tokens_sql(norm: str, stop_words=NAME_STOP_WORDS) -> str:
+    """F3 as SQL text over an already normalised name."""
+    stop = "array(" + ", ".join(lit(w) for w in stop_words) + ")"
+    return f"array_distinct(filter(split({norm}, ' '), w -> length(w) > 1 AND NOT array_contains({stop}, w)))"
+
+
 def fold_accents(col: Column | str) -> Column:
     """fold to ASCII (NFKD + drop what has no ASCII form). Fold before ``upper``."""
-    c = F.col(col) if isinstance(col, str) else col
+    if isinstance(col, str):
+        return expr(fold_sql(ident(col)))
+    c = col
     match, replace, multi = fold_tables()
     multi_class = "[" + "".join(ch for ch, _ in multi) + "]"
     expanded = c
@@ -80,6 +112,8 @@ def fold_literal(text: str) -> str:
 
 def normalize_name(col: Column | str, drop_phrases=NAME_DROP_PHRASES) -> Column:
     """fold, upper, drop phrases, non-alphanumerics to spaces, collapse, trim."""
+    if isinstance(col, str):
+        return expr(normalize_sql(ident(col), drop_phrases))
     c = F.upper(fold_accents(col))
     for phrase in drop_phrases:
         c = F.regexp_replace(c, phrase, " ")
@@ -90,6 +124,9 @@ def normalize_name(col: Column | str, drop_phrases=NAME_DROP_PHRASES) -> Column:
 
 def name_tokens(col: Column | str, stop_words=NAME_STOP_WORDS, normalized: bool = False) -> Column:
     """distinct tokens of the normalised name without stop words and one-letter tokens."""
+    if isinstance(col, str):
+        base = ident(col) if normalized else normalize_sql(ident(col))
+        return expr(tokens_sql(base, stop_words))
     norm = (F.col(col) if isinstance(col, str) else col) if normalized else normalize_name(col)
     stop = F.array(*[F.lit(w) for w in stop_words])
     return F.array_distinct(
@@ -101,9 +138,25 @@ def py_strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"^{_WS}+|{_WS}+$", "")
 
 
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {lit(f'^{_WS}+|{_WS}+$')}, '')"
+
+
+def clean_label_sql(x: str) -> str:
+    """F4 as SQL text."""
+    out = _strip_sql(x)
+    for old, new in LABEL_PHRASES + LABEL_DOT_ARTEFACTS:
+        out = f"replace({out}, {lit(old)}, {lit(new)})"
+    out = _strip_sql(f"regexp_replace({out}, {lit(f'{_WS}+')}, ' ')")
+    out = _strip_sql(f"regexp_replace({out}, '^,+|,+$', '')")
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE {out} END"
+
+
 def clean_label(col: Column | str) -> Column:
     """sector text clean-up; order of the dot replacements matters (Q13)."""
-    c = F.col(col) if isinstance(col, str) else col
+    if isinstance(col, str):
+        return expr(clean_label_sql(ident(col)))
+    c = col
     out = py_strip(c)
     for old, new in LABEL_PHRASES:
         out = F.replace(out, F.lit(old), F.lit(new))

@@ -48,8 +48,8 @@ def name_profile(df: DataFrame, id_col: str, name_col: str, year_col: str | None
     cols = [F.col(id_col).alias("_id")]
     if year_col is not None:
         cols.append(F.col(year_col).alias("_year"))
-    prof = df.select(*cols, normalize_name(F.col(name_col)).alias("_norm"))
-    prof = prof.withColumn("_toks", F.array_sort(name_tokens(F.col("_norm"), normalized=True)))
+    prof = df.select(*cols, normalize_name(name_col).alias("_norm"))
+    prof = prof.withColumn("_toks", F.array_sort(name_tokens("_norm", normalized=True)))
     if materialize:
         from valorum.session import work_table
         prof = work_table(prof, "name-profile")

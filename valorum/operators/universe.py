@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valorum.functions.classify import (classify_governance, classify_size, derive_profile, derive_tags)
-from valorum.functions.text import clean_label
+from valorum.functions.classify import (SqlText, classify_governance, classify_size, derive_profile, derive_tags)
+from valorum.functions.sqltext import ident
+from valorum.functions.text import clean_label, clean_label_sql
 from valorum.functions.values import (DIVIDEND_SCALE, PAYOUT_CAP, PAYOUT_DEFAULT, clamp, nonzero, plausible,
                                       round_half_even)
 from valorum.operators.resolve import resolve_entities
@@ -86,7 +87,8 @@ def build_universe(tickers: DataFrame, companies: DataFrame, facts: DataFrame, i
         F.when(has, setor).otherwise(F.lit("")).alias("setor"),
         F.when(has, clean_label("subsectorname")).otherwise(F.lit("")).alias("subsetor"),
         F.when(has, clean_label("segmentname")).otherwise(F.lit("")).alias("segmento"),
-        F.when(has, derive_profile(setor, "dy", "p_l", "p_vp", "receitas_cagr5", "roe")).otherwise(F.lit(""))
+        F.when(has, derive_profile(SqlText(clean_label_sql(ident("sectorname"))), "dy", "p_l", "p_vp",
+                                   "receitas_cagr5", "roe")).otherwise(F.lit(""))
         .alias("perfil"),
         classify_size(mcap).alias("tamanho"),
         F.coalesce(F.col("gov"), F.lit("")).alias("gov"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valorum.functions.sqltext import expr, ident
 from valorum.functions.values import format_brl, format_ptbr
 
 # ---------------------------------------------------------------------------
@@ -36,6 +37,8 @@ def ddm_columns(eps, payout, g1, ke, gp, years: int = DEFAULT_YEARS) -> dict[str
     """
     if years < 1:
         raise ValueError("years must be >= 1")
+    if all(isinstance(c, str) for c in (eps, payout, g1, ke, gp)):
+        return {k: expr(v) for k, v in ddm_sql_text(*map(ident, (eps, payout, g1, ke, gp)), years).items()}
     eps, payout, g1, ke, gp = map(_c, (eps, payout, g1, ke, gp))
     d0 = eps * payout
     d = d0
@@ -61,6 +64,24 @@ def ddm_columns(eps, payout, g1, ke, gp, years: int = DEFAULT_YEARS) -> dict[str
     }
 
 
+def ddm_sql_text(eps: str, payout: str, g1: str, ke: str, gp: str, years: int = DEFAULT_YEARS) -> dict[str, str]:
+    """The same valuation as SQL expression text (one parse instead of one call per node)."""
+    d = f"({eps} * {payout})"
+    d0 = d
+    pv_sum = None
+    for n in range(1, years + 1):
+        d = f"({d} * (1.0D + {g1}))"
+        pv = f"({d} / power(1.0D + {ke}, {float(n)}D))"
+        pv_sum = pv if pv_sum is None else f"({pv_sum} + {pv})"
+    d_next = f"({d} * (1.0D + {gp}))"
+    valid = f"({ke} > {gp})"
+    terminal = f"CASE WHEN {valid} THEN ({d_next} / ({ke} - {gp})) END"
+    terminal_pv = f"CASE WHEN {valid} THEN ({terminal} / power(1.0D + {ke}, {float(years)}D)) END"
+    fair = f"CASE WHEN {valid} THEN ({pv_sum} + {terminal_pv}) ELSE {pv_sum} END"
+    return {"d0": d0, "pv_sum": pv_sum, "d_next": d_next, "terminal": terminal, "terminal_pv": terminal_pv,
+            "fair": fair, "valid": valid, "fair_display": f"CASE WHEN {valid} THEN {fair} END"}
+
+
 def ddm_value(df: DataFrame, eps="eps", payout="payout", g1="g1", ke="ke", gp="gp",
               years: int = DEFAULT_YEARS, prefix: str = "") -> DataFrame:
     """V7: add the valuation columns to every row (narrow, no shuffle)."""

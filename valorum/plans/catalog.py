@@ -303,8 +303,8 @@ def derive_tags(spark, d):
 @query("derive_profile")
 def derive_profile(spark, d):
     i = roles.indicators(spark, d)
-    return i.select("ticker", cl.derive_profile(tx.clean_label("sectorname"), "dy", "p_l", "p_vp", "receitas_cagr5",
-                                                "roe").alias("perfil"))
+    sector = cl.SqlText(tx.clean_label_sql("`sectorname`"))
+    return i.select("ticker", cl.derive_profile(sector, "dy", "p_l", "p_vp", "receitas_cagr5", "roe").alias("perfil"))
 
 
 @query("clean_label")

@@ -16,8 +16,18 @@ QUOTE_AS_OF = "2024-01-31 00:00:00"
 QUOTE_LOOKBACK = "5d"
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table; the DataFrame (schema and file listing) is reused within a session."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,29 +56,27 @@ def assumption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assumption_events_from(li: DataFrame) -> DataFrame:
     """The assumption-log mapping over line-item rows (batch or stream)."""
-    q = F.col("l_quantity")
-    return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-        F.col("l_partkey").alias("ticker"),
-        F.col("l_shipdate").alias("event_time"),
-        F.when(q > 45, F.col("l_extendedprice") / q / 100.0).alias("lpa"),
-        F.when(F.col("l_linestatus") == "F", 0.05 + F.col("l_tax") * 2.0).alias("roe_i"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_discount") * 5.0).alias("payout_i"),
-        (0.05 + F.col("l_tax")).alias("roe_t"),
-        (0.3 + F.col("l_discount") * 3.0).alias("payout_t"),
-        (F.col("l_linenumber") * 2).cast("double").alias("fade"),
-        (0.10 + F.col("l_discount")).alias("ke"),
-        F.when(q > 40, F.lit("g")).when(q < 5, F.lit("")).when(q < 10, F.lit(None)).otherwise(F.lit("roe"))
-        .alias("growth_mode"),
-        (F.col("l_tax") * 2.0).alias("g_i"),
-        (0.02 + F.col("l_discount") / 2.0).alias("g_t"),
-        (q / 2.0).alias("fut_pe"),
-        (F.col("l_discount") * 2.0).alias("mos"),
-        F.when(F.col("l_returnflag") == "N", F.lit(1)).when(F.col("l_returnflag") == "A", F.lit(0))
-        .alias("ke_default"),
-        F.when(F.col("l_linestatus") == "O", F.lit(1)).otherwise(F.lit(0)).alias("roet_default"),
-        F.when(q >= 25, F.lit(0)).otherwise(F.lit(1)).alias("payoutt_default"),
-        F.when(F.col("l_linenumber") > 4, F.lit(0)).otherwise(F.lit(1)).alias("fade_default"),
+    return li.selectExpr(
+        "l_orderkey * 8 + l_linenumber AS id",
+        "l_partkey AS ticker",
+        "l_shipdate AS event_time",
+        "CASE WHEN l_quantity > 45 THEN l_extendedprice / l_quantity / 100.0D END AS lpa",
+        "CASE WHEN l_linestatus = 'F' THEN 0.05D + l_tax * 2.0D END AS roe_i",
+        "CASE WHEN l_returnflag = 'R' THEN l_discount * 5.0D END AS payout_i",
+        "0.05D + l_tax AS roe_t",
+        "0.3D + l_discount * 3.0D AS payout_t",
+        "CAST(l_linenumber * 2 AS DOUBLE) AS fade",
+        "0.10D + l_discount AS ke",
+        "CASE WHEN l_quantity > 40 THEN 'g' WHEN l_quantity < 5 THEN '' WHEN l_quantity < 10 THEN NULL "
+        "ELSE 'roe' END AS growth_mode",
+        "l_tax * 2.0D AS g_i",
+        "0.02D + l_discount / 2.0D AS g_t",
+        "l_quantity / 2.0D AS fut_pe",
+        "l_discount * 2.0D AS mos",
+        "CASE WHEN l_returnflag = 'N' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS ke_default",
+        "CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS roet_default",
+        "CASE WHEN l_quantity >= 25 THEN 0 ELSE 1 END AS payoutt_default",
+        "CASE WHEN l_linenumber > 4 THEN 0 ELSE 1 END AS fade_default",
     )
 
 

@@ -84,9 +84,14 @@ def normalize_sql(x: str, drop_phrases=NAME_DROP_PHRASES) -> str:
 
 
 def tokens_sql(norm: str, stop_words=NAME_STOP_WORDS) -> str:
-    """F3 as SQL text over an already normalised name."""
-    stop = "array(" + ", ".join(lit(w) for w in stop_words) + ")"
-    return f"array_distinct(filter(split({norm}, ' '), w -> length(w) > 1 AND NOT array_contains({stop}, w)))"
+    """F3 as SQL text over an already normalised name (only A-Z, 0-9 and single spaces).
+
+    One-letter tokens are cut by a regex and stop words (plus the empty string)
+    by ``array_except``, which also keeps first occurrences only: no lambda.
+    """
+    stop = "array(" + ", ".join(lit(w) for w in ("", *stop_words)) + ")"
+    no_single = f"regexp_replace({norm}, '(?<![A-Z0-9])[A-Z0-9](?![A-Z0-9])', '')"
+    return f"array_except(split({no_single}, ' +'), {stop})"
 
 
 def fold_accents(col: Column | str) -> Column:

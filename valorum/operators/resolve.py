@@ -45,10 +45,13 @@ def name_profile(df: DataFrame, id_col: str, name_col: str, year_col: str | None
     With ``materialize`` the profile is written as a work table, so the text
     pipeline runs once however many branches read it.
     """
+    from valorum.session import spread
+
     cols = [F.col(id_col).alias("_id")]
     if year_col is not None:
         cols.append(F.col(year_col).alias("_year"))
-    prof = df.select(*cols, normalize_name(name_col).alias("_norm"))
+    prof = spread(df.select(*cols, F.col(name_col).alias("_name")))
+    prof = prof.select(*[c for c in prof.columns if c != "_name"], normalize_name("_name").alias("_norm"))
     prof = prof.withColumn("_toks", F.array_sort(name_tokens("_norm", normalized=True)))
     if materialize:
         from valorum.session import work_table

@@ -206,8 +206,10 @@ def scenario_summary(df: DataFrame, key, eps="eps", payout="payout", g1="g1",
     keys = [key] if isinstance(key, str) else list(key)
     rates = rates if rates is not None else grid_values(*RATE_RANGE)
     perpetuals = perpetuals if perpetuals is not None else grid_values(*PERPETUAL_RANGE)
+    from valorum.session import spread
+
     grid, divs = _grid_fair(eps, payout, g1, rates, perpetuals, years)
-    base = df.select(*keys, *[v.alias(k) for k, v in divs.items()])
+    base = spread(df.select(*keys, *[v.alias(k) for k, v in divs.items()]))
     vals = F.array_sort(F.filter(F.transform(grid, lambda p: p["fair"]), lambda x: x.isNotNull()))
     n_points = len(rates) * len(perpetuals)
     out = base.select(*keys, vals.alias("_v"))

@@ -85,3 +85,17 @@ def work_table(df, label: str):
     path = shared_path(spark, "work", f"{label}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread rows over at least the cluster's cores before CPU-heavy row work.
+
+    A frame read from few large files (or one row group) arrives as few tasks;
+    round-robin repartitioning then costs one shuffle and buys full parallelism.
+    A frame that already has enough partitions (any large scan) is returned as is.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

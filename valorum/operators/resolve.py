@@ -87,19 +87,27 @@ def set_id(toks: str) -> Column:
 
 
 def _prefix_tokens(sets: DataFrame, rank: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, token) for the prefix of rarest tokens of each distinct set."""
+    """(set_id, size, position, token) for the prefix of rarest tokens of each distinct set.
+
+    Positions are 0-based in the global order (document frequency, then token).
+    """
     exploded = sets.select("_sid", F.explode("_toks").alias("tok"))
     ranked = exploded.join(rank, "tok")
     per_set = ranked.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_ord"))
     n = F.size("_ord")
     overlap = F.ceil(n * threshold - _EPS)
     plen = (n - overlap + 1).cast("int")
-    return per_set.select("_sid", n.alias("_n"), F.explode(F.slice("_ord", 1, plen)).alias("_p")).select(
-        "_sid", "_n", F.col("_p.tok").alias("tok"))
+    return per_set.select("_sid", n.alias("_n"), F.posexplode(F.slice("_ord", 1, plen)).alias("_pos", "_p")).select(
+        "_sid", "_n", "_pos", F.col("_p.tok").alias("tok"))
 
 
 def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFrame:
-    """(_id, _rid, _j): best right entity per left profile row with Jaccard >= threshold."""
+    """(_id, _rid, _j): best right entity per left profile row with Jaccard >= threshold.
+
+    Candidates: pairs of distinct sets sharing a prefix token, kept only if the
+    length filter and the positional bound allow Jaccard >= threshold; survivors
+    are verified on the full arrays.
+    """
     lrows = lprof.select("_id", "_toks").where(F.size("_toks") > 0)
     rrows = rprof.select("_id", "_year", "_toks").where(F.size("_toks") > 0)
     # Merge identical sets; the right keeps its best entity per set.
@@ -110,12 +118,19 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
     vocab = (lset.select(F.explode("_toks").alias("tok"))
              .unionAll(rset.select(F.explode("_toks").alias("tok")))
              .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
-    lp = _prefix_tokens(lset, vocab, threshold).withColumnsRenamed({"_sid": "_lsid", "_n": "_ln"})
-    rp = _prefix_tokens(rset, vocab, threshold).withColumnsRenamed({"_sid": "_rsid", "_n": "_rn"})
-    cand = (lp.join(rp, "tok")
-            .where((F.col("_rn") >= F.col("_ln") * threshold - _EPS) &
-                   (F.col("_rn") * threshold <= F.col("_ln") + _EPS))
-            .select("_lsid", "_rsid").distinct())
+    lp = _prefix_tokens(lset, vocab, threshold).withColumnsRenamed({"_sid": "_lsid", "_n": "_ln", "_pos": "_li"})
+    rp = _prefix_tokens(rset, vocab, threshold).withColumnsRenamed({"_sid": "_rsid", "_n": "_rn", "_pos": "_ri"})
+    shared = (lp.join(rp, "tok")
+              .where((F.col("_rn") >= F.col("_ln") * threshold - _EPS) &
+                     (F.col("_rn") * threshold <= F.col("_ln") + _EPS)))
+    # Positional filter: all shared tokens up to the last shared prefix token lie in
+    # both prefixes; after it, at most min(remaining) more can be shared.
+    per_pair = shared.groupBy("_lsid", "_rsid").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_li").alias("_mli"), F.max("_ri").alias("_mri"),
+        F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
+    need = F.ceil((F.col("_ln") + F.col("_rn")) * (threshold / (1.0 + threshold)) - _EPS)
+    bound = F.col("_c") + F.least(F.col("_ln") - F.col("_mli") - 1, F.col("_rn") - F.col("_mri") - 1)
+    cand = per_pair.where(bound >= need).select("_lsid", "_rsid")
     l_arr = lset.select(F.col("_sid").alias("_lsid"), F.col("_toks").alias("_ltoks"))
     r_arr = rset.select(F.col("_sid").alias("_rsid"), F.col("_toks").alias("_rtoks"),
                         F.col("_id").alias("_rid"), F.col("_year").alias("_ryear"))

@@ -92,10 +92,34 @@ def round_half_up(x, places: int = 2) -> Column:
     return F.floor(_c(x) * m + 0.5) / m
 
 
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitting constant
+
+
+def _split(v: float) -> tuple[float, float]:
+    c = _SPLIT * v
+    hi = c - (c - v)
+    return hi, v - hi
+
+
 def round_half_even(x, places: int = 2) -> Column:
-    """F9 (build figures): half-to-even on the scaled binary value, like Python's ``round``."""
+    """F9 (build figures): Python's ``round(x, places)``: half-to-even on the exact binary value.
+
+    ``x * 10**places`` is rounded by the float multiply; its exact error is
+    recovered with Dekker's two-product (plain double arithmetic), and it decides
+    the apparent ties: 2.675 is 2.67499999... in binary, so it rounds to 2.67.
+    """
     m = float(10 ** places)
-    return F.bround(_c(x) * m, 0) / m
+    hm, lm = _split(m)
+    x = _c(x)
+    p = x * m
+    c = x * _SPLIT
+    hx = c - (c - x)
+    lx = x - hx
+    err = ((hx * hm - p) + hx * lm + lx * hm) + lx * lm
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == 0.5
+    r = F.when(tie & (err > 0), fl + 1.0).when(tie & (err < 0), fl).otherwise(F.rint(p))
+    return r / m
 
 
 def format_ptbr(x, places: int = 2, prefix: str = "") -> Column:

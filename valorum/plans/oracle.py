@@ -72,6 +72,22 @@ def with_roles(*roles: str) -> str:
     return "WITH " + ",".join(roles)
 
 
+def pyround_sql(x: str, places: int) -> str:
+    """Python's round(x, places) in DuckDB: Dekker two-product error decides the apparent ties."""
+    m = float(10 ** places)
+    c = 134217729.0 * m
+    hm = c - (c - m)
+    lm = m - hm
+    p = f"(({x}) * {m!r})"
+    hx = f"((({x}) * 134217729.0) - ((({x}) * 134217729.0) - ({x})))"
+    lx = f"(({x}) - {hx})"
+    err = f"((({hx} * {hm!r} - {p}) + {hx} * {lm!r} + {lx} * {hm!r}) + {lx} * {lm!r})"
+    tie = f"({p} - floor({p}) = 0.5)"
+    return (f"(CASE WHEN {tie} AND {err} > 0 THEN floor({p}) + 1 WHEN {tie} AND {err} < 0 THEN floor({p}) "
+            f"ELSE round_even({p}, 0) END / {m!r})")
+
+
+
 def ddm_sql(eps: str, payout: str, g1: str, ke: str, gp: str, years: int = 5) -> dict[str, str]:
     """SQL text of the year-by-year two-stage valuation."""
     d0 = f"({eps}) * ({payout})"
@@ -152,15 +168,15 @@ register("latest_year_dividends", with_roles(ROLE_FILINGS, SQL_DIV_BY_YEAR, SQL_
 register("payout_ratio", with_roles(ROLE_FILINGS, SQL_NET_INCOME, SQL_DIV_BY_YEAR, SQL_DIV_LATEST) + """
 SELECT coalesce(ni.entity, d.entity) AS entity, d.dividends, ni.net_income_units,
        CASE WHEN d.dividends <> 0 AND ni.net_income_units > 0
-            THEN round_even(least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units)) * 1000.0, 0) / 1000.0 END AS payout_raw,
+            THEN """ + pyround_sql("least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units))", 3) + """ END AS payout_raw,
        coalesce(CASE WHEN d.dividends <> 0 AND ni.net_income_units > 0
-            THEN round_even(least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units)) * 1000.0, 0) / 1000.0 END, 0.45) AS payout
+            THEN """ + pyround_sql("least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units))", 3) + """ END, 0.45) AS payout
 FROM ni FULL OUTER JOIN div_latest d ON ni.entity = d.entity""")
 register("eps_with_fallback", with_roles(ROLE_FILINGS, SQL_LATEST_EPS) + """
 SELECT s.s_suppkey AS entity,
-       round_even(coalesce(CASE WHEN abs(e.eps / 1000.0) <= 100 AND e.eps <> 0 THEN e.eps / 1000.0 END,
-                      round_even(CASE WHEN abs(s.s_acctbal / 100.0) <= 100 AND s.s_acctbal <> 0
-                                 THEN s.s_acctbal / 100.0 END * 100.0, 0) / 100.0) * 100.0, 0) / 100.0 AS lpa
+       """ + pyround_sql("coalesce(CASE WHEN abs(e.eps / 1000.0) <= 100 AND e.eps <> 0 THEN e.eps / 1000.0 END, "
+                         + pyround_sql("CASE WHEN abs(s.s_acctbal / 100.0) <= 100 AND s.s_acctbal <> 0 "
+                                       "THEN s.s_acctbal / 100.0 END", 2) + ")", 2) + """ AS lpa
 FROM supplier s LEFT JOIN eps e ON e.entity = s.s_suppkey""")
 
 register("dedupe_last_wins", with_roles(ROLE_CONFIG) + " SELECT k, round(v, 6) AS v FROM config")
@@ -550,7 +566,7 @@ reg AS (SELECT p_partkey AS cd, {pick_sql(R.CONTROL_TEXTS, 'p_size')} AS control
 facts AS (
   SELECT coalesce(eps.cd, ni.cd, dl.cd, reg.cd) AS cd, eps.eps,
          CASE WHEN dl.d <> 0 AND ni.ni > 0
-              THEN round_even(least(1.5, greatest(0.0, dl.d * 1000.0 / ni.ni)) * 1000.0, 0) / 1000.0 END AS payout_calc,
+              THEN {pyround_sql("least(1.5, greatest(0.0, dl.d * 1000.0 / ni.ni))", 3)} END AS payout_calc,
          {ctrl_sql('reg.controle')} AS ctrl,
          {gov_sql("json_extract_string(CASE WHEN ltrim(reg.payload) LIKE '\"%' THEN json_extract_string(reg.payload, '$') ELSE reg.payload END, '$.market')")} AS gov
   FROM eps FULL JOIN ni ON ni.cd = eps.cd FULL JOIN dl ON dl.cd = coalesce(eps.cd, ni.cd)
@@ -566,7 +582,7 @@ u AS (
 
 def _universe_select() -> str:
     setor = clean_label_sql("sectorname")
-    fallback = ("round_even(CASE WHEN abs(ind_lpa) <= 100 AND ind_lpa <> 0 THEN ind_lpa END * 100.0, 0) / 100.0")
+    fallback = pyround_sql("CASE WHEN abs(ind_lpa) <= 100 AND ind_lpa <> 0 THEN ind_lpa END", 2)
     prim = "CASE WHEN cd_cvm IS NOT NULL AND abs(eps) <= 100 AND eps <> 0 THEN eps END"
     mcap = "coalesce(nullif(valormercado, 0), market_cap)"
     return f"""
@@ -580,9 +596,9 @@ SELECT ticker, cd_cvm,
        CASE WHEN has_ind THEN {tags_sql('dy', 'p_l', 'p_vp', 'roe', 'dividaliquidaebit', 'ind_lpa', 'valormercado')}
             ELSE CAST([] AS VARCHAR[]) END AS tags,
        false AS monitored,
-       round_even(coalesce({prim}, {fallback}) * 100.0, 0) / 100.0 AS lpa,
+       {pyround_sql(f"coalesce({prim}, {fallback})", 2)} AS lpa,
        coalesce(payout_calc, 0.45) AS payout,
-       CASE WHEN has_ind AND roe > 0 THEN round_even(roe / 100.0 * 10000.0, 0) / 10000.0 ELSE 0.15 END AS roe_i,
+       CASE WHEN has_ind AND roe > 0 THEN {pyround_sql("roe / 100.0", 4)} ELSE 0.15 END AS roe_i,
        CASE WHEN liquidezmediadiaria <> 0 THEN round_even(liquidezmediadiaria, 0) END AS liquidez,
        0.06 AS g1, 0.14 AS ke, 0.04 AS gp, how
 FROM u"""
@@ -870,3 +886,4 @@ SELECT ticker, floor(arg_max(close, ts) * 100.0 + 0.5) / 100.0 AS price, max(ts)
 FROM quotes WHERE close IS NOT NULL AND NOT isnan(close) GROUP BY ticker""")
 register("stream_assumption_state", with_roles(ROLE_EVENTS, SQL_CURRENT) + f"""
 SELECT ticker, {_acols()} FROM cur""")
+

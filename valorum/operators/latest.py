@@ -107,3 +107,8 @@ def dedupe_last_wins(df: DataFrame, keys, order_col) -> DataFrame:
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     """Distinct non-null keys (sorted by the caller if needed)."""
     return df.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def history_for_key(df: DataFrame, key: str, value, order_col: str, k: int = 40) -> DataFrame:
+    """The newest ``k`` rows of one key (point lookup, then a top-k sort)."""
+    return df.where(F.col(key) == value).orderBy(F.col(order_col).desc()).limit(k)

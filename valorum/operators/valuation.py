@@ -233,3 +233,15 @@ __all__ = [
     "ddm_columns", "ddm_value", "margin_of_safety", "margin_label", "ddm_ledger", "ddm_steps",
     "ddm_scenarios", "scenario_summary", "grid_values", "format_ptbr",
 ]
+
+
+def register_sql_functions(spark, years: int = DEFAULT_YEARS, name: str = "ddm_fair") -> str:
+    """SQL surface (2.13): the fair value as a SQL-bodied temporary function.
+
+    ``ddm_fair(eps, payout, g1, ke, gp)`` is inlined by the optimizer like any
+    expression (no Python in the plan). Returns the function name.
+    """
+    body = ddm_sql_text("eps", "payout", "g1", "ke", "gp", years)["fair"]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(eps DOUBLE, payout DOUBLE, g1 DOUBLE, ke DOUBLE, "
+              f"gp DOUBLE) RETURNS DOUBLE RETURN {body}")
+    return name

@@ -748,3 +748,25 @@ def stream_assumption_state(spark, d):
     q = sm.stream_assumptions(events, base + "/state", base + "/log", base + "/checkpoint")
     q.awaitTermination()
     return _r6_floats(sm.read_state(spark, base + "/state"), ASSUMPTION_FLOATS)
+
+
+# --- SQL surface, config defaults, single-key history: 2.13, M8, L2 ------------------------------------
+@query("ddm_sql_function")
+def ddm_sql_function(spark, d):
+    import uuid
+    fn = val.register_sql_functions(spark)
+    view = f"stocks_{uuid.uuid4().hex[:8]}"
+    roles.stocks(spark, d).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT ticker, round({fn}(lpa, payout, g1, ke, gp) * 1e6D) / 1e6D AS fair FROM {view}")
+
+
+@query("config_defaults")
+def config_defaults(spark, d):
+    defaults = spark.createDataFrame([(dbk, float(v)) for _, dbk, v in asm.CONFIG_KEYS[:4]], "k string, v double")
+    cur = _config(spark, d).where(F.col("v").isNotNull())
+    return stt.insert_ignore(cur, defaults, "k").select("k", r6("v").alias("v"))
+
+
+@query("assumption_history_one")
+def assumption_history_one(spark, d):
+    return lt.history_for_key(roles.history_log(spark, d), "ticker", 7, "id", 40).select("ticker", "id", "value")

@@ -887,3 +887,15 @@ FROM quotes WHERE close IS NOT NULL AND NOT isnan(close) GROUP BY ticker""")
 register("stream_assumption_state", with_roles(ROLE_EVENTS, SQL_CURRENT) + f"""
 SELECT ticker, {_acols()} FROM cur""")
 
+
+
+register("ddm_sql_function", with_roles(ROLE_STOCKS) + f"""
+SELECT ticker, round({ddm_sql('lpa', 'payout', 'g1', 'ke', 'gp')['fair']}, 6) AS fair FROM stocks""")
+register("config_defaults", with_roles(ROLE_CONFIG) + """
+, cur AS (SELECT k, v FROM config WHERE v IS NOT NULL)
+SELECT k, round(v, 6) AS v FROM cur
+UNION ALL SELECT k, v FROM (VALUES ('ke_global', 0.14::DOUBLE), ('roet_global', 0.12::DOUBLE),
+                                  ('payoutt_global', 0.60::DOUBLE), ('fade_global', 10.0::DOUBLE)) t(k, v)
+WHERE k NOT IN (SELECT k FROM cur)""")
+register("assumption_history_one", """
+SELECT user_id AS ticker, event_id AS id, value FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 40""")

@@ -80,7 +80,12 @@ def effective_assumptions(stocks: DataFrame, current: DataFrame, config: DataFra
     :func:`config_wide`. Starting values: stored, else the stock's data; terminal
     values and the rate: stored only if its flag is off (NULL flag = on, D1).
     """
-    cfg = {c: F.lit(config.select(c).scalar()) for c in ("ke", "roet", "payoutt", "fade")}
+    # One uncorrelated scalar subquery returns the config values (run once, no join). An
+    # array, not a struct: field pruning would split a struct into one subquery per field.
+    # It is attached once as a column; every use reads that column.
+    names = ("ke", "roet", "payoutt", "fade")
+    row = config.select(F.array(*[F.col(c).cast("double") for c in names]).alias("cfg")).scalar()
+    cfg = {c: F.element_at(F.col("_cfg"), i + 1) for i, c in enumerate(names)}
     g_t_global = cfg["roet"] * (1.0 - cfg["payoutt"])
     cur_cols = [c for c in (*ASSUMPTION_VALUES, *ASSUMPTION_FLAGS) if c in current.columns]
     cur = current.select(F.col(key), *[F.col(c).alias("a_" + c) for c in cur_cols])
@@ -90,7 +95,7 @@ def effective_assumptions(stocks: DataFrame, current: DataFrame, config: DataFra
     base = stocks
     if watchlist is not None:
         base = monitored_flag(base, watchlist, key)
-    j = base.join(cur, key, "left")
+    j = base.join(cur, key, "left").withColumn("_cfg", row)
 
     def a(c) -> Column:
         return F.col("a_" + c)
@@ -109,7 +114,7 @@ def effective_assumptions(stocks: DataFrame, current: DataFrame, config: DataFra
         "fut_pe": a("fut_pe"),
         "mos": a("mos"),
     })
-    drop = [c for c in out.columns if c.startswith("a_")]
+    drop = [c for c in out.columns if c.startswith("a_") or c == "_cfg"]
     out = out.drop(*drop)
     if not keep_seed_rates:
         out = out.drop(*[c for c in ("g1", "gp", "payout") if c in out.columns])

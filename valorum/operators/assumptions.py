@@ -48,10 +48,12 @@ def config_wide(config: DataFrame, key: str = "k", value: str = "v") -> DataFram
 def config_long(changes: DataFrame, carry=()) -> DataFrame:
     """A wide change (API names) to (k, v) rows; absent (NULL) settings are skipped.
 
+    Text values are parsed with ``try_cast`` (D7): unparsable text is skipped like an
+    absent value instead of failing the job; :func:`config_rejects` lists those rows.
     ``carry`` columns (e.g. the write time) are kept beside every (k, v) row.
     """
     present = [api for api, _, _ in CONFIG_KEYS if api in changes.columns]
-    exprs = [F.struct(F.lit(dbk).alias("k"), F.col(api).cast("double").alias("v"))
+    exprs = [F.struct(F.lit(dbk).alias("k"), F.col(api).try_cast("double").alias("v"))
              for api, dbk, _ in CONFIG_KEYS if api in present]
     if CONFIG_MODE_KEY[0] in changes.columns:
         api, dbk, _ = CONFIG_MODE_KEY
@@ -60,6 +62,15 @@ def config_long(changes: DataFrame, carry=()) -> DataFrame:
     return changes.select(*carry, F.inline(F.array(*exprs))).where(F.col("v").isNotNull())
 
 
+def config_rejects(changes: DataFrame, carry=()) -> DataFrame:
+    """The (k, text) settings that were sent but are not numbers."""
+    exprs = [F.struct(F.lit(dbk).alias("k"), F.col(api).cast("string").alias("text"),
+                      F.col(api).try_cast("double").alias("v"))
+             for api, dbk, _ in CONFIG_KEYS if api in changes.columns]
+    out = changes.select(*carry, F.inline(F.array(*exprs)))
+    return out.where(F.col("text").isNotNull() & F.col("v").isNull()).drop("v")
+
+
 def monitored_flag(stocks: DataFrame, watchlist: DataFrame, key: str = "ticker",
                    own_flag: str = "monitored", out: str = "monitored") -> DataFrame:
     """Membership in the watchlist when it has any row, else the stock's own flag (Q11)."""

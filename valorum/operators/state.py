@@ -107,7 +107,7 @@ def patch_columns(current: DataFrame, changes: DataFrame, key: str = "ticker", f
                   allowed: Sequence[str] = EDIT_FIELDS, order_by: Sequence = ()) -> tuple[DataFrame, DataFrame]:
     """M5: partial update of whitelisted columns sent in a change (``fields`` MAP<STRING,STRING>).
 
-    A sent NULL becomes '' (blank). Returns (next, status) where status has one
+    A sent NULL becomes '' (blank; '[]' for the JSON tags). Returns (next, status) where status has one
     row per change key: 'ok', 'nada para atualizar' or 'ticker não encontrado'.
     """
     ch = changes
@@ -120,7 +120,8 @@ def patch_columns(current: DataFrame, changes: DataFrame, key: str = "ticker", f
     for col in allowed:
         if col in current.columns:
             sent = F.coalesce(F.map_contains_key("_m", col), F.lit(False))
-            sets[col] = F.when(sent, F.coalesce(F.col("_m")[col], F.lit(""))).otherwise(F.col(col))
+            blank = F.lit("[]") if col == "tags" else F.lit("")  # tags are JSON text
+            sets[col] = F.when(sent, F.coalesce(F.col("_m")[col], blank)).otherwise(F.col(col))
     nxt = j.withColumns(sets).drop("_m")
     present = current.select(key).withColumn("_found", F.lit(True))
     st = ch.join(present, key, "left").select(
@@ -178,9 +179,16 @@ def add_entities(current: DataFrame, requests: DataFrame, defaults: Mapping[str,
                  key: str = "ticker") -> tuple[DataFrame, DataFrame]:
     """Insert valid, new requests with defaults for absent values, marked user-created.
 
+    Text keys are upper-cased; a tag array is stored as JSON text.
+
     Returns (next, statuses). ``defaults`` fills NULL request values per column.
     """
-    st = insert_status(current, requests, key)
+    req = requests
+    if dict(req.dtypes).get(key) == "string":
+        req = req.withColumn(key, F.upper(key))
+    if "tags" in req.columns and dict(req.dtypes)["tags"].startswith("array"):
+        req = req.withColumn("tags", F.coalesce(F.to_json("tags"), F.lit("[]")))
+    st = insert_status(current, req, key)
     ok = st.where(F.col("status") == STATUS_INSERTED)
     cols = []
     for f in current.schema.fields:

@@ -102,6 +102,13 @@ def margin_label(mos) -> Column:
     return F.when(m >= 0, F.lit("good")).when(m < 0, F.lit("bad"))
 
 
+def margin_text(mos, price) -> Column:
+    """V9 badge text: '+34,4% de margem vs R$ 30,50' (sign only when non-negative); null without a margin."""
+    m, p = _c(mos), _c(price)
+    sign = F.when(m >= 0, F.lit("+")).otherwise(F.lit(""))
+    return F.when(m.isNotNull(), F.concat(sign, format_ptbr(m, 1), F.lit("% de margem vs R$ "), format_ptbr(p, 2)))
+
+
 def ddm_ledger(df: DataFrame, key, eps="eps", payout="payout", g1="g1", ke="ke",
                years: int = DEFAULT_YEARS) -> DataFrame:
     """V8: one row per projection year with the year-0 base row (n=0, no factor/pv).

@@ -206,7 +206,7 @@ def margin_of_safety(spark, d):
     q = roles.second_quotes(spark, d).select("ticker", fv.round_half_up("price", 2).alias("price"))
     v = v.join(q, "ticker", "left").withColumn("margin", val.margin_of_safety("fair", "price", "valid"))
     return v.select("ticker", r6("fair").alias("fair"), "valid", r6("price").alias("price"), r6("margin").alias("margin"),
-                    val.margin_label("margin").alias("margin_label"))
+                    val.margin_label("margin").alias("margin_label"), val.margin_text("margin", "price").alias("badge"))
 
 
 @query("ddm_projection_ledger")
@@ -685,12 +685,14 @@ def src_indicator_json(spark, d):
 
 @query("chart_arrays_to_rows")
 def chart_arrays_to_rows(spark, d):
-    q = roles.quotes(spark, d)
-    pts = q.select(F.col("ticker").cast("string").alias("ticker"), F.to_date("ts").alias("day"),
-                   F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("close").alias("c")).alias("p"))
-    per_day = pts.groupBy("ticker", "day").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    payload = per_day.select("ticker", F.struct(F.transform("ps", lambda p: p["t"]).alias("timestamp"),
-                                                 F.transform("ps", lambda p: p["c"]).alias("close")).alias("result"))
+    e = roles.table(spark, d, "events")
+    pts = e.select(F.col("user_id").cast("string").alias("ticker"),
+                   F.floor(F.col("event_id") / 60).alias("chunk"),  # at most 60 points per payload
+                   F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
+                            F.when(F.col("event_type") != "error", F.col("value")).alias("c")).alias("p"))
+    docs = pts.groupBy("ticker", "chunk").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    payload = docs.select("ticker", F.struct(F.transform("ps", lambda p: p["t"]).alias("timestamp"),
+                                              F.transform("ps", lambda p: p["c"]).alias("close")).alias("result"))
     return qt.chart_rows(payload, "ticker", "result")
 
 

@@ -299,7 +299,10 @@ def _mos() -> str:
     s = ddm_sql("lpa", "payout", "g1", "ke", "gp")
     return with_roles(ROLE_STOCKS, ROLE_SECOND_QUOTES) + f"""
 SELECT ticker, round(fair, 6) AS fair, valid, round(price, 6) AS price, round(mos, 6) AS margin,
-       CASE WHEN mos >= 0 THEN 'good' WHEN mos < 0 THEN 'bad' END AS margin_label
+       CASE WHEN mos >= 0 THEN 'good' WHEN mos < 0 THEN 'bad' END AS margin_label,
+       CASE WHEN mos IS NOT NULL THEN (CASE WHEN mos >= 0 THEN '+' ELSE '' END)
+            || translate(format('{{:,.1f}}', mos), ',.', '.,') || '% de margem vs R$ '
+            || translate(format('{{:,.2f}}', price), ',.', '.,') END AS badge
 FROM (SELECT s.ticker, {s['fair']} AS fair, {s['valid']} AS valid, (floor(q.price * 100.0 + 0.5) / 100.0) AS price,
              CASE WHEN (floor(q.price * 100.0 + 0.5) / 100.0) > 0 AND {s['valid']}
                   THEN ({s['fair']} - (floor(q.price * 100.0 + 0.5) / 100.0)) / (floor(q.price * 100.0 + 0.5) / 100.0) * 100.0 END AS mos

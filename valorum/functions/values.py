@@ -81,9 +81,25 @@ def tags_to_json(tags) -> Column:
     return F.coalesce(F.to_json(_c(tags)), F.lit("[]"))
 
 
-def epoch_millis(ts) -> Column:
-    """F16: timestamp (or timestamp without zone) to epoch milliseconds."""
-    return F.unix_millis(_c(ts).cast("timestamp"))
+_NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(ts, ntz: bool) -> Column:
+    """Epoch microseconds. A timestamp without zone is read as UTC wall-clock time whatever
+    the session time zone; a timestamp with zone is an instant already."""
+    c = _c(ts)
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.expr(_NTZ_EPOCH), c)
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def epoch_millis(ts, ntz: bool = True) -> Column:
+    """F16: timestamp to epoch milliseconds (floored, like the browser's ``ts * 1000``)."""
+    return F.floor(epoch_micros(ts, ntz) / 1000).cast("long")
+
+
+def is_ntz(df, col: str) -> bool:
+    return df.schema[col].dataType.typeName() == "timestamp_ntz"
 
 
 def round_half_up(x, places: int = 2) -> Column:

@@ -57,7 +57,10 @@ def latest_per_key(df: DataFrame, keys, order_by: Sequence, columns: Sequence[st
                     "timestamp", "timestamp_ntz", "date"):
                 return top_k_per_key(df, keys, order_by, 1).drop("rank")
             if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
-                c = F.unix_micros(col.cast("timestamp")) if f.dataType.typeName() != "date" else F.unix_date(col)
+                t = f.dataType.typeName()
+                c = (F.unix_date(col) if t == "date" else
+                     F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col)
+                     if t == "timestamp_ntz" else F.unix_micros(col))
             c = -c
         fields.append(c.alias(f"o{i}"))
     order = F.struct(*fields)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valorum.functions.values import epoch_millis, round_half_up
+from valorum.functions.values import epoch_micros, epoch_millis, is_ntz, round_half_up
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -90,7 +90,8 @@ def history_series(df: DataFrame, key: str = "ticker", ts: str = "ts", close: st
     if as_of is not None:
         df = history_lookback(df, ts, as_of, range_str)
     df = drop_missing(df, close)
-    points = df.select(F.col(key), epoch_millis(ts).alias("ts_ms"), round_half_up(F.col(close), places).alias("close"))
+    points = df.select(F.col(key), epoch_millis(ts, is_ntz(df, ts)).alias("ts_ms"),
+                       round_half_up(F.col(close), places).alias("close"))
     if not as_array:
         return points.orderBy(key, "ts_ms")
     if as_of is None or range_str == "max":
@@ -121,7 +122,9 @@ def unpivot_quotes(df: DataFrame, ts: str = "ts", key: str = "ticker", value: st
 def quote_freshness(df: DataFrame, ts: str, as_of: str, ttl_seconds: int = QUOTE_TTL_SECONDS,
                     out: str = "stale") -> DataFrame:
     """Age in seconds at ``as_of`` and a stale flag (age > ttl)."""
-    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
+    ntz = is_ntz(df, ts)
+    as_of_c = F.lit(as_of).cast("timestamp_ntz" if ntz else "timestamp")
+    age = (epoch_micros(as_of_c, ntz) - epoch_micros(ts, ntz)) / 1e6
     return df.withColumn("age_s", age).withColumn(out, F.col("age_s") > ttl_seconds)
 
 

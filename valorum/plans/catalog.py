@@ -688,7 +688,7 @@ def chart_arrays_to_rows(spark, d):
     e = roles.table(spark, d, "events")
     pts = e.select(F.col("user_id").cast("string").alias("ticker"),
                    F.floor(F.col("event_id") / 60).alias("chunk"),  # at most 60 points per payload
-                   F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
+                   F.struct(F.floor(fv.epoch_micros("ts", ntz=True) / 1000000).cast("long").alias("t"),
                             F.when(F.col("event_type") != "error", F.col("value")).alias("c")).alias("p"))
     docs = pts.groupBy("ticker", "chunk").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     payload = docs.select("ticker", F.struct(F.transform("ps", lambda p: p["t"]).alias("timestamp"),
@@ -737,8 +737,7 @@ def stream_latest_quote(spark, d):
     q = sm.stream_latest_quote(quotes, base + "/state", base + "/checkpoint")
     q.awaitTermination()
     st = sm.read_state(spark, base + "/state")
-    return st.select("ticker", fv.round_half_up("price", 2).alias("price"),
-                     F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+    return st.select("ticker", fv.round_half_up("price", 2).alias("price"), "last_ts")
 
 
 @query("stream_assumption_state")

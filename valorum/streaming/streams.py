@@ -52,7 +52,7 @@ def stream_latest_quote(stream: DataFrame, state_dir: str, checkpoint: str, key:
     No watermark: the key has no event-time bucket, and a global watermark could
     drop the only (late) quote of a quiet key.
     """
-    quotes = drop_missing(stream.select(key, F.col(ts).cast("timestamp").alias(ts), close), close)
+    quotes = drop_missing(stream.select(key, ts, close), close)
     agg = quotes.groupBy(key).agg(F.max_by(F.col(close), F.struct(F.col(ts), F.col(close))).alias("price"),
                                   F.max(ts).alias("last_ts"))
 

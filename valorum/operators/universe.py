@@ -44,15 +44,21 @@ def company_facts(eps: DataFrame, income: DataFrame, dividends: DataFrame, regis
                   governance: DataFrame, dividend_scale: float = DIVIDEND_SCALE) -> DataFrame:
     """Per company code: EPS, payout, control and governance labels (all keyed by the padded code).
 
+    Every input must hold at most one row per code (they are latest-per-key results).
+
     ``eps(cd_cvm, eps)``, ``income(cd_cvm, net_income_units)``, ``dividends(cd_cvm, dividends)``,
     ``registry(cd_cvm, ctrl)``, ``governance(cd_cvm, payload)``.
     """
     gov = governance.select("cd_cvm", classify_governance(double_decode("payload")).alias("gov"))
-    facts = (eps.select("cd_cvm", "eps")
-             .join(income.select("cd_cvm", "net_income_units"), "cd_cvm", "full")
-             .join(dividends.select("cd_cvm", "dividends"), "cd_cvm", "full")
-             .join(registry.select("cd_cvm", "ctrl"), "cd_cvm", "full")
-             .join(gov, "cd_cvm", "full"))
+    # Each input holds at most one row per code: a union and one group-by builds the
+    # company table with a single shuffle (chained full joins would re-shuffle per join).
+    parts = [eps.select("cd_cvm", "eps"), income.select("cd_cvm", "net_income_units"),
+             dividends.select("cd_cvm", "dividends"), registry.select("cd_cvm", "ctrl"), gov]
+    stacked = None
+    for part in parts:
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    facts = stacked.groupBy("cd_cvm").agg(*[F.max(c).alias(c) for c in
+                                             ("eps", "net_income_units", "dividends", "ctrl", "gov")])
     d, ni = F.col("dividends"), F.col("net_income_units")
     ok = F.coalesce((d != 0) & (ni > 0), F.lit(False))
     payout = F.when(ok, round_half_even(clamp(d * dividend_scale / ni, 0.0, PAYOUT_CAP), 3))
@@ -119,10 +125,12 @@ def build_quality_report(universe: DataFrame, spot_check: Sequence[str] = SPOT_C
         F.count_if(F.col("lpa").isNotNull()).alias("with_lpa"),
         F.count_if(F.col("cd_cvm").isNull()).alias("no_match"),
         F.count_if(F.col("gov") != "").alias("gov_filled"),
+        F.count_if(F.col(key).cast("string").isin(*[str(s) for s in spot_check])).alias("spot_found"),
     )
+    # The sample is a top-k (per-task top 8, then merged), collected only after the limit.
     first = (universe.where(F.col("cd_cvm").isNull()).select(key).orderBy(key).limit(sample)
              .agg(F.array_sort(F.collect_list(key)).alias("unmatched_sample")))
-    spot = (universe.where(F.col(key).cast("string").isin(*[str(s) for s in spot_check]))
-            .agg(F.count(F.lit(1)).alias("spot_found")))
-    # One-row aggregates meet as scalar subqueries (no join).
-    return counts.select("*", first.scalar().alias("unmatched_sample"), spot.scalar().alias("spot_found"))
+    # The one-row sample meets the counts as a scalar subquery (no join). Pass a written
+    # universe: the report then reads it twice instead of rebuilding it.
+    return counts.select("total", "matched", "with_lpa", "no_match", "gov_filled",
+                         first.scalar().alias("unmatched_sample"), "spot_found")

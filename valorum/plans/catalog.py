@@ -351,8 +351,9 @@ def universe_build(spark, d):
 
 @query("build_quality_report")
 def build_quality_report(spark, d):
-    return uv.build_quality_report(_universe(spark, d).withColumn("ticker", F.col("ticker").cast("string")),
-                                   spot_check=("0", "2", "4", "6", "8", "10", "12", "14"))
+    from valorum.session import work_table
+    written = work_table(_universe(spark, d).withColumn("ticker", F.col("ticker").cast("string")), "universe")
+    return uv.build_quality_report(written, spot_check=("0", "2", "4", "6", "8", "10", "12", "14"))
 
 
 # --- state: M1-M12, J7, J10 ----------------------------------------------------------------------

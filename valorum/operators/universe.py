@@ -18,7 +18,7 @@ from valorum.functions.text import clean_label, clean_label_sql
 from valorum.functions.values import (DIVIDEND_SCALE, PAYOUT_CAP, PAYOUT_DEFAULT, clamp, nonzero, plausible,
                                       round_half_even)
 from valorum.operators.resolve import resolve_entities
-from valorum.sources.files import double_decode, pad_code
+from valorum.sources.files import double_decode
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.

@@ -130,7 +130,7 @@ def test_history_series_and_freshness(spark):
     rows = qt.history_series(q, as_of="2024-01-31 00:00:00", range_str="5d").collect()
     assert [(r.ts_ms, r.close) for r in rows] == [(1706658000000, 1.0), (1706658600000, 2.0)]
     arr = qt.history_series(q, as_of="2024-01-31 00:00:00", range_str="5d", as_array=True).first().series
-    assert arr == [[1706658000000.0, 1.0], [1706658600000.0, 2.0]]
+    assert arr == [[1706658600000.0, 2.0]]  # one point per day: the day's last close
     last = q.groupBy("ticker").agg(F.max("ts").alias("ts"))
     f = qt.quote_freshness(last, "ts", "2024-01-31 00:00:00", 900).first()
     assert f.age_s == 300.0 and f.stale is False

@@ -84,20 +84,26 @@ def history_series(df: DataFrame, key: str = "ticker", ts: str = "ts", close: st
 
     Long form (default): one row per point, ordered by key and time with a range
     partitioned sort, so a key with many points spreads over several tasks.
-    Array form: one row per key with the sorted pairs; only for bounded series
-    (a look-back range is required).
+    Array form: one row per key with the daily series (the last close of each day,
+    as the provider's 1-day interval); each key first shrinks to one point per day
+    by a partial aggregate, so an array holds at most one point per day of the
+    look-back, however many raw points a key has. A look-back range is required.
     """
     if as_of is not None:
         df = history_lookback(df, ts, as_of, range_str)
     df = drop_missing(df, close)
-    points = df.select(F.col(key), epoch_millis(ts, is_ntz(df, ts)).alias("ts_ms"),
+    ntz = is_ntz(df, ts)
+    points = df.select(F.col(key), epoch_millis(ts, ntz).alias("ts_ms"),
                        round_half_up(F.col(close), places).alias("close"))
     if not as_array:
         return points.orderBy(key, "ts_ms")
     if as_of is None or range_str == "max":
         raise ValueError("array form needs a bounded look-back (as_of and a range)")
-    pairs = F.array_sort(F.collect_list(F.struct("ts_ms", "close")))
-    return points.groupBy(key).agg(
+    day = F.floor(F.col("ts_ms") / 86400000)
+    daily = (points.groupBy(key, day.alias("_day"))
+             .agg(F.max_by(F.struct("ts_ms", "close"), F.struct("ts_ms", "close")).alias("_p")))
+    pairs = F.array_sort(F.collect_list("_p"))
+    return daily.groupBy(key).agg(
         F.transform(pairs, lambda p: F.array(p["ts_ms"].cast("double"), p["close"])).alias("series"))
 
 

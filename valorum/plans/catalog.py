@@ -772,3 +772,8 @@ def config_defaults(spark, d):
 @query("assumption_history_one")
 def assumption_history_one(spark, d):
     return lt.history_for_key(roles.history_log(spark, d), "ticker", 7, "id", 40).select("ticker", "id", "value")
+
+
+@query("history_series_daily")
+def history_series_daily(spark, d):
+    return qt.history_series(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str="1mo", as_array=True)

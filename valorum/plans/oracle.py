@@ -902,3 +902,10 @@ UNION ALL SELECT k, v FROM (VALUES ('ke_global', 0.14::DOUBLE), ('roet_global',
 WHERE k NOT IN (SELECT k FROM cur)""")
 register("assumption_history_one", """
 SELECT user_id AS ticker, event_id AS id, value FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 40""")
+register("history_series_daily", with_roles(ROLE_QUOTES) + """
+, pts AS (SELECT ticker, epoch_us(ts) // 1000 AS ts_ms, floor(close * 100.0 + 0.5) / 100.0 AS close FROM quotes
+          WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 MONTH AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+            AND close IS NOT NULL AND NOT isnan(close))
+, daily AS (SELECT ticker, arg_max(ts_ms, ts_ms) AS ts_ms, arg_max(close, ts_ms) AS close FROM pts
+            GROUP BY ticker, ts_ms // 86400000)
+SELECT ticker, list([CAST(ts_ms AS DOUBLE), close] ORDER BY ts_ms) AS series FROM daily GROUP BY ticker""")

@@ -603,7 +603,7 @@ def falsy_coalesce(spark, d):
 def tags_json(spark, d):
     i = roles.indicators(spark, d)
     txt = fv.tags_to_json(cl.derive_tags("dy", "p_l", "p_vp", "roe", "dividaliquidaebit", "lpa", "valormercado"))
-    return i.select("ticker", txt.alias("tags_text"), F.size(fv.tags_from_json(txt)).alias("n_tags"))
+    return i.select("ticker", txt.alias("tags_text"), F.size(fv.tags_from_json(txt)).cast("long").alias("n_tags"))
 
 
 @query("format_ptbr")

@@ -603,7 +603,7 @@ SELECT ticker, cd_cvm,
        coalesce(payout_calc, 0.45) AS payout,
        CASE WHEN has_ind AND roe > 0 THEN {pyround_sql("roe / 100.0", 4)} ELSE 0.15 END AS roe_i,
        CASE WHEN liquidezmediadiaria <> 0 THEN round_even(liquidezmediadiaria, 0) END AS liquidez,
-       0.06 AS g1, 0.14 AS ke, 0.04 AS gp, how
+       CAST(0.06 AS DOUBLE) AS g1, CAST(0.14 AS DOUBLE) AS ke, CAST(0.04 AS DOUBLE) AS gp, how
 FROM u"""
 
 

@@ -16,17 +16,17 @@ QUOTE_AS_OF = "2024-01-31 00:00:00"
 QUOTE_LOOKBACK = "5d"
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[str, tuple[SparkSession, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; the DataFrame (schema and file listing) is reused within a session."""
+    """A test table; the DataFrame (schema and file listing) is reused within the same session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    df = _TABLES.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
+    hit = _TABLES.get(path)
+    if hit is not None and hit[0] is spark and spark.sparkContext._jsc is not None:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _TABLES[path] = (spark, df)
     return df
 
 

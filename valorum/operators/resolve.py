@@ -101,6 +101,14 @@ def _prefix_tokens(sets: DataFrame, rank: DataFrame, threshold: float) -> DataFr
         "_sid", "_n", "_pos", F.col("_p.tok").alias("tok"))
 
 
+def _size_bucket(n: Column, threshold: float) -> Column:
+    """Geometric size class: floor(ln n / ln(1/t)); monotonic in n."""
+    import math
+    if threshold >= 1.0:  # only equal sizes are compatible
+        return n.cast("int")
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1.0 / threshold)).cast("int")
+
+
 def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFrame:
     """(_id, _rid, _j): best right entity per left profile row with Jaccard >= threshold.
 
@@ -120,7 +128,15 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
              .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
     lp = _prefix_tokens(lset, vocab, threshold).withColumnsRenamed({"_sid": "_lsid", "_n": "_ln", "_pos": "_li"})
     rp = _prefix_tokens(rset, vocab, threshold).withColumnsRenamed({"_sid": "_rsid", "_n": "_rn", "_pos": "_ri"})
-    shared = (lp.join(rp, "tok")
+    # Length classes: sizes are bucketed geometrically (ratio 1/t); a left set probes only
+    # the buckets its compatible sizes [t*n, n/t] fall in, so pairs of incompatible sizes
+    # are never formed and a hot token's postings split by size. The bucket function is
+    # monotonic, so every compatible pair still meets.
+    rp = rp.withColumn("_b", _size_bucket(F.col("_rn"), threshold))
+    lo = _size_bucket(F.ceil(F.col("_ln") * threshold - _EPS), threshold)
+    hi = _size_bucket(F.floor(F.col("_ln") / threshold + _EPS), threshold)
+    lp = lp.withColumn("_b", F.explode(F.sequence(lo, hi)))
+    shared = (lp.join(rp, ["tok", "_b"])
               .where((F.col("_rn") >= F.col("_ln") * threshold - _EPS) &
                      (F.col("_rn") * threshold <= F.col("_ln") + _EPS)))
     # Positional filter: all shared tokens up to the last shared prefix token lie in

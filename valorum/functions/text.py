@@ -77,9 +77,10 @@ def normalize_sql(x: str, drop_phrases=NAME_DROP_PHRASES) -> str:
     """F2 as SQL text."""
     c = f"upper({fold_sql(x)})"
     for phrase in drop_phrases:
-        c = f"regexp_replace({c}, {lit(phrase)}, ' ')"
-    c = f"regexp_replace({c}, '[^A-Z0-9 ]', ' ')"
-    c = f"regexp_replace({c}, ' +', ' ')"
+        c = f"replace({c}, {lit(phrase)}, ' ')"
+    # One pass: every run of characters other than A-Z / 0-9 (spaces included) becomes
+    # one space - the same as "non-alphanumerics to spaces" followed by "collapse spaces".
+    c = f"regexp_replace({c}, '[^A-Z0-9]+', ' ')"
     return f"trim({c})"
 
 
@@ -121,9 +122,8 @@ def normalize_name(col: Column | str, drop_phrases=NAME_DROP_PHRASES) -> Column:
         return expr(normalize_sql(ident(col), drop_phrases))
     c = F.upper(fold_accents(col))
     for phrase in drop_phrases:
-        c = F.regexp_replace(c, phrase, " ")
-    c = F.regexp_replace(c, r"[^A-Z0-9 ]", " ")
-    c = F.regexp_replace(c, r" +", " ")
+        c = F.replace(c, F.lit(phrase), F.lit(" "))
+    c = F.regexp_replace(c, r"[^A-Z0-9]+", " ")
     return F.trim(c)
 
 

@@ -109,3 +109,12 @@ def test_accent_insensitive_filter(spark):
                                 ("Juros sobre o capital",), ("Dívida",)], "s string")
     got = [r[0] for r in df.where(fund.contains_any_folded("s", fund.DIVIDEND_PATTERNS)).collect()]
     assert got == ["Dividendos pagos", "JUROS SOBRE CAPITAL próprio"]
+
+
+def test_config_rejects_and_cut(spark):
+    ch = spark.createDataFrame([("0.15", "12abc", None)], "ke string, roet string, fade string")
+    assert [(r.k, r.v) for r in asm.config_long(ch).collect()] == [("ke_global", 0.15)]
+    assert [(r.k, r.text) for r in asm.config_rejects(ch).collect()] == [("roet_global", "12abc")]
+    from valorum.functions import text as tx
+    df = spark.createDataFrame([("x" * 200,), ("short",)], "s string")
+    assert [len(r[0]) for r in df.select(tx.cut("s", 120)).collect()] == [120, 5]

@@ -64,7 +64,7 @@ ROLE_QUOTES = """
 quotes AS (SELECT user_id AS ticker, ts, CASE WHEN event_type <> 'error' THEN value END AS close FROM events)"""
 
 ROLE_SECOND_QUOTES = """
-second_quotes AS (SELECT l_partkey AS ticker, sum(l_extendedprice) / sum(l_quantity) AS price
+second_quotes AS (SELECT l_partkey AS ticker, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(28,2))) AS DOUBLE) AS price
                   FROM lineitem GROUP BY l_partkey)"""
 
 
@@ -432,7 +432,7 @@ ind AS (
          o.sum_total AS liquidezmediadiaria,
          {pick_sql(R.LISTING_SEGMENTS, 'c_custkey')} AS listing,
          {pick_sql(R.CONTROL_TEXTS, 'c_nationkey')} AS controle
-  FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS sum_total
+  FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(28,2))) AS DOUBLE) AS sum_total
                              FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey)"""
 
 
@@ -772,7 +772,7 @@ UNION ALL SELECT k, round(v, 6) FROM newest""")
 ROLE_POSITIONS = """
 positions AS (
   SELECT ticker, quantidade, CASE WHEN min_flag = 'R' THEN -1.0 ELSE avg_price END AS preco_medio FROM (
-    SELECT l_partkey AS ticker, sum(l_quantity) - 700.0 AS quantidade, sum(l_extendedprice) / sum(l_quantity) AS avg_price,
+    SELECT l_partkey AS ticker, CAST(sum(CAST(l_quantity AS DECIMAL(28,2))) AS DOUBLE) - 700.0 AS quantidade, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(28,2))) AS DOUBLE) AS avg_price,
            min(l_returnflag) AS min_flag FROM lineitem GROUP BY l_partkey)),
 checked AS (
   SELECT *, list_filter([CASE WHEN NOT coalesce(quantidade IS NOT NULL AND NOT isnan(quantidade) AND NOT isinf(quantidade), false) THEN 'quantity_finite' END,

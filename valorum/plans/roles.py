@@ -128,11 +128,17 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_sum(col: str) -> F.Column:
+    """Order-independent sum of two-decimal values: summed as decimal, returned as double."""
+    return F.sum(F.col(col).cast("decimal(28,2)")).cast("double")
+
+
 def second_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second quote source: average unit price per part."""
+    """Second quote source: average unit price per part (exact sums, so the cents never depend on
+    the order rows are added in)."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_partkey").alias("ticker")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
+        (exact_sum("l_extendedprice") / exact_sum("l_quantity")).alias("price"))
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +197,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market indicators per listed security: one per customer, with its order totals."""
     c = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("sum_total"))
+        F.count(F.lit(1)).alias("n_orders"), exact_sum("o_totalprice").alias("sum_total"))
     j = c.join(o, c.c_custkey == o.o_custkey, "left")
     return j.select(
         F.col("c_custkey").alias("ticker"),
@@ -299,8 +305,8 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Portfolio positions per part: quantity net of 700 units, average unit price (-1 for returned-only parts)."""
     li = table(spark, sf_dir, "lineitem")
     agg = li.groupBy(F.col("l_partkey").alias("ticker")).agg(
-        (F.sum("l_quantity") - 700.0).alias("quantidade"),
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_price"),
+        (exact_sum("l_quantity") - 700.0).alias("quantidade"),
+        (exact_sum("l_extendedprice") / exact_sum("l_quantity")).alias("avg_price"),
         F.min("l_returnflag").alias("min_flag"))
     return agg.select("ticker", "quantidade",
                       F.when(F.col("min_flag") == "R", F.lit(-1.0)).otherwise(F.col("avg_price")).alias("preco_medio"))

@@ -157,3 +157,11 @@ def test_resolution_plan_has_no_pair_explosion(spark):
     lft, rgt = _names(spark, [(1, "ALFA BETA")], [(10, "ALFA BETA GAMA", 2020)])
     plan = _plan(rs.resolve_entities(lft, "lid", "name", rgt, "rid", "name", "year"))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_spread_only_when_too_few_partitions(spark):
+    from valorum.session import spread
+    one = spark.range(100).coalesce(1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(100).repartition(6)
+    assert spread(many, 4) is many

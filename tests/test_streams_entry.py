@@ -72,6 +72,7 @@ def test_stream_assumptions_equals_batch(spark):
 def test_entry_and_every_query_against_oracle(spark):
     import __spark_entry__ as E
     from check_oracle import TABLES, rows_of
+    from valorum.plans.catalog import QUERIES
 
     df = E.entry(spark)
     assert df.count() > 0 and len(df.columns) > 5
@@ -81,7 +82,8 @@ def test_entry_and_every_query_against_oracle(spark):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     bad = []
-    for name, fn in qs.items():
+    assert set(QUERIES) <= set(qs)
+    for name, fn in QUERIES.items():
         out = fn(spark, SF)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name

@@ -32,10 +32,21 @@ def test_latest_eps_preference_order(spark):
     assert out == {"a": (1.0, 2023, "PN"), "b": (2.0, 2023, "ON"), "c": (-7.0, 2023, "PN"), "d": (4.0, 2023, "ON")}
 
 
-def test_latest_per_key_partial_aggregation_before_exchange(spark):
+def test_latest_per_key_limits_before_exchange(spark):
     f = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     plan = _plan(lt.latest_per_key(f, "k", ["v"]))
-    assert "partial_max_by" in plan
+    assert "Partial" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+@pytest.mark.parametrize("cast", ["int", "string", "date", "timestamp", "boolean"])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_latest_per_key_is_one_rule_for_all_types(spark, cast, direction):
+    value = {"int": "v", "string": "cast(v as string)", "date": "date_add(date'2020-01-01', v)", "boolean": "v = 7",
+             "timestamp": "timestamp_seconds(v)"}[cast]
+    df = spark.createDataFrame([("k", None, "null"), ("k", 7, "seven"), ("k", 3, "three"), ("z", None, "only")],
+                               "k string, v int, rank string").withColumn("o", F.expr(f"if(v is null, null, {value})"))
+    got = {r.k: tuple(r) for r in lt.latest_per_key(df, "k", [("o", direction)], columns=["rank", "v"]).collect()}
+    assert got == {"k": ("k", "three", 3) if direction == "asc" else ("k", "seven", 7), "z": ("z", "only", None)}
 
 
 def test_value_at_latest_skips_nulls(spark):
@@ -159,9 +170,25 @@ def test_resolution_plan_has_no_pair_explosion(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_spread_only_when_too_few_partitions(spark):
+def test_spread_starts_no_job(spark):
     from valorum.session import spread
-    one = spark.range(100).coalesce(1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(6)
-    assert spread(many, 4) is many
+    grouped = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    sc = spark.sparkContext
+    sc.setJobGroup("spread", "spread")
+    try:
+        spread_ = spread(grouped, 4)
+        assert len(sc.statusTracker().getJobIdsForGroup("spread")) == 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spread_.rdd.getNumPartitions() == 4
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from valorum.session import ensure_checkpoint_dir
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master),
+                               conf=SimpleNamespace(get=lambda *_: None))
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(fake)

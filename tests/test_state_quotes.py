@@ -49,14 +49,28 @@ def test_insert_ignore_first_wins(spark):
     assert got == [("k1", 1.0), ("k2", 3.0)]
 
 
+PATCH_DDL = "ticker string, t int, fields map<string,string>"
+
+
 def test_patch_blank_for_null_and_statuses(spark):
     cur = spark.createDataFrame([("A", "n", "s")], "ticker string, nome string, setor string")
-    ch = spark.createDataFrame([("A", {"nome": None, "cd_cvm": "x"}), ("Z", {"setor": "y"}), ("A2", {"bogus": "1"})],
-                               "ticker string, fields map<string,string>")
-    nxt, status = st.patch_columns(cur, ch)
+    ch = spark.createDataFrame([("A", 1, {"nome": None, "cd_cvm": "x"}), ("Z", 1, {"setor": "y"}), ("A2", 1, {"bogus": "1"}),
+                                ("A", 2, None)], PATCH_DDL)
+    nxt, status = st.patch_columns(cur, ch, order_by=["t"])
     assert [tuple(r) for r in nxt.collect()] == [("A", "", "s")]
-    assert {r.ticker: r.status for r in status.collect()} == {
-        "A": "ok", "Z": "ticker não encontrado", "A2": "nada para atualizar"}
+    assert {(r.ticker, r.t): r.status for r in status.collect()} == {
+        ("A", 1): "ok", ("Z", 1): "ticker não encontrado", ("A2", 1): "nada para atualizar", ("A", 2): "nada para atualizar"}
+
+
+def test_patches_of_one_key_apply_in_order(spark):
+    cur = spark.createDataFrame([("A", "n", "s"), ("B", "n", "s")], "ticker string, nome string, setor string")
+    ch = spark.createDataFrame([("A", 1, {"nome": "N1"}), ("A", 2, {"setor": "S2"}), ("A", 3, {"bogus": "x"}),
+                                ("B", 2, {"nome": "late"}), ("B", 1, {"nome": "early", "setor": "S1"})], PATCH_DDL)
+    nxt, status = st.patch_columns(cur, ch, order_by=["t"])
+    assert sorted(tuple(r) for r in nxt.collect()) == [("A", "N1", "S2"), ("B", "late", "S1")]
+    assert status.count() == 5
+    with pytest.raises(ValueError):
+        st.patch_columns(cur, ch)
 
 
 def test_cascade_delete_then_readd_clears_tombstone(spark):
@@ -73,14 +87,28 @@ def test_cascade_delete_then_readd_clears_tombstone(spark):
 
 def test_add_entities_statuses_and_defaults(spark):
     cur = spark.createDataFrame([("PETR4", "Petro", "DDM", 1)], "ticker string, nome string, modelo string, user int")
-    req = spark.createDataFrame([("PETR4", "x"), ("NEW3", "Nova"), ("BAD3", ""), (None, "y")], "ticker string, nome string")
-    nxt, status = st.add_entities(cur, req, {"modelo": "DDM · 2 est.", "user": 1})
+    req = spark.createDataFrame([("PETR4", "x", 1), ("NEW3", "Nova", 2), ("BAD3", "", 3), (None, "y", 4)],
+                                "ticker string, nome string, n int")
+    nxt, status, left = st.add_entities(cur, req, {"modelo": "DDM · 2 est.", "user": 1}, order_by=["n"])
+    assert left is None
     assert {r.ticker: r.status for r in status.collect()} == {
         "PETR4": "duplicate", "NEW3": "inserted", "BAD3": "invalid", None: "invalid"}
     new = [r for r in nxt.collect() if r.ticker == "NEW3"][0]
     assert (new.modelo, new.user) == ("DDM · 2 est.", 1)
 
 
+def test_repeated_requests_in_one_batch_insert_once(spark):
+    cur = spark.createDataFrame([("P", "Petro")], "ticker string, nome string")
+    req = spark.createDataFrame([("new", "third", 3), ("NEW", "first", 1), ("NEW", "second", 2), ("p", "again", 4), ("NEW", "", 0)],
+                                "ticker string, nome string, n int")
+    tomb = spark.createDataFrame([("NEW",), ("P",), ("GONE",)], "ticker string")
+    nxt, status, left = st.add_entities(cur, req, {}, order_by=["n"], tombstones=tomb)
+    assert {r.n: (r.ticker, r.status) for r in status.collect()} == {
+        0: ("NEW", "invalid"), 1: ("NEW", "inserted"), 2: ("NEW", "duplicate"), 3: ("NEW", "duplicate"), 4: ("P", "duplicate")}
+    assert sorted(tuple(r) for r in nxt.collect()) == [("NEW", "first"), ("P", "Petro")]
+    assert sorted(r.ticker for r in left.collect()) == ["GONE", "P"]
+
+
 def test_evolve_schema_adds_defaults(spark):
     from pyspark.sql.types import _parse_datatype_string
     df = spark.createDataFrame([("A", 1)], "ticker string, ke_default int")
@@ -99,6 +127,13 @@ def test_validate_positions(spark):
                     "D": ["quantity_finite", "quantity_positive"], "E": ["price_finite"]}
 
 
+def test_validate_repeated_keys(spark):
+    pos = spark.createDataFrame([("A", -1.0, 1), ("A", 2.0, 2), ("A", 3.0, 3), ("B", 1.0, 9)], "ticker string, q double, n int")
+    acc, rej = qa.validate(pos, [("positive", F.col("q") > 0)], unique="ticker", order_by=["n"])
+    assert sorted((r.ticker, r.n) for r in acc.collect()) == [("A", 2), ("B", 9)]
+    assert sorted((r.n, r.errors) for r in rej.collect()) == [(1, ["positive"]), (3, ["duplicate_key"])]
+
+
 # --- quotes --------------------------------------------------------------------------------------------
 QUOTES_DDL = "ticker string, ts timestamp_ntz, close double"
 

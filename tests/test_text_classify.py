@@ -1,3 +1,4 @@
+import sys
 import unicodedata
 
 import pytest
@@ -22,6 +23,15 @@ def test_fold_matches_nfkd_rule(spark):
     assert got == want
 
 
+def test_fold_every_code_point(spark):
+    chars = [chr(cp) for cp in range(1, sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000]
+    blocks = ["x".join(chars[i:i + 500]) for i in range(0, len(chars), 500)]
+    want = [unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode() for s in blocks]
+    df = spark.createDataFrame([(s,) for s in blocks], "s string")
+    got = df.select(tx.fold_accents("s"), tx.fold_accents(F.col("s"))).collect()
+    assert [r[0] for r in got] == want and [r[1] for r in got] == want
+
+
 def test_fold_column_and_sql_paths_agree(spark):
     a = _one(spark, tx.fold_accents(F.col("s")), FOLD_CASES)
     b = _one(spark, tx.fold_accents("s"), FOLD_CASES)

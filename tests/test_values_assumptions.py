@@ -65,7 +65,7 @@ def test_rounding_rules(spark):
     # 4.015 * 100 is 401.49999999999994 in binary, as in the browser: 4.01
     assert [x.u for x in r] == [2.68, 4.01, 1.0, 0.13, -2.5]
     assert [x.e for x in r] == [2.67, 4.01, 1.0, 0.12, -2.5]
-    assert [x.t for x in r] == ["2,67", "4,01", "1,00", "0,12", "-2,50"]
+    assert [x.t for x in r] == ["2,67", "4,01", "1,00", "0,13", "-2,50"]
 
 
 def test_format_thousands(spark):
@@ -118,3 +118,12 @@ def test_config_rejects_and_cut(spark):
     from valorum.functions import text as tx
     df = spark.createDataFrame([("x" * 200,), ("short",)], "s string")
     assert [len(r[0]) for r in df.select(tx.cut("s", 120)).collect()] == [120, 5]
+
+
+def test_format_ties_and_percent(spark):
+    df = spark.createDataFrame([(12.5,), (2.5,), (-2.5,), (0.125,), (4.015,), (1234.0,), (None,)], "x double")
+    got = df.select(fv.format_ptbr("x", 0), fv.format_ptbr("x", 2), fv.format_pct("x", 1), fv.format_pct("x")).collect()
+    assert [r[0] for r in got] == ["13", "3", "-3", "0", "4", "1.234", None]
+    assert [r[1] for r in got] == ["12,50", "2,50", "-2,50", "0,13", "4,01", "1.234,00", None]
+    assert [r[2] for r in got] == ["12,5%", "2,5%", "-2,5%", "0,1%", "4%", "1.234%", None]
+    assert [r[3] for r in got] == ["13%", "3%", "-3%", "0%", "4%", "1.234%", None]

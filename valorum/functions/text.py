@@ -6,6 +6,7 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -31,43 +32,43 @@ REGISTRY_SECTOR_BLANK = "Sem Setor Principal"
 TICKER_SUFFIX = ".SA"
 # ---------------------------------------------------------------------------
 
-# Code-point ranges folded by rule (Unicode NFKD, then keep the ASCII part).
-# Everything else outside ASCII is dropped, as the ASCII encode with "ignore" does.
-FOLD_RANGES = ((0x80, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0xFB00, 0xFB07))
-
 _WS = r"(?U)\s"  # Unicode-aware whitespace, like Python's str patterns
 
 
+_SEP = "\x01"  # between the entries of a table written as one string
+
+
 @lru_cache(maxsize=None)
 def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Build the fold tables from the NFKD rule.
+    """Build the fold tables from the NFKD rule over every code point.
 
-    Returns ``(match, replace, multi)``: ``translate(match, replace)`` maps the
-    one-letter folds and deletes the characters past ``len(replace)``;
-    ``multi`` lists the characters whose fold has several letters.
+    Returns ``(match, replace, multi)``: ``translate(match, replace)`` maps the one-letter folds;
+    ``multi`` lists the characters whose fold has several letters. All other
+    characters outside ASCII have no ASCII form.
     """
-    one_src, one_dst, gone, multi = [], [], [], []
-    for lo, hi in FOLD_RANGES:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
-            if len(folded) == 1:
-                one_src.append(ch)
-                one_dst.append(folded)
-            elif folded:
-                multi.append((ch, folded))
-            else:
-                gone.append(ch)
-    return "".join(one_src) + "".join(gone), "".join(one_dst), tuple(multi)
+    one_src, one_dst, multi = [], [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        if not unicodedata.decomposition(ch):
+            continue
+        folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            one_src.append(ch)
+            one_dst.append(folded)
+        elif folded:
+            multi.append((ch, folded))
+    return "".join(one_src), "".join(one_dst), tuple(multi)
 
 
 def fold_sql(x: str) -> str:
-    """F1 as SQL text over the SQL expression ``x``."""
+    """F1 as SQL text over the SQL expression ``x``.
+
+    The characters with several letters are looked up one by one, only in rows that hold one.
+    """
     match, replace, multi = fold_tables()
     multi_class = "[" + "".join(ch for ch, _ in multi) + "]"
-    expanded = x
-    for ch, folded in multi:
-        expanded = f"replace({expanded}, {lit(ch)}, {lit(folded)})"
+    table = ", ".join(f"split({lit(_SEP.join(part))}, {lit(_SEP)})" for part in zip(*multi))
+    expanded = (f"array_join(transform(split({x}, ''), c -> coalesce(element_at(map_from_arrays({table}), c), c)), '')")
     c = f"CASE WHEN {x} RLIKE {lit(multi_class)} THEN {expanded} ELSE {x} END"
     c = f"translate({c}, {lit(match)}, {lit(replace)})"
     return f"regexp_replace({c}, {lit(r'[^\x00-\x7F]')}, '')"
@@ -102,10 +103,8 @@ def fold_accents(col: Column | str) -> Column:
     c = col
     match, replace, multi = fold_tables()
     multi_class = "[" + "".join(ch for ch, _ in multi) + "]"
-    expanded = c
-    for ch, folded in multi:
-        expanded = F.replace(expanded, F.lit(ch), F.lit(folded))
-    # The multi-letter chain only runs on rows that hold one of those characters.
+    table = F.map_from_arrays(*[F.split(F.lit(_SEP.join(part)), _SEP) for part in zip(*multi)])
+    expanded = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
     c = F.when(c.rlike(multi_class), expanded).otherwise(c)
     c = F.translate(c, match, replace)
     return F.regexp_replace(c, r"[^\x00-\x7F]", "")

@@ -39,11 +39,6 @@ def numeric_guard(x) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def coalesce_default(x, default) -> Column:
-    """null-coalescing default."""
-    return F.coalesce(_c(x), default if isinstance(default, Column) else F.lit(default))
-
-
 def falsy_coalesce(*cols, kind: str = "number") -> Column:
     """first value that is neither null nor zero (``kind='number'``) / empty (``'text'``)."""
     wrap = nonzero if kind == "number" else nonblank
@@ -117,21 +112,24 @@ def _split(v: float) -> tuple[float, float]:
     return hi, v - hi
 
 
+def _exact_product(x: Column, m: float) -> tuple[Column, Column]:
+    """x * m as a float and the exact error of that multiply (Dekker's two-product, plain double arithmetic)."""
+    hm, lm = _split(m)
+    p = x * m
+    c = x * _SPLIT
+    hx = c - (c - x)
+    lx = x - hx
+    return p, ((hx * hm - p) + hx * lm + lx * hm) + lx * lm
+
+
 def round_half_even(x, places: int = 2) -> Column:
     """F9 (build figures): Python's ``round(x, places)``: half-to-even on the exact binary value.
 
-    ``x * 10**places`` is rounded by the float multiply; its exact error is
-    recovered with Dekker's two-product (plain double arithmetic), and it decides
+    The exact error of ``x * 10**places`` decides
     the apparent ties: 2.675 is 2.67499999... in binary, so it rounds to 2.67.
     """
     m = float(10 ** places)
-    hm, lm = _split(m)
-    x = _c(x)
-    p = x * m
-    c = x * _SPLIT
-    hx = c - (c - x)
-    lx = x - hx
-    err = ((hx * hm - p) + hx * lm + lx * hm) + lx * lm
+    p, err = _exact_product(_c(x), m)
     fl = F.floor(p).cast("double")
     tie = (p - fl) == 0.5
     r = F.when(tie & (err > 0), fl + 1.0).when(tie & (err < 0), fl).otherwise(F.rint(p))
@@ -141,13 +139,22 @@ def round_half_even(x, places: int = 2) -> Column:
 def format_ptbr(x, places: int = 2, prefix: str = "") -> Column:
     """Brazilian number text: '.' thousands, ',' decimals.
 
-    Rounds the exact binary value (so 4.015 shows 4,01 as in the browser); only
-    exact binary ties (x.125) go to even where the browser goes up.
+    Rounds the exact binary value, as the browser does: 4.015 (a little less in binary) shows 4,01, and
+    exact ties go away from zero (12.5 at 0 places shows 13).
     """
-    body = F.translate(F.format_number(_c(x), places), ",.", ".,")
+    x, m = _c(x), float(10 ** places)
+    p, err = _exact_product(F.abs(x), m)
+    fl = F.floor(p).cast("double")
+    shown = F.when(((p - fl) == 0.5) & (err == 0), F.signum(x) * (fl + 1.0) / m).otherwise(x)
+    body = F.translate(F.format_number(shown, places), ",.", ".,")
     return F.concat(F.lit(prefix), body) if prefix else body
 
 
+def format_pct(x, places: int = 0) -> Column:
+    """percent text of a number in percent; decimals that are all zero are dropped: '12,5%', '12%'."""
+    return F.concat(F.regexp_replace(format_ptbr(x, places), ",0+$", ""), F.lit("%"))
+
+
 def format_brl(x) -> Column:
     """currency text 'R$ 1.234,56'."""
     return format_ptbr(x, 2, "R$ ")
@@ -164,22 +171,6 @@ def text_to_mode(t) -> Column:
     return F.when(_c(t) == KE_MODE_LABELS[1], F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def discount_factor(rate, n) -> Column:
-    """(1 + rate) ** n."""
-    return F.power(1.0 + _c(rate), _c(n) if not isinstance(n, (int, float)) else F.lit(n))
-
-
-def bool_to_int(b) -> Column:
-    """boolean to 0/1."""
-    return _c(b).cast("int")
-
-
-def int_to_bool(i, null_as=None) -> Column:
-    """0/1 to boolean; ``null_as`` fills a NULL."""
-    b = _c(i).cast("boolean")
-    return b if null_as is None else F.coalesce(b, F.lit(bool(null_as)))
-
-
 def plausible(x, limit: float = PLAUSIBLE_EPS_LIMIT) -> Column:
     """P5: keep a value only if it is non-zero and |x| <= limit."""
     x = _c(x)

@@ -1,10 +1,8 @@
 """Newest-row-per-key, top-k per key, per-year sums and arg-max.
 
-Top-1 per key is a hash-partitioned aggregate with ``max_by`` over an ordering
-struct: the partial aggregate runs before the exchange, so a key holding a third
-of all rows is reduced to one row per map task before anything is shuffled.
-Top-k uses ``row_number`` whose plan carries a partial ``WindowGroupLimit`` on
-the map side for the same reason.
+Top-k per key (top-1 included) uses ``row_number`` with a limit on it. Its plan carries a partial
+``WindowGroupLimit`` before the exchange: every map task sorts its rows and ships at most k of
+each key, so a key holding a third of all rows is reduced before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
 
 
 def _c(col) -> Column:
@@ -40,40 +37,22 @@ def latest_per_key(df: DataFrame, keys, order_by: Sequence, columns: Sequence[st
     """Keep, per key, the row that sorts first under ``order_by``.
 
     ``order_by`` items are columns (descending: the largest wins) or
-    ``(column, 'asc'|'desc')`` pairs. Give a total order (add tie-break columns):
-    the result is then deterministic. Nulls in an ordering column lose to values
-    for 'desc' items.
+    ``(column, 'asc'|'desc')`` pairs, of any sortable type. Give a total order (add tie-break
+    columns): the result is then deterministic. Nulls in an ordering column lose in both directions.
     """
     keys = _keys(keys)
     columns = [c for c in (columns or df.columns) if c not in keys]
-    spec = _order_spec(order_by)
-    # Ordering struct where "max wins": negate ascending numerics, booleans as 0/1.
-    fields = []
-    resolved = df.select(*[c for c, _ in spec]).schema.fields
-    for i, ((col, desc), f) in enumerate(zip(spec, resolved)):
-        c = col.cast("int") if isinstance(f.dataType, BooleanType) else col
-        if not desc:
-            if not isinstance(f.dataType, (NumericType, BooleanType)) and f.dataType.typeName() not in (
-                    "timestamp", "timestamp_ntz", "date"):
-                return top_k_per_key(df, keys, order_by, 1).drop("rank")
-            if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
-                t = f.dataType.typeName()
-                c = (F.unix_date(col) if t == "date" else
-                     F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col)
-                     if t == "timestamp_ntz" else F.unix_micros(col))
-            c = -c
-        fields.append(c.alias(f"o{i}"))
-    order = F.struct(*fields)
-    value = F.struct(*[F.col(c) for c in columns])
-    return (df.groupBy(*keys).agg(F.max_by(value, order).alias("_row"))
-            .select(*keys, *[F.col("_row")[c].alias(c) for c in columns]))
+    place = "_place"
+    while place in df.columns:
+        place = "_" + place
+    return top_k_per_key(df, keys, order_by, 1, place).select(*keys, *columns)
 
 
 def top_k_per_key(df: DataFrame, keys, order_by: Sequence, k: int, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows per key under ``order_by`` with their rank (1 = first)."""
     keys = _keys(keys)
     spec = _order_spec(order_by)
-    w = Window.partitionBy(*keys).orderBy(*[(c.desc_nulls_last() if d else c.asc_nulls_first()) for c, d in spec])
+    w = Window.partitionBy(*keys).orderBy(*[(c.desc_nulls_last() if d else c.asc_nulls_last()) for c, d in spec])
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 

@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valorum.operators.latest import latest_per_key
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
 # ---------------------------------------------------------------------------
-POSITION_ERROR = "quantidade > 0 e preco_medio >= 0 são obrigatórios"
+DUPLICATE_KEY = "duplicate_key"
 SCREENER_DROP = ("g1", "gp", "payout", "user")
 SCREENER_RENAME = {"price_source": "fonte_preco"}
 # ---------------------------------------------------------------------------
@@ -20,15 +22,29 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def validate(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+def validate(df: DataFrame, rules: Sequence[tuple[str, Column]], unique: str | None = None,
+             order_by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Evaluate named rules (a Column that is true when the row passes) on every row.
 
     Returns (accepted, rejected); ``rejected`` carries ``errors ARRAY<STRING>`` with
-    the names of the failed rules, in rule order.
+    the names of the failed rules, in rule order. With ``unique`` (a key) the first passing row of a key under
+    ``order_by`` (a total order) is accepted; later ones fail with 'duplicate_key'.
     """
+    if unique and not order_by:
+        raise ValueError("unique needs order_by: the first row of a key wins")
     errs = F.filter(F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules]),
                     lambda x: x.isNotNull())
     marked = df.withColumn("errors", errs)
+    if unique:
+        at = [f"_o{i}" for i in range(len(order_by))]
+        passing = marked.where(F.size("errors") == 0).select(unique, *[F.col(c).alias(o) for c, o in zip(order_by, at)])
+        first = latest_per_key(passing, unique, [(o, "asc") for o in at])
+        again = F.lit(False)
+        for c, o in zip(order_by, at):
+            again = again | ~F.col(c).eqNullSafe(F.col(o))
+        repeated = (F.size("errors") == 0) & again
+        marked = marked.join(first, unique, "left").withColumn(
+            "errors", F.when(repeated, F.array(F.lit(DUPLICATE_KEY))).otherwise(F.col("errors"))).drop(*at)
     return (marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0))
 
 

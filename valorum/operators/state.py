@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -104,29 +104,35 @@ def merge_seed(current: DataFrame, seed: DataFrame, removed: DataFrame, key: str
 
 
 def patch_columns(current: DataFrame, changes: DataFrame, key: str = "ticker", fields: str = "fields",
-                  allowed: Sequence[str] = EDIT_FIELDS, order_by: Sequence = ()) -> tuple[DataFrame, DataFrame]:
-    """M5: partial update of whitelisted columns sent in a change (``fields`` MAP<STRING,STRING>).
+                  allowed: Sequence[str] = EDIT_FIELDS, order_by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """M5: partial updates of whitelisted columns sent in changes (``fields`` MAP<STRING,STRING>).
 
-    A sent NULL becomes '' (blank; '[]' for the JSON tags). Returns (next, status) where status has one
-    row per change key: 'ok', 'nada para atualizar' or 'ticker não encontrado'.
+    All changes of a key apply in the order of ``order_by`` (required; a total order), column by column:
+    each column ends with the last value sent for it, whatever other changes send. A sent NULL becomes ''
+    (blank; '[]' for the JSON tags). Returns (next, status) with one status row per change, key and ordering
+    columns first: 'ok', 'nada para atualizar' or 'ticker não encontrado'.
     """
-    ch = changes
-    if order_by:
-        ch = latest_per_key(ch, key, list(order_by), columns=[fields])
-    m = F.map_filter(F.col(fields), lambda k, v: k.isin(*allowed))
-    ch = ch.select(key, m.alias("_m"))
-    j = current.join(ch, key, "left")
-    sets = {}
-    for col in allowed:
-        if col in current.columns:
-            sent = F.coalesce(F.map_contains_key("_m", col), F.lit(False))
-            blank = F.lit("[]") if col == "tags" else F.lit("")  # tags are JSON text
-            sets[col] = F.when(sent, F.coalesce(F.col("_m")[col], blank)).otherwise(F.col(col))
-    nxt = j.withColumns(sets).drop("_m")
-    present = current.select(key).withColumn("_found", F.lit(True))
+    order = list(order_by)
+    if not order:
+        raise ValueError("patch_columns needs order_by: several changes of one key apply in order")
+    cols = [c for c in allowed if c in current.columns]
+    # A change without a map sends nothing.
+    m = F.coalesce(F.map_filter(F.col(fields), lambda k, v: k.isin(*allowed)), F.create_map().cast("map<string,string>"))
+    ch = changes.select(key, *order, m.alias("_m"))
+    when = F.struct(*[F.col(c) for c in order])
+
+    def last_sent(col: str) -> Column:
+        blank = F.lit("[]") if col == "tags" else F.lit("")  # tags are JSON text
+        value = F.struct(F.coalesce(F.col("_m")[col], blank).alias("v"))
+        return F.max_by(value, F.when(F.map_contains_key("_m", col), when)).alias(f"_p_{col}")
+
+    patches = ch.where(F.size("_m") > 0).groupBy(key).agg(*[last_sent(c) for c in cols])
+    sets = {c: F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}")["v"]).otherwise(F.col(c)) for c in cols}
+    nxt = current.join(patches, key, "left").withColumns(sets).select(*current.columns)
+    present = current.select(key).distinct().withColumn("_found", F.lit(True))
     st = ch.join(present, key, "left").select(
-        key,
-        F.when(F.size(F.map_keys("_m")) == 0, F.lit(MSG_NOTHING))
+        key, *order,
+        F.when(F.size("_m") == 0, F.lit(MSG_NOTHING))
         .when(F.col("_found").isNull(), F.lit(MSG_NOT_FOUND)).otherwise(F.lit("ok")).alias("status"))
     return nxt, st
 
@@ -159,36 +165,54 @@ def evolve_schema(df: DataFrame, schema: StructType, defaults: Mapping[str, obje
     return df.select(*cols)
 
 
+def stored_key(df: DataFrame, key: str) -> DataFrame:
+    """Text keys as they are stored: upper-case."""
+    return df.withColumn(key, F.upper(key)) if dict(df.dtypes).get(key) == "string" else df
+
+
 def insert_status(current: DataFrame, requests: DataFrame, key: str = "ticker",
-                  required: Sequence[str] = ("ticker", "nome")) -> DataFrame:
-    """J10 + P8: per request 'inserted', 'duplicate' (key exists) or 'invalid' (required field blank)."""
+                  required: Sequence[str] = ("ticker", "nome"), order_by: Sequence[str] = ()) -> DataFrame:
+    """J10 + P8: per request 'inserted', 'duplicate' (key exists) or 'invalid' (required field blank).
+
+    Requests apply in the order of ``order_by`` (required; a total order): of several valid ones for a new
+    key the first is inserted, the others are duplicates. Text keys are upper-cased.
+    """
+    if not order_by:
+        raise ValueError("insert_status needs order_by: the first request for a key wins")
+    requests = stored_key(requests, key)
     missing = None
     for c in required:
         blank = F.col(c).isNull() | (F.col(c).cast("string") == "")
         missing = blank if missing is None else (missing | blank)
-    present = current.select(key).withColumn("_exists", F.lit(True))
-    j = requests.join(present, key, "left")
+    present = current.select(key).distinct().withColumn("_exists", F.lit(True))
+    # Only the first valid request of a key is marked: a key with very many requests ships one row per task.
+    valid = requests.where(~missing).select(key, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)])
+    first = latest_per_key(valid, key, [(f"_o{i}", "asc") for i in range(len(order_by))])
+    j = requests.join(present, key, "left").join(first, key, "left")
+    is_first = F.lit(True)
+    for i, c in enumerate(order_by):
+        is_first = is_first & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    taken = F.col("_exists").isNotNull() | ~is_first
     return j.withColumns({
-        "status": F.when(missing, F.lit(STATUS_INVALID)).when(F.col("_exists").isNotNull(), F.lit(STATUS_DUPLICATE))
+        "status": F.when(missing, F.lit(STATUS_INVALID)).when(taken, F.lit(STATUS_DUPLICATE))
         .otherwise(F.lit(STATUS_INSERTED)),
-        "error": F.when(missing, F.lit(MSG_REQUIRED)).when(F.col("_exists").isNotNull(), F.lit(MSG_DUPLICATE)),
-    }).drop("_exists")
+        "error": F.when(missing, F.lit(MSG_REQUIRED)).when(taken, F.lit(MSG_DUPLICATE)),
+    }).drop("_exists", *[f"_o{i}" for i in range(len(order_by))])
 
 
-def add_entities(current: DataFrame, requests: DataFrame, defaults: Mapping[str, object],
-                 key: str = "ticker") -> tuple[DataFrame, DataFrame]:
+def add_entities(current: DataFrame, requests: DataFrame, defaults: Mapping[str, object], key: str = "ticker",
+                 order_by: Sequence[str] = (), tombstones: DataFrame | None = None
+                 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Insert valid, new requests with defaults for absent values, marked user-created.
 
-    Text keys are upper-cased; a tag array is stored as JSON text.
-
-    Returns (next, statuses). ``defaults`` fills NULL request values per column.
+    Text keys are upper-cased; a tag array is stored as JSON text; ``defaults`` fills NULL request values per column.
+    Requests apply in the order of ``order_by`` (see :func:`insert_status`). Returns (next, statuses,
+    tombstones without the keys that were added).
     """
     req = requests
-    if dict(req.dtypes).get(key) == "string":
-        req = req.withColumn(key, F.upper(key))
     if "tags" in req.columns and dict(req.dtypes)["tags"].startswith("array"):
         req = req.withColumn("tags", F.coalesce(F.to_json("tags"), F.lit("[]")))
-    st = insert_status(current, req, key)
+    st = insert_status(current, req, key, order_by=order_by)
     ok = st.where(F.col("status") == STATUS_INSERTED)
     cols = []
     for f in current.schema.fields:
@@ -200,4 +224,5 @@ def add_entities(current: DataFrame, requests: DataFrame, defaults: Mapping[str,
             c = F.lit(defaults.get(f.name)).cast(f.dataType)
         cols.append(c.alias(f.name))
     new = ok.select(*cols)
-    return current.unionByName(new), st.select(key, "status", "error")
+    left = None if tombstones is None else clear_tombstones(tombstones, new, key)
+    return current.unionByName(new), st.select(key, *order_by, "status", "error"), left

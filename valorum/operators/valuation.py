@@ -18,8 +18,6 @@ from valorum.functions.values import format_brl, format_ptbr
 # ---------------------------------------------------------------------------
 DEFAULT_YEARS = 5
 # What-if input ranges of the calculator, in percent: (low, high, step).
-PAYOUT_RANGE = (0.0, 100.0, 1.0)
-GROWTH_RANGE = (0.0, 20.0, 0.5)
 RATE_RANGE = (6.0, 25.0, 0.5)
 PERPETUAL_RANGE = (0.0, 10.0, 0.5)
 STEP_LABELS = ("base dividend", "present value sum", "terminal value", "discounted terminal", "fair value")
@@ -117,13 +115,14 @@ def ddm_ledger(df: DataFrame, key, eps="eps", payout="payout", g1="g1", ke="ke",
     """
     keys = [key] if isinstance(key, str) else list(key)
     eps, payout, g1, ke = map(_c, (eps, payout, g1, ke))
-    base = df.select(*keys, (eps * payout).alias("_d0"), g1.alias("_g1"), ke.alias("_ke"),
-                     F.explode(F.sequence(F.lit(0), F.lit(years))).alias("n"))
-    n = F.col("n").cast("double")
-    dividend = F.col("_d0") * F.power(1.0 + F.col("_g1"), n)
-    factor = F.when(F.col("n") > 0, F.power(1.0 + F.col("_ke"), n))
-    return base.select(*keys, "n", dividend.alias("dividend"), factor.alias("factor"),
-                       (dividend / factor).alias("pv"))
+    # Year by year, as the valuation itself multiplies.
+    dividends = [eps * payout]
+    for _ in range(years):
+        dividends.append(dividends[-1] * (1.0 + g1))
+    base = df.select(*keys, ke.alias("_ke"), F.posexplode(F.array(*dividends)).alias("n", "dividend"))
+    factor = F.when(F.col("n") > 0, F.power(1.0 + F.col("_ke"), F.col("n").cast("double")))
+    return base.select(*keys, "n", "dividend", factor.alias("factor"),
+                       (F.col("dividend") / factor).alias("pv"))
 
 
 def ddm_steps(df: DataFrame, key, prefix: str = "") -> DataFrame:

@@ -1,7 +1,8 @@
 """Demo plans: one query per operator of the inventory, over the stand-in roles.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame; nothing is
-collected. Float outputs are rounded to six places (the oracle does the same).
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame; nothing is collected. Entries that write work
+tables, files or streams (name resolution, universe, append log, sources, streams) do that work when called;
+the others are lazy. Float outputs are rounded to six places (the oracle does the same).
 """
 
 from __future__ import annotations
@@ -339,7 +340,7 @@ def _universe(spark, d):
     tickers = roles.listed_names(spark, d).withColumnRenamed("ticker_id", "ticker")
     companies = roles.registry_names(spark, d).select(F.col("cd").alias("cd_cvm"), F.col("nome").alias("empresa"),
                                                       "ultimo_ano")
-    ind = roles.indicators(spark, d).where(F.col("segmentname") != "MACHINERY")
+    ind = roles.indicators(spark, d)
     return uv.build_universe(tickers, companies, facts, ind, roles.snapshot(spark, d))
 
 
@@ -397,9 +398,10 @@ def upsert_latest(spark, d):
 
 
 def _watch_adds(spark, d):
+    """One key per line: the part, or (for small quantities) the supplier's stock."""
     li = roles.table(spark, d, "lineitem")
-    return li.where((F.col("l_quantity") == 49) & (F.col("l_discount") == 0.09)).select(
-        F.col("l_partkey").alias("ticker"))
+    return li.select(F.when(F.col("l_quantity") >= 25, F.col("l_partkey")).otherwise(-1 - F.col("l_suppkey"))
+                     .alias("ticker"))
 
 
 @query("insert_ignore")
@@ -421,35 +423,47 @@ def append_log(spark, d):
 
 
 def _patch_changes(spark, d):
-    li = roles.table(spark, d, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") < 4))
-    fields = F.when(F.col("l_quantity") < 2, F.create_map(F.lit("bogus"), F.lit("x"))).otherwise(
-        F.create_map(F.lit("setor"), F.concat(F.lit("S"), F.col("l_returnflag")),
-                     F.lit("nome"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("N"), F.col("l_linestatus")))))
-    return li.select(F.col("l_partkey").alias("ticker"), fields.alias("fields"),
-                     F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("id"))
+    """Every line is a change; four kinds that send different columns, some to keys that do not exist."""
+    li = roles.table(spark, d, "lineitem")
+    kind = F.col("l_linenumber") % 4
+    nome = F.when(F.col("l_tax") > 0.04, F.concat(F.lit("N"), F.col("l_linestatus"), F.col("l_suppkey").cast("string")))
+    setor = F.concat(F.lit("S"), F.col("l_returnflag"), F.col("l_orderkey").cast("string"))
+    fields = (F.when(kind == 0, F.create_map(F.lit("bogus"), F.lit("x")))
+              .when(kind == 1, F.create_map(F.lit("setor"), setor)).when(kind == 2, F.create_map(F.lit("nome"), nome))
+              .otherwise(F.create_map(F.lit("segmento"), F.col("l_returnflag"), F.lit("tags"),
+                                      F.lit(None).cast("string"))))
+    key = F.when(F.col("l_linenumber") == 7, F.col("l_partkey") + roles.NEW_KEY).otherwise(F.col("l_partkey"))
+    return li.select(key.alias("ticker"), fields.alias("fields"), F.col("l_shipdate").alias("ts"),
+                     F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"))
+
+
+PATCH_ORDER = ("ts", "id", "line")
 
 
 @query("patch_columns")
 def patch_columns(spark, d):
-    nxt, _ = stt.patch_columns(roles.state_stocks(spark, d), _patch_changes(spark, d), "ticker",
-                               order_by=["ts", "id"])
-    return nxt.select("ticker", "nome", "setor", "segmento")
+    nxt, _ = stt.patch_columns(roles.state_stocks(spark, d), _patch_changes(spark, d), "ticker", order_by=PATCH_ORDER)
+    return nxt.select("ticker", "nome", "setor", "segmento", "tags")
 
 
 @query("patch_status")
 def patch_status(spark, d):
-    _, st = stt.patch_columns(roles.state_stocks(spark, d), _patch_changes(spark, d), "ticker",
-                              order_by=["ts", "id"])
-    return st
+    _, st = stt.patch_columns(roles.state_stocks(spark, d), _patch_changes(spark, d), "ticker", order_by=PATCH_ORDER)
+    return st.drop("ts")
 
 
 @query("cascade_delete")
 def cascade_delete(spark, d):
+    """The keys that are left in each table, with their rows."""
     keys = roles.removed(spark, d)
     tables = {"stocks": roles.state_stocks(spark, d), "watchlist": roles.watchlist(spark, d),
               "premissa_atual": _current(spark, d), "premissa_hist": roles.assumption_events(spark, d)}
     out = stt.cascade_delete(tables, keys, _watch_adds(spark, d).distinct())
-    return qa.table_health(out)
+    rows = None
+    for name, df in out.items():
+        part = df.select(F.lit(name).alias("table"), "ticker")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("table", "ticker").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("clear_tombstone")
@@ -460,12 +474,15 @@ def clear_tombstone(spark, d):
 
 
 def _requests(spark, d):
+    """Requests in order of id: every supplier's stock again, and three for each new key from the customers."""
     s = roles.table(spark, d, "supplier").select(
         (F.lit(-1) - F.col("s_suppkey")).alias("ticker"),
         F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("nome"),
-        (F.col("s_acctbal") / 1000.0).alias("lpa"))
-    c = roles.table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("ticker"), F.col("c_name").alias("nome"), F.lit(None).cast("double").alias("lpa"))
+        (F.col("s_acctbal") / 1000.0).alias("lpa"), (F.lit(-1) - F.col("s_suppkey")).alias("id"))
+    c = roles.table(spark, d, "customer").select(
+        (F.floor(F.col("c_custkey") / 3) + roles.NEW_KEY).alias("ticker"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("nome"), F.lit(None).cast("double").alias("lpa"),
+        F.col("c_custkey").alias("id"))
     return s.unionByName(c)
 
 
@@ -473,17 +490,31 @@ ADD_DEFAULTS = {"setor": "", "subsetor": "", "segmento": "", "perfil": "", "tama
                 "modelo": roles.MODEL_DEFAULT, "tags": "[]", "monitored": 0, "roe_i": 0.15, "user": 1}
 
 
+def _tombstones(spark, d):
+    """Removed parts, and a key for every customer (the third of them that is added again loses it)."""
+    c = roles.table(spark, d, "customer").select((F.col("c_custkey") + roles.NEW_KEY).alias("ticker"))
+    return roles.removed(spark, d).unionByName(c)
+
+
 @query("insert_status")
 def insert_status(spark, d):
-    return stt.insert_status(roles.state_stocks(spark, d), _requests(spark, d)).select("ticker", "status", "error")
+    return stt.insert_status(roles.state_stocks(spark, d), _requests(spark, d), order_by=["id"]).select(
+        "ticker", "id", "status", "error")
 
 
 @query("add_entities")
 def add_entities(spark, d):
-    nxt, _ = stt.add_entities(roles.state_stocks(spark, d), _requests(spark, d), ADD_DEFAULTS)
+    nxt, _, _ = stt.add_entities(roles.state_stocks(spark, d), _requests(spark, d), ADD_DEFAULTS, order_by=["id"])
     return _r6_floats(nxt, STATE_FLOATS)
 
 
+@query("add_entities_tombstones")
+def add_entities_tombstones(spark, d):
+    _, _, left = stt.add_entities(roles.state_stocks(spark, d), _requests(spark, d), ADD_DEFAULTS, order_by=["id"],
+                                  tombstones=_tombstones(spark, d))
+    return left
+
+
 ASSUMPTION_SCHEMA_DDL = ("ticker BIGINT, event_time TIMESTAMP_NTZ, id BIGINT, lpa DOUBLE, roe_i DOUBLE, "
                          "payout_i DOUBLE, roe_t DOUBLE, payout_t DOUBLE, fade DOUBLE, ke DOUBLE, growth_mode STRING, "
                          "g_i DOUBLE, g_t DOUBLE, fut_pe DOUBLE, mos DOUBLE, ke_default INT, roet_default INT, "
@@ -519,9 +550,9 @@ def config_unpivot(spark, d):
 # --- validation, portfolio, health: P8, J11, A5, A6, L1, P1, P7 ------------------------------------
 @query("validate_positions")
 def validate_positions(spark, d):
-    acc, rej = qa.validate(roles.positions(spark, d), qa.position_rules())
+    acc, rej = qa.validate(roles.more_positions(spark, d), qa.position_rules(), unique="ticker", order_by=["batch"])
     out = acc.withColumn("errors", F.array().cast("array<string>")).unionByName(rej)
-    return out.select("ticker", r6("quantidade").alias("quantidade"), r6("preco_medio").alias("preco_medio"),
+    return out.select("ticker", "batch", r6("quantidade").alias("quantidade"), r6("preco_medio").alias("preco_medio"),
                       (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"))
 
 
@@ -777,3 +808,36 @@ def assumption_history_one(spark, d):
 @query("history_series_daily")
 def history_series_daily(spark, d):
     return qt.history_series(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str="1mo", as_array=True)
+
+
+@query("format_number_ties")
+def format_number_ties(spark, d):
+    """Eighths have exact ties at 0, 1 and 2 places."""
+    x = (F.col("o_orderkey") % 100_000 - 50_000) / 8.0
+    o = roles.table(spark, d, "orders")
+    return o.select("o_orderkey", fv.format_ptbr(x, 0).alias("p0"), fv.format_ptbr(x, 1).alias("p1"),
+                    fv.format_ptbr(x, 2).alias("p2"), fv.format_pct(x, 0).alias("pct0"), fv.format_pct(x, 1).alias("pct1"))
+
+
+@query("src_meta_json")
+def src_meta_json(spark, d):
+    """Curated metadata: an array of records with a tag array, written from the parts and read back."""
+    from valorum.sources import files as src
+    p = roles.table(spark, d, "part")
+    rec = F.struct(F.col("p_partkey").cast("string").alias("ticker"), F.col("p_name").alias("nome"),
+                   F.col("p_type").alias("setor"), F.array("p_brand", "p_type").alias("tags"),
+                   (F.col("p_size") > 25).alias("monitored"), (F.col("p_size") / 100.0).alias("g1"),
+                   F.col("p_retailprice").alias("lpa"))
+    docs = p.groupBy((F.col("p_partkey") % 64).alias("doc")).agg(F.collect_list(rec).alias("all"))
+    path = _scratch(spark, "meta")
+    docs.select(F.to_json("all").alias("value")).repartition(64).write.text(path)
+    m = src.read_meta(spark, path)
+    return m.select("ticker", "nome", "setor", F.array_join("tags", "|").alias("tags"), "monitored", r6("g1").alias("g1"),
+                    r6("lpa").alias("lpa"), F.col("gov").isNull().alias("no_gov"))
+
+
+@query("message_cut")
+def message_cut(spark, d):
+    """Error texts cut to 120 and 80 characters."""
+    t = roles.table(spark, d, "documents")
+    return t.select("doc_id", tx.cut("text", 120).alias("m120"), tx.cut("text", 80).alias("m80"))

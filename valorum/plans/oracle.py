@@ -574,7 +574,7 @@ facts AS (
          {gov_sql("json_extract_string(CASE WHEN ltrim(reg.payload) LIKE '\"%' THEN json_extract_string(reg.payload, '$') ELSE reg.payload END, '$.market')")} AS gov
   FROM eps FULL JOIN ni ON ni.cd = eps.cd FULL JOIN dl ON dl.cd = coalesce(eps.cd, ni.cd)
        FULL JOIN reg ON reg.cd = coalesce(eps.cd, ni.cd, dl.cd)),
-ind AS (SELECT * FROM ({_ind_sql().split('AS (', 1)[1].rsplit(')', 1)[0]}) WHERE segmentname <> 'MACHINERY'),
+ind AS (SELECT * FROM ({_ind_sql().split('AS (', 1)[1].rsplit(')', 1)[0]})),
 snap AS (SELECT c_custkey AS ticker, c_acctbal * 2e6 AS market_cap FROM customer),
 u AS (
   SELECT r.ticker, r.cd_cvm, r.how, f.eps, f.payout_calc, f.ctrl, f.gov, i.*, i.ticker IS NOT NULL AS has_ind,
@@ -627,7 +627,7 @@ cur_stocks AS (
          CAST(p_size AS DOUBLE) / 50.0 AS payout, CAST(NULL AS DOUBLE) AS liquidez, CAST(0.15 AS DOUBLE) AS roe_i,
          CAST(0.06 AS DOUBLE) AS g1, CAST(0.14 AS DOUBLE) AS ke, CAST(0.04 AS DOUBLE) AS gp,
          CAST(p_size > 40 AS INTEGER) AS "user"
-  FROM part WHERE p_size <= 45
+  FROM part
   UNION ALL
   SELECT -1 - s_suppkey, s_name, CAST(NULL AS VARCHAR), 'user', '', '', '', '', '', '', 'DDM · 2 est.', '[]', 0,
          s_acctbal / 1000.0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0.15 AS DOUBLE), CAST(0.06 AS DOUBLE),
@@ -635,14 +635,18 @@ cur_stocks AS (
   FROM supplier)"""
 
 ROLE_SEED = """
+listed AS (SELECT p_partkey AS ticker, p_name AS name, p_type AS setor, p_brand AS segmento,
+                  CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part
+           UNION ALL SELECT c_custkey + 1000000000, c_name, c_mktsegment, '', CAST(c_nationkey AS DOUBLE), c_acctbal
+           FROM customer),
 seed AS (
-  SELECT p_partkey AS ticker, upper(p_name) AS nome, CAST(p_partkey AS VARCHAR) AS cd_cvm, p_type AS setor,
-         '' AS subsetor, p_brand AS segmento, 'Valor' AS perfil, 'Small cap' AS tamanho, '' AS gov, '' AS ctrl,
-         'DDM · 2 est.' AS modelo, '[]' AS tags, CAST(p_size > 30 AS INTEGER) AS monitored,
-         p_retailprice / 90.0 AS lpa, CAST(p_size AS DOUBLE) / 40.0 AS payout, p_retailprice * 1000.0 AS liquidez,
-         CAST(p_size AS DOUBLE) / 100.0 AS roe_i, CAST(0.06 AS DOUBLE) AS g1, CAST(0.14 AS DOUBLE) AS ke,
+  SELECT ticker, upper(name) AS nome, CAST(ticker AS VARCHAR) AS cd_cvm, setor,
+         '' AS subsetor, segmento, 'Valor' AS perfil, 'Small cap' AS tamanho, '' AS gov, '' AS ctrl,
+         'DDM · 2 est.' AS modelo, '[]' AS tags, CAST(size > 30 AS INTEGER) AS monitored,
+         price / 90.0 AS lpa, size / 40.0 AS payout, price * 1000.0 AS liquidez,
+         size / 100.0 AS roe_i, CAST(0.06 AS DOUBLE) AS g1, CAST(0.14 AS DOUBLE) AS ke,
          CAST(0.04 AS DOUBLE) AS gp
-  FROM part)"""
+  FROM listed)"""
 
 KEEP = ("nome", "setor", "subsetor", "segmento", "perfil", "tamanho", "gov", "ctrl", "modelo", "tags")
 REFRESH = ("cd_cvm", "monitored", "lpa", "payout", "liquidez", "roe_i", "g1", "ke", "gp")
@@ -688,54 +692,63 @@ register("upsert_latest", with_roles(ROLE_EVENTS) + f"""
 SELECT ticker, {_acols()} FROM before WHERE ticker NOT IN (SELECT ticker FROM after)
 UNION ALL SELECT ticker, {_acols()} FROM after""")
 
-WATCH_ADDS = "SELECT l_partkey AS ticker FROM lineitem WHERE l_quantity = 49 AND l_discount = 0.09"
+WATCH_ADDS = "SELECT CASE WHEN l_quantity >= 25 THEN l_partkey ELSE -1 - l_suppkey END AS ticker FROM lineitem"
 register("insert_ignore", with_roles(ROLE_WATCHLIST) + f"""
 SELECT DISTINCT ticker FROM watchlist
 UNION ALL SELECT DISTINCT ticker FROM ({WATCH_ADDS}) WHERE ticker NOT IN (SELECT ticker FROM watchlist)""")
 register("append_log", with_roles(ROLE_EVENTS) + f" SELECT ticker, {_acols()} FROM events_log")
 
 PATCH_CHANGES = """
-chg AS (SELECT ticker, fields FROM (
-  SELECT l_partkey AS ticker,
-         CASE WHEN l_quantity < 2 THEN MAP {'bogus': 'x'}
-              ELSE MAP {'setor': 'S' || l_returnflag,
-                        'nome': CASE WHEN l_tax > 0.04 THEN 'N' || l_linestatus END} END AS fields,
-         row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS rn
-  FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 4) WHERE rn = 1)"""
+chg AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN l_partkey + 1000000000 ELSE l_partkey END AS ticker, l_orderkey AS id,
+         l_linenumber AS line, l_linenumber % 4 AS kind,
+         strftime(l_shipdate, '%Y%m%d%H%M%S') || lpad(CAST(l_orderkey AS VARCHAR), 15, '0') || l_linenumber AS ord,
+         'S' || l_returnflag || CAST(l_orderkey AS VARCHAR) AS p_setor,
+         coalesce(CASE WHEN l_tax > 0.04 THEN 'N' || l_linestatus || CAST(l_suppkey AS VARCHAR) END, '') AS p_nome,
+         l_returnflag AS p_segmento FROM lineitem),
+patch AS (
+  SELECT ticker, arg_max(p_setor, ord) FILTER (WHERE kind = 1) AS p_setor,
+         arg_max(p_nome, ord) FILTER (WHERE kind = 2) AS p_nome,
+         arg_max(p_segmento, ord) FILTER (WHERE kind = 3) AS p_segmento,
+         arg_max('[]', ord) FILTER (WHERE kind = 3) AS p_tags FROM chg GROUP BY ticker)"""
 register("patch_columns", with_roles(ROLE_STATE_STOCKS, PATCH_CHANGES) + """
-SELECT s.ticker,
-       CASE WHEN list_contains(map_keys(c.fields), 'nome') THEN coalesce(c.fields['nome'], '') ELSE s.nome END AS nome,
-       CASE WHEN list_contains(map_keys(c.fields), 'setor') THEN coalesce(c.fields['setor'], '') ELSE s.setor END
-         AS setor,
-       s.segmento
-FROM cur_stocks s LEFT JOIN chg c ON c.ticker = s.ticker""")
+SELECT s.ticker, coalesce(p_nome, nome) AS nome, coalesce(p_setor, setor) AS setor,
+       coalesce(p_segmento, segmento) AS segmento, coalesce(p_tags, tags) AS tags
+FROM cur_stocks s LEFT JOIN patch p ON p.ticker = s.ticker""")
 register("patch_status", with_roles(ROLE_STATE_STOCKS, PATCH_CHANGES) + """
-SELECT c.ticker,
-       CASE WHEN len(list_filter(map_keys(c.fields), lambda k: k IN ('nome', 'setor', 'subsetor', 'segmento', 'perfil',
-                 'tamanho', 'gov', 'ctrl', 'modelo', 'tags'))) = 0 THEN 'nada para atualizar'
+SELECT c.ticker, c.id, c.line,
+       CASE WHEN kind = 0 THEN 'nada para atualizar'
             WHEN c.ticker NOT IN (SELECT ticker FROM cur_stocks) THEN 'ticker não encontrado' ELSE 'ok' END AS status
 FROM chg c""")
 register("cascade_delete", with_roles(ROLE_STATE_STOCKS, ROLE_EVENTS, ROLE_WATCHLIST, ROLE_REMOVED, SQL_CURRENT) + f"""
 , adds AS (SELECT DISTINCT ticker FROM ({WATCH_ADDS}))
-SELECT 'stocks' AS "table", count(*) AS rows FROM cur_stocks WHERE ticker NOT IN (SELECT ticker FROM removed)
-UNION ALL SELECT 'watchlist', count(*) FROM watchlist WHERE ticker NOT IN (SELECT ticker FROM removed)
-UNION ALL SELECT 'premissa_atual', count(*) FROM cur WHERE ticker NOT IN (SELECT ticker FROM removed)
-UNION ALL SELECT 'premissa_hist', count(*) FROM events_log WHERE ticker NOT IN (SELECT ticker FROM removed)
-UNION ALL SELECT 'removed', (SELECT count(*) FROM adds)
-                            + (SELECT count(DISTINCT ticker) FROM removed WHERE ticker NOT IN (SELECT ticker FROM adds))""")
+SELECT "table", ticker, count(*) AS rows FROM (
+  SELECT 'stocks' AS "table", ticker FROM cur_stocks WHERE ticker NOT IN (SELECT ticker FROM removed)
+  UNION ALL SELECT 'watchlist', ticker FROM watchlist WHERE ticker NOT IN (SELECT ticker FROM removed)
+  UNION ALL SELECT 'premissa_atual', ticker FROM cur WHERE ticker NOT IN (SELECT ticker FROM removed)
+  UNION ALL SELECT 'premissa_hist', ticker FROM events_log WHERE ticker NOT IN (SELECT ticker FROM removed)
+  UNION ALL SELECT 'removed', ticker FROM (SELECT ticker FROM adds UNION SELECT ticker FROM removed))
+GROUP BY "table", ticker""")
 register("clear_tombstone", with_roles(ROLE_REMOVED) + """
 SELECT ticker FROM removed WHERE ticker NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO' AND p_size = 3)""")
 
 REQUESTS = """
-req AS (SELECT -1 - s_suppkey AS ticker, CASE WHEN s_acctbal >= 0 THEN s_name END AS nome, s_acctbal / 1000.0 AS lpa
-        FROM supplier
-        UNION ALL SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) FROM customer WHERE c_mktsegment = 'BUILDING'),
-st AS (SELECT r.*, CASE WHEN r.ticker IS NULL OR r.nome IS NULL OR r.nome = '' THEN 'invalid'
-                        WHEN r.ticker IN (SELECT ticker FROM cur_stocks) THEN 'duplicate' ELSE 'inserted' END AS status
-       FROM req r)"""
+req AS (SELECT -1 - s_suppkey AS ticker, CASE WHEN s_acctbal >= 0 THEN s_name END AS nome, s_acctbal / 1000.0 AS lpa,
+               -1 - s_suppkey AS id FROM supplier
+        UNION ALL SELECT c_custkey // 3 + 1000000000, CASE WHEN c_acctbal >= 0 THEN c_name END, CAST(NULL AS DOUBLE),
+                         c_custkey FROM customer),
+checked_req AS (SELECT *, ticker IS NULL OR nome IS NULL OR nome = '' AS bad FROM req),
+st AS (SELECT *, CASE WHEN bad THEN 'invalid'
+                      WHEN ticker IN (SELECT ticker FROM cur_stocks)
+                        OR row_number() OVER (PARTITION BY ticker, bad ORDER BY id) > 1 THEN 'duplicate'
+                      ELSE 'inserted' END AS status
+       FROM checked_req)"""
 register("insert_status", with_roles(ROLE_STATE_STOCKS, REQUESTS) + """
-SELECT ticker, status, CASE status WHEN 'invalid' THEN 'ticker e nome obrigatórios'
-                                   WHEN 'duplicate' THEN 'ticker já cadastrado' END AS error FROM st""")
+SELECT ticker, id, status, CASE status WHEN 'invalid' THEN 'ticker e nome obrigatórios'
+                                       WHEN 'duplicate' THEN 'ticker já cadastrado' END AS error FROM st""")
+register("add_entities_tombstones", with_roles(ROLE_STATE_STOCKS, ROLE_REMOVED, REQUESTS) + """
+SELECT ticker FROM (SELECT ticker FROM removed UNION ALL SELECT c_custkey + 1000000000 FROM customer)
+WHERE ticker NOT IN (SELECT ticker FROM st WHERE status = 'inserted')""")
 register("add_entities", with_roles(ROLE_STATE_STOCKS, REQUESTS) + """
 SELECT ticker, nome, cd_cvm, setor, subsetor, segmento, perfil, tamanho, gov, ctrl, modelo, tags, monitored,
        round(lpa, 6) AS lpa, round(payout, 6) AS payout, round(liquidez, 6) AS liquidez, round(roe_i, 6) AS roe_i,
@@ -781,9 +794,14 @@ checked AS (
                          CASE WHEN NOT coalesce(preco_medio >= 0, false) THEN 'price_non_negative' END],
                         lambda x: x IS NOT NULL) AS errs
   FROM positions)"""
-register("validate_positions", with_roles(ROLE_POSITIONS) + """
-SELECT ticker, round(quantidade, 6) AS quantidade, round(preco_medio, 6) AS preco_medio, len(errs) = 0 AS valid,
-       array_to_string(errs, ',') AS errors FROM checked""")
+register("validate_positions", with_roles(ROLE_POSITIONS.replace("  FROM positions)", """  FROM (
+    SELECT *, 1 AS batch FROM positions
+    UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE) - 3.0, p_retailprice, 2 FROM part))""")) + """
+, numbered AS (SELECT *, len(errs) > 0 AS bad,
+                      row_number() OVER (PARTITION BY ticker, len(errs) > 0 ORDER BY batch) AS no FROM checked)
+SELECT ticker, batch, round(quantidade, 6) AS quantidade, round(preco_medio, 6) AS preco_medio,
+       NOT bad AND no = 1 AS valid,
+       CASE WHEN bad OR no = 1 THEN array_to_string(errs, ',') ELSE 'duplicate_key' END AS errors FROM numbered""")
 
 
 def _portfolio() -> str:
@@ -909,3 +927,22 @@ register("history_series_daily", with_roles(ROLE_QUOTES) + """
 , daily AS (SELECT ticker, arg_max(ts_ms, ts_ms) AS ts_ms, arg_max(close, ts_ms) AS close FROM pts
             GROUP BY ticker, ts_ms // 86400000)
 SELECT ticker, list([CAST(ts_ms AS DOUBLE), close] ORDER BY ts_ms) AS series FROM daily GROUP BY ticker""")
+
+_TIE = "(o_orderkey % 100000 - 50000) / 8.0"
+
+
+def _tie_text(places: int) -> str:
+    """Eighths times a power of ten are exact, so half away from zero is exact as well."""
+    scale = 10.0 ** places
+    x = f"CAST({_TIE} AS DOUBLE)"
+    up = f"sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale}"
+    return f"translate(format('{{:,.{places}f}}', {up}), ',.', '.,')"
+
+
+register("format_number_ties", f"""
+SELECT o_orderkey, {_tie_text(0)} AS p0, {_tie_text(1)} AS p1, {_tie_text(2)} AS p2, {_tie_text(0)} || '%' AS pct0,
+       regexp_replace({_tie_text(1)}, ',0$', '') || '%' AS pct1 FROM orders""")
+register("src_meta_json", """
+SELECT CAST(p_partkey AS VARCHAR) AS ticker, p_name AS nome, p_type AS setor, p_brand || '|' || p_type AS tags,
+       p_size > 25 AS monitored, round(p_size / 100.0, 6) AS g1, round(p_retailprice, 6) AS lpa, true AS no_gov FROM part""")
+register("message_cut", "SELECT doc_id, left(text, 120) AS m120, left(text, 80) AS m80 FROM documents")

@@ -262,8 +262,8 @@ MODEL_DEFAULT = "DDM · 2 est."
 
 
 def state_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current stocks table: parts up to size 45 (sizes 41-45 user-created) plus user rows from suppliers."""
-    p = table(spark, sf_dir, "part").where(F.col("p_size") <= 45)
+    """Current stocks table: all parts (from size 41 on user-created) plus user rows from suppliers."""
+    p = table(spark, sf_dir, "part")
     size = F.col("p_size").cast("double")
     parts = p.select(
         F.col("p_partkey").alias("ticker"), F.col("p_name").alias("nome"),
@@ -287,17 +287,27 @@ def state_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(users)
 
 
+# Keys of customers in the seed: none of the current stocks has them.
+NEW_KEY = 1_000_000_000
+
+
 def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fresh universe seed: one row per part with refreshed fundamentals."""
-    p = table(spark, sf_dir, "part")
-    size = F.col("p_size").cast("double")
-    return p.select(
-        F.col("p_partkey").alias("ticker"), F.upper("p_name").alias("nome"),
-        F.col("p_partkey").cast("string").alias("cd_cvm"), F.col("p_type").alias("setor"), F.lit("").alias("subsetor"),
-        F.col("p_brand").alias("segmento"), F.lit("Valor").alias("perfil"), F.lit("Small cap").alias("tamanho"),
+    """Fresh universe seed: every part with refreshed fundamentals, and every customer as a new listing."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ticker"), F.col("p_name").alias("name"), F.col("p_type").alias("setor"),
+        F.col("p_brand").alias("segmento"), F.col("p_size").cast("double").alias("size"),
+        F.col("p_retailprice").alias("price"))
+    c = table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + NEW_KEY).alias("ticker"), F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("setor"), F.lit("").alias("segmento"),
+        F.col("c_nationkey").cast("double").alias("size"), F.col("c_acctbal").alias("price"))
+    u, size = p.unionByName(c), F.col("size")
+    return u.select(
+        "ticker", F.upper("name").alias("nome"), F.col("ticker").cast("string").alias("cd_cvm"), "setor",
+        F.lit("").alias("subsetor"), "segmento", F.lit("Valor").alias("perfil"), F.lit("Small cap").alias("tamanho"),
         F.lit("").alias("gov"), F.lit("").alias("ctrl"), F.lit(MODEL_DEFAULT).alias("modelo"), F.lit("[]").alias("tags"),
-        (F.col("p_size") > 30).cast("int").alias("monitored"), (F.col("p_retailprice") / 90.0).alias("lpa"),
-        (size / 40.0).alias("payout"), (F.col("p_retailprice") * 1000.0).alias("liquidez"),
+        (size > 30).cast("int").alias("monitored"), (F.col("price") / 90.0).alias("lpa"),
+        (size / 40.0).alias("payout"), (F.col("price") * 1000.0).alias("liquidez"),
         (size / 100.0).alias("roe_i"), F.lit(0.06).alias("g1"), F.lit(0.14).alias("ke"), F.lit(0.04).alias("gp"))
 
 
@@ -310,3 +320,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("l_returnflag").alias("min_flag"))
     return agg.select("ticker", "quantidade",
                       F.when(F.col("min_flag") == "R", F.lit(-1.0)).otherwise(F.col("avg_price")).alias("preco_medio"))
+
+
+def more_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in two batches: those of :func:`positions`, then one of every part, so most keys repeat."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ticker"), (F.col("p_size").cast("double") - 3.0).alias("quantidade"),
+        F.col("p_retailprice").alias("preco_medio"), F.lit(2).alias("batch"))
+    return positions(spark, sf_dir).withColumn("batch", F.lit(1)).unionByName(p)

@@ -52,8 +52,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, local runs) is a scratch folder
-    created and registered; a cluster always supplies its shared folder.
+    Only a local master that names none (tests) gets a scratch folder. On a cluster every executor would
+    write to its own disk, so there an unnamed folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="valorum-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", named)
     sc.setCheckpointDir(named)
@@ -88,14 +90,9 @@ def work_table(df, label: str):
 
 
 def spread(df, min_partitions: int | None = None):
-    """Spread rows over at least the cluster's cores before CPU-heavy row work.
+    """Deal rows evenly over at least the cluster's cores before CPU-heavy row work.
 
-    A frame read from few large files (or one row group) arrives as few tasks;
-    round-robin repartitioning then costs one shuffle and buys full parallelism.
-    A frame that already has enough partitions (any large scan) is returned as is.
+    A frame read from few large files (or one row group) arrives as few tasks. Always one shuffle of the
+    (narrow) rows it is given, planned without looking at the frame: it starts no job.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    return df.repartition(min_partitions or df.sparkSession.sparkContext.defaultParallelism)

@@ -42,8 +42,6 @@ META_SCHEMA = StructType(
                                             "gov", "ctrl", "modelo")]
     + [StructField("tags", ArrayType(StringType())), StructField("monitored", BooleanType())]
     + [StructField(c, DoubleType()) for c in ("g1", "ke", "gp", "lpa", "payout")])
-CHART_SCHEMA = StructType([StructField("ticker", StringType()), StructField("result", StructType([
-    StructField("timestamp", ArrayType(LongType())), StructField("close", ArrayType(DoubleType()))]))])
 
 
 def read_ticker_list(spark: SparkSession, path: str) -> DataFrame:

@@ -82,8 +82,8 @@ def simhash_components(rows, radius=3):
 
 def winnow(text, k=5, w=8, piece=12, modulus=(1 << 31) - 1, base=1_000_003):
     """[(hash, position)] straight from the definition."""
-    import regex
-    units = regex.findall(r"[\p{L}\p{M}\p{N}]{1,%d}+|[^\s\p{L}\p{M}\p{N}]" % piece, (text or "").lower())
+    units = [run[i:i + piece] for run in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+             for i in range(0, len(run), piece)]
     u = []
     for x in units:
         h = xxhash.xxh64_intdigest(x.encode(), 42)

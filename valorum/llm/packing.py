@@ -54,8 +54,11 @@ class BestFit:
             self.n_bins += 1
         left = free - length
         if left:
-            if self.n_open == self.open_bins:  # the fullest closes
-                self._pop((self.bits & -self.bits).bit_length() - 1)
+            if self.n_open == self.open_bins:  # the fullest closes, which may be this one
+                least = (self.bits & -self.bits).bit_length() - 1
+                if left <= least:
+                    return no, self.size - free
+                self._pop(least)
             self.bins[left].append(no)
             self.bits |= 1 << left
             self.n_open += 1

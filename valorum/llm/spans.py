@@ -35,17 +35,18 @@ def with_spans(df: DataFrame, text: str, out: str, pattern: str, wanted: Column
 
     ``wanted``: a cheap condition that a text with matches meets; other texts are not searched.
     """
-    found, ends = fresh(out + "_found", df.columns), fresh(out + "_ends", df.columns)
+    found, size, ends = (fresh(f"{out}_{x}", df.columns) for x in ("found", "size", "ends"))
     none = F.array().cast("array<string>")
     every = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     df = df.withColumn(found, every if wanted is None else F.when(wanted, every).otherwise(none))
     pieces = F.split(F.col(text), pattern, -1)
     lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.col(found),
                          lambda a, b: F.char_length(a) + F.char_length(b))
-    df = df.withColumn(ends, F.when(F.size(found) > 0, running(lengths, lambda a, b: a + b, 0)))
+    df = df.withColumn(size, F.when(F.size(found) > 0, lengths))
+    df = df.withColumn(ends, running(F.col(size), lambda a, b: a + b, 0))
     spans = F.zip_with(F.col(ends), F.col(found), lambda e, v: F.struct(
         (e - F.char_length(v)).alias("start"), e.alias("end"), v.alias("value")))
-    return df.withColumn(out, F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))).drop(found, ends)
+    return df.withColumn(out, F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))).drop(found, size, ends)
 
 
 def tagged(spans: Column, kind: str, order: int) -> Column:

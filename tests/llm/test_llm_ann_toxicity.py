@@ -41,7 +41,7 @@ def test_cells_come_in_falling_order():
 def test_recall_on_the_table(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     data = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    got = by_query(ann.search(vectors, F.col("vec_id") % 20 == 0, centroids=32, least=100))
+    got = by_query(ann.search(vectors, F.col("vec_id") % 20 == 0, least=100))
     assert set(got) == {i for i, _ in data if i % 20 == 0}
     x, ids = np.array([v for _, v in data], float), np.array([i for i, _ in data])
     hits = 0
@@ -107,7 +107,7 @@ def test_learning_and_odd_tables(spark):
     for i in range(600):
         toxic = i % 6 == 0
         text = rng.choices(words, k=60) + (["zork"] * 2 if toxic else [])
-        if i % 5 == 1:
+        if i % 20 == 1:
             text += ["zork", "plant"]  # harmless: an exception phrase
         rng.shuffle(text) if toxic else None
         data.append((i, " ".join(text), None, None, None))

@@ -146,12 +146,12 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           centroids: int = 64, share: float = 0.5, least: int = 1000, fit_rows: int = 16_384,
+           centroids: int = 64, share: float = 0.6, least: int = 1000, fit_rows: int = 16_384,
            list_size: int = 4096, max_centroids: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, itself left out.
 
     ``is_query`` is a condition on vec_id. ``share`` of the entries (``least`` at least) are visited for a
-    query; vectors without structure need about half of them for a recall above 0.9. Codebooks are fitted
+    query; vectors without structure need more than half of them for a recall well above 0.9. Codebooks are fitted
     on about ``fit_rows`` entries, drawn by a hash. Null ids, null or zero vectors, those holding null or non-finite
     components or of another length than most take no part. Rows that repeat an (id, vector) count once; ties
     go to the smaller id. An empty table gives an empty result; other columns are ignored.

@@ -26,8 +26,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # The method's own: two letters, two check digits, 11 to 30 letters or digits, in groups or not.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
+NATIONAL = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
 
 BASE = ("email", "ip", "card", "phone")
 OWN = ("iban", "short_card", "national_id")

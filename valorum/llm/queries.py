@@ -115,3 +115,94 @@ taken AS (
 SELECT d.doc_id, d.size, b.source_size, b.target, CAST((b.epochs + t.extra) * d.size AS BIGINT) AS taken
 FROM docs d JOIN budgets b USING (skey) JOIN taken t USING (skey, h)
 """
+
+
+# --- spans in SQL: the plain patterns of the contracts (DuckDB's matcher is linear and has no look-around) -------
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _spans(kind: str, pattern: str) -> str:
+    """A row (doc_id, text, kind, s, e, v) for each match."""
+    return f"""
+SELECT doc_id, text, '{kind}' AS kind, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, v FROM (
+  SELECT doc_id, text, unnest(found) AS v,
+         unnest(list_transform(range(1, len(found) + 1), lambda i: list_sum(list_transform(found[1:i], lambda x: length(x)))
+                + list_sum(list_transform(parts[1:i], lambda x: length(x))))) AS e
+  FROM (SELECT doc_id, text, regexp_extract_all(text, {_q(pattern)}) AS found,
+               string_split_regex(text, {_q(pattern)}) AS parts FROM docs) WHERE len(found) > 0)"""
+
+
+_DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE
+    WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT)
+    ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse({_DIGITS})[i] AS INT) + 1] END)) % 10 = 0"""
+_MOD97 = """list_reduce(list_concat([0], list_transform(
+    string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''),
+    lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+    lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1"""
+
+
+def _near(kind: str) -> str:
+    return f"regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, e - greatest(s - 40, 0) + 40)), {_q(pii.CONTEXT[kind])})"
+
+
+_CARD = r"[0-9]([\x20-]?[0-9])+"
+ORACLE_SQL["op4_pii"] = f"""
+WITH {_DOCS},
+card_runs AS ({_spans("card", _CARD)}),
+base AS (
+  SELECT *, 0 AS o FROM ({_spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")})
+  UNION ALL SELECT *, 1 FROM ({_spans("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")})
+    WHERE len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(p AS DOUBLE) > 255)) = 0
+  UNION ALL SELECT *, 2 FROM card_runs WHERE length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}
+  UNION ALL SELECT *, 3 FROM ({_spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}) WHERE length({_DIGITS}) BETWEEN 8 AND 15),
+own AS (
+  SELECT *, 4 AS o FROM ({_spans("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")}) WHERE {_MOD97}
+  UNION ALL SELECT doc_id, text, 'short_card', s, e, v, 5 FROM card_runs
+    WHERE length({_DIGITS}) BETWEEN 13 AND 15 AND {_LUHN} AND {_near("short_card")}
+  UNION ALL SELECT *, 6 FROM ({_spans("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")}) WHERE {_near("national_id")}),
+spans AS (
+  SELECT doc_id, kind, s, e, o FROM base
+  UNION ALL SELECT doc_id, kind, s, e, o FROM own
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = own.doc_id AND b.s < own.e AND own.s < b.e)),
+texts AS (
+  SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_email, count(*) FILTER (WHERE o = 1) AS n_ip,
+         count(*) FILTER (WHERE o = 2) AS n_card, count(*) FILTER (WHERE o = 3) AS n_phone,
+         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (WHERE o < 4), '') AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS every
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM docs d LEFT JOIN texts t USING (doc_id)
+"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_WORDS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+_OWN_RULES = (("private_key", secret_scan.PRIVATE_KEY), ("forge_token", r"\bgh[opsur]_[A-Za-z0-9]{36,}"),
+              ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+              ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"))
+ORACLE_SQL["op9_secret_scan"] = f"""
+WITH {_DOCS},
+spans AS (
+  SELECT doc_id, kind, s, e, 0 AS o FROM ({_spans("assign", _ASSIGN)})
+    WHERE length(regexp_replace(v, '^[A-Za-z_]+["'']?[ ]*[:=][ ]*["'']?', '')) >= 6
+  UNION ALL SELECT doc_id, kind, s, e, 1 FROM ({_spans("access", "AKIA[A-Z0-9]+")}) WHERE length(v) >= 20
+  UNION ALL SELECT doc_id, kind, s, e, 2 FROM ({_spans("hex", "[0-9a-f]{24,}")})
+  {"".join(f" UNION ALL SELECT doc_id, kind, s, e, {3 + i} FROM ({_spans(k, p)})" for i, (k, p) in enumerate(_OWN_RULES))}),
+texts AS (
+  SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access,
+         count(*) FILTER (WHERE o = 2) AS n_hex,
+         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (WHERE o < 3), '') AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o > 2, s, o) AS every
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM docs d LEFT JOIN texts t USING (doc_id)
+"""

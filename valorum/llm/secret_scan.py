@@ -32,8 +32,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 # The method's own rules.
 PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 FORGE_TOKEN = r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,}+"
-CHAT_TOKEN = r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"
-WEB_TOKEN = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+CHAT_TOKEN = r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}+"
+WEB_TOKEN = r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 
 FINDINGS = "array<struct<order:int,kind:string,start:int,end:int>>"
 

@@ -87,8 +87,8 @@ class Ledger:
         """Scan the blobs of ``versions`` that this rule version has not seen and record them; returns the record."""
         blobs = versions.select(blob_id(text_col).alias("blob"), text_of(text_col).alias("text"))
         seen = self.read().where(F.col("rules") == rules).select("blob")
-        # Copies meet by their address; only one text of each is kept while rows are gathered.
-        unseen = blobs.join(seen, "blob", "left_anti").dropDuplicates(["blob"])
+        # Copies meet by their address, first within each task, so that a blob of many paths is no hot key.
+        unseen = blobs.dropDuplicates(["blob"]).join(seen, "blob", "left_anti")
         found = findings_of(unseen).select("blob", F.lit(rules).alias("rules"),
                                            F.when(F.size("found") > 0, F.col("found")).alias("found"))
         found.write.parquet(f"{self.path}/scan={uuid.uuid4().hex}")

@@ -42,6 +42,14 @@ def test_upsert_is_idempotent_and_equals_log_replay(spark):
     assert norm(once) == norm(twice) == norm(replay)
 
 
+def test_late_change_does_not_replace_a_newer_row(spark):
+    cur = spark.createDataFrame([("A", 5, "cur"), ("B", 5, "cur")], "ticker string, t int, v string")
+    ch = spark.createDataFrame([("A", 3, "late"), ("B", 5, "same"), ("C", 1, "new")], "ticker string, t int, v string")
+    assert sorted(r.v for r in st.upsert_latest(cur, ch, "ticker", ["t"]).collect()) == ["cur", "new", "same"]
+    untimed = st.upsert_latest(cur.drop("t"), ch, "ticker", ["t"])
+    assert sorted(r.v for r in untimed.collect()) == ["late", "new", "same"]
+
+
 def test_insert_ignore_first_wins(spark):
     cur = spark.createDataFrame([("k1", 1.0)], "k string, v double")
     ch = spark.createDataFrame([("k1", 9.0, 1), ("k2", 2.0, 2), ("k2", 3.0, 1)], "k string, v double, o int")

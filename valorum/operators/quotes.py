@@ -82,8 +82,8 @@ def history_series(df: DataFrame, key: str = "ticker", ts: str = "ts", close: st
                    as_array: bool = False, places: int = PRICE_PLACES) -> DataFrame:
     """A10: the ``[epoch_ms, close]`` series per key, nulls dropped, closes in cents.
 
-    Long form (default): one row per point, ordered by key and time with a range
-    partitioned sort, so a key with many points spreads over several tasks.
+    Long form (default): one row per point, dealt by key and 30-day bucket and ordered by key and time
+    within a partition, so a key with many points spreads over several tasks.
     Array form: one row per key with the daily series (the last close of each day,
     as the provider's 1-day interval); each key first shrinks to one point per day
     by a partial aggregate, so an array holds at most one point per day of the
@@ -96,7 +96,8 @@ def history_series(df: DataFrame, key: str = "ticker", ts: str = "ts", close: st
     points = df.select(F.col(key), epoch_millis(ts, ntz).alias("ts_ms"),
                        round_half_up(F.col(close), places).alias("close"))
     if not as_array:
-        return points.orderBy(key, "ts_ms")
+        month = F.floor(F.col("ts_ms") / (30 * 86400000))
+        return points.repartition(F.col(key), month).sortWithinPartitions(key, "ts_ms")
     if as_of is None or range_str == "max":
         raise ValueError("array form needs a bounded look-back (as_of and a range)")
     day = F.floor(F.col("ts_ms") / 86400000)

@@ -66,12 +66,21 @@ def insert_ignore(current: DataFrame, changes: DataFrame, key="ticker", order_by
 
 
 def upsert_latest(current: DataFrame, changes: DataFrame, key="ticker", order_by: Sequence = ()) -> DataFrame:
-    """M2: newest change per key replaces the current row; other rows stay."""
+    """M2: the newest row per key among the current table and the changes; other rows stay.
+
+    Newest by ``order_by``, as in the streams: if the current table carries those columns, a change
+    that arrives late does not replace a newer current row (equal ones: the change wins). If it does
+    not, every change is newer than the table.
+    """
     k = _keys(key)
     cols = [c for c in current.columns if c not in k]
     newest = latest_per_key(changes, k, list(order_by), columns=[c for c in changes.columns if c not in k])
     newest = newest.select(*k, *[F.col(c) if c in newest.columns else F.lit(None).cast(current.schema[c].dataType).alias(c)
                                  for c in cols])
+    names = [c[0] if isinstance(c, tuple) else c for c in order_by]
+    if order_by and all(isinstance(c, str) and c in current.columns for c in names):
+        both = current.withColumn("_change", F.lit(0)).unionByName(newest.withColumn("_change", F.lit(1)))
+        return latest_per_key(both, k, [*order_by, "_change"], columns=cols).select(*current.columns)
     return current.join(newest.select(*k), k, "left_anti").unionByName(newest)
 
 

@@ -380,11 +380,11 @@ def seed_minus_removed(spark, d):
 
 
 def _current_split(spark, d, cut="1998-01-01"):
+    """A current table, and changes: all newer edits, and every fifth older one arriving late."""
     ev = roles.assumption_events(spark, d)
-    before = ev.where(F.col("event_time") < F.lit(cut).cast("timestamp_ntz"))
-    after = ev.where(F.col("event_time") >= F.lit(cut).cast("timestamp_ntz"))
-    cur = lt.latest_per_key(before, "ticker", ["event_time", "id"])
-    return cur, after
+    late = F.col("id") % 5 == 0
+    newer = F.col("event_time") >= F.lit(cut).cast("timestamp_ntz")
+    return lt.latest_per_key(ev.where(~newer & ~late), "ticker", ["event_time", "id"]), ev.where(newer | late)
 
 
 ASSUMPTION_FLOATS = ("lpa", "roe_i", "payout_i", "roe_t", "payout_t", "fade", "ke", "g_i", "g_t", "fut_pe", "mos")
@@ -753,20 +753,25 @@ def universe_write_read(spark, d):
 from valorum.streaming import streams as sm  # noqa: E402
 
 
-def _stream_source(spark, d, name):
-    schema = roles.table(spark, d, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(d))
+def _stream_source(spark, d, name, base):
+    """A stream over the whole table in eight files, two for each micro-batch."""
+    t = roles.table(spark, d, name)
+    t.repartition(8).write.parquet(base + "/source")
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(base + "/source")
+
+
+# Demo streams begin a new generation of their state after so many micro-batches.
+STREAM_GENERATION = 3
 
 
 @query("stream_latest_quote")
 def stream_latest_quote(spark, d):
     import uuid
     base = _scratch(spark, f"stream_quote/{uuid.uuid4().hex}")
-    ev = _stream_source(spark, d, "events")
+    ev = _stream_source(spark, d, "events", base)
     quotes = ev.select(F.col("user_id").alias("ticker"), "ts",
                        F.when(F.col("event_type") != "error", F.col("value")).alias("close"))
-    q = sm.stream_latest_quote(quotes, base + "/state", base + "/checkpoint")
+    q = sm.stream_latest_quote(quotes, base + "/state", base + "/checkpoint", generation=STREAM_GENERATION)
     q.awaitTermination()
     st = sm.read_state(spark, base + "/state")
     return st.select("ticker", fv.round_half_up("price", 2).alias("price"), "last_ts")
@@ -776,11 +781,12 @@ def stream_latest_quote(spark, d):
 def stream_assumption_state(spark, d):
     import uuid
     base = _scratch(spark, f"stream_assumptions/{uuid.uuid4().hex}")
-    li = _stream_source(spark, d, "lineitem")
+    li = _stream_source(spark, d, "lineitem", base)
     events = roles.assumption_events_from(li)
-    q = sm.stream_assumptions(events, base + "/state", base + "/log", base + "/checkpoint")
+    q = sm.stream_assumptions(events, base + "/state", base + "/log", base + "/checkpoint",
+                              generation=STREAM_GENERATION)
     q.awaitTermination()
-    return _r6_floats(sm.read_state(spark, base + "/state"), ASSUMPTION_FLOATS)
+    return _r6_floats(sm.read_state(spark, base + "/state", order_by=sm.EDIT_ORDER), ASSUMPTION_FLOATS)
 
 
 # --- SQL surface, config defaults, single-key history: 2.13, M8, L2 ------------------------------------

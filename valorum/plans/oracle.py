@@ -685,12 +685,8 @@ def _acols(prefix: str = "") -> str:
 
 
 register("upsert_latest", with_roles(ROLE_EVENTS) + f"""
-, before AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, id DESC) rn
-                           FROM events_log WHERE event_time < TIMESTAMP '1998-01-01') WHERE rn = 1)
-, after AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, id DESC) rn
-                          FROM events_log WHERE event_time >= TIMESTAMP '1998-01-01') WHERE rn = 1)
-SELECT ticker, {_acols()} FROM before WHERE ticker NOT IN (SELECT ticker FROM after)
-UNION ALL SELECT ticker, {_acols()} FROM after""")
+SELECT ticker, {_acols()} FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, id DESC) rn FROM events_log) WHERE rn = 1""")
 
 WATCH_ADDS = "SELECT CASE WHEN l_quantity >= 25 THEN l_partkey ELSE -1 - l_suppkey END AS ticker FROM lineitem"
 register("insert_ignore", with_roles(ROLE_WATCHLIST) + f"""
@@ -899,9 +895,8 @@ WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, arg_max(CASE WHEN event_t
            FROM events GROUP BY 1, 2)
 SELECT event_type AS ticker, floor(arg_max(c, day) * 100.0 + 0.5) / 100.0 AS price
 FROM d WHERE c IS NOT NULL GROUP BY event_type""")
-register("universe_write_read", """
-SELECT p_partkey AS ticker, upper(p_name) AS nome, [p_type, p_brand] AS tags, round(p_retailprice / 90.0, 6) AS lpa,
-       round(CAST(p_size AS DOUBLE) / 40.0, 6) AS payout, CAST(p_size > 30 AS INTEGER) AS monitored FROM part""")
+register("universe_write_read", with_roles(ROLE_SEED) + """
+SELECT ticker, nome, [setor, segmento] AS tags, round(lpa, 6) AS lpa, round(payout, 6) AS payout, monitored FROM seed""")
 register("stream_latest_quote", with_roles(ROLE_QUOTES) + """
 SELECT ticker, floor(arg_max(close, ts) * 100.0 + 0.5) / 100.0 AS price, max(ts) AS last_ts
 FROM quotes WHERE close IS NOT NULL AND NOT isnan(close) GROUP BY ticker""")

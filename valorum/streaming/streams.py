@@ -1,15 +1,19 @@
 """Structured Streaming jobs for arriving quotes and assumption edits.
 
-Both sinks are ``foreachBatch`` jobs that write one version directory per
-micro-batch id, so a batch replayed after a failure rewrites the same directory
-(idempotent), and the state table is always a complete Parquet version on the
-shared folder, never driver memory.
+Both sinks are ``foreachBatch`` jobs that write what changed: one directory ``gen=<g>/batch=<id>`` per
+micro-batch with the rows of that batch's keys only. A batch replayed after a failure rewrites the same
+directory. Every ``GENERATION`` batches a new generation begins: its first directory also
+holds the whole state so far, in one commit, so a reader needs the newest generation alone and older ones may
+be deleted. The state of a key is its newest row there. One rule everywhere, batch M2
+included: newest by the ordering columns, so an edit that arrives late never replaces a newer one; merging
+rows twice or in another order changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,84 +21,82 @@ from pyspark.sql.streaming import StreamingQuery
 from valorum.operators.latest import latest_per_key
 from valorum.operators.quotes import drop_missing
 
+GENERATION = 32  # batches
+QUOTE_ORDER = ("last_ts", "price")
+EDIT_ORDER = ("event_time", "id")
 
-def version_path(state_dir: str, batch_id: int) -> str:
-    return f"{state_dir.rstrip('/')}/batch={batch_id:012d}"
 
+def batch_path(state_dir: str, batch_id: int, generation: int = GENERATION) -> str:
+    return f"{state_dir.rstrip('/')}/gen={batch_id // generation}/batch={batch_id}"
 
-def _versions(spark: SparkSession, state_dir: str) -> list[tuple[int, str]]:
-    """(batch id, path) of the complete versions (with a _SUCCESS marker), one listing call."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(name.split("=", 1)[1]), f"{state_dir.rstrip('/')}/{name}"))
-    return sorted(out)
 
+def _read(spark: SparkSession, state_dir: str, gen: int | None = None) -> DataFrame | None:
+    """Rows of one generation (default: the newest); None if nothing is written yet."""
+    try:
+        every = spark.read.parquet(state_dir)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    wanted = every.select(F.max("gen")).scalar() if gen is None else F.lit(gen)
+    return every.where(F.col("gen") == wanted).drop("gen", "batch")
 
-def latest_version(spark: SparkSession, state_dir: str, upto: int) -> str | None:
-    """Newest complete version at or below batch ``upto``."""
-    best = [p for b, p in _versions(spark, state_dir) if b <= upto]
-    return best[-1] if best else None
+
+def read_state(spark: SparkSession, state_dir: str, key: str = "ticker",
+               order_by: Sequence[str] = QUOTE_ORDER) -> DataFrame:
+    """The newest row of every key."""
+    rows = _read(spark, state_dir)
+    if rows is None:
+        raise FileNotFoundError(f"no state under {state_dir}")
+    return latest_per_key(rows, key, list(order_by))
+
+
+def _write_changes(changed: DataFrame, batch_id: int, state_dir: str, key: str, order_by: Sequence[str],
+                   generation: int) -> None:
+    """Write a batch's rows; the first batch of a generation takes the state of the one before along."""
+    if batch_id and batch_id % generation == 0:
+        before = _read(changed.sparkSession, state_dir, batch_id // generation - 1)
+        if before is not None:
+            changed = latest_per_key(before.unionByName(changed), key, list(order_by))
+    changed.write.mode("overwrite").parquet(batch_path(state_dir, batch_id, generation))
+
+
+def _start(frame: DataFrame, apply, checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
+    w = frame.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
+    return w.start()
 
 
 def stream_latest_quote(stream: DataFrame, state_dir: str, checkpoint: str, key: str = "ticker",
-                        ts: str = "ts", close: str = "close", available_now: bool = True) -> StreamingQuery:
+                        ts: str = "ts", close: str = "close", available_now: bool = True,
+                        generation: int = GENERATION) -> StreamingQuery:
     """Keep the latest non-null close per key from a stream of quotes.
 
-    The streaming aggregate (partial ``max_by`` per key) keeps one state row per
-    key; each micro-batch's changed keys are merged into the previous version.
-    No watermark: the key has no event-time bucket, and a global watermark could
-    drop the only (late) quote of a quiet key.
+    Each micro-batch is reduced to one row per key that it holds (partial ``max_by`` before the exchange) and
+    appended; :func:`read_state` merges. No streaming state store and no watermark: a late quote of a
+    quiet key is merged like any other.
     """
     quotes = drop_missing(stream.select(key, ts, close), close)
-    agg = quotes.groupBy(key).agg(F.max_by(F.col(close), F.struct(F.col(ts), F.col(close))).alias("price"),
-                                  F.max(ts).alias("last_ts"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = latest_version(spark, state_dir, batch_id - 1)
-        nxt = batch
-        if prev is not None:
-            old = spark.read.parquet(prev)
-            nxt = old.join(batch.select(key), key, "left_anti").unionByName(batch)
-        nxt.write.mode("overwrite").parquet(version_path(state_dir, batch_id))
-
-    w = agg.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
-    return w.start()
+        newest = batch.groupBy(key).agg(F.max_by(F.col(close), F.struct(F.col(ts), F.col(close))).alias("price"),
+                                        F.max(ts).alias("last_ts"))
+        _write_changes(newest, batch_id, state_dir, key, QUOTE_ORDER, generation)
+
+    return _start(quotes, apply, checkpoint, available_now)
 
 
 def stream_assumptions(stream: DataFrame, state_dir: str, log_dir: str, checkpoint: str, key: str = "ticker",
-                       order_by: Sequence[str] = ("event_time", "id"), available_now: bool = True) -> StreamingQuery:
+                       order_by: Sequence[str] = EDIT_ORDER, available_now: bool = True,
+                       generation: int = GENERATION) -> StreamingQuery:
     """Append every edit to the log and keep the newest edit per key as the current row.
 
-    Per micro-batch: the batch goes to ``log_dir/batch=<id>`` (M4), then the
-    current table is the newest row per key over the previous version and the
-    batch (late edits never replace newer ones; order = ``order_by``, a total order).
+    Per micro-batch: the batch goes to ``log_dir/batch=<id>`` (M4), its newest edit of each key to the state.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(version_path(log_dir, batch_id))
-        logged = spark.read.parquet(version_path(log_dir, batch_id))
-        prev = latest_version(spark, state_dir, batch_id - 1)
-        rows = logged if prev is None else spark.read.parquet(prev).unionByName(logged)
-        nxt = latest_per_key(rows, key, list(order_by))
-        nxt.write.mode("overwrite").parquet(version_path(state_dir, batch_id))
-
-    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
-    return w.start()
-
+        log = f"{log_dir.rstrip('/')}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(log)
+        newest = latest_per_key(batch.sparkSession.read.parquet(log), key, list(order_by))
+        _write_changes(newest, batch_id, state_dir, key, order_by, generation)
 
-def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    """The newest complete version of a state directory."""
-    path = latest_version(spark, state_dir, 1 << 62)
-    if path is None:
-        raise FileNotFoundError(f"no complete version under {state_dir}")
-    return spark.read.parquet(path)
+    return _start(stream, apply, checkpoint, available_now)

@@ -40,7 +40,7 @@ def _c(col) -> Column:
 
 def name_profile(df: DataFrame, id_col: str, name_col: str, year_col: str | None = None,
                  materialize: bool = True) -> DataFrame:
-    """(_id, [_year], _norm, _toks): normalised name and sorted token set, computed once.
+    """(_id, [_year], _norm, _toks, _sid): normalised name, sorted token set and the set's id, computed once.
 
     With ``materialize`` the profile is written as a work table, so the text
     pipeline runs once however many branches read it.
@@ -53,6 +53,7 @@ def name_profile(df: DataFrame, id_col: str, name_col: str, year_col: str | None
     prof = spread(df.select(*cols, F.col(name_col).alias("_name")))
     prof = prof.select(*[c for c in prof.columns if c != "_name"], normalize_name("_name").alias("_norm"))
     prof = prof.withColumn("_toks", F.array_sort(name_tokens("_norm", normalized=True)))
+    prof = prof.withColumn("_sid", set_id("_toks"))
     if materialize:
         from valorum.session import work_table
         prof = work_table(prof, "name-profile")
@@ -86,13 +87,24 @@ def set_id(toks: str) -> Column:
     return F.struct(F.xxhash64(toks).alias("h1"), F.hash(toks).alias("h2"), F.size(toks).alias("n"))
 
 
-def _prefix_tokens(sets: DataFrame, rank: DataFrame, threshold: float) -> DataFrame:
+def _token_ids(toks: str = "_toks") -> Column:
+    """A set's tokens as 64-bit hashes: candidates meet on integers, scores are computed on the arrays."""
+    return F.transform(toks, lambda t: F.xxhash64(t))
+
+
+# Every token's frequency is offered in so many copies, so the rows of a hot token spread over as many tasks.
+_SALTS = 16
+
+
+def _prefix_tokens(sets: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
     """(set_id, size, position, token) for the prefix of rarest tokens of each distinct set.
 
     Positions are 0-based in the global order (document frequency, then token).
     """
-    exploded = sets.select("_sid", F.explode("_toks").alias("tok"))
-    ranked = exploded.join(rank, "tok")
+    exploded = sets.select("_sid", F.pmod(F.col("_sid.h1"), F.lit(_SALTS)).alias("_salt"),
+                           F.explode(_token_ids()).alias("tok"))
+    offered = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    ranked = exploded.join(offered, ["tok", "_salt"])
     per_set = ranked.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_ord"))
     n = F.size("_ord")
     overlap = F.ceil(n * threshold - _EPS)
@@ -116,16 +128,18 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
     length filter and the positional bound allow Jaccard >= threshold; survivors
     are verified on the full arrays.
     """
-    lrows = lprof.select("_id", "_toks").where(F.size("_toks") > 0)
-    rrows = rprof.select("_id", "_year", "_toks").where(F.size("_toks") > 0)
-    # Merge identical sets; the right keeps its best entity per set.
-    lset = lrows.select("_toks").distinct().withColumn("_sid", set_id("_toks"))
-    rset = (latest_per_key(rrows, "_toks", ["_year", ("_id", "asc")], columns=["_id", "_year"])
-            .withColumn("_sid", set_id("_toks")))
+    from valorum.session import work_table
+
+    lrows = lprof.select("_id", "_sid").where(F.col("_sid.n") > 0)
+    rrows = rprof.select("_id", "_year", "_sid", "_toks").where(F.col("_sid.n") > 0)
+    # Merge identical sets, by their id; the right keeps its best entity per set. Each side's sets are written once.
+    lset = work_table(lprof.select("_sid", "_toks").where(F.col("_sid.n") > 0).dropDuplicates(["_sid"]), "left-sets")
+    rset = work_table(latest_per_key(rrows, "_sid", ["_year", ("_id", "asc")], columns=["_id", "_year", "_toks"]),
+                      "right-sets")
     # Global token order: document frequency over both sides' distinct sets, then the token.
-    vocab = (lset.select(F.explode("_toks").alias("tok"))
-             .unionAll(rset.select(F.explode("_toks").alias("tok")))
-             .groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+    vocab = work_table(lset.select(F.explode(_token_ids()).alias("tok"))
+                       .unionAll(rset.select(F.explode(_token_ids()).alias("tok")))
+                       .groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
     lp = _prefix_tokens(lset, vocab, threshold).withColumnsRenamed({"_sid": "_lsid", "_n": "_ln", "_pos": "_li"})
     rp = _prefix_tokens(rset, vocab, threshold).withColumnsRenamed({"_sid": "_rsid", "_n": "_rn", "_pos": "_ri"})
     # Length classes: sizes are bucketed geometrically (ratio 1/t); a left set probes only
@@ -154,8 +168,8 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
     inter = F.size(F.array_intersect("_ltoks", "_rtoks"))
     union = F.size("_ltoks") + F.size("_rtoks") - inter
     scored = pairs.withColumn("_j", inter / union).where(F.col("_j") >= threshold)
-    best = latest_per_key(scored, "_ltoks", ["_j", "_ryear", ("_rid", "asc")], columns=["_rid", "_j"])
-    return lrows.join(best.withColumnRenamed("_ltoks", "_toks"), "_toks").select("_id", "_rid", "_j")
+    best = latest_per_key(scored, "_lsid", ["_j", "_ryear", ("_rid", "asc")], columns=["_rid", "_j"])
+    return lrows.join(best.withColumnRenamed("_lsid", "_sid"), "_sid").select("_id", "_rid", "_j")
 
 
 def token_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
@@ -189,8 +203,8 @@ def resolve_entities(left: DataFrame, left_id: str, left_name: str, right: DataF
 
     lprof = name_profile(left, left_id, left_name)
     rprof = name_profile(right, right_id, right_name, right_year)
-    ex = work_table(_exact(lprof, rprof).select("_id", "_toks", "_match"), "exact-match")
-    tok = _token_best(ex.where(F.col("_match").isNull()).select("_id", "_toks"), rprof, threshold)
+    ex = work_table(_exact(lprof, rprof).select("_id", "_toks", "_sid", "_match"), "exact-match")
+    tok = _token_best(ex.where(F.col("_match").isNull()).select("_id", "_toks", "_sid"), rprof, threshold)
     j = ex.select("_id", "_match").join(tok, "_id", "left")
     how = (F.when(F.col("_match").isNotNull(), F.lit(LABEL_EXACT))
            .when(F.col("_rid").isNotNull(), token_label("_j")).otherwise(F.lit(LABEL_NO_MATCH)))

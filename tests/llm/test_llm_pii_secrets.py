@@ -117,5 +117,8 @@ def test_secret_odd_tables(spark):
                                   "AKIA" * 50_000, "0a" * 100_000, "1 " * 100_000])
 def test_huge_runs_do_not_hang(spark, text):
     df = docs_of(spark, [text])
-    check_pii(pii.find_pii(df), [text]) if not re.fullmatch("1+|a+|(a[.])+", text) else pii.digest(pii.find_pii(df)).collect()
+    if re.search("[A-Za-z0-9._%+-]{10000}", text):  # the plain patterns take quadratic time here
+        assert pii.digest(pii.find_pii(df)).first().n_email == 0
+    else:
+        check_pii(pii.find_pii(df), [text])
     check_secrets(secret_scan.scan_paths(df, secret_scan.Ledger(spark)), [text])

@@ -60,16 +60,32 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one_src), "".join(one_dst), tuple(multi)
 
 
+# Any character that could have a fold of several letters: a first look that is one range check for each character.
+_BEYOND_LATIN1 = "[\u00bc-\u00be\u0100-\\x{10FFFF}]"
+
+
+@lru_cache(maxsize=None)
+def multi_class() -> str:
+    """The characters whose fold has several letters, as a character class of ranges."""
+    ranges: list[list[int]] = []
+    for ch, _ in fold_tables()[2]:
+        if ranges and ord(ch) == ranges[-1][1] + 1:
+            ranges[-1][1] = ord(ch)
+        else:
+            ranges.append([ord(ch), ord(ch)])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
 def fold_sql(x: str) -> str:
     """F1 as SQL text over the SQL expression ``x``.
 
     The characters with several letters are looked up one by one, only in rows that hold one.
     """
     match, replace, multi = fold_tables()
-    multi_class = "[" + "".join(ch for ch, _ in multi) + "]"
     table = ", ".join(f"split({lit(_SEP.join(part))}, {lit(_SEP)})" for part in zip(*multi))
     expanded = (f"array_join(transform(split({x}, ''), c -> coalesce(element_at(map_from_arrays({table}), c), c)), '')")
-    c = f"CASE WHEN {x} RLIKE {lit(multi_class)} THEN {expanded} ELSE {x} END"
+    c = (f"CASE WHEN {x} RLIKE {lit(_BEYOND_LATIN1)} AND {x} RLIKE {lit(multi_class())} THEN {expanded} "
+         f"ELSE {x} END")
     c = f"translate({c}, {lit(match)}, {lit(replace)})"
     return f"regexp_replace({c}, {lit(r'[^\x00-\x7F]')}, '')"
 
@@ -102,10 +118,9 @@ def fold_accents(col: Column | str) -> Column:
         return expr(fold_sql(ident(col)))
     c = col
     match, replace, multi = fold_tables()
-    multi_class = "[" + "".join(ch for ch, _ in multi) + "]"
     table = F.map_from_arrays(*[F.split(F.lit(_SEP.join(part)), _SEP) for part in zip(*multi)])
     expanded = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    c = F.when(c.rlike(multi_class), expanded).otherwise(c)
+    c = F.when(c.rlike(_BEYOND_LATIN1) & c.rlike(multi_class()), expanded).otherwise(c)
     c = F.translate(c, match, replace)
     return F.regexp_replace(c, r"[^\x00-\x7F]", "")
 

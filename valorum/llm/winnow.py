@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
-A text is lower-cased and read as units: runs without white space, in pieces of at most ``PIECE`` code
-points, so that text without spaces has units too; white space is dropped. Every k-gram of units has a
+A text is lower-cased and read as units: words (in pieces of at most ``PIECE`` code points), single code
+points of scripts written without spaces and single other signs; white space is dropped. So a passage has the
+same units wherever it stands, but for the rest of a word it begins within. Every k-gram of units has a
 rolling polynomial hash modulo 2^31 - 1, made for all positions at once by doubling shifts. From
 each window of w successive k-grams the smallest hash is chosen, the rightmost on ties; equal choices of
 neighbouring windows are kept once, with their position. A text shorter than a window has one choice,
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from valorum.llm.common import fresh, stored, text_of
 
 PIECE = 12
-UNITS = r"[^\x20\x09-\x0D]{1,%d}+" % PIECE
+# Scripts whose words are not parted by spaces.
+UNSPACED = "".join(r"\p{Is%s}" % s for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+UNITS = r"[\p{L}\p{M}\p{N}&&[^%s]]{1,%d}+|[^\x20\x09-\x0D]" % (UNSPACED, PIECE)
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 PLACE = 31  # bits for the position beside a 31-bit hash

@@ -25,8 +25,15 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# The method's own: two letters, two check digits, 11 to 30 letters or digits, in groups or not.
-IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
+# The method's own: two letters, two check digits, 11 to 30 letters or digits, in groups or not. The pattern takes the head
+# alone, so that no candidate hides the next one; each is then cut to the length of its country.
+IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 NATIONAL = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
 
 BASE = ("email", "ip", "card", "phone")
@@ -68,6 +75,27 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def ibans(text: Column, heads: Column) -> Column:
+    """Spans of the IBANs that begin at the heads: of the length that the country prescribes.
+
+    Countries without a known length: the longest of 15 to 34 that passes. A length ends where a word ends.
+    """
+    known = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+
+    def of_length(n: int) -> str:
+        own = IBAN_LENGTHS.get(n, "").replace(" ", "|")
+        code = f"(?:{own}|(?!{known})[A-Z]{{2}})" if own else f"(?!{known})[A-Z]{{2}}"
+        return rf"^{code}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9_])"
+
+    def longest(s: Column) -> Column:
+        rest = F.substring(text, s["start"] + 1, F.lit(2 * 34))
+        every = F.array(*[F.regexp_extract(rest, of_length(n), 0) for n in range(34, 14, -1)])
+        value = F.get(F.filter(every, lambda v: (v != "") & mod97(v)), F.lit(0))
+        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(value)).alias("end"), value.alias("value"))
+
+    return F.filter(F.transform(heads, longest), lambda s: s["value"].isNotNull())
+
+
 def ip_ok(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "").rlike(
         "^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
@@ -95,7 +123,7 @@ def with_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
         "ip": F.filter(i, lambda s: ip_ok(s["value"])),
         "card": F.filter(c, lambda s: size(s).between(16, 19) & luhn(digits(s["value"]))),
         "phone": F.filter(p, lambda s: size(s).between(8, 15)),
-        "iban": F.filter(b, lambda s: mod97(s["value"])),
+        "iban": ibans(F.col(t), F.col(b)),
         "short_card": F.filter(c, lambda s: size(s).between(13, 15) & luhn(digits(s["value"]))),
         "national_id": F.col(n),
     }

@@ -834,10 +834,10 @@ def src_meta_json(spark, d):
                    F.col("p_type").alias("setor"), F.array("p_brand", "p_type").alias("tags"),
                    (F.col("p_size") > 25).alias("monitored"), (F.col("p_size") / 100.0).alias("g1"),
                    F.col("p_retailprice").alias("lpa"))
-    docs = p.groupBy((F.col("p_partkey") % 64).alias("doc")).agg(F.collect_list(rec).alias("all"))
+    docs = _batches(p, "p_partkey").agg(F.collect_list(rec).alias("all"))
     path = _scratch(spark, "meta")
-    docs.select(F.to_json("all").alias("value")).repartition(64).write.text(path)
-    m = src.read_meta(spark, path)
+    docs.select(F.to_json("all").alias("value")).write.text(path)
+    m = src.read_meta(spark, path, multi_line=False)
     return m.select("ticker", "nome", "setor", F.array_join("tags", "|").alias("tags"), "monitored", r6("g1").alias("g1"),
                     r6("lpa").alias("lpa"), F.col("gov").isNull().alias("no_gov"))
 

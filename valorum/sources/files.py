@@ -81,9 +81,9 @@ def read_indicator_list(spark: SparkSession, path: str, multi_line: bool = False
     return doc.select(F.inline("list"))
 
 
-def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Curated metadata, a JSON array of records with a nested tag array."""
-    return spark.read.schema(META_SCHEMA).option("multiLine", True).json(path)
+def read_meta(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Curated metadata, a JSON array of records with a nested tag array, one a file or (not multi_line) one a line."""
+    return spark.read.schema(META_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def double_decode(col, field: str = GOVERNANCE_FIELD) -> Column:

@@ -835,8 +835,7 @@ def src_meta_json(spark, d):
                    (F.col("p_size") > 25).alias("monitored"), (F.col("p_size") / 100.0).alias("g1"),
                    F.col("p_retailprice").alias("lpa"))
     docs = _batches(p, "p_partkey").agg(F.collect_list(rec).alias("all"))
-    path = _scratch(spark, "meta")
-    docs.select(F.to_json("all").alias("value")).write.text(path)
+    path = src.write_version(docs.select(F.to_json("all").alias("value")), _scratch(spark, "meta"), fmt="text")
     m = src.read_meta(spark, path, multi_line=False)
     return m.select("ticker", "nome", "setor", F.array_join("tags", "|").alias("tags"), "monitored", r6("g1").alias("g1"),
                     r6("lpa").alias("lpa"), F.col("gov").isNull().alias("no_gov"))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import regex
 import xxhash
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -14,6 +15,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+UNITS = regex.compile(r"(?V1)[[\p{L}\p{M}\p{N}]--[%s]]{1,12}+|[^\x20\x09-\x0D]" % UNSPACED)
 
 
 def luhn(d):
@@ -80,12 +83,10 @@ def simhash_components(rows, radius=3):
     return {d: (int(fps[i]), least[root(i)]) for i, d in enumerate(ids)}
 
 
-def winnow(text, k=5, w=8, piece=12, modulus=(1 << 31) - 1, base=1_000_003):
-    """[(hash, position)] straight from the definition."""
-    units = [run[i:i + piece] for run in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-             for i in range(0, len(run), piece)]
+def winnow(text, k=5, w=8, modulus=(1 << 31) - 1, base=1_000_003):
+    """[(hash, position)] by trying every window; units are words, code points of unspaced scripts, single signs."""
     u = []
-    for x in units:
+    for x in UNITS.findall((text or "").lower()):
         h = xxhash.xxh64_intdigest(x.encode(), 42)
         u.append((h - (1 << 64) if h >> 63 else h) % modulus)
 
@@ -100,11 +101,9 @@ def winnow(text, k=5, w=8, piece=12, modulus=(1 << 31) - 1, base=1_000_003):
     grams = [gram(u[i:i + k]) for i in range(len(u) - k + 1)] or [gram(u)]
     out = []
     for s in range(max(1, len(grams) - w + 1)):
-        window = grams[s:s + w]
-        least = min(window)
-        at = s + max(i for i, x in enumerate(window) if x == least)
+        at = min(range(s, min(s + w, len(grams))), key=lambda i: (grams[i], -i))
         if not out or out[-1][1] != at:
-            out.append((least, at))
+            out.append((grams[at], at))
     return out
 
 

@@ -5,39 +5,13 @@ import random
 
 import brute
 import pytest
-import regex
-import xxhash
 from llm_cases import DOCS, frame, rows
 
 from valorum.llm import winnow
 
-UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-UNITS = regex.compile(r"(?V1)[[\p{L}\p{M}\p{N}]--[%s]]{1,12}+|[^\x20\x09-\x0D]" % UNSPACED)
 TOP = (1 << 31) - 1
 
 
-def definition(text, k=5, w=8, modulus=TOP):
-    """[(hash, position)] by trying every window."""
-    u = []
-    for x in UNITS.findall((text or "").lower()):
-        h = xxhash.xxh64_intdigest(x.encode(), 42)
-        u.append((h - (1 << 64) if h >> 63 else h) % modulus)
-
-    def gram(part):
-        a = 0
-        for x in part:
-            a = (a * 1_000_003 + x) % modulus
-        return a
-
-    grams = [gram(u[i:i + k]) for i in range(len(u) - k + 1)] or ([gram(u)] if u else [])
-    out = []
-    for s in range(max(1, len(grams) - w + 1) if grams else 0):
-        at = min(range(s, min(s + w, len(grams))), key=lambda i: (grams[i], -i))
-        if not out or out[-1][1] != at:
-            out.append((grams[at], at))
-    return out
-
-
 def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
 
@@ -49,16 +23,15 @@ def chosen(df, **args):
 def test_fingerprints_equal_definition(spark):
     got = chosen(frame(spark))
     for d, t, *_ in rows():
-        assert got[d] == definition(t), d
+        assert got[d] == brute.winnow(t), d
     small = winnow.with_winnow(frame(spark).select("doc_id", "text"), "text", "chosen", 2, 5, modulus=7).collect()
     texts = {d: t for d, t, *_ in rows()}
     for r in small:
-        assert [(x >> 31, TOP - (x & TOP)) for x in r.chosen] == definition(texts[r.doc_id], 2, 5, 7), r.doc_id
+        assert [(x >> 31, TOP - (x & TOP)) for x in r.chosen] == brute.winnow(texts[r.doc_id], 2, 5, modulus=7), r.doc_id
 
 
-def test_edits_equal_definition(spark, monkeypatch):
+def test_edits_equal_definition(spark):
     data = [(d, t) for d, t, *_ in rows()]
-    monkeypatch.setattr(brute, "winnow", definition)  # brute.edits itself, over these units
     want = brute.edits(data)
     text = lambda f: ",".join(f"{h}@{p}" for h, p in f)
     got = winnow.compare_edits(frame(spark)).collect()

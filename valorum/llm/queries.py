@@ -138,17 +138,39 @@ _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE
     WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT)
     ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse({_DIGITS})[i] AS INT) + 1] END)) % 10 = 0"""
-_MOD97 = """list_reduce(list_concat([0], list_transform(
-    string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''),
+
+
+def _mod97(v: str) -> str:
+    plain = f"replace({v}, ' ', '')"
+    return f"""list_reduce(list_concat([0], list_transform(
+    string_split(substr({plain}, 5) || substr({plain}, 1, 4), ''),
     lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
     lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1"""
 
 
+def _in(codes: str) -> str:
+    return "(" + ", ".join(f"'{c}'" for c in codes.split()) + ")"
+
+
+def _iban(n: int) -> str:
+    """The candidate of n characters at a head, empty where its country has another length."""
+    country, known = "substr(rest, 1, 2)", " ".join(pii.IBAN_LENGTHS.values())
+    own = f"{country} IN {_in(pii.IBAN_LENGTHS[n])} OR " if n in pii.IBAN_LENGTHS else ""
+    pattern = rf"^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}\b"
+    return f"CASE WHEN {own}{country} NOT IN {_in(known)} THEN regexp_extract(rest, {_q(pattern)}) ELSE '' END"
+
+
 def _near(kind: str) -> str:
     return f"regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, e - greatest(s - 40, 0) + 40)), {_q(pii.CONTEXT[kind])})"
 
 
 _CARD = r"[0-9]([\x20-]?[0-9])+"
+_IBANS = f"""
+SELECT doc_id, text, kind, s, CAST(s + length(v) AS BIGINT) AS e, v FROM (
+  SELECT doc_id, text, kind, s, list_filter([{", ".join(_iban(n) for n in range(34, 14, -1))}],
+                                            lambda x: x <> '' AND {_mod97("x")})[1] AS v
+  FROM (SELECT *, substr(text, s + 1, 68) AS rest FROM ({_spans("iban", r"\b[A-Z]{2}[0-9]{2}")})))
+WHERE v IS NOT NULL"""
 ORACLE_SQL["op4_pii"] = f"""
 WITH {_DOCS},
 card_runs AS ({_spans("card", _CARD)}),
@@ -159,7 +181,7 @@ base AS (
   UNION ALL SELECT *, 2 FROM card_runs WHERE length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}
   UNION ALL SELECT *, 3 FROM ({_spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}) WHERE length({_DIGITS}) BETWEEN 8 AND 15),
 own AS (
-  SELECT *, 4 AS o FROM ({_spans("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")}) WHERE {_MOD97}
+  SELECT *, 4 AS o FROM ({_IBANS})
   UNION ALL SELECT doc_id, text, 'short_card', s, e, v, 5 FROM card_runs
     WHERE length({_DIGITS}) BETWEEN 13 AND 15 AND {_LUHN} AND {_near("short_card")}
   UNION ALL SELECT *, 6 FROM ({_spans("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")}) WHERE {_near("national_id")}),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valorum.llm import (ann, mixing, packing, pii, secret_scan, sharding, simhash, tokens, toxicity, winnow)
+from valorum.llm import (ann, mixing, packing, pii, quality, runs, secret_scan, sharding, simhash, tokens, toxicity,
+                         whitening, winnow)
 from valorum.llm.common import WORD, read
 
 QUERIES = {}
@@ -79,6 +80,23 @@ def op10_simhash_bk_trees(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_spectrum_slicing(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read(spark, d, "embeddings"), components=32)
+
+
+@query
+def op12_run_detection(spark: SparkSession, d: str) -> DataFrame:
+    return runs.digest(runs.find_runs(runs.plant(read(spark, d, "documents")), least=6, times=4))
+
+
+@query
+def op13_byte_cnn_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    scored = quality.score(docs, quality.fit(docs, read(spark, d, "labels"), seen_label()))
+    return scored.select("doc_id", F.coalesce(~seen_label(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 _HASH = "('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT"
 _WORD = WORD.replace("'", "''")
 

@@ -199,8 +199,11 @@ def sample(docs: DataFrame, labels: DataFrame, seen: Column, id_col: str, text_c
     base = pick(docs, doc_id=id_col, text=text_col)
     narrow = base.where(F.octet_length(text).between(1, max_bytes)).select("doc_id", F.xxhash64(text).alias("key"))
     held = narrow.join(marked.distinct(), "doc_id").groupBy("label", "key").agg(F.min("doc_id").alias("doc_id"))
-    ranked = held.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("key")))
-    chosen = ranked.where(F.col("place") <= max_rows).drop("place")
+    # Ranked within 64 slices of the keys first, so that no task sees all rows of a label.
+    slice_ = F.pmod(F.col("key"), F.lit(64))
+    for group in (Window.partitionBy("label", slice_), Window.partitionBy("label")):
+        held = held.withColumn("place", F.row_number().over(group.orderBy("key"))).where(F.col("place") <= max_rows)
+    chosen = held.drop("place")
     # Two labels of max_rows ids each: a proven bound for the broadcast.
     found = base.withColumn("key", F.xxhash64(text)).join(F.broadcast(chosen), ["doc_id", "key"])
     return found.groupBy("label", "key").agg(F.first("text").alias("text"))

@@ -753,25 +753,32 @@ def universe_write_read(spark, d):
 from valorum.streaming import streams as sm  # noqa: E402
 
 
-def _stream_source(spark, d, name, base):
-    """A stream over the whole table in eight files, two for each micro-batch."""
+def _stream_source(spark, d, name, base, time=None):
+    """A stream over the whole table in eight files, two for each micro-batch; by ``time`` in four steps if given."""
     t = roles.table(spark, d, name)
-    t.repartition(8).write.parquet(base + "/source")
+    steps = [t.repartition(8)]
+    if time:
+        micros = F.unix_micros(F.col(time).cast("timestamp"))
+        lo, hi = t.agg(F.min(micros), F.max(micros)).first()
+        place = F.coalesce(F.floor((micros - lo) * 4 / (hi - lo + 1)), F.lit(0)) if lo is not None else F.lit(0)
+        steps = [t.where(place == i).repartition(2) for i in range(4)]
+    for step in steps:
+        step.write.mode("append").parquet(base + "/source")
     return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(base + "/source")
 
 
-# Demo streams begin a new generation of their state after so many micro-batches.
-STREAM_GENERATION = 3
+# The demo states are small.
+STREAM_BUCKETS = 8
 
 
 @query("stream_latest_quote")
 def stream_latest_quote(spark, d):
     import uuid
     base = _scratch(spark, f"stream_quote/{uuid.uuid4().hex}")
-    ev = _stream_source(spark, d, "events", base)
+    ev = _stream_source(spark, d, "events", base, "ts")
     quotes = ev.select(F.col("user_id").alias("ticker"), "ts",
                        F.when(F.col("event_type") != "error", F.col("value")).alias("close"))
-    q = sm.stream_latest_quote(quotes, base + "/state", base + "/checkpoint", generation=STREAM_GENERATION)
+    q = sm.stream_latest_quote(quotes, base + "/state", base + "/checkpoint", buckets=STREAM_BUCKETS)
     q.awaitTermination()
     st = sm.read_state(spark, base + "/state")
     return st.select("ticker", fv.round_half_up("price", 2).alias("price"), "last_ts")
@@ -783,10 +790,9 @@ def stream_assumption_state(spark, d):
     base = _scratch(spark, f"stream_assumptions/{uuid.uuid4().hex}")
     li = _stream_source(spark, d, "lineitem", base)
     events = roles.assumption_events_from(li)
-    q = sm.stream_assumptions(events, base + "/state", base + "/log", base + "/checkpoint",
-                              generation=STREAM_GENERATION)
+    q = sm.stream_assumptions(events, base + "/state", base + "/log", base + "/checkpoint", buckets=STREAM_BUCKETS)
     q.awaitTermination()
-    return _r6_floats(sm.read_state(spark, base + "/state", order_by=sm.EDIT_ORDER), ASSUMPTION_FLOATS)
+    return _r6_floats(sm.read_state(spark, base + "/state"), ASSUMPTION_FLOATS)
 
 
 # --- SQL surface, config defaults, single-key history: 2.13, M8, L2 ------------------------------------

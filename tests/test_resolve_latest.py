@@ -35,6 +35,8 @@ def test_latest_eps_preference_order(spark):
 def test_latest_per_key_limits_before_exchange(spark):
     f = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     plan = _plan(lt.latest_per_key(f, "k", ["v"]))
+    assert plan.index("functions=[max_by") < plan.index("Exchange") < plan.index("functions=[partial_max_by")
+    plan = _plan(lt.latest_per_key(f.withColumn("s", F.col("v").cast("string")), "k", [("s", "asc")]))  # no struct holds it
     assert "Partial" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 

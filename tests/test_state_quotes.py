@@ -192,3 +192,25 @@ def test_lookback_ranges():
     with pytest.raises(ValueError):
         qt.lookback_start("2024-01-31 00:00:00", "5x")
     assert qt.lookback_start("2024-01-31 00:00:00", "max") is None
+
+
+def test_look_back_prunes_the_days(spark, tmp_path):
+    rows = [(t, f"2024-01-{d:02d} {h:02d}:00:00", float(d * 100 + h)) for t in "AB" for d in range(1, 29) for h in (0, 12, 23)]
+    q = _quotes(spark, rows).unionByName(spark.createDataFrame([("N", None, 1.0)], QUOTES_DDL))
+    path = str(tmp_path / "quotes")
+    qt.write_by_day(q, path)
+    stored = spark.read.parquet(path)
+    as_of = qt.newest_time(stored)
+    got = qt.history_lookback(stored, "ts", as_of, "5d", day="day")
+    assert sorted(r.close for r in got.where("ticker = 'A'").collect()) == sorted(c for t, ts, c in rows if t == "A" and ts >= "2024-01-23 23:00:00")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PartitionFilters: []" in plan  # the look-back's scan, the subquery's
+    latest = qt.latest_quote(stored, as_of=as_of, range_str="1d", day="day")
+    assert {r.ticker: (r.price, str(r.last_ts)) for r in latest.collect()} == {k: (2823.0, "2024-01-28 23:00:00") for k in "AB"}
+    # Only the folders of the look-back are read.
+    files = got.select("_metadata.file_path").distinct().collect()
+    assert {r.file_path.split("day=")[1][:10] for r in files} == {f"2024-01-{d}" for d in (23, 24, 25, 26, 27, 28)}
+    plain = qt.history_lookback(q, "ts", "2024-01-28 23:00:00", "5d")
+    assert plain.count() == got.count()
+    empty = qt.history_lookback(q.limit(0), "ts", qt.newest_time(q.limit(0)), "5d")
+    assert empty.count() == 0

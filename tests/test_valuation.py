@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,58 @@ def test_scenario_summary_counts(spark):
                                   F.expr("median(fair)").alias("md")).first()
     assert agg.mn == pytest.approx(s.min_fair) and agg.mx == pytest.approx(s.max_fair)
     assert agg.md == pytest.approx(s.median_fair)
+
+
+def _expanded(spark, stocks, payouts, growths, rates, perpetuals):
+    """The order statistics over the expanded grid of every stock."""
+    axes = [("p", payouts), ("g", growths), ("k", rates), ("q", perpetuals)]
+    df = stocks
+    for name, values in axes:
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    cols = val.ddm_columns(F.col("lpa"), F.col("p"), F.col("g"), F.col("k"), F.col("q"))
+    df = df.withColumn("fair", F.when(F.col("k") > F.col("q"), cols["fair"]))
+    return {r.ticker: tuple(r)[1:] for r in df.groupBy("ticker").agg(
+        F.count(F.lit(1)), F.count("fair"), F.min("fair"), F.median("fair"), F.max("fair")).collect()}
+
+
+@pytest.mark.parametrize("axes", [
+    ([0.0, 0.3, 0.5, 1.0], [0.0, 0.05, 0.2], [0.06, 0.1, 0.25], [0.0, 0.06, 0.1]), ([0.7], [0.1], [0.15], [0.06]), ([0.2, 0.4], [-0.5, 0.0], [0.05], [0.0, 0.05]),
+    ([0.0], [0.0, 0.1], [0.2], [0.1]), ([0.5, 0.6], [0.1], [0.05, 0.04], [0.05, 0.06])])
+def test_what_if_equals_the_expanded_grid(spark, axes):
+    stocks = spark.createDataFrame([("A", 4.24), ("B", -2.5), ("C", 0.0), ("D", None)], "ticker string, lpa double")
+    want = _expanded(spark, stocks, *axes)
+    df = val.what_if_summary(stocks, "ticker", "lpa", *axes)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Generate", "Join", "transform("))
+    for r in df.collect():
+        points, valid, low, middle, high = want[r.ticker]
+        assert (r.n_points, r.n_valid) == (points, valid), r.ticker
+        assert r.share_valid == pytest.approx(valid / points)
+        for got, exact in ((r.min_fair, low), (r.median_fair, middle), (r.max_fair, high)):
+            assert (got is None) == (exact is None) and (got is None or got == pytest.approx(exact, rel=1e-12, abs=1e-12)), r.ticker
+    with pytest.raises(ValueError):
+        val.what_if_summary(stocks, "ticker", "lpa", [-0.1])
+
+
+def test_kth_product_equals_sorting():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 1), (3, 50), (40, 7), (20, 20)):
+        a, b = np.sort(np.round(rng.random(n), 2)), np.sort(np.round(rng.random(m) * 9, 2))
+        every = np.sort((a[:, None] * b).ravel())
+        assert [val.kth_product(a, b, k) for k in range(len(every))] == every.tolist()
+
+
+def test_ledger_function_equals_the_ledger(spark):
+    stocks = spark.createDataFrame([("A", 4.24, 0.7, 0.1, 0.15), ("B", None, 0.7, 0.1, 0.15), ("C", -1.0, 0.5, 0.0, 0.1), ("A", 1.0, 1.0, 0.0, 0.0)],
+                                   "ticker string, lpa double, payout double, g1 double, ke double")
+    stocks.createOrReplaceTempView("ledger_stocks")
+    fn = val.register_ledger_function(spark)
+    out = spark.sql(f"SELECT s.ticker, s.lpa, l.* FROM ledger_stocks s, LATERAL {fn}(s.lpa, s.payout, s.g1, s.ke) l")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Python" not in plan
+    led = val.ddm_ledger(stocks, ["ticker", "lpa"], "lpa", "payout", "g1", "ke")
+    rows = lambda df: sorted((tuple(r) for r in df.select("ticker", "lpa", "n", "dividend", "factor", "pv").collect()), key=str)
+    assert rows(out) == rows(led)
+    last = out.where("n = 5 AND lpa = 4.24").first()
+    assert last.pv_sum == pytest.approx(13.01, abs=0.005)
+    assert [r.n for r in spark.sql(f"SELECT n FROM {fn}(1D, 1D, 0D, 0.1D)").collect()] == [0, 1, 2, 3, 4, 5]

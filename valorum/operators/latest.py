@@ -1,8 +1,9 @@
 """Newest-row-per-key, top-k per key, per-year sums and arg-max.
 
-Top-k per key (top-1 included) uses ``row_number`` with a limit on it. Its plan carries a partial
-``WindowGroupLimit`` before the exchange: every map task sorts its rows and ships at most k of
-each key, so a key holding a third of all rows is reduced before anything is shuffled.
+The newest row per key is one ``max_by`` over a struct of the ordering columns, partial before the exchange: every
+map task ships one row of each key, so a key holding a third of all rows is small before anything is
+shuffled. Top-k per key, and orders that such a struct cannot hold (ascending text), use ``row_number`` with a limit on
+it, whose partial ``WindowGroupLimit`` ships at most k rows of each key.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from valorum.functions.values import epoch_micros
 
 
 def _c(col) -> Column:
@@ -33,6 +37,35 @@ def _order_spec(order_by) -> list[tuple[Column, bool]]:
     return out
 
 
+def order_struct(df: DataFrame, order_by: Sequence) -> Column | None:
+    """A struct whose largest value is the row that sorts first under ``order_by``; None if there is none.
+
+    Nulls lose in both directions. Ascending integers, times and dates are turned round bit by bit (no overflow),
+    ascending floating numbers by their sign, with NaN, the largest, last.
+    """
+    fields = []
+    for column, descending in _order_spec(order_by):
+        kind = df.select(column).schema[0].dataType
+        if isinstance(kind, (T.MapType, T.VariantType)):
+            return None
+        if descending:
+            parts = [column]
+        elif isinstance(kind, T.IntegralType):
+            parts = [F.bitwise_not(column)]
+        elif isinstance(kind, T.BooleanType):
+            parts = [~column]
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            parts = [column.isNotNull(), F.when(~F.isnan(column), -column)]
+        elif isinstance(kind, T.DateType):
+            parts = [F.bitwise_not(F.unix_date(column))]
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            parts = [F.bitwise_not(epoch_micros(column, isinstance(kind, T.TimestampNTZType)))]
+        else:
+            return None
+        fields += parts
+    return F.struct(*[f.alias(f"o{i}") for i, f in enumerate(fields)])
+
+
 def latest_per_key(df: DataFrame, keys, order_by: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
     """Keep, per key, the row that sorts first under ``order_by``.
 
@@ -42,6 +75,13 @@ def latest_per_key(df: DataFrame, keys, order_by: Sequence, columns: Sequence[st
     """
     keys = _keys(keys)
     columns = [c for c in (columns or df.columns) if c not in keys]
+    order = order_struct(df, order_by) if columns and order_by else None
+    if order is not None:
+        row = "_row"
+        while row in keys:
+            row = "_" + row
+        best = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias(row))
+        return best.select(*[F.col(f"`{k}`") for k in keys], *[F.col(row)[c].alias(c) for c in columns])
     place = "_place"
     while place in df.columns:
         place = "_" + place

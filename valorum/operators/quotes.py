@@ -29,9 +29,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def lookback_start(as_of: str, range_str: str) -> Column | None:
+def as_of_time(as_of: str | Column) -> Column:
+    """A time given as text or as a column, such as :func:`newest_time`, without zone."""
+    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz")
+
+
+def newest_time(df: DataFrame, ts: str = "ts") -> Column:
+    """The data's own as-of time: its newest timestamp, as a scalar subquery that runs once."""
+    return df.select(F.max(ts)).scalar()
+
+
+def lookback_start(as_of: str | Column, range_str: str) -> Column | None:
     """Lower bound of a range string ('5d', '1wk', '6mo', '5y', 'ytd', 'max') before ``as_of``."""
-    as_of_c = F.lit(as_of).cast("timestamp_ntz")
+    as_of_c = as_of_time(as_of)
     if range_str == "max":
         return None
     if range_str == "ytd":
@@ -45,16 +55,32 @@ def lookback_start(as_of: str, range_str: str) -> Column | None:
     return as_of_c - F.expr(f"INTERVAL {n} {unit}")
 
 
-def history_lookback(df: DataFrame, ts: str, as_of: str, range_str: str = DEFAULT_HISTORY_RANGE) -> DataFrame:
-    """Rows with ``as_of - range <= ts <= as_of``; constant bounds reach the parquet scan."""
-    upper = F.lit(as_of).cast("timestamp_ntz")
+def history_lookback(df: DataFrame, ts: str, as_of: str | Column, range_str: str = DEFAULT_HISTORY_RANGE,
+                     day: str | None = None) -> DataFrame:
+    """Rows with ``as_of - range <= ts <= as_of``.
+
+    ``day`` names the partition column of a table written by :func:`write_by_day`: its bounds prune the
+    folders, also when ``as_of`` is a subquery that only runs with the query. Constant bounds reach the parquet scan.
+    """
+    upper, lo = as_of_time(as_of), lookback_start(as_of, range_str)
     cond = _c(ts) <= upper
-    lo = lookback_start(as_of, range_str)
     if lo is not None:
         cond = cond & (_c(ts) >= lo)
+    if day is not None:
+        cond = cond & (F.col(day) <= F.to_date(upper))
+        if lo is not None:
+            cond = cond & (F.col(day) >= F.to_date(lo))
     return df.where(cond)
 
 
+def write_by_day(df: DataFrame, path: str, ts: str = "ts", day: str = "day") -> None:
+    """Quotes as Parquet partitioned by the day of ``ts``; rebalanced by day, so that a heavy day is several files.
+
+    Quotes without a time lie in the default folder, which no look-back reads.
+    """
+    df.withColumn(day, F.to_date(ts)).hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+
+
 def drop_missing(df: DataFrame, value: str) -> DataFrame:
     """Drop null (and NaN) measurements."""
     v = F.col(value)
@@ -62,15 +88,15 @@ def drop_missing(df: DataFrame, value: str) -> DataFrame:
 
 
 def latest_quote(df: DataFrame, key: str = "ticker", ts: str = "ts", close: str = "close",
-                 as_of: str | None = None, range_str: str = DEFAULT_QUOTE_RANGE,
-                 places: int | None = PRICE_PLACES, out: str = "price") -> DataFrame:
+                 as_of: str | Column | None = None, range_str: str = DEFAULT_QUOTE_RANGE,
+                 places: int | None = PRICE_PLACES, out: str = "price", day: str | None = None) -> DataFrame:
     """Latest non-null close per key inside the look-back, rounded to cents.
 
     Partial ``max_by`` before the exchange: one row per key and map task is shuffled.
     Ties on ``ts`` go to the larger close (a total order).
     """
     if as_of is not None:
-        df = history_lookback(df, ts, as_of, range_str)
+        df = history_lookback(df, ts, as_of, range_str, day)
     df = drop_missing(df, close)
     best = F.max_by(F.col(close), F.struct(F.col(ts), F.col(close)))
     price = round_half_up(best, places) if places is not None else best
@@ -78,7 +104,7 @@ def latest_quote(df: DataFrame, key: str = "ticker", ts: str = "ts", close: str
 
 
 def history_series(df: DataFrame, key: str = "ticker", ts: str = "ts", close: str = "close",
-                   as_of: str | None = None, range_str: str = DEFAULT_HISTORY_RANGE,
+                   as_of: str | Column | None = None, range_str: str = DEFAULT_HISTORY_RANGE,
                    as_array: bool = False, places: int = PRICE_PLACES) -> DataFrame:
     """A10: the ``[epoch_ms, close]`` series per key, nulls dropped, closes in cents.
 
@@ -126,11 +152,11 @@ def unpivot_quotes(df: DataFrame, ts: str = "ts", key: str = "ticker", value: st
     return df.unpivot([ts], values, key, value)
 
 
-def quote_freshness(df: DataFrame, ts: str, as_of: str, ttl_seconds: int = QUOTE_TTL_SECONDS,
+def quote_freshness(df: DataFrame, ts: str, as_of: str | Column, ttl_seconds: int = QUOTE_TTL_SECONDS,
                     out: str = "stale") -> DataFrame:
     """Age in seconds at ``as_of`` and a stale flag (age > ttl)."""
     ntz = is_ntz(df, ts)
-    as_of_c = F.lit(as_of).cast("timestamp_ntz" if ntz else "timestamp")
+    as_of_c = (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz" if ntz else "timestamp")
     age = (epoch_micros(as_of_c, ntz) - epoch_micros(ts, ntz)) / 1e6
     return df.withColumn("age_s", age).withColumn(out, F.col("age_s") > ttl_seconds)
 

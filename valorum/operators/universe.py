@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from valorum.functions.classify import (SqlText, classify_governance, classify_size, derive_profile, derive_tags)
 from valorum.functions.sqltext import ident
 from valorum.functions.text import clean_label, clean_label_sql
-from valorum.functions.values import (DIVIDEND_SCALE, PAYOUT_CAP, PAYOUT_DEFAULT, clamp, nonzero, plausible,
-                                      round_half_even)
+from valorum.functions.values import DIVIDEND_SCALE, PAYOUT_DEFAULT, nonzero, plausible, round_half_even
+from valorum.operators.fundamentals import payout_of
 from valorum.operators.resolve import resolve_entities
-from valorum.sources.files import double_decode
+from valorum.sources.files import double_decode, write_version
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -40,29 +40,20 @@ def initial_roe(roe) -> Column:
     return F.when(F.coalesce(r > 0, F.lit(False)), round_half_even(r / 100.0, 4)).otherwise(F.lit(DEFAULT_ROE_I))
 
 
-def company_facts(eps: DataFrame, income: DataFrame, dividends: DataFrame, registry: DataFrame,
-                  governance: DataFrame, dividend_scale: float = DIVIDEND_SCALE) -> DataFrame:
+def company_facts(figures: DataFrame, registry: DataFrame, dividend_scale: float | Column = DIVIDEND_SCALE,
+                  require_same_year: bool = False) -> DataFrame:
     """Per company code: EPS, payout, control and governance labels (all keyed by the padded code).
 
-    Every input must hold at most one row per code (they are latest-per-key results).
-
-    ``eps(cd_cvm, eps)``, ``income(cd_cvm, net_income_units)``, ``dividends(cd_cvm, dividends)``,
-    ``registry(cd_cvm, ctrl)``, ``governance(cd_cvm, payload)``.
+    ``figures`` is :func:`valorum.operators.fundamentals.filing_figures` (cd_cvm, eps, net_income_units, dividends and
+    their years), ``registry(cd_cvm, ctrl, payload)``; each holds at most one row per code, so a union and one group-by
+    build the company table with one exchange of small rows.
     """
-    gov = governance.select("cd_cvm", classify_governance(double_decode("payload")).alias("gov"))
-    # Each input holds at most one row per code: a union and one group-by builds the
-    # company table with a single shuffle (chained full joins would re-shuffle per join).
-    parts = [eps.select("cd_cvm", "eps"), income.select("cd_cvm", "net_income_units"),
-             dividends.select("cd_cvm", "dividends"), registry.select("cd_cvm", "ctrl"), gov]
-    stacked = None
-    for part in parts:
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    facts = stacked.groupBy("cd_cvm").agg(*[F.max(c).alias(c) for c in
-                                             ("eps", "net_income_units", "dividends", "ctrl", "gov")])
-    d, ni = F.col("dividends"), F.col("net_income_units")
-    ok = F.coalesce((d != 0) & (ni > 0), F.lit(False))
-    payout = F.when(ok, round_half_even(clamp(d * dividend_scale / ni, 0.0, PAYOUT_CAP), 3))
-    return facts.select("cd_cvm", "eps", payout.alias("payout_calc"), "ctrl", "gov")
+    same = F.lit(True) if not require_same_year else F.coalesce(F.col("income_year") == F.col("dividends_year"), F.lit(False))
+    payout = F.when(same, payout_of("dividends", "net_income_units", dividend_scale))
+    own = figures.select("cd_cvm", "eps", payout.alias("payout_calc"))
+    reg = registry.select("cd_cvm", "ctrl", classify_governance(double_decode("payload")).alias("gov"))
+    names = ("eps", "payout_calc", "ctrl", "gov")
+    return own.unionByName(reg, allowMissingColumns=True).groupBy("cd_cvm").agg(*[F.max(c).alias(c) for c in names])
 
 
 def build_universe(tickers: DataFrame, companies: DataFrame, facts: DataFrame, indicators: DataFrame,
@@ -113,24 +104,32 @@ def build_universe(tickers: DataFrame, companies: DataFrame, facts: DataFrame, i
     return out
 
 
-def build_quality_report(universe: DataFrame, spot_check: Sequence[str] = SPOT_CHECK,
-                         sample: int = UNMATCHED_SAMPLE, key: str = "ticker") -> DataFrame:
-    """One row of build counters, the first ``sample`` unmatched keys and the spot-checked rows.
-
-    The sample is cut with a top-k before anything is collected.
-    """
-    counts = universe.agg(
+def quality_counters(key: str = "ticker", spot_check: Sequence[str] = SPOT_CHECK) -> list[Column]:
+    """The build counters as aggregate columns."""
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("cd_cvm").isNotNull()).alias("matched"),
         F.count_if(F.col("lpa").isNotNull()).alias("with_lpa"),
         F.count_if(F.col("cd_cvm").isNull()).alias("no_match"),
         F.count_if(F.col("gov") != "").alias("gov_filled"),
         F.count_if(F.col(key).cast("string").isin(*[str(s) for s in spot_check])).alias("spot_found"),
-    )
-    # The sample is a top-k (per-task top 8, then merged), collected only after the limit.
-    first = (universe.where(F.col("cd_cvm").isNull()).select(key).orderBy(key).limit(sample)
+    ]
+
+
+def write_universe(universe: DataFrame, base: str, spot_check: Sequence[str] = SPOT_CHECK, sample: int = UNMATCHED_SAMPLE,
+                   key: str = "ticker") -> tuple[str, DataFrame]:
+    """V4 and A7 together: write the universe as a new version and report on it. Returns (path, one-row report).
+
+    The counters are observed on the rows as they are written, so the universe is computed once and never read again for
+    them. Only the first ``sample`` unmatched keys (a top-k, cut before anything is collected) read the written
+    key columns back.
+    """
+    spark = universe.sparkSession
+    seen = Observation()
+    path = write_version(universe.observe(seen, *quality_counters(key, spot_check)), base)
+    counts = seen.get
+    first = (spark.read.parquet(path).where(F.col("cd_cvm").isNull()).select(key).orderBy(key).limit(sample)
              .agg(F.array_sort(F.collect_list(key)).alias("unmatched_sample")))
-    # The one-row sample meets the counts as a scalar subquery (no join). Pass a written
-    # universe: the report then reads it twice instead of rebuilding it.
-    return counts.select("total", "matched", "with_lpa", "no_match", "gov_filled",
-                         first.scalar().alias("unmatched_sample"), "spot_found")
+    names = ("total", "matched", "with_lpa", "no_match", "gov_filled")
+    return path, first.select(*[F.lit(counts[n]).cast("long").alias(n) for n in names], "unmatched_sample",
+                              F.lit(counts["spot_found"]).cast("long").alias("spot_found"))

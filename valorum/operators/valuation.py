@@ -7,6 +7,7 @@ and no shuffle. Year-by-year multiplication keeps the reference's float order.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from valorum.functions.values import format_brl, format_ptbr
 # ---------------------------------------------------------------------------
 DEFAULT_YEARS = 5
 # What-if input ranges of the calculator, in percent: (low, high, step).
+PAYOUT_RANGE = (0.0, 100.0, 1.0)
+GROWTH_RANGE = (0.0, 20.0, 0.5)
 RATE_RANGE = (6.0, 25.0, 0.5)
 PERPETUAL_RANGE = (0.0, 10.0, 0.5)
 STEP_LABELS = ("base dividend", "present value sum", "terminal value", "discounted terminal", "fair value")
@@ -235,9 +238,81 @@ def scenario_summary(df: DataFrame, key, eps="eps", payout="payout", g1="g1",
     )
 
 
+# --- all four sliders at once ---------------------------------------------------------------------------------------
+def unit_values(growths, rates, perpetuals, years: int = DEFAULT_YEARS) -> np.ndarray:
+    """Fair values of one unit of base dividend over the valid (growth, rate, perpetual) points, ascending."""
+    g, k, p = (np.array(a, float) for a in (growths, rates, perpetuals))
+    grown = (1 + g)[:, None] ** np.arange(1, years + 1)
+    present = (grown[:, None, :] / (1 + k)[None, :, None] ** np.arange(1, years + 1)).sum(2)
+    valid = k[:, None] > p
+    with np.errstate(divide="ignore"):
+        terminal = (1 + p) / np.where(valid, k[:, None] - p, 1) / (1 + k)[:, None] ** years
+    fair = present[:, :, None] + grown[:, None, None, -1] * terminal
+    return np.sort(fair[:, valid].ravel())
+
+
+def kth_product(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """The k-th smallest (from 0) of all products of two ascending lists of non-negative numbers.
+
+    Bisection over the floating numbers themselves: a row of products ascends, so each count of products up to a value is
+    one binary search for each entry of ``a``. The products are never written out.
+    """
+    def upto(t: float) -> int:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            n = np.searchsorted(b, np.where(a > 0, t / np.where(a > 0, a, 1), np.inf), "right")
+        while (more := (n < len(b)) & (a * b[np.minimum(n, len(b) - 1)] <= t)).any():  # rounding of the quotient
+            n = n + more
+        while (less := (n > 0) & (a * b[np.maximum(n - 1, 0)] > t)).any():
+            n = n - less
+        return int(n.sum())
+
+    # Non-negative floating numbers are ordered as their bits are.
+    lo, hi = -1, int(np.float64(a[-1] * b[-1]).view(np.int64))
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        if upto(float(np.int64(middle).view(np.float64))) > k:
+            hi = middle
+        else:
+            lo = middle
+    return float(np.int64(hi).view(np.float64))
+
+
+def what_if_summary(df: DataFrame, key, eps="eps", payouts=None, growths=None, rates=None, perpetuals=None,
+                    years: int = DEFAULT_YEARS) -> DataFrame:
+    """V11 over all four sliders: points, valid share, min / median / max fair value per stock.
+
+    A fair value is EPS x payout x G(growth, rate, perpetual), and the last two range over the sliders alone. So a stock's
+    order statistics are its EPS times those of the products payout x G (the mirrored ones for a negative EPS),
+    which are found once from the two sorted factor lists. The plan is one projection; the 101 x 41 x 39 x 21
+    points are never made. Stocks without EPS have no valid point. Slider values below zero are allowed for growth and
+    perpetual growth down to -1, not for payouts.
+    """
+    payouts = payouts if payouts is not None else grid_values(*PAYOUT_RANGE)
+    growths = growths if growths is not None else grid_values(*GROWTH_RANGE)
+    rates = rates if rates is not None else grid_values(*RATE_RANGE)
+    perpetuals = perpetuals if perpetuals is not None else grid_values(*PERPETUAL_RANGE)
+    if min(payouts) < 0 or min(*growths, *perpetuals) < -1 or min(rates) <= -1:
+        raise ValueError("slider values must keep every factor of the fair value at zero or above")
+    a, b = np.sort(np.array(payouts, float)), unit_values(growths, rates, perpetuals, years)
+    points, valid = len(payouts) * len(growths) * len(rates) * len(perpetuals), len(a) * len(b)
+    keys = [key] if isinstance(key, str) else list(key)
+    e = _c(eps)
+    has = e.isNotNull() & F.lit(valid > 0)
+    low = high = median = F.lit(None).cast("double")
+    if valid:
+        middle = (kth_product(a, b, (valid - 1) // 2) + kth_product(a, b, valid // 2)) / 2
+        ends = [F.lit(float(a[0] * b[0])), F.lit(float(a[-1] * b[-1]))]
+        low = F.when(e >= 0, e * ends[0]).otherwise(e * ends[1])
+        high = F.when(e >= 0, e * ends[1]).otherwise(e * ends[0])
+        median = e * F.lit(middle)
+    return df.select(*keys, F.lit(points).cast("long").alias("n_points"), F.when(has, F.lit(valid)).otherwise(0).cast("long").alias("n_valid"),
+                     F.when(has, F.lit(valid / points)).otherwise(0.0).alias("share_valid"), low.alias("min_fair"),
+                     median.alias("median_fair"), high.alias("max_fair"))
+
+
 __all__ = [
     "ddm_columns", "ddm_value", "margin_of_safety", "margin_label", "ddm_ledger", "ddm_steps",
-    "ddm_scenarios", "scenario_summary", "grid_values", "format_ptbr",
+    "ddm_scenarios", "scenario_summary", "what_if_summary", "grid_values", "format_ptbr",
 ]
 
 
@@ -251,3 +326,25 @@ def register_sql_functions(spark, years: int = DEFAULT_YEARS, name: str = "ddm_f
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(eps DOUBLE, payout DOUBLE, g1 DOUBLE, ke DOUBLE, "
               f"gp DOUBLE) RETURNS DOUBLE RETURN {body}")
     return name
+
+
+def register_ledger_function(spark, years: int = DEFAULT_YEARS, name: str = "ddm_ledger") -> str:
+    """SQL surface (2.13): the projection ledger as a SQL-bodied table function, called with LATERAL.
+
+    ``ddm_ledger(eps, payout, g1, ke)`` returns a row for each year from 0 (no factor, no present value): dividend, discount
+    factor, present value, and the present values summed so far, so the last row holds the total. The body reads its
+    arguments alone and is inlined next to each row. Returns the function name.
+    """
+    dividends = ["(eps * payout)"]
+    for _ in range(years):
+        dividends.append(f"({dividends[-1]} * (1.0D + g1))")
+    rows, total = [], None
+    for n, dividend in enumerate(dividends):
+        factor = f"power(1.0D + ke, {float(n)}D)" if n else "CAST(NULL AS DOUBLE)"
+        pv = f"({dividend} / {factor})"
+        total = None if not n else pv if total is None else f"({total} + {pv})"
+        rows.append(f"struct({n} AS n, {dividend} AS dividend, {factor} AS factor, {pv} AS pv, {total or '0.0D'} AS pv_sum)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(eps DOUBLE, payout DOUBLE, g1 DOUBLE, ke DOUBLE) "
+              f"RETURNS TABLE (n INT, dividend DOUBLE, factor DOUBLE, pv DOUBLE, pv_sum DOUBLE) "
+              f"RETURN SELECT r.n, r.dividend, r.factor, r.pv, r.pv_sum FROM (SELECT explode(array({', '.join(rows)})) AS r)")
+    return name

@@ -7,6 +7,7 @@ the others are lazy. Float outputs are rounded to six places (the oracle does th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,29 +150,38 @@ def effective_assumptions(spark, d):
 # --- quotes: A9, P6, A10, T3, J8 ---------------------------------------------------------------
 @query("latest_quote")
 def latest_quote(spark, d):
-    return qt.latest_quote(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str=roles.QUOTE_LOOKBACK)
+    return qt.latest_quote(roles.quotes(spark, d), as_of=roles.quote_as_of(spark, d), range_str=roles.QUOTE_LOOKBACK)
 
 
 @query("history_lookback")
 def history_lookback(spark, d):
-    return qt.history_lookback(roles.quotes(spark, d), "ts", roles.QUOTE_AS_OF, "1wk")
+    return qt.history_lookback(roles.quotes(spark, d), "ts", roles.quote_as_of(spark, d), "1wk")
+
+
+@query("history_lookback_by_day")
+def history_lookback_by_day(spark, d):
+    """The look-back over quotes stored by day: only the folders of its days are read."""
+    path = _scratch(spark, f"quotes_by_day/{uuid.uuid4().hex}")
+    qt.write_by_day(roles.quotes(spark, d), path)
+    stored = spark.read.parquet(path)
+    return qt.history_lookback(stored, "ts", qt.newest_time(stored), "1wk", day="day").drop("day")
 
 
 @query("history_series")
 def history_series(spark, d):
-    return qt.history_series(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str="5y")
+    return qt.history_series(roles.quotes(spark, d), as_of=roles.quote_as_of(spark, d), range_str="5y")
 
 
 @query("quote_freshness")
 def quote_freshness(spark, d):
     last = qt.drop_missing(roles.quotes(spark, d), "close").groupBy("ticker").agg(F.max("ts").alias("last_ts"))
-    f = qt.quote_freshness(last, "last_ts", roles.QUOTE_AS_OF, qt.QUOTE_TTL_SECONDS, "stale_quote")
-    f = qt.quote_freshness(f, "last_ts", roles.QUOTE_AS_OF, qt.HISTORY_TTL_SECONDS, "stale_history")
+    f = qt.quote_freshness(last, "last_ts", roles.quote_as_of(spark, d), qt.QUOTE_TTL_SECONDS, "stale_quote")
+    f = qt.quote_freshness(f, "last_ts", roles.quote_as_of(spark, d), qt.HISTORY_TTL_SECONDS, "stale_history")
     return f.select("ticker", "last_ts", r6("age_s").alias("age_s"), "stale_quote", "stale_history")
 
 
 def _price_sources(spark, d):
-    snap = qt.latest_quote(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str=roles.QUOTE_LOOKBACK)
+    snap = qt.latest_quote(roles.quotes(spark, d), as_of=roles.quote_as_of(spark, d), range_str=roles.QUOTE_LOOKBACK)
     chart = roles.second_quotes(spark, d).select("ticker", fv.round_half_up("price", 2).alias("price"))
     return [("snapshot", snap.select("ticker", "price")), ("chart", chart)]
 
@@ -325,18 +335,20 @@ def clean_registry_sector(spark, d):
 from valorum.operators import universe as uv  # noqa: E402
 
 
+def _figures(filings, key, value, paid, exact_scale=2):
+    """The demo's filing accounts: EPS and dividends of class R or A, income of account R or N."""
+    k = F.col("klass")
+    return fund.filing_figures(
+        filings.where(F.col("scope") == "F"), key, "year", TIE, eps_where=k.isin("R", "A"), eps_value=value, eps_class="klass",
+        eps_preferred="R", income_where=k.isin("R", "N"), income_value=F.col("value"), income_account="klass", income_preferred="R",
+        scale="scale", dividend_where=k == "A", dividend_value=paid, exact_scale=exact_scale)
+
+
 def _universe(spark, d):
-    pf = roles.part_filings(spark, d).where(F.col("scope") == "F")
-    eps = fund.latest_eps(pf.withColumn("eps_v", F.col("value") / 1000.0), "cd", "year", "eps_v", "klass",
-                          preferred="R", classes=("R", "A"), tie_break=TIE).withColumnRenamed("cd", "cd_cvm")
-    ni = fund.latest_net_income(pf, "cd", "year", "value", "klass", "scale", preferred="R", accounts=("R", "N"),
-                                tie_break=TIE).withColumnRenamed("cd", "cd_cvm")
-    by_year = lt.sum_abs_by_year(pf.where(F.col("klass") == "A"), "cd", "year", "paid", exact_scale=4,
-                                 out="dividends")
-    div = fund.latest_year_dividends(by_year, "cd").withColumnRenamed("cd", "cd_cvm")
+    figures = _figures(roles.part_filings(spark, d), "cd", F.col("value") / 1000.0, F.col("paid"), 4)
     reg = roles.company_registry(spark, d)
-    facts = uv.company_facts(eps, ni, div, reg.select("cd_cvm", cl.classify_control("controle").alias("ctrl")),
-                             reg.select("cd_cvm", "payload"))
+    facts = uv.company_facts(figures.withColumnRenamed("cd", "cd_cvm"),
+                             reg.select("cd_cvm", cl.classify_control("controle").alias("ctrl"), "payload"))
     tickers = roles.listed_names(spark, d).withColumnRenamed("ticker_id", "ticker")
     companies = roles.registry_names(spark, d).select(F.col("cd").alias("cd_cvm"), F.col("nome").alias("empresa"),
                                                       "ultimo_ano")
@@ -352,9 +364,22 @@ def universe_build(spark, d):
 
 @query("build_quality_report")
 def build_quality_report(spark, d):
-    from valorum.session import work_table
-    written = work_table(_universe(spark, d).withColumn("ticker", F.col("ticker").cast("string")), "universe")
-    return uv.build_quality_report(written, spot_check=("0", "2", "4", "6", "8", "10", "12", "14"))
+    u = _universe(spark, d).withColumn("ticker", F.col("ticker").cast("string"))
+    return uv.write_universe(u, _scratch(spark, "universe_build"), spot_check=("0", "2", "4", "6", "8", "10", "12", "14"))[1]
+
+
+@query("filing_figures")
+def filing_figures(spark, d):
+    """EPS, income and dividends with their years, in one pass."""
+    return _figures(roles.filings(spark, d), "entity", F.col("value"), F.col("value"))
+
+
+@query("payout_same_year")
+def payout_same_year(spark, d):
+    """Payout of the income's own year, dividends in units by the scale of each row."""
+    f = roles.filings(spark, d).where((F.col("scope") == "F") & (F.col("klass") == "A"))
+    by_year = fund.dividends_by_year(f, "entity", "year", "value", "scale")
+    return fund.payout_ratio(_net_income(spark, d), by_year, "entity", dividend_scale=1.0, require_same_year=True)
 
 
 # --- state: M1-M12, J7, J10 ----------------------------------------------------------------------
@@ -773,7 +798,6 @@ STREAM_BUCKETS = 8
 
 @query("stream_latest_quote")
 def stream_latest_quote(spark, d):
-    import uuid
     base = _scratch(spark, f"stream_quote/{uuid.uuid4().hex}")
     ev = _stream_source(spark, d, "events", base, "ts")
     quotes = ev.select(F.col("user_id").alias("ticker"), "ts",
@@ -786,7 +810,6 @@ def stream_latest_quote(spark, d):
 
 @query("stream_assumption_state")
 def stream_assumption_state(spark, d):
-    import uuid
     base = _scratch(spark, f"stream_assumptions/{uuid.uuid4().hex}")
     li = _stream_source(spark, d, "lineitem", base)
     events = roles.assumption_events_from(li)
@@ -798,13 +821,29 @@ def stream_assumption_state(spark, d):
 # --- SQL surface, config defaults, single-key history: 2.13, M8, L2 ------------------------------------
 @query("ddm_sql_function")
 def ddm_sql_function(spark, d):
-    import uuid
     fn = val.register_sql_functions(spark)
     view = f"stocks_{uuid.uuid4().hex[:8]}"
     roles.stocks(spark, d).createOrReplaceTempView(view)
     return spark.sql(f"SELECT ticker, round({fn}(lpa, payout, g1, ke, gp) * 1e6D) / 1e6D AS fair FROM {view}")
 
 
+@query("ddm_ledger_function")
+def ddm_ledger_function(spark, d):
+    """The ledger rows by a SQL table function joined laterally to the stocks."""
+    fn = val.register_ledger_function(spark)
+    view = f"stocks_{uuid.uuid4().hex[:8]}"
+    roles.stocks(spark, d).createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT s.ticker, l.* FROM {view} s, LATERAL {fn}(s.lpa, s.payout, s.g1, s.ke) l")
+    return out.select("ticker", F.col("n").cast("long").alias("n"), *[r6(c).alias(c) for c in ("dividend", "factor", "pv", "pv_sum")])
+
+
+@query("ddm_what_if_summary")
+def ddm_what_if_summary(spark, d):
+    """All four sliders at once, per stock."""
+    s = val.what_if_summary(roles.stocks(spark, d), "ticker", eps="lpa")
+    return s.select("ticker", "n_points", "n_valid", *[r6(c).alias(c) for c in ("share_valid", "min_fair", "median_fair", "max_fair")])
+
+
 @query("config_defaults")
 def config_defaults(spark, d):
     defaults = spark.createDataFrame([(dbk, float(v)) for _, dbk, v in asm.CONFIG_KEYS[:4]], "k string, v double")
@@ -819,7 +858,7 @@ def assumption_history_one(spark, d):
 
 @query("history_series_daily")
 def history_series_daily(spark, d):
-    return qt.history_series(roles.quotes(spark, d), as_of=roles.QUOTE_AS_OF, range_str="1mo", as_array=True)
+    return qt.history_series(roles.quotes(spark, d), as_of=roles.quote_as_of(spark, d), range_str="1mo", as_array=True)
 
 
 @query("format_number_ties")

@@ -172,6 +172,23 @@ SELECT coalesce(ni.entity, d.entity) AS entity, d.dividends, ni.net_income_units
        coalesce(CASE WHEN d.dividends <> 0 AND ni.net_income_units > 0
             THEN """ + pyround_sql("least(1.5, greatest(0.0, d.dividends * 1.0 / ni.net_income_units))", 3) + """ END, 0.45) AS payout
 FROM ni FULL OUTER JOIN div_latest d ON ni.entity = d.entity""")
+register("filing_figures", with_roles(ROLE_FILINGS, SQL_LATEST_EPS, SQL_NET_INCOME, SQL_DIV_BY_YEAR) + """
+, d AS (SELECT entity, arg_max(dividends, year) AS dividends, max(year) AS dividends_year FROM div_year
+        WHERE dividends IS NOT NULL GROUP BY entity)
+, e AS (SELECT DISTINCT entity FROM filings WHERE scope = 'F')
+SELECT e.entity, eps.eps, eps.year AS eps_year, ni.net_income, ni.scale, ni.year AS income_year, ni.net_income_units,
+       d.dividends, d.dividends_year
+FROM e LEFT JOIN eps USING (entity) LEFT JOIN ni USING (entity) LEFT JOIN d USING (entity)""")
+_SAME_YEAR = pyround_sql("least(1.5, greatest(0.0, d.dividends * 1.0 / k.net_income_units))", 3)
+register("payout_same_year", with_roles(ROLE_FILINGS, SQL_NET_INCOME) + f"""
+, d AS (SELECT entity, year, CAST(sum(CAST(abs(CASE WHEN scale = 'MIL' THEN value * 1000.0 ELSE value END) AS DECIMAL(28,2))) AS DOUBLE) AS dividends
+        FROM filings WHERE scope = 'F' AND klass = 'A' GROUP BY entity, year)
+, k AS (SELECT entity, year, net_income_units FROM ni
+        UNION ALL SELECT DISTINCT entity, NULL, NULL FROM d WHERE entity NOT IN (SELECT entity FROM ni))
+SELECT k.entity, d.dividends, k.net_income_units,
+       CASE WHEN d.dividends <> 0 AND k.net_income_units > 0 THEN {_SAME_YEAR} END AS payout_raw,
+       coalesce(CASE WHEN d.dividends <> 0 AND k.net_income_units > 0 THEN {_SAME_YEAR} END, 0.45) AS payout
+FROM k LEFT JOIN d ON d.entity = k.entity AND d.year = k.year""")
 register("eps_with_fallback", with_roles(ROLE_FILINGS, SQL_LATEST_EPS) + """
 SELECT s.s_suppkey AS entity,
        """ + pyround_sql("coalesce(CASE WHEN abs(e.eps / 1000.0) <= 100 AND e.eps <> 0 THEN e.eps / 1000.0 END, "
@@ -197,7 +214,7 @@ SELECT ticker, id, rank, value FROM (
          row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rank
   FROM events) WHERE rank <= 40""")
 
-QUOTE_WINDOW = "ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 5 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00'"
+QUOTE_WINDOW = "ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY AND ts <= (SELECT max(ts) FROM events)"
 SQL_LATEST_QUOTE = f"""
 last_quote AS (
   SELECT ticker, floor(close * 100.0 + 0.5) / 100.0 AS price, last_ts FROM (
@@ -207,16 +224,17 @@ last_quote AS (
 register("latest_quote", with_roles(ROLE_QUOTES, SQL_LATEST_QUOTE) + " SELECT * FROM last_quote")
 register("history_lookback", with_roles(ROLE_QUOTES) + """
 SELECT ticker, ts, close FROM quotes
-WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00'""")
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND ts <= (SELECT max(ts) FROM events)""")
+register("history_lookback_by_day", ORACLE_SQL["history_lookback"])
 register("history_series", with_roles(ROLE_QUOTES) + """
 SELECT ticker, epoch_us(ts) // 1000 AS ts_ms, floor(close * 100.0 + 0.5) / 100.0 AS close FROM quotes
-WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 5 YEAR AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 YEAR AND ts <= (SELECT max(ts) FROM events)
   AND close IS NOT NULL AND NOT isnan(close)""")
 register("quote_freshness", with_roles(ROLE_QUOTES) + """
 SELECT ticker, last_ts,
-       round((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts)) / 1e6, 6) AS age_s,
-       (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts)) / 1e6 > 900 AS stale_quote,
-       (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts)) / 1e6 > 1800 AS stale_history
+       round((epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts)) / 1e6, 6) AS age_s,
+       (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts)) / 1e6 > 900 AS stale_quote,
+       (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts)) / 1e6 > 1800 AS stale_history
 FROM (SELECT ticker, max(ts) AS last_ts FROM quotes WHERE close IS NOT NULL GROUP BY ticker)""")
 
 SQL_PRICES = """
@@ -907,6 +925,28 @@ SELECT ticker, {_acols()} FROM cur""")
 
 register("ddm_sql_function", with_roles(ROLE_STOCKS) + f"""
 SELECT ticker, round({ddm_sql('lpa', 'payout', 'g1', 'ke', 'gp')['fair']}, 6) AS fair FROM stocks""")
+def _ledger_row(n: int) -> str:
+    """Year n with the products taken year by year, as the ledger takes them."""
+    dividend = [f"lpa * payout{' * (1.0 + g1)' * i}" for i in range(n + 1)]
+    pv = [f"({dividend[i]}) / pow(1.0 + ke, {i}.0)" for i in range(1, n + 1)]
+    return (f"SELECT ticker, {n}::BIGINT AS n, {dividend[n]} AS dividend, {f'pow(1.0 + ke, {n}.0)' if n else 'NULL::DOUBLE'} AS factor, "
+            f"{pv[-1] if n else 'NULL::DOUBLE'} AS pv, {' + '.join(pv) if n else '0.0::DOUBLE'} AS pv_sum FROM stocks")
+
+
+register("ddm_ledger_function", with_roles(ROLE_STOCKS) + f"""
+SELECT ticker, n, round(dividend, 6) AS dividend, round(factor, 6) AS factor, round(pv, 6) AS pv, round(pv_sum, 6) AS pv_sum
+FROM ({" UNION ALL ".join(_ledger_row(n) for n in range(6))})""")
+# One stock of EPS 1 over every point of the four sliders; the others are its multiples.
+register("ddm_what_if_summary", with_roles(ROLE_STOCKS) + f"""
+, pts AS (SELECT p.i / 100.0::DOUBLE AS payout, g.i * 0.5::DOUBLE / 100.0 AS g1, (6 + k.i * 0.5::DOUBLE) / 100.0 AS ke, q.i * 0.5::DOUBLE / 100.0 AS gp
+          FROM range(0, 101) p(i), range(0, 41) g(i), range(0, 39) k(i), range(0, 21) q(i))
+, one AS (SELECT {ddm_sql('1.0::DOUBLE', 'payout', 'g1', 'ke', 'gp')['fair']} AS fair, ke > gp AS valid FROM pts)
+, u AS (SELECT count(*) AS n_points, count(*) FILTER (WHERE valid) AS n_valid, min(fair) FILTER (WHERE valid) AS lo,
+               quantile_cont(fair, 0.5) FILTER (WHERE valid) AS mid, max(fair) FILTER (WHERE valid) AS hi FROM one)
+SELECT ticker, n_points, CASE WHEN lpa IS NULL THEN 0 ELSE n_valid END AS n_valid,
+       round(CASE WHEN lpa IS NULL THEN 0 ELSE n_valid / n_points END, 6) AS share_valid,
+       round(least(lpa * lo, lpa * hi), 6) AS min_fair, round(lpa * mid, 6) AS median_fair, round(greatest(lpa * lo, lpa * hi), 6) AS max_fair
+FROM stocks, u""")
 register("config_defaults", with_roles(ROLE_CONFIG) + """
 , cur AS (SELECT k, v FROM config WHERE v IS NOT NULL)
 SELECT k, round(v, 6) AS v FROM cur
@@ -917,7 +957,7 @@ register("assumption_history_one", """
 SELECT user_id AS ticker, event_id AS id, value FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 40""")
 register("history_series_daily", with_roles(ROLE_QUOTES) + """
 , pts AS (SELECT ticker, epoch_us(ts) // 1000 AS ts_ms, floor(close * 100.0 + 0.5) / 100.0 AS close FROM quotes
-          WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 MONTH AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+          WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 MONTH AND ts <= (SELECT max(ts) FROM events)
             AND close IS NOT NULL AND NOT isnan(close))
 , daily AS (SELECT ticker, arg_max(ts_ms, ts_ms) AS ts_ms, arg_max(close, ts_ms) AS close FROM pts
             GROUP BY ticker, ts_ms // 86400000)

@@ -8,11 +8,12 @@ SQL twin of every role lives in :mod:`valorum.plans.oracle`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed as-of instant and look-back of the quote demos (event data spans January 2024).
-QUOTE_AS_OF = "2024-01-31 00:00:00"
+from valorum.operators.quotes import newest_time
+
+# Look-back of the quote demos.
 QUOTE_LOOKBACK = "5d"
 
 
@@ -141,6 +142,11 @@ def second_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (exact_sum("l_extendedprice") / exact_sum("l_quantity")).alias("price"))
 
 
+def quote_as_of(spark: SparkSession, sf_dir: str) -> Column:
+    """The as-of time of the quotes: their newest time."""
+    return newest_time(table(spark, sf_dir, "events"), "ts")
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filing facts: one per line item; entity = supplier, year of shipping, scope = line status,
     class / account = return flag, value = extended price, scale by quantity."""

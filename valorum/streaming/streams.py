@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from valorum.operators.latest import latest_per_key
 from valorum.operators.quotes import drop_missing
@@ -72,7 +73,7 @@ def merge_batch(changes: DataFrame, batch_id: int, state_dir: str, writer: str,
         keyed = changes.withColumn(bucket, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
         newest = latest_per_key(keyed, [key, bucket], list(order_by))
         # At most as many numbers as there are buckets; they prune the scan of the state.
-        touched = [r[0] for r in newest.select(bucket).distinct().collect()]
+        touched = [r[0] for r in keyed.select(bucket).distinct().collect()]
         before = _current(spark, state_dir, buckets) if touched else None
         if before is not None:
             newest = latest_per_key(before.where(F.col(bucket).isin(touched)).unionByName(newest), [key, bucket], list(order_by))
@@ -83,8 +84,8 @@ def merge_batch(changes: DataFrame, batch_id: int, state_dir: str, writer: str,
             return
     elif not done.first()["buckets"]:
         return
-    ready = spark.read.parquet(aside)
-    (ready.repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket)
+    schema = StructType([*changes.schema.fields, StructField(bucket, IntegerType())])
+    (spark.read.schema(schema).parquet(aside).repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket)
      .parquet(f"{base}/current"))
 
 
@@ -123,8 +124,9 @@ def stream_latest_quote(stream: DataFrame, state_dir: str, checkpoint: str, key:
     def apply(batch: DataFrame, batch_id: int) -> None:
         # Written first: every action on the batch itself would run the stateful aggregate again.
         changed = f"{state_dir.rstrip('/')}/changed/{_writer(batch)}/slot={batch_id % 2}"
-        batch.drop("day").write.mode("overwrite").parquet(changed)
-        merge_batch(batch.sparkSession.read.parquet(changed), batch_id, state_dir, _writer(batch), key, QUOTE_ORDER, buckets)
+        batch = batch.drop("day")
+        batch.write.mode("overwrite").parquet(changed)
+        merge_batch(batch.sparkSession.read.schema(batch.schema).parquet(changed), batch_id, state_dir, _writer(batch), key, QUOTE_ORDER, buckets)
 
     return _start(daily_quotes(stream, key, ts, close, delay), apply, checkpoint, available_now, "update")
 
@@ -144,6 +146,6 @@ def stream_assumptions(stream: DataFrame, state_dir: str, log_dir: str, checkpoi
     def apply(batch: DataFrame, batch_id: int) -> None:
         log = f"{log_dir.rstrip('/')}/writer={_writer(batch)}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(log)
-        merge_batch(batch.sparkSession.read.parquet(log), batch_id, state_dir, _writer(batch), key, order_by, buckets)
+        merge_batch(batch.sparkSession.read.schema(batch.schema).parquet(log), batch_id, state_dir, _writer(batch), key, order_by, buckets)
 
     return _start(stream, apply, checkpoint, available_now)

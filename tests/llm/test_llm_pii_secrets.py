@@ -122,3 +122,36 @@ def test_huge_runs_do_not_hang(spark, text):
     else:
         check_pii(pii.find_pii(df), [text])
     check_secrets(secret_scan.scan_paths(df, secret_scan.Ledger(spark)), [text])
+
+
+def test_pairs_recorded_twice_do_not_multiply_rows(spark):
+    ledger = secret_scan.Ledger(spark)
+    data = [(1, "token: abcdefgh", None, None, None), (2, "nothing", None, None, None)]
+    docs = spark.createDataFrame(data, DOCS)
+    want = sorted(map(str, secret_scan.scan_paths(docs, ledger).collect()))
+    # Another scan recorded the same blobs at the same time.
+    ledger.records().write.parquet(f"{ledger.path}/scan=again")
+    assert ledger.records().count() == 4 and ledger.read().count() == 2
+    assert sorted(map(str, secret_scan.scan_paths(docs, ledger).collect())) == want and len(want) == 2
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_only_unseen_texts_are_read(spark, monkeypatch, few):
+    monkeypatch.setattr(secret_scan, "FEW_BLOBS", few)
+    ledger = secret_scan.Ledger(spark)
+    data = [(i, f"password = secret{i % 40}x", None, None, None) for i in range(200)]
+    docs = spark.createDataFrame(data, DOCS)
+    ledger.scan(docs)
+    assert ledger.records().count() == 40
+    unseen = ledger.unseen(docs)
+    assert unseen.count() == 0
+    more = spark.createDataFrame([*data, (900, "AKIA" + "Z" * 16, None, None, None), (901, "AKIA" + "Z" * 16, None, None, None)], DOCS)
+    assert [r.text for r in ledger.unseen(more).collect()] == ["AKIA" + "Z" * 16]
+    if few:
+        # Old texts stay where they are: the semi join is made where they are read, before the only exchange.
+        plan = ledger.unseen(more)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
+    ledger.scan(more)
+    assert ledger.records().count() == 41 and ledger.records().where("rules = '9'").count() == 0
+    assert ledger.unseen(more, rules="9").count() == 41  # other rules have seen nothing

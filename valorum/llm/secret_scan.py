@@ -2,8 +2,14 @@
 
 Every version of a path is content-addressed by the SHA-256 of its text. The ledger (Parquet tables in a shared folder)
 records which pairs of blob and rule version have been scanned, and the findings of those that had any. A
-scan reads only the texts of pairs the ledger has not seen, once per blob however many paths hold it,
-appends what it finds, and joins the findings of the current rules back to all paths.
+scan first asks the ledger by address alone which blobs it has not seen. Only their texts move, once per blob however
+many paths hold it: up to ``FEW_BLOBS`` new addresses go to the tasks that read the texts, so of an
+unchanged or little changed corpus no old text is shuffled; with more (a first scan, new rules) copies are gathered within
+each task and the rest is shuffled once. What is found is appended and the findings of the current rules are
+joined back to all paths.
+
+Scans that overlap in time, or a run that is repeated after its write, may record a pair twice; the record of a pair is the
+same whoever writes it, and readers take each pair once.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valorum.llm.common import text_of
+from valorum.llm.common import stored, text_of
 from valorum.llm.spans import joined, tagged, with_spans
 from valorum.session import shared_path
 
@@ -35,6 +41,7 @@ FORGE_TOKEN = r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,}+"
 CHAT_TOKEN = r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}+"
 WEB_TOKEN = r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 
+FEW_BLOBS = 200_000  # addresses of 64 characters: some 20 MB to each executor
 FINDINGS = "array<struct<order:int,kind:string,start:int,end:int>>"
 
 
@@ -72,8 +79,8 @@ class Ledger:
         self.spark = spark
         self.path = path or shared_path(spark, "ledger", uuid.uuid4().hex)
 
-    def read(self) -> DataFrame:
-        """All pairs recorded so far (empty before the first scan)."""
+    def records(self) -> DataFrame:
+        """All records as they were appended, a pair perhaps more than once (empty before the first scan)."""
         schema = f"blob string, rules string, found {FINDINGS}"
         made = self.spark.createDataFrame([], schema)
         try:
@@ -83,16 +90,32 @@ class Ledger:
                 raise
             return made
 
-    def scan(self, versions: DataFrame, text_col: str = "text", rules: str = RULES) -> DataFrame:
-        """Scan the blobs of ``versions`` that this rule version has not seen and record them; returns the record."""
+    def read(self) -> DataFrame:
+        """One record of each pair."""
+        return self.records().dropDuplicates(["blob", "rules"])
+
+    def hits(self, rules: str = RULES) -> DataFrame:
+        """(blob, found) of the blobs with findings under these rules, each once."""
+        found = self.records().where((F.col("rules") == rules) & F.col("found").isNotNull())
+        return found.select("blob", "found").dropDuplicates(["blob"])
+
+    def unseen(self, versions: DataFrame, text_col: str = "text", rules: str = RULES) -> DataFrame:
+        """(blob, text) once for each blob of ``versions`` that these rules have not scanned."""
         blobs = versions.select(blob_id(text_col).alias("blob"), text_of(text_col).alias("text"))
-        seen = self.read().where(F.col("rules") == rules).select("blob")
+        seen = self.records().where(F.col("rules") == rules).select("blob")
+        if not seen.isEmpty():
+            # Addresses alone travel here; the texts are read again, once it is known which are new.
+            new = stored(blobs.select("blob").distinct().join(seen, "blob", "left_anti"), "new-blobs")
+            few = new.count() <= FEW_BLOBS
+            blobs = blobs.join(F.broadcast(new), "blob", "left_semi") if few else blobs.dropDuplicates(["blob"]).join(new, "blob", "left_semi")
         # Copies meet by their address, first within each task, so that a blob of many paths is no hot key.
-        unseen = blobs.dropDuplicates(["blob"]).join(seen, "blob", "left_anti")
-        found = findings_of(unseen).select("blob", F.lit(rules).alias("rules"),
-                                           F.when(F.size("found") > 0, F.col("found")).alias("found"))
+        return blobs.dropDuplicates(["blob"])
+
+    def scan(self, versions: DataFrame, text_col: str = "text", rules: str = RULES) -> None:
+        """Scan the blobs of ``versions`` that this rule version has not seen and record them."""
+        found = findings_of(self.unseen(versions, text_col, rules)).select(
+            "blob", F.lit(rules).alias("rules"), F.when(F.size("found") > 0, F.col("found")).alias("found"))
         found.write.parquet(f"{self.path}/scan={uuid.uuid4().hex}")
-        return self.read()
 
 
 def scan_paths(versions: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text",
@@ -102,8 +125,8 @@ def scan_paths(versions: DataFrame, ledger: Ledger, id_col: str = "doc_id", text
     Null texts count as empty. Null and repeated ids are carried. An empty table gives an empty result and
     records nothing; other columns are ignored.
     """
-    known = ledger.scan(versions, text_col, rules).where(F.col("rules") == rules)
-    hits = known.where(F.col("found").isNotNull()).select("blob", "found")
+    ledger.scan(versions, text_col, rules)
+    hits = ledger.hits(rules)
     paths = versions.select(F.col(f"`{id_col}`").alias("doc_id"), blob_id(text_col).alias("blob"))
     return paths.join(hits, "blob", "left").select(
         "doc_id", "blob", F.coalesce("found", F.array().cast(FINDINGS)).alias("found"))

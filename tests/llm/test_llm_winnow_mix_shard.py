@@ -164,6 +164,33 @@ def test_hot_group_and_repeated_rows_are_subdivided(spark):
     assert len(by) == 16
 
 
+def homes(got, text):
+    """{text: shards that hold its rows}."""
+    home = defaultdict(set)
+    for r in got:
+        home[text[r.doc_id]].add(r.shard)
+    return home
+
+
+def test_small_groups_stay_whole_in_overfull_ranges(spark):
+    """Thousands of short pairs beside few long texts: their ranges hold too many rows and are cut between keys only."""
+    data = [(i, f"t{i // 2}", None, None, None) for i in range(6000)] + [(6000 + i, f"{i} " * 4000, None, None, None) for i in range(300)]
+    data += [(7000 + i, "x", None, None, None) for i in range(3000)]  # many rows, hardly any bytes
+    docs = frame(spark, data)
+    got = sharding.shard(docs, min_ranges=256).collect()
+    check_shards(got, 1.01 * max(r.size for r in got))
+    assert [t for t, s in homes(got, {d: t for d, t, *_ in data}).items() if len(s) > 1] == []
+
+
+def test_shards_do_not_depend_on_the_file_split(spark):
+    data = [(i, f"text {i % 900} " * (1 + i % 9), None, None, None) for i in range(2500)] + [(5, "again", None, None, None)] * 700
+    found = []
+    for parts in (2, 11):
+        got = sharding.shard(frame(spark, data, parts), min_ranges=256).collect()
+        found.append(sorted((r.doc_id, r.text_crc32, r.shard) for r in got))
+    assert found[0] == found[1]
+
+
 def test_shard_odd_tables(spark):
     assert sharding.shard(empty(spark)).count() == 0
     got = sharding.shard(spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "", None, None, None)], DOCS)).collect()

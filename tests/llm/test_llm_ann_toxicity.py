@@ -79,7 +79,9 @@ def test_few_and_no_vectors(spark):
 
 
 def test_folding():
-    assert toxicity.fold("ＴＲ４ＳＨ tr4sh тrаsh 𝐭𝐫𝐚𝐬𝐡") == "trash trash тrash trash"
+    assert toxicity.fold("ＴＲ４ＳＨ tr4sh тrаsh 𝐭𝐫𝐚𝐬𝐡") == "trash trash trash trash"
+    assert toxicity.fold("ТRАSН trásh tra\u0301sh ΤRΑSΗ") == "trash trash trash trash"
+    assert toxicity.fold("ѕсυm SСUΜ 8a9 Жук Ünï") == "scum scum bag жyk uni"
     assert toxicity.fold("іdіоt 1d10t IDIOT") == "idiot idiot idiot"
 
 
@@ -107,7 +109,7 @@ def test_learning_and_odd_tables(spark):
     for i in range(600):
         toxic = i % 6 == 0
         text = rng.choices(words, k=60) + (["zork"] * 2 if toxic else [])
-        if i % 20 == 1:
+        if i % 5 == 1:
             text += ["zork", "plant"]  # harmless: an exception phrase
         rng.shuffle(text) if toxic else None
         data.append((i, " ".join(text), None, None, None))
@@ -125,3 +127,69 @@ def test_learning_and_odd_tables(spark):
     assert toxicity.score(empty(spark), model).count() == 0 and toxicity.keep_clean(empty(spark), model).count() == 0
     none = toxicity.fit(empty(spark), labels, seen_label())
     assert none.terms == {} and toxicity.score(docs, none).where("score > 0").count() == 0
+
+
+def plain_fit(texts, min_groups=2, min_odds=8.0, false_terms=50.0, max_terms=20_000):
+    """(terms, exceptions, densities) of labelled texts, counted one text after another."""
+    def support(units):
+        """{term: [[clean, toxic] of even groups, of odd groups]} by groups of near copies."""
+        held = {}
+        for text, toxic in texts:
+            words = toxicity.words_of(text)
+            for u in units(words):
+                held.setdefault(u, set()).add((toxicity.group_of(words), toxic))
+        return {u: [[sum(g % 2 == h and t == label for g, t in s) for label in (0, 1)] for h in (0, 1)] for u, s in held.items()}
+
+    total = lambda c, label: c[0][label] + c[1][label]
+    words = support(lambda w: {"", *w})
+    n_clean, n_tox = total(words[""], 0), total(words[""], 1)
+    odds = lambda c: ((total(c, 1) + 0.5) / max(1, n_tox)) / ((total(c, 0) + 0.5) / max(1, n_clean))
+    kept = {w: c for w, c in words.items() if total(c, 0) + total(c, 1) >= min_groups}
+    candidates = {w for w, c in kept.items() if total(c, 1) >= min_groups and odds(c) >= min_odds / 4 and len(w) > 1}
+    pairs = support(lambda w: {f"{x} {y}" for x, y in zip(w, w[1:]) if x in candidates or y in candidates})
+    safe = {p for p, c in pairs.items() if total(c, 0) >= max(3, min_groups) and odds(c) < 1}
+
+    def outside(w):
+        inside = {k for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" in safe for k in (i, i + 1)}
+        return {x for i, x in enumerate(w) if i not in inside and x in candidates}
+
+    left = support(outside)
+    limits = (min_groups, min_odds, false_terms, max_terms)
+    pick = lambda of: toxicity.choose([(w, of(c, 1), of(c, 0)) for w, c in left.items()], of(words[""], 1), of(words[""], 0), len(kept), *limits)
+    terms, halves = pick(total), [pick(lambda c, label, h=h: c[h][label]) for h in (0, 1)]
+    learned = set(terms) | set(halves[0]) | set(halves[1])
+    return terms, {p for p in safe if set(p.split(" ")) & learned}
+
+
+def plain_density(text, terms, exceptions):
+    """Weight of the text's words that are terms outside exception phrases, per word, on texts of words and blanks."""
+    w = toxicity.words_of(text)
+    inside = {k for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" in exceptions for k in (i, i + 1)}
+    return sum(terms.get(x, 0) for i, x in enumerate(w) if i not in inside) / max(1, len(w))
+
+
+def test_the_lexicon_equals_a_plain_count(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(120)]
+    data, marks = [], []
+    for i in range(500):
+        toxic = i % 4 == 0
+        text = rng.choices(words, k=rng.randint(5, 40)) + rng.choices(["zork", "TRASH", "tr4sh", "blat"], k=2) * toxic
+        if i % 8 == 1:
+            text += ["zork", "plant"]  # raw odds under 8
+        if i % 9 == 2:
+            text += ["big", "blat"]
+        rng.shuffle(text) if toxic else None
+        data.append((i, " ".join(text), None, None, None))
+        marks.append((i, int(toxic)))
+    data += [(500 + i, t, None, None, None) for i, (_, t, *_) in enumerate(data[:60])]  # copies
+    marks += [(500 + i, m) for i, (_, m) in enumerate(marks[:60])]
+    docs, labels = frame(spark, data), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    terms, exceptions = plain_fit([(t, dict(marks)[d]) for d, t, *_ in data])
+    assert {"zork", "trash", "blat"} <= set(terms) and {"zork plant", "big blat"} <= exceptions
+    assert model.terms == pytest.approx(terms) and set(model.exceptions) == exceptions
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for d, t, *_ in data:
+        x = plain_density(t, terms, exceptions)
+        assert got[d] == pytest.approx(x / (x + model.scale)), d

@@ -1,12 +1,15 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
-Folding lower-cases a text, maps look-alike letters of other scripts and styled letters to Latin ones and digits that
-stand for letters to those letters, so ``tr4sh`` and a spelling with Cyrillic letters meet the same lexicon term.
+Folding maps look-alike letters of other scripts, capitals by their own look, and styled letters to Latin ones, digits that
+stand for letters to those letters, drops accents and lower-cases, so ``tr4sh``, ``trásh`` and a spelling with
+Cyrillic or Greek letters meet the same lexicon term.
 
 The lexicon is learned from labelled texts: a term's weight follows from the share of toxic and clean groups of texts that
 hold it. Near copies of a text count once (they share a min-hash), so the words of one much copied text
-are no evidence. Phrases of two words that hold a lexicon term but occur mostly in clean texts become
-exception phrases; a match inside one does not count.
+are no evidence. Phrases of two words that hold a candidate term but occur mostly in clean texts become
+exception phrases; a match inside one does not count. They are found before terms are judged: a term's evidence is what
+it has outside them, so a toxic word that clean texts use within a harmless phrase is learned all the same.
+Candidates are terms with a quarter of the required odds, phrases included.
 
 A text's density is the summed weight of its matches, each a whole word, divided by its number of words. The score is
 density / (density + scale), with the scale set so that the best cut on the training texts scores 0.7.
@@ -31,21 +34,24 @@ from pyspark.sql import functions as F
 from valorum.llm.common import fresh, ready, stored, text_of
 
 # Digits that stand for letters, and letters that look like Latin ones.
-DIGITS = dict(zip("013457", "oieast"))
-CYRILLIC = dict(zip("асеорхуіјѕһ", "aceopxyijsh"))
-GREEK = dict(zip("αονρικ", "aovpik"))
+DIGITS = dict(zip("01345789", "oieastbg"))
+CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝкмтвнАВЕКМНОРСТУХІЈЅԚԜҮ", "aceopxyijshdqwkmtbhabekmhopctyxijsqwy"))
+GREEK = dict(zip("αβγεηικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abyenikvoptuxwabezhikmnoptyx"))
 WORD = re.compile(r"[^\W_]+")
 CUT = 0.7
 
 
 @lru_cache(maxsize=1)
-def fold_table() -> dict[int, str]:
-    """Look-alikes, digits, and every styled letter whose compatibility form is one ASCII letter."""
-    table = {}
+def fold_table() -> dict[int, str | None]:
+    """Look-alikes, digits, accents (dropped) and every letter that decomposes to one ASCII letter and marks."""
+    table: dict[int, str | None] = {}
     for cp in range(0x80, sys.maxunicode + 1):
-        kind = unicodedata.decomposition(chr(cp))
-        if kind.startswith("<"):
-            plain = unicodedata.normalize("NFKC", chr(cp)).lower()
+        c = chr(cp)
+        if unicodedata.category(c) == "Mn":
+            table[cp] = None
+        elif unicodedata.decomposition(c):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn").lower()
+            plain = {**CYRILLIC, **GREEK}.get(plain, plain)
             if len(plain) == 1 and plain.isascii() and plain.isalnum():
                 table[cp] = DIGITS.get(plain, plain)
     table.update({ord(a): b for part in (DIGITS, CYRILLIC, GREEK) for a, b in part.items()})
@@ -53,7 +59,7 @@ def fold_table() -> dict[int, str]:
 
 
 def fold(text: str | None) -> str:
-    return (text or "").lower().translate(fold_table())
+    return (text or "").translate(fold_table()).lower()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -123,6 +129,26 @@ def _evidence_rows(phrases_of: frozenset[str] | None):
     return run
 
 
+def _outside_rows(terms: frozenset[str], exceptions: frozenset[str]):
+    """(term, group, toxic) once per text for the terms that it holds outside exception phrases."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = {"term": [], "grp": [], "toxic": []}
+            for text, toxic in zip(b["text"], b["toxic"]):
+                words = words_of(text)
+                inside = set()
+                for i, (x, y) in enumerate(zip(words, words[1:])):
+                    if (x in terms or y in terms) and f"{x} {y}" in exceptions:
+                        inside |= {i, i + 1}
+                found = {x for i, x in enumerate(words) if x in terms and i not in inside}
+                group = group_of(words) if found else 0
+                out["term"] += found
+                out["grp"] += [group] * len(found)
+                out["toxic"] += [int(toxic)] * len(found)
+            yield pd.DataFrame(out)
+    return run
+
+
 def group_of(words: list[str]) -> int:
     """Min-hash of the word triples: near copies mostly share it."""
     digest = xxhash.xxh64_intdigest
@@ -188,15 +214,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     few = (support.where((tox >= min_groups) & (odds >= min_odds / 4) & (F.length("term") > 1))
            .orderBy(F.desc(tox * odds), "term").limit(4 * max_terms).collect())
     limits = (min_groups, min_odds, false_terms, max_terms)
-    terms = choose(((r.term, r.tox0 + r.tox1, r.clean0 + r.clean1) for r in few), n_tox, n_clean, tested, *limits)
-    halves = (choose(((r.term, r.tox0, r.clean0) for r in few), totals.tox0, totals.clean0, tested, *limits),
-              choose(((r.term, r.tox1, r.clean1) for r in few), totals.tox1, totals.clean1, tested, *limits))
-    exceptions = frozenset()
-    if terms:
-        phrases = (_support(train.mapInPandas(_evidence_rows(frozenset(terms)), schema))
+    # Exception phrases of the candidates first, then the candidates by what they have outside those.
+    candidates, exceptions = frozenset(r.term for r in few), frozenset()
+    if few:
+        phrases = (_support(train.mapInPandas(_evidence_rows(candidates), schema))
                    .where((clean >= max(3, min_groups)) & (odds < 1.0) & (F.length("term") > 0))
                    .orderBy(F.desc(clean), "term").limit(max_terms).collect())
         exceptions = frozenset(r.term for r in phrases)
+    if exceptions:
+        few = _support(train.mapInPandas(_outside_rows(candidates, exceptions), schema)).collect()
+    terms = choose(((r.term, r.tox0 + r.tox1, r.clean0 + r.clean1) for r in few), n_tox, n_clean, tested, *limits)
+    halves = (choose(((r.term, r.tox0, r.clean0) for r in few), totals.tox0, totals.clean0, tested, *limits),
+              choose(((r.term, r.tox1, r.clean1) for r in few), totals.tox1, totals.clean1, tested, *limits))
+    exceptions = frozenset(p for p in exceptions if any(w in terms or w in halves[0] or w in halves[1] for w in p.split(" ")))
     # max_rows pairs of numbers.
     seen = train.mapInPandas(_density_rows(tuple(Model(h, exceptions) for h in halves)), "x double, toxic int").toPandas()
     cut = best_cut(seen["x"].to_numpy(), seen["toxic"].to_numpy())

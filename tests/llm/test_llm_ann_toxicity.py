@@ -54,6 +54,26 @@ def test_recall_on_the_table(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_the_visited_share_follows_the_data(spark, monkeypatch):
+    """Clustered vectors need few of their entries, vectors without structure most; recall holds in both."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16)) * 4
+    seen, search = [], ann.visited_share
+    monkeypatch.setattr(ann, "visited_share", lambda *args: seen.append(search(*args)) or seen[-1])
+    for x in (centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 16)) * 0.3, rng.normal(size=(3000, 16))):
+        data = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+        got = by_query(ann.search(spark.createDataFrame(data, VEC), F.col("vec_id") % 60 == 0, k=10, least=20))
+        x32 = np.float32(x).astype(float)
+        hits = 0
+        for q, found in got.items():
+            scores = x32 @ x32[q]
+            scores[q] = -np.inf
+            hits += len({i for i, _ in found} & set(np.lexsort((np.arange(3000), -scores))[:10].tolist()))
+        assert hits / (10 * len(got)) >= 0.9
+    assert seen[0] < 0.2 < seen[1], seen
+    print("visited shares", seen)
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     rng = random.Random(4)
     good = [(i, [rng.uniform(-1, 1) for _ in range(5)], 0) for i in range(40)]

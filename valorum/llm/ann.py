@@ -3,8 +3,12 @@
 Vectors are split into two halves, each quantised by its own ``centroids`` k-means codewords, so a cell
 is a pair of codewords. The index holds every vector; only the codebooks are fitted on a bounded sample.
 A query visits cells in the order of the summed nearness of its two halves to the two codewords (the
-multi-sequence algorithm: a heap over the two sorted lists), until the cells visited hold ``candidates``
-vectors. Their exact inner products, in double precision, rank the answers.
+multi-sequence algorithm: a heap over the two sorted lists), until the cells visited hold a share of all
+entries. Their exact inner products, in double precision, rank the answers.
+
+The share follows from the data: a bounded sample of queries is searched among the vectors that the codebooks were
+fitted on, and the share is the one by which ``recall`` of their true neighbours there had been visited. Vectors with
+cluster structure need few of their entries, those without any need most of them.
 
 Vectors that are equal are one entry of the index (a third of all rows may be copies of one): an entry
 keeps its ``k + 1`` smallest ids, which is all that a ranking by (score, id) can ever take from it.
@@ -12,7 +16,7 @@ keeps its ``k + 1`` smallest ids, which is all that a ranking by (score, id) can
 Entries lie in lists by first codeword. A long list is cut into pieces of at most about ``list_size``
 entries, and the queries that visit it likewise, so every task sees a bounded block of each.
 Broadcast: codebooks and the number of entries per cell, at most ``2 * centroids * dim`` doubles and
-``centroids ** 2`` counts, with ``centroids`` at most ``max_centroids``.
+``centroids ** 2`` counts; ``centroids`` grows with the root of the number of entries, up to ``max_centroids``.
 """
 
 from __future__ import annotations
@@ -69,6 +73,30 @@ def visit(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> list
     return found
 
 
+def visited_share(x: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, near: int, recall: float,
+                  trials: int) -> float:
+    """Share of all entries that a query visits until ``recall`` of its ``near`` nearest among ``x`` were visited.
+
+    ``trials`` evenly spaced rows of ``x`` are the queries. ``counts`` are those of the whole index. Cells come in the order
+    in which :func:`visit` takes them.
+    """
+    half = a.shape[1]
+    i, j = nearest(x[:, :half], a), nearest(x[:, half:], b) if b.shape[1] else np.zeros(len(x), np.int64)
+    reached = []
+    for q in np.unique(np.linspace(0, len(x) - 1, min(trials, len(x))).astype(int)):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = np.argsort(-scores, kind="stable")[:min(near, len(x) - 1)]
+        order = np.argsort(-np.add.outer(a @ x[q, :half], b @ x[q, half:]).ravel(), kind="stable")
+        held = np.empty(counts.size)
+        held[order] = np.cumsum(counts.ravel()[order])
+        reached.append(held[i[best] * len(b) + j[best]])
+    every = np.sort(np.concatenate(reached)) if reached else np.zeros(0)
+    if not len(every):
+        return 1.0
+    return float(every[min(len(every) - 1, int(np.ceil(recall * len(every))) - 1)] / max(1, counts.sum()))
+
+
 def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
@@ -146,13 +174,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           centroids: int = 64, share: float = 0.6, least: int = 1000, fit_rows: int = 16_384,
-           list_size: int = 4096, max_centroids: int = 1024) -> DataFrame:
+           centroids: int | None = None, share: float | None = None, least: int = 1000, fit_rows: int = 16_384,
+           list_size: int = 4096, max_centroids: int = 1024, recall: float = 0.96, trials: int = 200) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, itself left out.
 
     ``is_query`` is a condition on vec_id. ``share`` of the entries (``least`` at least) are visited for a
-    query; vectors without structure need more than half of them for a recall well above 0.9. Codebooks are fitted
-    on about ``fit_rows`` entries, drawn by a hash. Null ids, null or zero vectors, those holding null or non-finite
+    query; by default it is estimated for ``recall`` with ``trials`` queries from the fit list (see
+    :func:`visited_share`). ``centroids`` of each half: by default the root of a sixteenth of the entries, 16 at
+    least. Codebooks are fitted on about ``fit_rows`` entries, drawn by a hash. Null ids, null or zero vectors, those holding null or non-finite
     components or of another length than most take no part. Rows that repeat an (id, vector) count once; ties
     go to the smaller id. An empty table gives an empty result; other columns are ignored.
     """
@@ -178,7 +207,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     fit = entries.where(draw | (F.lit(n) <= fit_rows)).orderBy("entry").toPandas()
     x = _matrix(fit["vec"])
     half = (x.shape[1] + 1) // 2
-    size = min(centroids, max_centroids, len(x))
+    size = min(centroids or max(16, int(np.ceil((n / 16) ** 0.5))), max_centroids, len(x))
     # One component has no second half; a constant one changes no inner product.
     second = x[:, half:] if half < x.shape[1] else np.zeros((len(x), 0))
     a, b = kmeans(x[:, :half], size), kmeans(second, size) if second.shape[1] else np.zeros((1, 0))
@@ -190,6 +219,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     queries = stored(all_.where(is_query).join(entries, "vec").select(F.col("vec_id").alias("query_id"), "entry"),
                      "ann-queries")
     searched = coded.join(queries.select("entry").distinct(), "entry", "left_semi")
+    if share is None:
+        # The neighbours asked for, as many as the fit list holds of them, but a few at least.
+        share = visited_share(x, a, b, counts, max(5, -(-k * len(x) // n)), recall, trials if len(a) <= 128 else trials // 4)
     enough = max(least, int(np.ceil(share * n)))
     visits = searched.select(F.col("entry").alias("query"), "vec").mapInPandas(
         _visit_rows(a, b, counts, enough), "query long, vec array<double>, i int, cells binary")

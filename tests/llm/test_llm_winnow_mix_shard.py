@@ -114,10 +114,14 @@ def test_mix_equals_sql_and_is_nested(spark):
     assert all(small[d] <= large[d] for d in small)
 
 
-def test_take_repeats_rows(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_take_repeats_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     df = clashing(frame(spark))
     copies = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
     got = mixing.take(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not few or "hashpartitioning" not in plan  # with few sources no text is shuffled
     assert got.columns == df.columns
     assert Counter(r.doc_id for r in got.collect()) == Counter({d: c for d, c in copies.items() if c})
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from valorum.llm.common import WORD, fresh, stored, text_of
 
 HASH_BITS = 60
+FEW_SOURCES = 10_000  # limits of so many sources are broadcast: a name and two numbers each
 
 
 def hash60(column: str, seed: str = "mix") -> str:
@@ -82,8 +83,8 @@ def _source_key(source_col: str) -> Column:
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float,
-          cap: float, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, skey, size, h, cell), and by (skey, cell) the source's size, target, epochs and threshold."""
+          cap: float, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, skey, size, h, cell), the filled (skey, cell), and by skey the targets and the limits (epochs, threshold)."""
     rows = stored(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         _source_key(source_col).alias("skey"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
@@ -93,8 +94,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     sizes = cells.groupBy("skey", "source").agg(F.sum("n").alias("source_size"))
     targets = stored(source_targets(sizes, weights, share, cap), "mix-targets")
     limits = _thresholds(rows.drop("cell"), targets.where("source_size > 0"), bits)
-    plan = cells.select("skey", "cell").join(targets.drop("source"), "skey").join(limits, "skey", "left")
-    return rows.drop("source"), plan
+    return rows.drop("source"), cells.select("skey", "cell"), targets.drop("source"), limits
 
 
 def _copies(h: Column) -> Column:
@@ -110,21 +110,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the last. Sources without words have target 0 and take nothing. An empty table gives an empty result; other
     columns are ignored.
     """
-    rows, plan = _plan(docs, id_col, text_col, source_col, weights, share, cap, bits)
+    rows, cells, targets, limits = _plan(docs, id_col, text_col, source_col, weights, share, cap, bits)
+    plan = cells.join(targets, "skey").join(limits, "skey", "left")
     return (rows.join(plan, ["skey", "cell"]).withColumn("copies", _copies(F.col("h")))
             .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, bits: int = 10) -> DataFrame:
-    """The mix itself: every input row as often as it is taken, all columns as they are."""
-    _, plan = _plan(docs, id_col, text_col, source_col, weights, share, cap, bits)
-    skey, cell, h = (fresh(x, docs.columns) for x in ("mix_source", "mix_cell", "mix_hash"))
-    plan = plan.select(F.col("skey").alias(skey), F.col("cell").alias(cell), "epochs", "threshold")
-    plan = plan.select(skey, cell, F.struct("epochs", "threshold").alias(fresh("mix_plan", docs.columns)))
-    plan_col = plan.columns[-1]
+    """The mix itself: every input row as often as it is taken, all columns as they are.
+
+    Up to ``FEW_SOURCES`` sources, counted first, their limits go to the tasks that read the documents and no text is
+    shuffled; with more, documents and limits meet by source and hash bucket.
+    """
+    _, cells, targets, limits = _plan(docs, id_col, text_col, source_col, weights, share, cap, bits)
+    skey, cell, h, plan_col = (fresh(x, docs.columns) for x in ("mix_source", "mix_cell", "mix_hash", "mix_plan"))
+    few = targets.count() <= FEW_SOURCES
+    plan = limits if few else cells.join(limits, "skey", "left").withColumnRenamed("cell", cell)
+    on = [skey] if few else [skey, cell]
+    plan = plan.withColumnRenamed("skey", skey).select(*on, F.struct("epochs", "threshold").alias(plan_col))
     rows = docs.withColumn(skey, _source_key(source_col)).withColumn(h, F.expr(hash60(id_col)))
-    rows = rows.withColumn(cell, F.shiftright(h, HASH_BITS - bits)).join(plan, [skey, cell])
+    rows = rows.withColumn(cell, F.shiftright(h, HASH_BITS - bits)).join(F.broadcast(plan) if few else plan, on, "left")
     copies = F.coalesce(F.col(plan_col)["epochs"] + (F.col(h) <= F.col(plan_col)["threshold"]).cast("long"), F.lit(0))
     times = F.array_repeat(F.lit(1), copies.cast("int"))
     once = fresh("mix_copy", docs.columns)

@@ -89,16 +89,17 @@ def work_table(df, label: str):
     return spark.read.parquet(path)
 
 
-def spread(df):
-    """Deal the rows of a small input over the cluster's cores before CPU-heavy row work.
+def spread(df, min_partitions: int | None = None):
+    """Deal the rows of a small input over the cluster's cores (or ``min_partitions``) before CPU-heavy row work.
 
     A frame read from few files (or one row group) arrives as few tasks. If the planner's size of the frame already
     makes a split for every core, it is returned as it is: nothing is shuffled at scale. A smaller one is dealt out, so a
     partition holds less than a split. Starts no job.
     """
     spark = df.sparkSession
+    wanted = min_partitions or spark.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if int(str(plan.stats().sizeInBytes())) >= split * spark.sparkContext.defaultParallelism:
+    if int(str(plan.stats().sizeInBytes())) >= split * wanted:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted)

@@ -79,11 +79,13 @@ def multi_class() -> str:
 def fold_sql(x: str) -> str:
     """F1 as SQL text over the SQL expression ``x``.
 
-    The characters with several letters are looked up one by one, only in rows that hold one.
+    The characters with several letters are looked up one by one, only in rows that hold one, and there only from
+    the first such character (U+00BC) on.
     """
     match, replace, multi = fold_tables()
     table = ", ".join(f"split({lit(_SEP.join(part))}, {lit(_SEP)})" for part in zip(*multi))
-    expanded = (f"array_join(transform(split({x}, ''), c -> coalesce(element_at(map_from_arrays({table}), c), c)), '')")
+    expanded = (f"array_join(transform(split({x}, ''), c -> CASE WHEN c < '\u00bc' THEN c "
+                f"ELSE coalesce(element_at(map_from_arrays({table}), c), c) END), '')")
     c = (f"CASE WHEN {x} RLIKE {lit(_BEYOND_LATIN1)} AND {x} RLIKE {lit(multi_class())} THEN {expanded} "
          f"ELSE {x} END")
     c = f"translate({c}, {lit(match)}, {lit(replace)})"
@@ -119,7 +121,8 @@ def fold_accents(col: Column | str) -> Column:
     c = col
     match, replace, multi = fold_tables()
     table = F.map_from_arrays(*[F.split(F.lit(_SEP.join(part)), _SEP) for part in zip(*multi)])
-    expanded = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    expanded = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x < "\u00bc", x).otherwise(
+        F.coalesce(F.element_at(table, x), x))), "")
     c = F.when(c.rlike(_BEYOND_LATIN1) & c.rlike(multi_class()), expanded).otherwise(c)
     c = F.translate(c, match, replace)
     return F.regexp_replace(c, r"[^\x00-\x7F]", "")

@@ -132,16 +132,14 @@ def payout_ratio(income: DataFrame, dividends: DataFrame, key: str, dividend_sca
                     F.coalesce(ratio, F.lit(default)).alias("payout"))
 
 
-def filing_figures(filings: DataFrame, key: str, year: str, tie_break: Sequence[str], *, eps_where: Column, eps_value: Column,
-                   eps_class: str, eps_preferred, income_where: Column, income_value: Column, income_account: str,
-                   income_preferred, scale: str, dividend_where: Column, dividend_value: Column,
-                   exact_scale: int = 2) -> DataFrame:
-    """W1, W2, A1 and A2 in one pass over the filings: one row per entity.
-
-    Per entity and year one aggregate takes the best EPS row, the best income row (each a maximum over its order, under its
-    own filter; rows outside it are null and lose) and the exact dividend total; the few rows of an entity's years then
-    give the newest of each. The filings are scanned and shuffled once, reduced before the shuffle.
-    Columns: key, eps, eps_year, net_income, scale, income_year, net_income_units, dividends, dividends_year.
+def filing_years(filings: DataFrame, key: str, year: str, tie_break: Sequence[str], *, eps_where: Column, eps_value: Column,
+                 eps_class: str, eps_preferred, income_where: Column, income_value: Column, income_account: str,
+                 income_preferred, scale: str, dividend_where: Column, dividend_value: Column, exact_scale: int = 2) -> DataFrame:
+    """The figures of every entity and year, for :func:`newest_figures`: (key, _year, _eps, _income, _paid).
+
+    One aggregate takes the best EPS row, the best income row (each a maximum over its order, under its own filter; rows
+    outside it are null and lose) and the exact dividend total. An entity keeps one row a year however many filings it
+    has, so this is the form to store in buckets by entity.
     """
     def best(where: Column, order: Sequence, **values) -> Column:
         row = F.struct(order_struct(filings, order).alias("order"), *[v.alias(n) for n, v in values.items()])
@@ -149,11 +147,17 @@ def filing_figures(filings: DataFrame, key: str, year: str, tie_break: Sequence[
 
     asc = [(t, "asc") for t in tie_break]
     total = F.abs(F.when(dividend_where, dividend_value)).cast(f"decimal(28,{exact_scale})")
-    years = filings.groupBy(F.col(key), F.col(year).alias("_year")).agg(
+    return filings.groupBy(F.col(key), F.col(year).alias("_year")).agg(
         best(eps_where & (eps_value != 0), [F.col(eps_class) == eps_preferred, F.abs(eps_value), *asc], value=eps_value).alias("_eps"),
         best(income_where, [F.col(income_account) == income_preferred, *asc], value=income_value, scale=F.col(scale)).alias("_income"),
         F.sum(total).cast("double").alias("_paid"))
 
+
+def newest_figures(years: DataFrame, key: str) -> DataFrame:
+    """The newest EPS, income and dividends of every entity from :func:`filing_years`; columns as :func:`filing_figures`.
+
+    Over rows stored in buckets by ``key`` this is one aggregate without a shuffle.
+    """
     def newest(value: Column, name: str) -> Column:
         return F.max_by(F.struct(value.alias("v"), F.col("_year").alias("year")), F.when(value.isNotNull(), F.struct(F.col("_year").isNotNull(), "_year"))).alias(name)
 
@@ -166,6 +170,16 @@ def filing_figures(filings: DataFrame, key: str, year: str, tie_break: Sequence[
                        F.col("_paid.v").alias("dividends"), F.col("_paid.year").alias("dividends_year"))
 
 
+def filing_figures(filings: DataFrame, key: str, year: str, tie_break: Sequence[str], **accounts) -> DataFrame:
+    """W1, W2, A1 and A2 in one pass over the filings: one row per entity.
+
+    :func:`filing_years` (its ``accounts``) reduces the filings to an entity's years before and after one shuffle,
+    :func:`newest_figures` takes the newest of each. The filings are scanned and shuffled once.
+    Columns: key, eps, eps_year, net_income, scale, income_year, net_income_units, dividends, dividends_year.
+    """
+    return newest_figures(filing_years(filings, key, year, tie_break, **accounts), key)
+
+
 def eps_with_fallback(primary, secondary, places: int = 2) -> Column:
     """V2: primary EPS if plausible, else the secondary source if plausible (Q4)."""
     fallback = round_half_even(first_plausible(secondary), places)

@@ -88,10 +88,17 @@ def screener_shape(df: DataFrame, drop: Sequence[str] = SCREENER_DROP,
     return df.withColumnsRenamed({k: v for k, v in rename.items() if k in df.columns})
 
 
-def lookup_by_keys(df: DataFrame, keys: DataFrame, key: str = "ticker", upper: bool = True) -> DataFrame:
-    """P7 / L4 batch form: rows whose (upper-cased) key is in ``keys`` (a semi join)."""
-    k = F.upper(F.col(key).cast("string")) if upper else F.col(key)
-    kk = F.upper(F.col(key).cast("string")) if upper else F.col(key)
-    left = df.withColumn("_k", k)
-    right = keys.select(kk.alias("_k")).distinct()
-    return left.join(right, "_k", "left_semi").drop("_k")
+def lookup_by_keys(df: DataFrame, keys: DataFrame | Sequence, key: str = "ticker", upper: bool = True) -> DataFrame:
+    """P7 / L4 batch form: rows whose key is in ``keys``, a table (semi join) or a list (a filter that reaches the scan).
+
+    Requested keys are upper-cased and read as the stored key's type; the stored key stays as it is, so its
+    statistics, partitions and buckets serve. Requests that are null or no such key find nothing, repeated ones change nothing.
+    """
+    kind = df.schema[key].dataType
+
+    def asked(c: Column) -> Column:
+        return (F.upper(c.cast("string")) if upper else c.cast("string")).try_cast(kind)
+
+    if not isinstance(keys, DataFrame):
+        return df.where(F.col(key).isin([asked(F.lit(k)) for k in keys if k is not None]))
+    return df.join(keys.select(asked(F.col(key)).alias(key)).distinct(), key, "left_semi")

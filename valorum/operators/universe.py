@@ -45,15 +45,18 @@ def company_facts(figures: DataFrame, registry: DataFrame, dividend_scale: float
     """Per company code: EPS, payout, control and governance labels (all keyed by the padded code).
 
     ``figures`` is :func:`valorum.operators.fundamentals.filing_figures` (cd_cvm, eps, net_income_units, dividends and
-    their years), ``registry(cd_cvm, ctrl, payload)``; each holds at most one row per code, so a union and one group-by
-    build the company table with one exchange of small rows.
+    their years), one row per code; ``registry(cd_cvm, ctrl, payload)`` is brought to one row per code here. Both are
+    grouped by the code already when they meet, so the join adds no exchange, and none is left at all where the inputs
+    are stored in buckets by the code (:mod:`valorum.sources.buckets`). Rows without a code are left out: no security
+    can be matched to them.
     """
     same = F.lit(True) if not require_same_year else F.coalesce(F.col("income_year") == F.col("dividends_year"), F.lit(False))
     payout = F.when(same, payout_of("dividends", "net_income_units", dividend_scale))
-    own = figures.select("cd_cvm", "eps", payout.alias("payout_calc"))
-    reg = registry.select("cd_cvm", "ctrl", classify_governance(double_decode("payload")).alias("gov"))
-    names = ("eps", "payout_calc", "ctrl", "gov")
-    return own.unionByName(reg, allowMissingColumns=True).groupBy("cd_cvm").agg(*[F.max(c).alias(c) for c in names])
+    own = figures.where(F.col("cd_cvm").isNotNull()).select("cd_cvm", "eps", payout.alias("payout_calc"))
+    reg = (registry.where(F.col("cd_cvm").isNotNull())
+           .select("cd_cvm", "ctrl", classify_governance(double_decode("payload")).alias("gov"))
+           .groupBy("cd_cvm").agg(F.max("ctrl").alias("ctrl"), F.max("gov").alias("gov")))
+    return own.join(reg, "cd_cvm", "full").select("cd_cvm", "eps", "payout_calc", "ctrl", "gov")
 
 
 def build_universe(tickers: DataFrame, companies: DataFrame, facts: DataFrame, indicators: DataFrame,

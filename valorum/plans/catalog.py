@@ -333,12 +333,17 @@ def clean_registry_sector(spark, d):
 
 # --- universe: V3, V4, A7 ------------------------------------------------------------------------
 from valorum.operators import universe as uv  # noqa: E402
+from valorum.sources import buckets as bk  # noqa: E402
 
 
 def _figures(filings, key, value, paid, exact_scale=2):
     """The demo's filing accounts: EPS and dividends of class R or A, income of account R or N."""
+    return fund.newest_figures(_figure_years(filings, key, value, paid, exact_scale), key)
+
+
+def _figure_years(filings, key, value, paid, exact_scale=2):
     k = F.col("klass")
-    return fund.filing_figures(
+    return fund.filing_years(
         filings.where(F.col("scope") == "F"), key, "year", TIE, eps_where=k.isin("R", "A"), eps_value=value, eps_class="klass",
         eps_preferred="R", income_where=k.isin("R", "N"), income_value=F.col("value"), income_account="klass", income_preferred="R",
         scale="scale", dividend_where=k == "A", dividend_value=paid, exact_scale=exact_scale)
@@ -356,6 +361,22 @@ def _universe(spark, d):
     return uv.build_universe(tickers, companies, facts, ind, roles.snapshot(spark, d))
 
 
+def bucketed_facts(spark, d, buckets=8):
+    """The company table from inputs stored in buckets by company code: (years, registry) tables and the facts."""
+    run, codes = uuid.uuid4().hex, roles.company_registry(spark, d)
+    years = _figure_years(roles.part_filings(spark, d).withColumnRenamed("cd", "cd_cvm"), "cd_cvm", F.col("value") / 1000.0, F.col("paid"), 4)
+    years = bk.write_buckets(years, f"filing_years_{run}", _scratch(spark, f"filing_years/{run}"), "cd_cvm", buckets)
+    reg = bk.write_buckets(codes.select("cd_cvm", cl.classify_control("controle").alias("ctrl"), "payload"),
+                           f"company_registry_{run}", _scratch(spark, f"company_registry/{run}"), "cd_cvm", buckets)
+    return uv.company_facts(fund.newest_figures(years, "cd_cvm"), reg)
+
+
+@query("company_facts_bucketed")
+def company_facts_bucketed(spark, d):
+    """J4 over stored buckets: newest figures and company joins without an exchange."""
+    return bucketed_facts(spark, d)
+
+
 @query("universe_build")
 def universe_build(spark, d):
     u = _universe(spark, d)

@@ -626,6 +626,7 @@ FROM u"""
 
 
 register("universe_build", _universe_sql() + _universe_select())
+register("company_facts_bucketed", _universe_sql() + " SELECT cd AS cd_cvm, eps, payout_calc, ctrl, gov FROM facts")
 register("build_quality_report", _universe_sql() + ", uni AS (" + _universe_select() + """)
 SELECT count(*) AS total, count(*) FILTER (WHERE cd_cvm IS NOT NULL) AS matched,
        count(*) FILTER (WHERE lpa IS NOT NULL) AS with_lpa, count(*) FILTER (WHERE cd_cvm IS NULL) AS no_match,
@@ -846,7 +847,7 @@ register("distinct_keys", "SELECT DISTINCT l_partkey AS ticker FROM lineitem WHE
 register("watchlist_sorted", with_roles(ROLE_WATCHLIST) + " SELECT DISTINCT ticker FROM watchlist")
 register("lookup_by_keys", with_roles(ROLE_EVENTS, ROLE_WATCHLIST, SQL_CURRENT) + """
 SELECT ticker, event_time, round(ke, 6) AS ke, round(roe_t, 6) AS roe_t, ke_default FROM cur
-WHERE upper(CAST(ticker AS VARCHAR)) IN (SELECT upper(CAST(ticker AS VARCHAR)) FROM watchlist)""")
+WHERE CAST(ticker AS VARCHAR) IN (SELECT upper(CAST(ticker AS VARCHAR)) FROM watchlist)""")
 
 
 def _screener_shape() -> str:

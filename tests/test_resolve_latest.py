@@ -166,6 +166,44 @@ def test_token_join_equals_brute_force_with_hot_tokens(spark, seed):
         assert got == _brute(left, right, t)
 
 
+def _sets(spark, texts):
+    return (spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "_set long, _toks array<string>")
+            .withColumn("_sid", rs.set_id("_toks")))
+
+
+def test_token_counts_are_bounded_and_met_without_a_join(spark, monkeypatch):
+    """Every token of the corpus used to be offered in 16 copies, all broadcast through the driver."""
+    monkeypatch.setattr(rs, "_COUNTER_BITS", 6)
+    texts = [" ".join(f"T{i * 7 + k}" for k in range(5)) + " HOT" for i in range(50)]
+    sets = _sets(spark, texts).persist()
+    assert rs._counters(sets.where("_set < 5")) == 2 and rs._counters(sets, sets) == 64 and rs._counters(*[sets] * 9) == 64
+    counts = rs._token_counts(64, sets, sets)
+    assert [len(r._counts) for r in counts.collect()] == [64]  # 251 tokens
+    assert sum(counts.first()._counts) == 64 + 2 * 50 * 6
+    prefix = rs._prefix_tokens(sets, counts, 64, 0.72)
+    plan = _plan(prefix).partition("Subquery")[0]
+    assert not any(x in plan for x in ("Join", "Exchange"))
+    got = {}
+    for r in prefix.collect():
+        got.setdefault(r["_set"], []).append((r["_pos"], r["tok"]))
+    hot = spark.range(1).select(F.xxhash64(F.lit("HOT"))).first()[0]
+    assert all(sorted(p for p, _ in v) == [0, 1] and hot not in [t for _, t in v] for v in got.values()) and len(got) == 50
+    sets.unpersist()
+
+
+@pytest.mark.parametrize("bits", [0, 4])
+def test_tokens_that_share_a_counter_lose_no_match(spark, monkeypatch, bits):
+    monkeypatch.setattr(rs, "_COUNTER_BITS", bits)
+    rnd = random.Random(bits)
+    words = [f"W{i:02d}" for i in range(40)]
+    left = [(i, " ".join(rnd.sample(words[:25], rnd.randint(2, 9)))) for i in range(120)]
+    right = [(1000 + i, " ".join(rnd.sample(words[:25], rnd.randint(2, 9))), 2000 + i % 5) for i in range(120)]
+    right += [(2000 + i, t + " EXTRA", 2001) for i, t in left[::4]]
+    lft, rgt = _names(spark, left, right)
+    got = {r.lid: r.match_id for r in rs.token_match(lft, "lid", "name", rgt, "rid", "name", "year", 0.6).collect()}
+    assert got == _brute(left, right, 0.6) and len(got) >= 30
+
+
 def test_resolution_plan_has_no_pair_explosion(spark):
     lft, rgt = _names(spark, [(1, "ALFA BETA")], [(10, "ALFA BETA GAMA", 2020)])
     plan = _plan(rs.resolve_entities(lft, "lid", "name", rgt, "rid", "name", "year"))

@@ -4,8 +4,8 @@ The similarity join is exact and never forms all pairs:
 
 * identical token sets are merged on both sides first (a name shared by a third
   of all rows becomes one set);
-* every set keeps only its prefix of rarest tokens (global order: document
-  frequency, then the token), ``n - ceil(t * n) + 1`` tokens long: two sets with
+* every set keeps only its prefix of rarest tokens (global order: frequency as
+  counted by hash, then the token), ``n - ceil(t * n) + 1`` tokens long: two sets with
   Jaccard >= t always share a prefix token (prefix-filter principle);
 * candidates come from an equi-join on prefix tokens, cut by the length filter
   ``t * |a| <= |b| <= |a| / t``, and are verified with the exact Jaccard.
@@ -92,25 +92,39 @@ def _token_ids(toks: str = "_toks") -> Column:
     return F.transform(toks, lambda t: F.xxhash64(t))
 
 
-# Every token's frequency is offered in so many copies, so the rows of a hot token spread over as many tasks.
-_SALTS = 16
+# Tokens are counted by hash in at most so many counters: one row of 4 MB, whatever the number of tokens. Tokens that share a
+# counter only look more frequent than they are; any order that both sides share is right, so this costs candidates, never matches.
+_COUNTER_BITS = 20
 
 
-def _prefix_tokens(sets: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, size, position, token) for the prefix of rarest tokens of each distinct set.
+def _counters(*sets: DataFrame) -> int:
+    """A power of two, about one counter for 16 tokens of the sets."""
+    total = sum(s.agg(F.sum("_sid.n")).first()[0] or 0 for s in sets)
+    return 1 << min(_COUNTER_BITS, max(0, total.bit_length() - 4))
 
-    Positions are 0-based in the global order (document frequency, then token).
+
+def _token_counts(counters: int, *sets: DataFrame) -> DataFrame:
+    """One row: the array ``_counts`` of how many sets have a token of each counter (plus one, so none is missing)."""
+    found = sets[0].sparkSession.range(counters).select(F.col("id").alias("_k"))
+    for s in sets:
+        found = found.unionAll(s.select(F.explode(_token_ids()).alias("tok")).select(F.pmod("tok", F.lit(counters)).alias("_k")))
+    counts = found.groupBy("_k").agg(F.least(F.count(F.lit(1)), F.lit(2**31 - 1)).cast("int").alias("_n"))
+    return counts.agg(F.sort_array(F.collect_list(F.struct("_k", "_n"))).getField("_n").alias("_counts"))
+
+
+def _prefix_tokens(sets: DataFrame, counts: DataFrame, counters: int, threshold: float) -> DataFrame:
+    """(set number, size, position, token) for the prefix of rarest tokens of each distinct set.
+
+    Positions are 0-based in the global order (count, then token). The counts are looked up inside the row, so nothing is shuffled.
     """
-    exploded = sets.select("_sid", F.pmod(F.col("_sid.h1"), F.lit(_SALTS)).alias("_salt"),
-                           F.explode(_token_ids()).alias("tok"))
-    offered = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    ranked = exploded.join(offered, ["tok", "_salt"])
-    per_set = ranked.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_ord"))
-    n = F.size("_ord")
+    n = F.col("_sid.n")
     overlap = F.ceil(n * threshold - _EPS)
     plen = (n - overlap + 1).cast("int")
-    return per_set.select("_sid", n.alias("_n"), F.posexplode(F.slice("_ord", 1, plen)).alias("_pos", "_p")).select(
-        "_sid", "_n", "_pos", F.col("_p.tok").alias("tok"))
+    ranked = F.sort_array(F.transform(_token_ids(), lambda t: F.struct(
+        F.element_at("_counts", (F.pmod(t, F.lit(counters)) + 1).cast("int")).alias("df"), t.alias("tok"))))
+    return (sets.withColumn("_counts", counts.scalar())
+            .select("_set", n.alias("_n"), F.posexplode(F.slice(ranked, 1, plen)).alias("_pos", "_p"))
+            .select("_set", "_n", "_pos", F.col("_p.tok").alias("tok")))
 
 
 def _size_bucket(n: Column, threshold: float) -> Column:
@@ -132,16 +146,17 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
 
     lrows = lprof.select("_id", "_sid").where(F.col("_sid.n") > 0)
     rrows = rprof.select("_id", "_year", "_sid", "_toks").where(F.col("_sid.n") > 0)
-    # Merge identical sets, by their id; the right keeps its best entity per set. Each side's sets are written once.
-    lset = work_table(lprof.select("_sid", "_toks").where(F.col("_sid.n") > 0).dropDuplicates(["_sid"]), "left-sets")
-    rset = work_table(latest_per_key(rrows, "_sid", ["_year", ("_id", "asc")], columns=["_id", "_year", "_toks"]),
-                      "right-sets")
-    # Global token order: document frequency over both sides' distinct sets, then the token.
-    vocab = work_table(lset.select(F.explode(_token_ids()).alias("tok"))
-                       .unionAll(rset.select(F.explode(_token_ids()).alias("tok")))
-                       .groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    lp = _prefix_tokens(lset, vocab, threshold).withColumnsRenamed({"_sid": "_lsid", "_n": "_ln", "_pos": "_li"})
-    rp = _prefix_tokens(rset, vocab, threshold).withColumnsRenamed({"_sid": "_rsid", "_n": "_rn", "_pos": "_ri"})
+    # Merge identical sets, by their id; the right keeps its best entity per set. Each side's sets are written once, with a
+    # number each, by which they travel.
+    lset = work_table(lprof.select("_sid", "_toks").where(F.col("_sid.n") > 0).dropDuplicates(["_sid"])
+                      .withColumn("_set", F.monotonically_increasing_id()), "left-sets")
+    rset = work_table(latest_per_key(rrows, "_sid", ["_year", ("_id", "asc")], columns=["_id", "_year", "_toks"])
+                      .withColumn("_set", F.monotonically_increasing_id()), "right-sets")
+    # Global token order: frequency over both sides' distinct sets, then the token.
+    counters = _counters(lset, rset)
+    counts = work_table(_token_counts(counters, lset, rset), "token-counts")
+    lp = _prefix_tokens(lset, counts, counters, threshold).withColumnsRenamed({"_set": "_lset", "_n": "_ln", "_pos": "_li"})
+    rp = _prefix_tokens(rset, counts, counters, threshold).withColumnsRenamed({"_set": "_rset", "_n": "_rn", "_pos": "_ri"})
     # Length classes: sizes are bucketed geometrically (ratio 1/t); a left set probes only
     # the buckets its compatible sizes [t*n, n/t] fall in, so pairs of incompatible sizes
     # are never formed and a hot token's postings split by size. The bucket function is
@@ -150,26 +165,29 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
     lo = _size_bucket(F.ceil(F.col("_ln") * threshold - _EPS), threshold)
     hi = _size_bucket(F.floor(F.col("_ln") / threshold + _EPS), threshold)
     lp = lp.withColumn("_b", F.explode(F.sequence(lo, hi)))
+    need = F.ceil((F.col("_ln") + F.col("_rn")) * (threshold / (1.0 + threshold)) - _EPS)
+    # Positional filter, first for each shared token: at most min(positions) tokens before it and min(remaining) after it
+    # can be shared. Only pairs that cannot match lose rows here.
+    around = F.least("_li", "_ri") + 1 + F.least(F.col("_ln") - F.col("_li") - 1, F.col("_rn") - F.col("_ri") - 1)
     shared = (lp.join(rp, ["tok", "_b"])
               .where((F.col("_rn") >= F.col("_ln") * threshold - _EPS) &
-                     (F.col("_rn") * threshold <= F.col("_ln") + _EPS)))
-    # Positional filter: all shared tokens up to the last shared prefix token lie in
+                     (F.col("_rn") * threshold <= F.col("_ln") + _EPS) & (around >= need)))
+    # Then for each pair: all shared tokens up to the last shared prefix token lie in
     # both prefixes; after it, at most min(remaining) more can be shared.
-    per_pair = shared.groupBy("_lsid", "_rsid").agg(
+    per_pair = shared.groupBy("_lset", "_rset").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_li").alias("_mli"), F.max("_ri").alias("_mri"),
-        F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
-    need = F.ceil((F.col("_ln") + F.col("_rn")) * (threshold / (1.0 + threshold)) - _EPS)
+        F.max("_ln").alias("_ln"), F.max("_rn").alias("_rn"))
     bound = F.col("_c") + F.least(F.col("_ln") - F.col("_mli") - 1, F.col("_rn") - F.col("_mri") - 1)
-    cand = per_pair.where(bound >= need).select("_lsid", "_rsid")
-    l_arr = lset.select(F.col("_sid").alias("_lsid"), F.col("_toks").alias("_ltoks"))
-    r_arr = rset.select(F.col("_sid").alias("_rsid"), F.col("_toks").alias("_rtoks"),
+    cand = per_pair.where(bound >= need).select("_lset", "_rset")
+    l_arr = lset.select(F.col("_set").alias("_lset"), "_sid", F.col("_toks").alias("_ltoks"))
+    r_arr = rset.select(F.col("_set").alias("_rset"), F.col("_toks").alias("_rtoks"),
                         F.col("_id").alias("_rid"), F.col("_year").alias("_ryear"))
-    pairs = cand.join(l_arr, "_lsid").join(r_arr, "_rsid")
+    pairs = cand.join(l_arr, "_lset").join(r_arr, "_rset")
     inter = F.size(F.array_intersect("_ltoks", "_rtoks"))
     union = F.size("_ltoks") + F.size("_rtoks") - inter
     scored = pairs.withColumn("_j", inter / union).where(F.col("_j") >= threshold)
-    best = latest_per_key(scored, "_lsid", ["_j", "_ryear", ("_rid", "asc")], columns=["_rid", "_j"])
-    return lrows.join(best.withColumnRenamed("_lsid", "_sid"), "_sid").select("_id", "_rid", "_j")
+    best = latest_per_key(scored, "_sid", ["_j", "_ryear", ("_rid", "asc")], columns=["_rid", "_j"])
+    return lrows.join(best, "_sid").select("_id", "_rid", "_j")
 
 
 def token_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
@@ -179,8 +197,11 @@ def token_match(left: DataFrame, left_id: str, left_name: str, right: DataFrame,
     Best = highest Jaccard, then the newest year, then the smallest id. Empty token
     sets never match. Returns (left_id, match_id, jaccard) for matched rows only.
     """
-    lprof = name_profile(left, left_id, left_name)
-    rprof = name_profile(right, right_id, right_name, right_year)
+    from valorum.session import work_table
+
+    # Only the sets are needed; the normalised names are not written.
+    lprof = work_table(name_profile(left, left_id, left_name, materialize=False).drop("_norm"), "name-profile")
+    rprof = work_table(name_profile(right, right_id, right_name, right_year, materialize=False).drop("_norm"), "name-profile")
     best = _token_best(lprof, rprof, threshold)
     return best.select(F.col("_id").alias(left_id), F.col("_rid").alias("match_id"), F.col("_j").alias("jaccard"))
 

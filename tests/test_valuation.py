@@ -72,6 +72,25 @@ def test_scenario_summary_counts(spark):
     assert agg.md == pytest.approx(s.median_fair)
 
 
+def test_scenario_summary_compiles_each_point(spark):
+    """No lambda for the points or for comparing them; nulls, zero and negative earnings as on the expanded grid."""
+    stocks = spark.createDataFrame([("A", 4.24, 0.7, 0.1), ("B", -2.5, 0.5, 0.0), ("C", 0.0, 0.5, 0.2), ("D", None, 0.5, 0.1), ("E", 1.0, 0.5, None)],
+                                   "k string, eps double, payout double, g1 double")
+    rates, perpetuals = [0.06, 0.1, 0.0], [0.0, 0.03, 0.1]
+    got = val.scenario_summary(stocks, "k", rates=rates, perpetuals=perpetuals)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "array_sort(" not in plan
+    want = {}
+    for r in val.ddm_scenarios(stocks, "k", rates=rates, perpetuals=perpetuals).where("valid").collect():
+        want.setdefault(r.k, []).append(r.fair)
+    for r in got.collect():
+        v = sorted(want.get(r.k, []))
+        assert (r.n_points, r.n_valid, r.min_fair, r.max_fair) == (9, len(v), v[0] if v else None, v[-1] if v else None)
+        assert r.median_fair == (float(np.median(v)) if v else None) and r.share_valid == len(v) / 9
+    assert sorted(want) == ["A", "B", "C"]
+    assert val.scenario_summary(stocks, "k", rates=[0.0], perpetuals=[0.1]).first().n_valid == 0
+
+
 def _expanded(spark, stocks, payouts, growths, rates, perpetuals):
     """The order statistics over the expanded grid of every stock."""
     axes = [("p", payouts), ("g", growths), ("k", rates), ("q", perpetuals)]

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valorum.functions.sqltext import expr, ident
+from valorum.functions.sqltext import expr, ident, lit
 from valorum.functions.values import format_brl, format_ptbr
 
 # ---------------------------------------------------------------------------
@@ -217,9 +217,24 @@ def scenario_summary(df: DataFrame, key, eps="eps", payout="payout", g1="g1",
     perpetuals = perpetuals if perpetuals is not None else grid_values(*PERPETUAL_RANGE)
     from valorum.session import spread
 
-    grid, divs = _grid_fair(eps, payout, g1, rates, perpetuals, years)
+    eps, payout, g1 = map(_c, (eps, payout, g1))
+    d, divs = eps * payout, {}
+    for n in range(1, years + 1):
+        d = d * (1.0 + g1)
+        divs[f"_d{n}"] = d
     base = spread(df.select(*keys, *[v.alias(k) for k, v in divs.items()]))
-    vals = F.array_sort(F.filter(F.transform(grid, lambda p: p["fair"]), lambda x: x.isNotNull()))
+    # Rates and perpetuals are known here, so each point is a short compiled expression (with the operations of ddm_columns, in
+    # their order); what depends on one of the two only is a column of its own. sort_array compares doubles without a lambda.
+    points = [(i, j) for i, k in enumerate(rates) for j, g in enumerate(perpetuals) if k > g and 1.0 + k != 0]
+    present = [" + ".join(f"_d{n} / power({lit(1.0 + float(k))}, {lit(float(n))})" for n in range(1, years + 1)) for k in rates]
+    grown = [f"_d{years} * {lit(1.0 + float(g))}" for g in perpetuals]
+    base = base.select(*keys, *[expr(x).alias(f"_p{i}") for i, x in enumerate(present)], *[expr(x).alias(f"_g{j}") for j, x in enumerate(grown)])
+    fair = [f"_p{i} + _g{j} / {lit(float(rates[i]) - float(perpetuals[j]))} / power({lit(1.0 + float(rates[i]))}, {lit(float(years))})" for i, j in points]
+    # Without a dividend no point has a value; with one, every point has. The small lambda keeps the long array out of whole-stage
+    # code, whose one method it would not fit; the projection is then compiled in pieces.
+    none = "cast(array() as array<double>)"
+    vals = expr(f"CASE WHEN exists(array(_g{points[0][1]}), x -> x IS NULL) THEN {none} ELSE sort_array(array({', '.join(fair)})) END"
+                if fair else none)
     n_points = len(rates) * len(perpetuals)
     out = base.select(*keys, vals.alias("_v"))
     n = F.size("_v")

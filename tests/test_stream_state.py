@@ -57,6 +57,20 @@ def test_new_checkpoint_loses_neither_state_nor_log(spark, tmp_path):
     assert edits(spark, work + "/state") == {"A": (1, 0.1), "B": (4, 0.4), "C": (3, 0.3)}
 
 
+def test_batches_are_merged_in_small_splits(spark, tmp_path, monkeypatch):
+    """A task's sort is as large as its split, however large the batch; the caller's session keeps its setting."""
+    work, seen, merge = str(tmp_path), [], sm.merge_batch
+    monkeypatch.setattr(sm, "SPLIT_BYTES", 4096)
+    monkeypatch.setattr(sm, "merge_batch", lambda changes, *a, **b: (seen.append(changes.rdd.getNumPartitions()), merge(changes, *a, **b)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    land(spark, work + "/s", "a", [(f"K{i % 50}", at(i % 7, i % 24), i, i / 7) for i in range(3000)], EDITS)
+    run_edits(spark, work, work + "/s", work + "/c")
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{work}/log/*/*/*.parquet"))
+    assert size > 3 * 4096 and min(seen) >= size // 4096
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert len(edits(spark, work + "/state")) == 50
+
+
 def test_untouched_buckets_keep_their_files(spark, tmp_path):
     work = str(tmp_path)
     land(spark, work + "/s", "a", [(f"K{i}", at(1), i, 0.1) for i in range(200)], EDITS)

@@ -802,7 +802,7 @@ from valorum.streaming import streams as sm  # noqa: E402
 def _stream_source(spark, d, name, base, time=None):
     """A stream over the whole table in eight files, two for each micro-batch; by ``time`` in four steps if given."""
     t = roles.table(spark, d, name)
-    steps = [t.repartition(8)]
+    steps = [t.repartition(8, *t.columns)]  # by hash: dealing in turn would sort each task's rows first
     if time:
         micros = F.unix_micros(F.col(time).cast("timestamp"))
         lo, hi = t.agg(F.min(micros), F.max(micros)).first()

@@ -29,6 +29,8 @@ BUCKETS = 64
 QUOTE_ORDER = ("last_ts", "price")
 EDIT_ORDER = ("event_time", "id")
 QUOTE_DELAY = "5 days"  # the look-back within which a quote counts
+# A task sorts the rows of its split to find the newest of each key, and unpacked they take some 30 times the bytes of the file.
+SPLIT_BYTES = 16 << 20
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -94,6 +96,14 @@ def _writer(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+def _small_splits(batch: DataFrame) -> SparkSession:
+    """The streaming query's own session, reading files in splits of at most SPLIT_BYTES."""
+    spark = batch.sparkSession
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > SPLIT_BYTES:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    return spark
+
+
 def _start(frame: DataFrame, apply, checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
     w = frame.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
@@ -126,7 +136,7 @@ def stream_latest_quote(stream: DataFrame, state_dir: str, checkpoint: str, key:
         changed = f"{state_dir.rstrip('/')}/changed/{_writer(batch)}/slot={batch_id % 2}"
         batch = batch.drop("day")
         batch.write.mode("overwrite").parquet(changed)
-        merge_batch(batch.sparkSession.read.schema(batch.schema).parquet(changed), batch_id, state_dir, _writer(batch), key, QUOTE_ORDER, buckets)
+        merge_batch(_small_splits(batch).read.schema(batch.schema).parquet(changed), batch_id, state_dir, _writer(batch), key, QUOTE_ORDER, buckets)
 
     return _start(daily_quotes(stream, key, ts, close, delay), apply, checkpoint, available_now, "update")
 
@@ -146,6 +156,6 @@ def stream_assumptions(stream: DataFrame, state_dir: str, log_dir: str, checkpoi
     def apply(batch: DataFrame, batch_id: int) -> None:
         log = f"{log_dir.rstrip('/')}/writer={_writer(batch)}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(log)
-        merge_batch(batch.sparkSession.read.schema(batch.schema).parquet(log), batch_id, state_dir, _writer(batch), key, order_by, buckets)
+        merge_batch(_small_splits(batch).read.schema(batch.schema).parquet(log), batch_id, state_dir, _writer(batch), key, order_by, buckets)
 
     return _start(stream, apply, checkpoint, available_now)

@@ -200,7 +200,9 @@ def test_tokens_that_share_a_counter_lose_no_match(spark, monkeypatch, bits):
     right = [(1000 + i, " ".join(rnd.sample(words[:25], rnd.randint(2, 9))), 2000 + i % 5) for i in range(120)]
     right += [(2000 + i, t + " EXTRA", 2001) for i, t in left[::4]]
     lft, rgt = _names(spark, left, right)
-    got = {r.lid: r.match_id for r in rs.token_match(lft, "lid", "name", rgt, "rid", "name", "year", 0.6).collect()}
+    found = rs.token_match(lft, "lid", "name", rgt, "rid", "name", "year", 0.6)
+    assert "SortMergeJoin [tok#" in _plan(found) and "BroadcastHashJoin [tok#" not in _plan(found)  # prefixes are never broadcast
+    got = {r.lid: r.match_id for r in found.collect()}
     assert got == _brute(left, right, 0.6) and len(got) >= 30
 
 

@@ -169,7 +169,8 @@ def _token_best(lprof: DataFrame, rprof: DataFrame, threshold: float) -> DataFra
     # Positional filter, first for each shared token: at most min(positions) tokens before it and min(remaining) after it
     # can be shared. Only pairs that cannot match lose rows here.
     around = F.least("_li", "_ri") + 1 + F.least(F.col("_ln") - F.col("_li") - 1, F.col("_rn") - F.col("_ri") - 1)
-    shared = (lp.join(rp, ["tok", "_b"])
+    # The planner sizes the prefixes by the sets' files, before they are exploded, so it must not choose to broadcast them.
+    shared = (lp.join(rp.hint("merge"), ["tok", "_b"])
               .where((F.col("_rn") >= F.col("_ln") * threshold - _EPS) &
                      (F.col("_rn") * threshold <= F.col("_ln") + _EPS) & (around >= need)))
     # Then for each pair: all shared tokens up to the last shared prefix token lie in

@@ -234,3 +234,84 @@ def test_cluster_without_shared_folder_is_an_error():
                                conf=SimpleNamespace(get=lambda *_: None))
         with pytest.raises(RuntimeError):
             ensure_checkpoint_dir(fake)
+
+
+def _words_of(t):
+    return set(t.split())
+
+
+def test_parity_signatures_never_exceed_the_difference(spark):
+    """Sets of 2 to 600 tokens: signatures of 4 to 16 words, the longer brought to the shorter one's length."""
+    rnd = random.Random(5)
+    vocab = [f"V{i}" for i in range(1500)]
+    texts = [" ".join(rnd.sample(vocab, n)) for n in (2, 9, 64, 250, 257, 300, 500, 513, 600)]
+    texts += [" ".join(rnd.sample(t.split(), max(1, len(t.split()) - 7)) + ["X", "Y"]) for t in texts]
+    s = _sets(spark, texts).select("_set", F.size("_toks").alias("n"), rs.parity_words().alias("_w"))
+    assert all(len(r["_w"]) == max(4, 1 << max(0, -(-r.n // 64) - 1).bit_length()) for r in s.collect())
+    pairs = s.select(F.col("_set").alias("a"), F.col("_w").alias("_lw")).crossJoin(s.select(F.col("_set").alias("b"), F.col("_w").alias("_rw")))
+    seen = {(r.a, r.b): r.d for r in pairs.select("a", "b", rs._parity_distance("_lw", "_rw").alias("d")).collect()}
+    for (a, b), d in seen.items():
+        real = len(_words_of(texts[a]) ^ _words_of(texts[b]))
+        assert d <= real and (real - d) % 2 == 0 and (real > 12 or d >= real - 6), (a, b, d, real)
+
+
+def test_candidates_are_near_pairs_only(spark):
+    """Pairs that met on one rare token used to be candidates, over 100 for each that matches."""
+    rnd = random.Random(6)
+    vocab = [f"V{i}" for i in range(2500)]
+    texts = [" ".join(rnd.sample(vocab, rnd.randint(60, 200))) for _ in range(300)]
+    near = [" ".join(t.split()[6:] + [f"N{i}"]) for i, t in enumerate(texts[:40])]
+    left, right = _sets(spark, texts), _sets(spark, near + texts[100:])
+    counters = rs._counters(left, right)
+    counts = rs._token_counts(counters, left, right)
+    got = {(r["_lset"], r["_rset"]): r["_d"] for r in rs._candidates(left, right, counts, counters, 0.72).collect()}
+    rtexts = near + texts[100:]
+    true = {(i, k): len(_words_of(a) ^ _words_of(b)) for i, a in enumerate(texts) for k, b in enumerate(rtexts)
+            if len(_words_of(a) & _words_of(b)) >= 0.72 * len(_words_of(a) | _words_of(b))}
+    assert len(true) == 240 and set(true) <= set(got) and all(got[p] <= d for p, d in true.items())
+    assert len(got) <= 1.1 * len(true)
+
+
+def _files(spark, what):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return [f for f in found.split("\n") if what in f]
+
+
+def test_many_postings_leave_no_shuffle_files_and_no_profiles(spark, monkeypatch, tmp_path):
+    """Shuffle files and work tables of every step used to stay until the query ended, 1.04 GB for 0.1 GB when it was stopped."""
+    import os
+
+    from valorum import session
+    rnd = random.Random(8)
+    vocab = [f"W{i}" for i in range(60)]
+    base = rnd.sample(vocab, 30)  # a group of near copies: every pair of them is near
+    near = [" ".join(w for w in base if rnd.random() > 0.04) + f" Z{rnd.randint(0, 3)}Z" for _ in range(60)]
+    names = near + [" ".join(rnd.sample(vocab, rnd.randint(1, 12))) for _ in range(200)] + ["", "S A"]
+    left = [(i, n) for i, n in enumerate(names)]
+    right = [(1000 + i, n, rnd.choice([None, 2001, 2002])) for i, n in enumerate(reversed(names[10:150]))] + [(5000, near[0] + " Q9", 2003)]
+    lft, rgt = _names(spark, left, right)
+    plain = sorted(rs.resolve_entities(lft, "lid", "name", rgt, "rid", "name", "year").collect())
+    monkeypatch.setattr(rs, "_POSTINGS_IN_ONE_PLAN", 0)
+    monkeypatch.setattr(session, "shared_path", lambda spark, *parts: "/".join([f"file://{tmp_path}", *parts]))
+    before = _files(spark, "shuffle_")
+    found = rs.token_match(lft, "lid", "name", rgt, "rid", "name", "year")
+    assert set(_files(spark, "shuffle_")) <= set(before)
+    assert sorted(f.rpartition("-")[0] for f in os.listdir(tmp_path / "work")) == ["best-scores", "left-rows", "token-counts"]
+    want = _brute(left, [(i, n, y or 0) for i, n, y in right], 0.72)
+    assert {r.lid: r.match_id for r in found.collect()} == want and len(want) > 140
+    assert sorted(rs.resolve_entities(lft, "lid", "name", rgt, "rid", "name", "year").collect()) == plain
+    text_ids = rgt.withColumn("rid", F.col("rid").cast("string"))  # no struct holds this order
+    assert {r.lid: int(r.match_id) for r in rs.token_match(lft, "lid", "name", text_ids, "rid", "name", "year").collect()} == want
+
+
+def test_work_table_gives_back_the_setting(spark):
+    from valorum import session
+    key = session._DROP_SHUFFLES
+    before = spark.conf.get(key, None)
+    table = session.work_table(spark.range(10).repartition(3), "some")
+    assert spark.conf.get(key, None) == before and table.count() == 10
+    session.drop_table(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0])
+    with pytest.raises(ValueError):
+        session.drop_table(spark.read.parquet("/root/testdata/sf0.001/part.parquet"))

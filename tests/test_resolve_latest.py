@@ -304,6 +304,23 @@ def test_many_postings_leave_no_shuffle_files_and_no_profiles(spark, monkeypatch
     assert {r.lid: int(r.match_id) for r in rs.token_match(lft, "lid", "name", text_ids, "rid", "name", "year").collect()} == want
 
 
+def test_resolution_keeps_no_names(spark, monkeypatch, tmp_path):
+    """Profiles with the whole names, and the exact result with the tokens, used to stay on disk beside the sets."""
+    import os
+
+    from valorum import session
+    monkeypatch.setattr(rs, "_POSTINGS_IN_ONE_PLAN", 0)
+    monkeypatch.setattr(session, "shared_path", lambda spark, *parts: "/".join([f"file://{tmp_path}", *parts]))
+    # 1 meets 10 exactly, and 4 has the same tokens as 1 without being equal to any name; nothing is the null name's or the empty name's own.
+    lft, rgt = _names(spark, [(1, "Banco Alfa S.A."), (2, None), (3, ""), (4, "ALFA BANCO"), (5, "Banco Alfa S.A."), (6, "GAMA")],
+                      [(10, "BANCO ALFA SA", 2020), (11, "banco alfa s.a.", 2019), (12, None, 2023), (13, "S/A", 2023)])
+    found = rs.resolve_entities(lft, "lid", "name", rgt, "rid", "name", "year")
+    tables = {f.rpartition("-")[0]: spark.read.parquet(str(tmp_path / "work" / f)).columns for f in os.listdir(tmp_path / "work")}
+    assert sorted(tables) == ["best-scores", "exact-match", "token-counts"] and tables["exact-match"] == ["_id", "_sid", "_match"]
+    assert {r.lid: (r.match_id, r.how) for r in found.collect()} == {
+        1: (11, "exato"), 2: (None, "SEM MATCH"), 3: (None, "SEM MATCH"), 4: (10, "token 1.00"), 5: (11, "exato"), 6: (None, "SEM MATCH")}
+
+
 def test_work_table_gives_back_the_setting(spark):
     from valorum import session
     key = session._DROP_SHUFFLES

@@ -88,6 +88,25 @@ def test_filings_are_scanned_and_shuffled_once(spark, tmp_path):
     assert universe.count("l_linestatus#") and universe.count("FileScan parquet [l_orderkey") <= 1
 
 
+def test_names_are_exchanged_once(spark):
+    """Names used to travel by ticker, by company code (all unmatched in one task) and by ticker again, 3 times their size on disk."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        universe = catalog._universe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+    exchanges = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            exchanges.append(node.output().mkString(","))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+    walk(universe.initialPlan() if universe.nodeName() == "AdaptiveSparkPlan" else universe)
+    assert sum("empresa#" in e for e in exchanges) == 1 and len(exchanges) > 3
+
+
 def test_payout_of_the_same_year_and_row_scales(spark):
     income = spark.createDataFrame([("A", 2021, 100.0), ("B", 2020, 50.0), ("C", 2021, None), ("E", 2021, 1e6)], "k string, year int, net_income_units double")
     paid = spark.createDataFrame([("A", 2021, 30.0, "UN"), ("A", 2022, 90.0, "UN"), ("B", 2021, 10.0, "UN"), ("D", 2021, 1.0, "UN"),

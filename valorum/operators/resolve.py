@@ -5,10 +5,11 @@ The similarity join is exact and never forms all pairs:
 * identical token sets are merged on both sides first (a name shared by a third
   of all rows becomes one set);
 * every set keeps only its prefix of rarest tokens (global order: frequency as
-  counted by hash, then the token), ``n - ceil(t * n) + 1`` tokens long: two sets with
+  counted by hash, then the hash), ``n - ceil(t * n) + 1`` tokens long: two sets with
   Jaccard >= t always share a prefix token (prefix-filter principle);
-* candidates come from an equi-join on prefix tokens, cut by the length filter
-  ``t * |a| <= |b| <= |a| / t``, and are verified with the exact Jaccard.
+* candidates come from an equi-join on prefix tokens, judged in it by the least number
+  of tokens they differ in (places of the shared token, parity bits of what follows), and
+  are verified with the exact Jaccard, for each left set the most promising first.
 
 Prefix tokens are the rare ones, so hot tokens only meet in sets made of hot
 tokens alone, which the set merge has already collapsed.

@@ -70,12 +70,19 @@ def build_universe(tickers: DataFrame, companies: DataFrame, facts: DataFrame, i
     res = resolve_entities(tickers, "ticker", "empresa",
                            companies.withColumnRenamed("empresa", "_cname"), "cd_cvm", "_cname", "ultimo_ano",
                            threshold)
-    base = (tickers.join(res.select("ticker", F.col("match_id").alias("cd_cvm"), "how"), "ticker", "left")
-            .join(facts, "cd_cvm", "left"))
-    ind = indicators.withColumn("_has_ind", F.lit(True))
-    u = base.join(ind, "ticker", "left").join(snapshot.select("ticker", "market_cap"), "ticker", "left")
+    # The company joins come first, on rows without the name: names are exchanged once, by ticker.
+    company = res.select("ticker", F.col("match_id").alias("cd_cvm"), "how").join(facts, "cd_cvm", "left")
+    # What follows from the indicators alone is worked out on their rows, before they meet the names.
+    ind = indicators.select(
+        "ticker", "lpa", "valormercado", "liquidezmediadiaria", F.lit(True).alias("_has_ind"),
+        clean_label("sectorname").alias("_setor"), clean_label("subsectorname").alias("_subsetor"),
+        clean_label("segmentname").alias("_segmento"),
+        derive_profile(SqlText(clean_label_sql(ident("sectorname"))), "dy", "p_l", "p_vp", "receitas_cagr5", "roe").alias("_perfil"),
+        derive_tags("dy", "p_l", "p_vp", "roe", "dividaliquidaebit", "lpa", "valormercado").alias("_tags"),
+        initial_roe("roe").alias("_roe_i"))
+    u = (tickers.join(company, "ticker", "left").join(ind, "ticker", "left")
+         .join(snapshot.select("ticker", "market_cap"), "ticker", "left"))
     has = F.coalesce(F.col("_has_ind"), F.lit(False))
-    setor = clean_label("sectorname")
     fallback = round_half_even(plausible(F.col("lpa")), 2)
     lpa = F.coalesce(F.when(F.col("cd_cvm").isNotNull(), plausible(F.col("eps"))), fallback)
     mcap = F.coalesce(nonzero(F.col("valormercado")), F.col("market_cap"))
@@ -84,22 +91,16 @@ def build_universe(tickers: DataFrame, companies: DataFrame, facts: DataFrame, i
         "ticker",
         F.col("empresa").alias("nome"),
         "cd_cvm",
-        F.when(has, setor).otherwise(F.lit("")).alias("setor"),
-        F.when(has, clean_label("subsectorname")).otherwise(F.lit("")).alias("subsetor"),
-        F.when(has, clean_label("segmentname")).otherwise(F.lit("")).alias("segmento"),
-        F.when(has, derive_profile(SqlText(clean_label_sql(ident("sectorname"))), "dy", "p_l", "p_vp",
-                                   "receitas_cagr5", "roe")).otherwise(F.lit(""))
-        .alias("perfil"),
+        *[F.when(has, F.col(f"_{c}")).otherwise(F.lit("")).alias(c) for c in ("setor", "subsetor", "segmento", "perfil")],
         classify_size(mcap).alias("tamanho"),
         F.coalesce(F.col("gov"), F.lit("")).alias("gov"),
         F.coalesce(F.col("ctrl"), F.lit("")).alias("ctrl"),
         F.lit(DEFAULT_MODEL).alias("modelo"),
-        F.when(has, derive_tags("dy", "p_l", "p_vp", "roe", "dividaliquidaebit", "lpa", "valormercado"))
-        .otherwise(F.array().cast("array<string>")).alias("tags"),
+        F.when(has, F.col("_tags")).otherwise(F.array().cast("array<string>")).alias("tags"),
         F.lit(False).alias("monitored"),
         round_half_even(lpa, 2).alias("lpa"),
         F.coalesce(F.col("payout_calc"), F.lit(PAYOUT_DEFAULT)).alias("payout"),
-        F.when(has, initial_roe("roe")).otherwise(F.lit(DEFAULT_ROE_I)).alias("roe_i"),
+        F.when(has, F.col("_roe_i")).otherwise(F.lit(DEFAULT_ROE_I)).alias("roe_i"),
         F.when(F.coalesce(liq != 0, F.lit(False)), F.bround(liq, 0)).alias("liquidez"),
         *[F.lit(v).alias(k) for k, v in SEED_RATES.items()],
         "how",

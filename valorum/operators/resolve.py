@@ -231,8 +231,8 @@ def _candidates(lset: DataFrame, rset: DataFrame, counts: DataFrame, counters: i
 def _token_best(lids: DataFrame, lset: DataFrame, rset: DataFrame, threshold: float) -> DataFrame:
     """(_id, _rid, _j): best right entity per left row (_id, _sid) with Jaccard >= threshold, from each side's distinct sets.
 
-    Candidates that the parity signatures of the whole sets still allow are verified on the full arrays in two rounds: first, for
-    each left set, the one that could score best; then only those that could still beat it.
+    Candidates that the parity signatures of the whole sets still allow are verified on the full arrays, many of them in two rounds:
+    first, for each left set, the one that could score best; then only those that could still beat it.
     """
     from valorum.session import drop_table, work_table
 
@@ -263,13 +263,16 @@ def _token_best(lids: DataFrame, lset: DataFrame, rset: DataFrame, threshold: fl
                 .withColumn("_j", inter / (F.size("_ltoks") + F.size("_rtoks") - inter)).drop("_ltoks", "_rtoks"))
 
     order = ["_ryear", ("_rid", "asc")]
-    first = kept(verified(latest_per_key(pairs, "_lset", ["_most", *order])), "first-scores")
-    seen = first.select("_lset", F.col("_rset").alias("_seen"), F.col("_prefer").alias("_than"),
-                        F.when(F.col("_j") >= threshold, F.col("_j")).otherwise(-1.0).alias("_score"))
-    better = F.coalesce(F.col("_prefer") > F.col("_than"), F.lit(True)) if prefer is not None else F.lit(True)
-    rest = (pairs.join(seen, "_lset").where((F.col("_rset") != F.col("_seen")) & (
-        (F.col("_most") > F.col("_score")) | ((F.col("_most") == F.col("_score")) & better))).select(pairs.columns))
-    scored = first.unionByName(verified(rest)).where(F.col("_j") >= threshold)
+    if large:
+        first = work_table(verified(latest_per_key(pairs, "_lset", ["_most", *order])), "first-scores")
+        seen = first.select("_lset", F.col("_rset").alias("_seen"), F.col("_prefer").alias("_than"),
+                            F.when(F.col("_j") >= threshold, F.col("_j")).otherwise(-1.0).alias("_score"))
+        better = F.coalesce(F.col("_prefer") > F.col("_than"), F.lit(True)) if prefer is not None else F.lit(True)
+        rest = (pairs.join(seen, "_lset").where((F.col("_rset") != F.col("_seen")) & (
+            (F.col("_most") > F.col("_score")) | ((F.col("_most") == F.col("_score")) & better))).select(pairs.columns))
+        scored = first.unionByName(verified(rest)).where(F.col("_j") >= threshold)
+    else:  # few pairs: one round, so the plan holds their join once
+        scored = verified(pairs).where(F.col("_j") >= threshold)
     best = kept(latest_per_key(scored, "_sid", ["_j", *order], columns=["_rid", "_j"]), "best-scores")
     if large:
         for done in (cand, pairs, first, lset, rset):
